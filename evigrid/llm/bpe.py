@@ -29,6 +29,7 @@ from operator import itemgetter
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from evigrid.llm.chunks import ChunkTable
 from evigrid.session import ship
@@ -195,7 +196,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``ids`` and ``n_tokens`` added (replacing columns of these names)."""
     ship(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("ids", "n_tokens", text)]
-    schema = docs.select(text, *rest).schema.add("ids", "array<int>").add("n_tokens", "long")
+    schema = docs.select(text, *rest).schema.add("ids", ArrayType(IntegerType())).add("n_tokens", "long")
 
     def run(batches):
         a, table = automaton(tokenizer)

@@ -22,6 +22,20 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_digests(spark, path).withColumnRenamed("key", "doc_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evigrid.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select("doc_id", "text"), machine).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evigrid.llm import decontaminate
+
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evigrid.llm import bpe
 
@@ -29,5 +43,5 @@ def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op7_bpe_automaton)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op3_toxicity, op7_bpe_automaton, op10_decontaminate)}
 ORACLES: dict[str, str] = {}

@@ -36,6 +36,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evigrid.llm import near_dup
+
+    return near_dup.groups(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
 def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evigrid.llm import bpe
 
@@ -43,5 +49,5 @@ def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op3_toxicity, op7_bpe_automaton, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op3_toxicity, op6_near_dup, op7_bpe_automaton, op10_decontaminate)}
 ORACLES: dict[str, str] = {}

@@ -30,6 +30,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), machine).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evigrid.llm import pii
+
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_entities")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evigrid.llm import decontaminate
 
@@ -49,5 +55,5 @@ def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op3_toxicity, op6_near_dup, op7_bpe_automaton, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op3_toxicity, op6_near_dup, op7_bpe_automaton, op8_pii, op10_decontaminate)}
 ORACLES: dict[str, str] = {}

@@ -26,6 +26,7 @@ import json
 from itertools import chain
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -221,26 +222,32 @@ def decode(docs: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
     return docs.select(ids, *rest).mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode and decode every text in one pass; digests instead of the arrays.
+def round_trip(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), ids: str | None = None) -> DataFrame:
+    """Encode and decode every text in one pass: key, columns ``keep``, counts and digests.
 
-    Rows are independent: there is no shuffle, and a lost task is run again alone.
+    ``ids`` names a column for the token ids themselves.  Rows are independent: there
+    is no shuffle, and a lost task is run again alone.
     """
     ship(docs.sparkSession)
-    schema = docs.select(key).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    keep = [c for c in keep if c in docs.columns]
+    schema = docs.select(key, *keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    if ids:
+        schema = schema.add(ids, ArrayType(IntegerType()))
 
     def run(batches):
-        a, table = automaton(tokenizer)
+        a, pieces = automaton(tokenizer)
         sha, label = hashlib.sha256, a.label.__getitem__
         for b in batches:
-            out = [], [], []
-            for t in b.column(1):
-                found = table.entries(t.as_py() or "")
-                ids = list(chain.from_iterable([e[0] for e in found]))
-                out[0].append(len(ids))
-                out[1].append(sha(",".join([e[1] for e in found if e[0]]).encode()).hexdigest())
-                whole = b"".join(map(label, ids))
-                out[2].append(sha(whole.decode("utf-8", "replace").encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=schema.names)
-
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+            n, digest, decoded, arrays = [], [], [], []
+            for t in b.column(0):
+                found = pieces.entries(t.as_py() or "")
+                own = list(chain.from_iterable([e[0] for e in found]))
+                n.append(len(own))
+                digest.append(sha(",".join([e[1] for e in found if e[0]]).encode()).hexdigest())
+                decoded.append(sha(b"".join(map(label, own)).decode("utf-8", "replace").encode()).hexdigest())
+                if ids:
+                    arrays.append(np.array(own, np.int32))
+            made = [pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *made, *([pa.array(arrays, pa.list_(pa.int32()))] if ids else [])], names=schema.names)
+
+    return docs.select(F.col(text), F.col(key), *keep).mapInArrow(run, schema)

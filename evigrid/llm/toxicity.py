@@ -157,11 +157,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit(y, terms)
 
 
-def score(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``score`` and ``predicted`` added (replacing columns of these names)."""
+def score(docs: DataFrame, machine: Machine, text: str = "text", into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All columns of ``docs`` with score and verdict added under the names ``into`` (replacing columns of these names)."""
     ship(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in ("score", "predicted", text)]
-    schema = docs.select(text, *rest).schema.add("score", "double").add("predicted", "integer")
+    rest = [c for c in docs.columns if c not in (*into, text)]
+    schema = docs.select(text, *rest).schema.add(into[0], "double").add(into[1], "integer")
 
     def run(batches):
         at, known = machine.at, {}

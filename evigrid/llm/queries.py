@@ -42,6 +42,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evigrid.llm import quality_rules
+
+    return quality_rules.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evigrid.llm import near_dup
 
@@ -55,5 +61,5 @@ def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op3_toxicity, op6_near_dup, op7_bpe_automaton, op8_pii, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_token_file, op3_toxicity, op5_quality_rules, op6_near_dup, op7_bpe_automaton, op8_pii, op10_decontaminate)}
 ORACLES: dict[str, str] = {}

@@ -42,6 +42,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evigrid.llm import warc
+
+    path = f"{shared_dir(spark)}/warc"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.page_rows(warc.captures(warc.read(spark, path)))
+
+
+#: What a shard may hold, in bytes of text.
+SHARD_BYTES = 8 << 20
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evigrid.llm import sharding
+
+    return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES).withColumnRenamed("key", "doc_id")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evigrid.llm import quality_rules
 
@@ -61,5 +79,23 @@ def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op3_toxicity, op5_quality_rules, op6_near_dup, op7_bpe_automaton, op8_pii, op10_decontaminate)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_file, op3_toxicity, op4_warc, op5_quality_rules, op6_near_dup, op7_bpe_automaton, op8_pii, op9_sharding, op10_decontaminate)}
+ORACLES: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS b FROM pages),
+        d AS (SELECT page_id, strlen(b) AS payload_bytes, sha1(b) AS h FROM p),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY h, payload_bytes) AS last FROM d)
+        SELECT page_id, payload_bytes,
+               list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST((CAST('0x' || substr(h, CAST((i // 4) * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < last THEN last END AS refers_to
+        FROM g""",
+    "op9_sharding": f"""
+        WITH r AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes,
+                          CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h FROM documents),
+        e AS (SELECT *, CAST(d AS INTEGER) AS depth, h >> CAST(60 - d AS INTEGER) AS bucket FROM r, range(0, 61) t(d)),
+        s AS (SELECT *, sum(bytes) OVER (PARTITION BY depth, bucket) AS shard_bytes FROM e),
+        f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY depth) AS k FROM s WHERE shard_bytes <= {SHARD_BYTES})
+        SELECT doc_id, bytes, depth, bucket, CAST(0 AS BIGINT) AS page, CAST(shard_bytes AS BIGINT) AS shard_bytes FROM f WHERE k = 1""",
+}

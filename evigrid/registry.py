@@ -1,4 +1,3 @@
 """All queries of the library and the SQL they are held against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from evigrid.plans import ORACLES, QUERIES, admission, chunking, eventlog, evidence, lifecycle, retrieval, tables  # noqa: F401

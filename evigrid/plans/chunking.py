@@ -1 +1,85 @@
-"""."""
+"""Document structure and chunking."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from evigrid.functions import text as T
+from evigrid.operators import chunking as C, structure as S
+from evigrid.plans import query
+from evigrid.session import stored, table
+from evigrid.sources import fixtures as X
+from evigrid.sources.fixtures import with_sql
+
+_BODY = "coalesce(html, '')"
+for _t in S.DROPPED:
+    _BODY = f"regexp_replace({_BODY}, '(?is)<{_t}\\b.*?</{_t}\\s*>', '', 'g')"
+_TEXT = f"regexp_replace(regexp_replace(piece, '{S.ENDING}', ''), '<[^>]*>', '', 'g')"
+for _n, _s in S.ENTITIES:
+    _TEXT = f"replace({_TEXT}, '{_n}', '{_s.replace(chr(39), chr(39) * 2)}')"
+_HTML = dict(
+    b=f"SELECT page_id, {_BODY} AS body FROM pages",
+    z=f"SELECT page_id, regexp_extract_all(body, '{S.OPENING}') AS tags, string_split_regex(body, '{S.OPENING}') AS pieces FROM b",
+    e="SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, lower(regexp_extract(tags[i], '<([A-Za-z0-9]+)', 1)) AS tag, pieces[i + 1] AS piece FROM (SELECT *, unnest(range(1, len(tags) + 1)) AS i FROM z)",
+)
+
+
+@query(with_sql("", f"SELECT page_id, pos, CASE WHEN tag LIKE 'h%' THEN 'heading' ELSE 'text' END AS kind, CASE WHEN tag LIKE 'h%' THEN CAST(substr(tag, 2, 1) AS INTEGER) END AS level, trim(regexp_replace({_TEXT}, '[ \\t\\r\\n]+', ' ', 'g')) AS text FROM e", **_HTML))
+def extract_blocks(spark, sf_dir):
+    return S.extract_blocks(table(spark, sf_dir, "pages"))
+
+
+_STACK = dict(
+    r="SELECT *, " + ", ".join(f"max(CASE WHEN level = {v} THEN pos END) OVER w AS p{v}" for v in (1, 2, 3)) + " FROM blocks WINDOW w AS (PARTITION BY document_id ORDER BY pos)",
+    s="SELECT r.document_id, r.pos, r.kind, r.text, r.page, r.level, [" + ", ".join(f"CASE WHEN r.p{v} > greatest(-1{''.join(f', coalesce(r.p{u}, -1)' for u in range(1, v))}) THEN b{v}.text END" for v in (1, 2, 3)) + "] AS st FROM r " + " ".join(f"LEFT JOIN blocks b{v} ON b{v}.document_id = r.document_id AND b{v}.pos = r.p{v}" for v in (1, 2, 3)),
+)
+
+
+@query(with_sql("blocks", "SELECT document_id, pos, nullif(array_to_string(list_filter(st, lambda x: x IS NOT NULL AND x <> ''), ' > '), '') AS section_path FROM s", **_STACK))
+def heading_stack(spark, sf_dir):
+    return S.heading_stack(X.blocks(spark, sf_dir)).select("document_id", "pos", "section_path")
+
+
+@query(with_sql("blocks", "SELECT document_id, pos, text FROM blocks WHERE kind = 'text' AND trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) <> ''"))
+def body_filter(spark, sf_dir):
+    return S.body_filter(X.blocks(spark, sf_dir)).select("document_id", "pos", "text")
+
+
+@query(with_sql("docs", "SELECT document_id, greatest(1, length(content) // 4) AS tokens FROM docs"))
+def count_tokens(spark, sf_dir):
+    return X.docs(spark, sf_dir).select("document_id", T.count_tokens(F.col("content")).alias("tokens"))
+
+
+@query()
+def pack_chunks(spark, sf_dir):
+    """Packing, forced splits and merging of tiny chunks over the line blocks of all documents."""
+    return C.chunk_documents(X.blocks(spark, sf_dir)).drop("content")
+
+
+@query()
+def force_split(spark, sf_dir):
+    """Whole documents as one block each, so that long ones are split."""
+    one = X.docs(spark, sf_dir).select("document_id", F.lit(0).alias("pos"), F.lit("text").alias("kind"), F.lit(None).cast("int").alias("level"), F.col("content").alias("text"), F.lit(1).alias("page"))
+    return C.chunk_documents(one).drop("content")
+
+
+@query()
+def merge_tiny(spark, sf_dir):
+    """Chunks of HTML pages, where short paragraphs join the chunk before them."""
+    return C.chunk_documents(S.extract_blocks(table(spark, sf_dir, "pages")).withColumn("page", F.lit(1)), "page_id").drop("content")
+
+
+@query(with_sql("docs", "SELECT document_id, '[Paper]' || CASE WHEN project_id IS NOT NULL AND project_id <> '' THEN '[' || project_id || ']' ELSE '' END || chr(10) || content AS embed_text FROM docs"))
+def embed_text(spark, sf_dir):
+    return X.docs(spark, sf_dir).select("document_id", T.embed_text(F.col("content"), F.col("project_id")).alias("embed_text"))
+
+
+@query()
+def chunk_stats(spark, sf_dir):
+    """Chunk, figure and table counts and mean tokens of each document; embedded where the index has the id."""
+    c = stored(C.chunk_documents(X.blocks(spark, sf_dir)).select("document_id", "tokens"))
+    f = X.figures(spark, sf_dir).groupBy("document_id").agg(F.count(F.lit(1)).alias("figures"))
+    n = c.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"), F.round(F.avg("tokens"), 6).alias("mean_tokens"))
+    indexed = X.points(spark, sf_dir).select(F.col("point_id").alias("document_id"), F.lit(True).alias("is_embedded"))
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    return X.docs(spark, sf_dir).select("document_id").join(n, "document_id", "left").join(f, "document_id", "left").join(indexed, "document_id", "left").select("document_id", zero(F.col("chunks")).alias("chunks"), zero(F.col("figures")).alias("figures"), F.coalesce("mean_tokens", F.lit(0.0)).alias("mean_tokens"), F.coalesce("is_embedded", F.lit(False)).alias("is_embedded"))

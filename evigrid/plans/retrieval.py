@@ -215,10 +215,10 @@ def expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.join(R.contained(g, texts, "qid", "a", "t").withColumn("x", F.lit("answer")), "qid", "left").select("qid", "grp", "a", F.coalesce("x", F.lit("abstain")).alias("expect"))
 
 
-def recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def recalls(spark: SparkSession, sf_dir: str, kept: DataFrame | None = None) -> DataFrame:
     from evigrid.functions.text import normalize
 
-    e, kept = expectations(spark, sf_dir), Run(spark, sf_dir).kept()
+    e, kept = expectations(spark, sf_dir), Run(spark, sf_dir).kept() if kept is None else kept
     found = kept.join(e.select("qid", "a"), "qid").where((F.col("a") != "") & F.contains(normalize(F.col("content")), F.col("a"))).select("qid").distinct().withColumn("hit", F.lit(True))
     return e.join(found, "qid", "left").select("qid", "grp", "expect", F.coalesce("hit", F.lit(False)).alias("hit"))
 

@@ -10,8 +10,8 @@
    n - 1 candidate pairs, whatever n is.
 4. Pairs are confirmed on their full sets: ``100 * common >= 75 * union``.
 5. Where a bucket still holds several components, further rounds cut it by a
-   second band (band i with band i + k) and place new stars inside, so that two
-   alike variants whose common centre is unlike them still meet.
+   second such bucket of the same classes (bands i and i + k) and place new stars
+   inside, so that two alike variants whose centre is unlike them still meet.
 6. Confirmed links become components by distributed label propagation.
 
 Bands of 4 miss a pair at the similarity 0.75 with a chance of 5e-6.
@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from evigrid.llm.shingles import bands, shingles
+from evigrid.llm.shingles import BANDS, bands, shingles
 from evigrid.session import ship, stored
 
 SHARE, ROUNDS = 75, 4
@@ -59,11 +59,23 @@ def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, shingles binary")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+class _Sets:
+    """Full shingle sets of the documents in candidate pairs; a text is fetched once, whatever round asks for it."""
+
+    def __init__(self, docs: DataFrame, key: str, text: str):
+        self.docs, self.sets = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), None
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        ids = stored(ids if self.sets is None else ids.join(self.sets.select("key"), "key", "left_anti"))
+        if self.sets is None or not ids.isEmpty():
+            new = stored(_sets(self.docs.join(ids, "key", "left_semi"), "key", "text"))
+            self.sets = new if self.sets is None else self.sets.unionByName(new)
+        return self.sets
+
+
+def _confirm(pairs: DataFrame, held: _Sets) -> DataFrame:
     """The pairs (a, b) whose full sets are alike; only texts of documents in pairs are read again."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    named = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    sets = stored(_sets(named.join(ids, "key", "left_semi"), "key", "text"))
+    sets = held.of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
 
     def run(batches):
         for b in batches:
@@ -101,12 +113,17 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _size_fits():
+    """Sets of too different sizes cannot be alike."""
+    return 100 * F.least("n", "c.n") >= SHARE * F.greatest("n", "c.n")
+
+
 def _stars(buckets: DataFrame) -> DataFrame:
     """(bucket, node, n, label) -> candidate pairs of different components, star-shaped in each bucket."""
     centre = buckets.groupBy("bucket").agg(F.min(F.struct("node", "n", "label")).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket", "c")
     return (
         buckets.join(centre, "bucket").where(F.col("label") != F.col("c.label"))
-        .where(100 * F.least("n", "c.n") >= SHARE * F.greatest("n", "c.n"))  # sets of other sizes cannot be alike
+        .where(_size_fits())
         .select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
     )
 
@@ -120,31 +137,28 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     members = full.select("key", "n_shingles", "d1", "d2").join(classes.select("node", "d1", "d2", F.col("n").alias("n_shingles")), ["d1", "d2", "n_shingles"])
     # an id with several texts joins their classes
     same = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("hi")).where("a < hi").select("key", "a").join(members.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
-    links, labels, tested = stored(same.distinct()), None, None
-    open_nodes = classes.select("node", "n", F.col("node").alias("label"), "bands")
-    for k in range(ROUNDS):
-        bands_of = F.posexplode("bands").alias("i", "bucket") if k == 0 else F.posexplode(F.expr(f"transform(bands, (x, i) -> xxhash64(x, bands[(i + {k}) % size(bands)], i))")).alias("i", "bucket")
-        pairs = _stars(open_nodes.select("node", "n", "label", bands_of).drop("i"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
+    held, links = _Sets(docs, key, text), stored(same.distinct())
+    # classes in buckets of two or more, each with the bucket's least class
+    each = classes.select("node", "n", F.posexplode("bands").alias("i", "bucket"))
+    centre = each.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", "c")
+    shared = stored(each.join(centre, "bucket"))
+    tested = stored(shared.where("node <> c.node").where(_size_fits()).select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct())
+    links = links.union(stored(_confirm(tested, held)))
+    labels = components(links)
+    # bands whose bucket still holds several components; unrelated classes seldom have two
+    named = _labelled(shared.select("node", "n", "i", "bucket"), labels)
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+    wide = stored(named.join(mixed, "bucket", "left_semi").groupBy("node", "n").agg(F.map_from_entries(F.collect_list(F.struct("i", "bucket"))).alias("open")).where("size(open) > 1"))
+    for k in range(1, ROUNDS):
+        second = F.expr(f"explode(filter(transform(map_keys(open), i -> if(map_contains_key(open, (i + {k}) % {BANDS}), xxhash64(open[i], open[(i + {k}) % {BANDS}], i), null)), x -> x is not null))")
+        pairs = stored(_stars(_labelled(wide.select("node", "n", second.alias("bucket")), labels)).join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
-            if k == 0:
-                labels = components(links)
-            break
-        found = stored(_confirm(pairs, docs, key, text))
-        tested = pairs if tested is None else tested.union(pairs)
-        if k and found.isEmpty():
-            break
-        links = links.union(found)
-        labels = components(links)
-        if k == 0:  # from here on only classes that share a bucket with another component
-            named = _labelled(classes.select("node", "n", "bands"), labels)
-            rows = named.select("node", "label", F.explode("bands").alias("bucket"))
-            mixed = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-            few = stored(rows.join(mixed, "bucket", "left_semi").select("node").distinct())
-            wide = stored(classes.select("node", "n", "bands").join(few, "node", "left_semi"))
-        open_nodes = _labelled(wide, labels)
+            continue
+        tested = tested.union(pairs)
+        found = stored(_confirm(pairs, held))
+        if not found.isEmpty():
+            links = links.union(found)
+            labels = components(links)
     named = members.select("key", "d1", "d2", "n_shingles", "node").join(labels.withColumnRenamed("label", "_label"), "node", "left").select("key", "n_shingles", F.coalesce("_label", "node").alias("component_id"))
     rest = sig.where("n_shingles = 0 or key is null").select("key", "n_shingles", F.col("key").alias("component_id"))
     return named.unionByName(rest).withColumn("kept", F.col("key").eqNullSafe(F.col("component_id")))

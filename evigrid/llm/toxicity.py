@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from evigrid.session import ship
 
 MAX_ROWS, MAX_TERMS, BITS, FACTORS, EPOCHS, SEED = 16_000, 24_000_000, 20, 8, 12, 7
-SURPRISE = 5.0
+SURPRISE = 4.5
 #: ASCII signs part words, all other bytes belong to them.
 PARTS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -93,9 +93,9 @@ def fit(labels: list[int], terms: list[np.ndarray]) -> Machine:
     col, row, ids = renumber[where[keep]], row[keep], ids[often]
     start = np.searchsorted(row, np.arange(n + 1))
     rng, d = np.random.default_rng(SEED), len(ids)
-    weight = np.where(y > 0, min(10.0, math.sqrt((n - pos) / pos)), 1.0)
+    weight = np.where(y > 0, min(10.0, (n - pos) / pos), 1.0)
     z, sq, w = np.zeros(d), np.zeros(d), np.zeros(d)
-    v, vsq = rng.normal(0, 0.02, (d, FACTORS)), np.ones((d, FACTORS))
+    v, vsq = rng.normal(0, 0.1, (d, FACTORS)), np.ones((d, FACTORS))
     bsq, rate, l1, l2 = 1.0, 0.3, 0.3, 0.1
     for _ in range(EPOCHS):
         order = rng.permutation(n)
@@ -122,9 +122,9 @@ def fit(labels: list[int], terms: list[np.ndarray]) -> Machine:
             z[u] += gu - (np.sqrt(new) - np.sqrt(sq[u])) / rate * w[u]
             sq[u] = new
             if len(a):
-                gv = g[p][:, None] * (total[p] - v[a]) + 1e-4 * v[a]
+                gv = g[p][:, None] * (total[p] - v[a]) + 1e-3 * v[a]
                 np.add.at(vsq, a, gv * gv)
-                np.add.at(v, a, -0.05 * gv / np.sqrt(vsq[a]))
+                np.add.at(v, a, -0.1 * gv / np.sqrt(vsq[a]))
             w[u] = np.where(np.abs(z[u]) <= l1, 0.0, -(z[u] - np.sign(z[u]) * l1) / ((1 + np.sqrt(sq[u])) / rate + l2))
             bsq += float(g.sum()) ** 2
             bias -= 0.1 * float(g.sum()) / math.sqrt(bsq)

@@ -199,7 +199,7 @@ def proximity_hits(index: DataFrame, items: dict[tuple[int, ...], tuple[str, ...
 
 def _chunks(items: DataFrame, item: str, text: str):
     """Test items a bounded number of characters at a time."""
-    chunk, size = [], 0
+    chunk, size, any_yet = [], 0, False
     for r in items.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.col(text).alias("text")).toLocalIterator():
         own = words(r["text"])
         if own:
@@ -207,8 +207,9 @@ def _chunks(items: DataFrame, item: str, text: str):
             size += len(r["text"])
         if size >= CHUNK_CHARS:
             yield chunk
-            chunk, size = [], 0
-    yield chunk
+            chunk, size, any_yet = [], 0, True
+    if chunk or not any_yet:
+        yield chunk
 
 
 def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int | None = None) -> DataFrame:

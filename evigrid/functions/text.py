@@ -7,6 +7,11 @@ from pyspark.sql import Column, functions as F
 from evigrid import params as P
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, where a lambda would compute it for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalize(c: Column) -> Column:
     """White space runs to one blank, trimmed, lower case."""
     return F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), P.WHITE, " ")))
@@ -45,3 +50,10 @@ def markers(c: Column) -> Column:
     """Distinct cited tokens in order of first use."""
     groups = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(P.MARKER), F.lit(1))
     return F.array_distinct(F.flatten(F.transform(groups, lambda g: F.transform(F.split(g, ","), lambda x: F.trim(x)))))
+
+
+def trigrams(c: Column) -> Column:
+    """Distinct runs of three words, joined by blanks."""
+    none = F.array().cast("array<string>")
+    runs = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
+    return let(terms(c), lambda w: F.when(F.size(w) < 3, none).otherwise(runs(w)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from evigrid import params as P
 from evigrid.functions import text as T
@@ -148,16 +148,11 @@ _TRI = "list_distinct(list_transform(range(1, len({0}) - 1), lambda i: {0}[i] ||
 def grounding(spark, sf_dir):
     """Share of the word trigrams before a citation that its chunk holds; joined on the cited anchor."""
     a = Answered(spark, sf_dir)
-    words = lambda c: T.terms(c)
-
-    def trigrams(w: Column) -> Column:
-        return F.when(F.size(w) < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))))
-
     group = F.regexp_substr("text", F.concat(F.lit(r"\[[^\]]*\b"), "marker", F.lit(r"\b[^\]]*\]")))
     before = F.expr("substring(text, 1, instr(text, grp) - 1)")
     at = a.used().where("marker like 'C%'").join(a.answers(), "qid").withColumn("grp", group).withColumn("window", before)
     rows = at.withColumn("window", F.substring("window", F.greatest(F.lit(1), F.length("window") - 239), F.lit(240))).join(a.anchors().select("qid", "marker", "content"), ["qid", "marker"])
-    tri = rows.select("qid", "marker", trigrams(words(F.col("window"))).alias("tw"), trigrams(words(F.col("content"))).alias("tc"))
+    tri = rows.select("qid", "marker", T.trigrams(F.col("window")).alias("tw"), T.trigrams(F.col("content")).alias("tc"))
     ok = (F.size("tw") > 0) & (100 * F.size(F.array_intersect("tw", "tc")) >= 60 * F.size("tw"))
     return tri.select("qid", "marker", F.when(ok, "grounded").otherwise("weak").alias("status"))
 

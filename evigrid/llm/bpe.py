@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from evigrid.llm.chunks import ChunkTable
+from evigrid.llm.chunks import PieceTable
 from evigrid.session import ship
 
 #: White space as the byte-level pre-tokenizer counts it.
@@ -50,6 +50,19 @@ def printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+class Words(dict):
+    """Pre-split words already encoded, a bounded number of them."""
+
+    def __init__(self, path):
+        self.path = path
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 250_000:
+            self.clear()
+        ids = self[word] = self.path(word.encode())
+        return ids
+
+
 class MergeAutomaton:
     """The compiled merges of one tokenizer file."""
 
@@ -73,6 +86,7 @@ class MergeAutomaton:
         for rank, pair in enumerate(spec["model"]["merges"]):
             self._gadget(rank, *(vocab[x] for x in (pair.split(" ") if isinstance(pair, str) else pair)), vocab)
         self.arcs: dict[int, bool] = {}
+        self.words = Words(self.path)
         self._split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def _gadget(self, rank: int, u: int, v: int, vocab: dict) -> None:
@@ -160,18 +174,15 @@ class MergeAutomaton:
                 before, t = born[t] + 1, self.left[t]
 
     def tokens(self, text: str) -> tuple[int, ...]:
-        """Whole text: special tokens first, then pre-split words."""
-        if self._split is None:
-            parts = [text]
-        else:
-            parts = self._split.split(text)
+        """Whole text: special tokens first, then pre-split words; letters after a blank are one word."""
+        if text[:1] == " " and text[1:].isalpha() and text.isascii():
+            return self.path(text.encode())
+        if self._split is None or not any(s in text for s in self.special):
+            words = WORDS.findall(text)
+            return self.words[words[0]] if len(words) == 1 else tuple(chain.from_iterable(map(self.words.__getitem__, words)))
         out: list[int] = []
-        for p in parts:
-            if p in self.special:
-                out.append(self.special[p])
-            else:
-                for w in WORDS.findall(p):
-                    out.extend(self.path(w.encode()))
+        for p in self._split.split(text):
+            out.extend((self.special[p],) if p in self.special else self.tokens(p) if p else ())
         return tuple(out)
 
     def decode(self, ids) -> str:
@@ -182,17 +193,14 @@ class MergeAutomaton:
 _loaded: dict[str, tuple] = {}
 
 
-def automaton(path: str) -> tuple[MergeAutomaton, ChunkTable]:
-    """The automaton of a file and a bounded table of chunks already encoded, one per worker."""
+def automaton(path: str) -> tuple[MergeAutomaton, PieceTable]:
+    """The automaton of a file and a bounded table of pieces already encoded, one per worker."""
     if path not in _loaded:
         a = MergeAutomaton(path)
-        _loaded[path] = (a, ChunkTable(lambda chunks: [(x, ",".join(map(str, x))) for x in map(a.tokens, chunks)], tuple(a.special), 300_000))
+        _loaded[path] = (a, PieceTable(lambda text: (x := a.tokens(text), ",".join(map(str, x))), tuple(a.special), 250_000))
     return _loaded[path]
 
 
-SCHEMA = "n_tokens long, ids array<int>"
-
-
 def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``ids`` and ``n_tokens`` added (replacing columns of these names)."""
     ship(docs.sparkSession)

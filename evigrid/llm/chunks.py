@@ -1,43 +1,42 @@
-"""Texts cut into chunks that a byte-level tokenizer treats independently.
+"""Texts cut into pieces that a byte-level tokenizer treats independently.
 
-A byte-level pre-tokenizer never joins characters over a blank that follows a
-non-blank, so such a text can be cut there and equal chunks encoded once.  Where
-a blank stands between two white-space characters, or the text holds a special
-token, the whole text is one chunk.
+A byte-level pre-tokenizer never joins characters over a blank between two
+characters that are not white space, so a text can be cut there and equal pieces
+encoded once.  A piece that begins with white space (or an empty one, between two
+blanks) may belong to a longer run of white space; then the whole text is one piece.
 """
 
 from __future__ import annotations
 
-import re
 
-UNSAFE = re.compile(r"\s (?:\s|\Z)|\A (?:\s|\Z)")
+class PieceTable(dict):
+    """piece -> encoded value of the piece with a blank before it.
 
-
-class ChunkTable(dict):
-    """chunk -> encoded value; ``encode`` maps a list of new chunks to their values.
-
-    At most twice ``bound`` chunks are held: a full table becomes the old one, from
-    which chunks in use move over, and what was in the old one before is let go.
+    ``encode`` maps a text to its value.  At most twice ``bound`` pieces are held: a
+    full table becomes the old one, from which pieces in use move over, and what
+    was in the old one before is let go.  ``special``: strings of special tokens.
     """
 
     def __init__(self, encode, special: tuple[str, ...], bound: int):
-        self.encode, self.special, self.bound, self.old = encode, special, bound, {}
+        self.encode, self.bound, self.old = encode, bound, {}
+        self.special = tuple(s for s in special if s.strip() != s or len(s.split()) != 1)
+
+    def __missing__(self, piece: str):
+        if len(self) > self.bound:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(piece)
+        if value is None and piece and not piece[0].isspace():
+            value = self.encode(" " + piece)
+        self[piece] = value
+        return value
 
     def entries(self, text: str) -> list:
+        """Values whose concatenation is the value of the text."""
         if not text:
             return []
-        if UNSAFE.search(text) or any(s in text for s in self.special):
-            return self.encode([text])
         first, *rest = text.split(" ")
-        chunks = [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
-        new = [c for c in dict.fromkeys(chunks) if c not in self]
-        if new:
-            if len(self) > self.bound:
-                self.old = dict(self)
-                self.clear()
-                new = list(dict.fromkeys(chunks))
-            old = self.old
-            self.update((c, old[c]) for c in new if c in old)
-            if new := [c for c in new if c not in old]:
-                self.update(zip(new, self.encode(new), strict=True))
-        return list(map(self.__getitem__, chunks))
+        found = list(map(self.__getitem__, rest))
+        if None in found or (rest and first and first[-1].isspace() and rest[0][:1].isspace()) or any(s in text for s in self.special):
+            return [self.encode(text)]
+        return [self.encode(first), *found] if first else found

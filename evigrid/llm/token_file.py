@@ -21,14 +21,17 @@ gives no blocks.  Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from evigrid.llm.chunks import ChunkTable
+from evigrid.llm.bpe import WORDS, printable_bytes
+from evigrid.llm.chunks import PieceTable
 from evigrid.session import ship
 
 BLOCK_BYTES = 4 << 20
@@ -43,7 +46,13 @@ _loaded: dict[str, tuple] = {}
 
 
 def encoder(path: str):
-    """(texts -> little-endian id bytes, width): the tokenizers library over distinct chunks, one per worker."""
+    """(text -> little-endian id bytes, kind of id): the tokenizers library, one per worker.
+
+    The library's model encodes each distinct piece once for as long as it is held;
+    a piece of letters alone, or with one sign behind them, is one pre-token or two.
+    Pieces with characters beyond Latin letters or with a special token, and texts
+    that cannot be cut, go through the library's whole encoder.
+    """
     if path in _loaded:
         return _loaded[path]
     from tokenizers import Tokenizer
@@ -51,25 +60,30 @@ def encoder(path: str):
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    size = t.get_vocab_size(with_added_tokens=True)
-    kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-    lengths = np.array([len(t.id_to_token(i) or "") for i in range(size)])  # a character of a byte-level token stands for a byte
-
-    def encode(chunks: list[str]) -> list[bytes]:
-        plain = [c for c in chunks if c[0] == " " and len(c) > 1 and not c[1:].isspace() and len(c[1:].split()) == 1 and c[1:].strip() == c[1:]]
-        if len(plain) < 2:
-            return [np.array(e.ids, kind).tobytes() for e in t.encode_batch(chunks, add_special_tokens=False)]
-        ids = np.array(t.encode("".join(plain), add_special_tokens=False).ids)
-        ends = np.searchsorted(np.cumsum(lengths[ids]), np.cumsum([len(c.encode()) for c in plain])) + 1
-        whole = ids.astype(kind).tobytes()
-        at = [0, *(ends * kind.itemsize).tolist()]
-        found = {c: whole[i:j] for c, i, j in zip(plain, at, at[1:])}
-        if rest := [c for c in chunks if c not in found]:
-            found |= zip(rest, (np.array(e.ids, kind).tobytes() for e in t.encode_batch(rest, add_special_tokens=False)))
-        return [found[c] for c in chunks]
-
+    kind = np.dtype("<u2" if t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
     special = tuple(x.content for x in t.get_added_tokens_decoder().values())
-    table = ChunkTable(encode, special, 500_000)
+    stands, tokenize, code = {b: c for c, b in printable_bytes().items()}, t.model.tokenize, "H" if kind.itemsize == 2 else "I"
+
+    def word(w: str) -> bytes:
+        ids = array(code, [x.id for x in tokenize(w.encode().decode("latin-1").translate(stands))])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    signs = {c: word(c) for c in ".,;:!?"}
+
+    def encode(text: str) -> bytes:
+        if text.isascii() or max(text) < "\u0250":
+            body = text[1:] if text[0] == " " else text
+            if body.isalpha():
+                return word(text)
+            if body[:-1].isalpha() and body[-1] in signs:
+                return word(text[:-1]) + signs[body[-1]]
+            if not any(s in text for s in special):
+                return b"".join(map(word, WORDS.findall(text)))
+        return np.array(t.encode(text, add_special_tokens=False).ids, kind).tobytes()
+
+    table = PieceTable(encode, special, 700_000)
     _loaded[path] = (lambda text: b"".join(table.entries(text)), kind)
     return _loaded[path]
 

@@ -47,6 +47,15 @@ ENDINGS = {"f": "na|la|ra|sa|lia|nia|ria|tia", "m": "n|r|s|k|lf|rd|ns|rt"}
 ATTEMPTS = 20
 
 
+def hint(text: str) -> Column:
+    """Whether a text can have a find at all: a digit, one of @ = : or a title; plain searches settle most texts."""
+    titles = [F.contains(text, F.lit(t)) for t in (FEMALE + "|" + MALE).split("|")]
+    found = F.col(text).rlike("[0-9@=:]")
+    for t in titles:
+        found = found | t
+    return found
+
+
 def kind(mention: Column) -> Column:
     return (
         F.when(mention.contains("@"), "email").when(mention.rlike(rf"^(?:{FEMALE})\b\.? "), "name_f").when(mention.rlike(rf"^(?:{MALE})\b\.? "), "name_m")
@@ -165,7 +174,7 @@ def _format(mention: Column, kind: Column, made: Column) -> Column:
 def replace(docs: DataFrame, key: str = "surrogates", text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with every entity in ``text`` replaced; ``count`` names a column for the number of finds."""
     columns = docs.columns
-    found = F.coalesce(F.col(text).rlike(FIND), F.lit(False))
+    found = F.coalesce(hint(text) & F.col(text).rlike(FIND), F.lit(False))
     body = F.struct(*(F.col(c) for c in columns)).alias("_doc")
     hit = stored(docs.where(found).select(body, F.monotonically_increasing_id().alias("_row"), F.regexp_extract_all(text, F.lit(FIND), F.lit(0)).alias("_found"), F.split(text, FIND, -1).alias("_between")))
     mentions = hit.select("_row", F.posexplode("_found").alias("_at", "mention")).withColumn("kind", kind(F.col("mention"))).withColumn("entity", canonical(F.col("mention"), F.col("kind")))

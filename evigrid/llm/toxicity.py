@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evigrid.session import ship
 
-MAX_ROWS, MAX_TERMS, BITS, FACTORS, EPOCHS, SEED = 16_000, 24_000_000, 20, 8, 12, 7
+MAX_ROWS, MAX_TERMS, BITS, FACTORS, EPOCHS, SEED = 12_000, 16_000_000, 20, 8, 12, 7
 SURPRISE = 4.5
 #: ASCII signs part words, all other bytes belong to them.
 PARTS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))

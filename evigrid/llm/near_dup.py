@@ -11,8 +11,11 @@
 4. Pairs are confirmed on their full sets: ``100 * common >= 75 * union``.
 5. Where a bucket still holds several components, further rounds cut it by a
    second such bucket of the same classes (bands i and i + k) and place new stars
-   inside, so that two alike variants whose centre is unlike them still meet.
-6. Confirmed links become components by distributed label propagation.
+   inside; this is cheap and joins most of what a centre unlike its bucket left.
+6. Buckets that are mixed even then are settled exactly: their classes are dealt
+   into tiles of two blocks, and a tile tests all its pairs of different components.
+   So every pair that shares a bucket is in one component or tested.
+7. Confirmed links become components by distributed label propagation.
 
 Bands of 4 miss a pair at the similarity 0.75 with a chance of 5e-6.
 
@@ -24,6 +27,7 @@ kept; rows that repeat an id are one document; ties go to the least id.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -31,6 +35,8 @@ from evigrid.llm.shingles import BANDS, bands, shingles
 from evigrid.session import ship, stored
 
 SHARE, ROUNDS = 75, 4
+#: Classes of a block; a task holds the sets of two blocks.
+BLOCK = 256
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -128,6 +134,44 @@ def _stars(buckets: DataFrame) -> DataFrame:
     )
 
 
+def _alike_in_tile(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links among the classes of one tile: pairs of different components that share no earlier band."""
+    i, x, y = (int(rows[c].iloc[0]) for c in ("i", "x", "y"))
+    node, n, label, block = (rows[c].to_numpy().copy() for c in ("node", "n", "label", "block"))
+    keys = np.stack(rows["bands"].to_numpy())[:, :i]
+    sets = [np.frombuffer(v, np.uint64) for v in rows["shingles"]]
+    found = []
+    for a in np.flatnonzero(block == x):
+        fits = (block == y) & (label != label[a]) & (100 * np.minimum(n, n[a]) >= SHARE * np.maximum(n, n[a]))
+        if x == y:
+            fits[: a + 1] = False
+        at = np.flatnonzero(fits)
+        at = at[~(keys[at] == keys[a]).any(1)]  # a pair is tested in the first band that it shares
+        if not len(at):
+            continue
+        values, size = np.concatenate([sets[b] for b in at]), n[at]
+        place = np.searchsorted(sets[a], values)
+        place[place == len(sets[a])] = 0
+        common = np.add.reduceat((sets[a][place] == values).astype(np.int64), np.cumsum(size) - size)
+        for b in at[100 * common >= SHARE * (size + n[a] - common)]:
+            if label[a] != label[b]:
+                found.append((node[a], node[b]))
+                label[label == label[b]] = label[a]
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def _rest(mixed: DataFrame, classes: DataFrame, held: _Sets) -> DataFrame:
+    """All links (a, b) between components inside the mixed buckets (node, n, i, bucket, label), each tile a task's share."""
+    size = mixed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = mixed.join(size, "bucket").withColumn("block", F.pmod(F.xxhash64("node", F.lit("tile")), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+    several = dealt.groupBy("bucket", "x", "y").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket", "x", "y")
+    tiles = stored(dealt.join(several, ["bucket", "x", "y"], "left_semi").select("bucket", "i", "x", "y", "node", "n", "label", "block"))
+    sets = held.of(tiles.select(F.col("node").alias("key")).distinct()).withColumnRenamed("key", "node")
+    full = tiles.join(sets.join(classes.select("node", "bands"), "node"), "node")
+    return full.groupBy("bucket", "x", "y").applyInPandas(_alike_in_tile, "a long, b long").distinct()
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document row: key, n_shingles, component_id, kept."""
     ship(docs.sparkSession)
@@ -159,6 +203,12 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         if not found.isEmpty():
             links = links.union(found)
             labels = components(links)
+    # what is still mixed is settled pair by pair
+    named = _labelled(shared.select("node", "n", "i", "bucket"), labels)
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+    found = stored(_rest(stored(named.join(mixed, "bucket", "left_semi")), classes, held))
+    if not found.isEmpty():
+        labels = components(links.union(found))
     named = members.select("key", "d1", "d2", "n_shingles", "node").join(labels.withColumnRenamed("label", "_label"), "node", "left").select("key", "n_shingles", F.coalesce("_label", "node").alias("component_id"))
     rest = sig.where("n_shingles = 0 or key is null").select("key", "n_shingles", F.col("key").alias("component_id"))
     return named.unionByName(rest).withColumn("kept", F.col("key").eqNullSafe(F.col("component_id")))

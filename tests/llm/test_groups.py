@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from evigrid.llm import decontaminate, near_dup, shingles, warc
 from evigrid.session import shared_dir
@@ -70,6 +71,19 @@ def test_groups_of_variants_alone(make):
     assert all(len(x) == 1 for x in parts.values())  # nothing is joined that should not be
 
 
+def test_bucket_with_an_unlike_centre(make, monkeypatch):
+    """Alike texts that meet in one bucket only, whose least member is unlike them; blocks smaller than the bucket too."""
+    text = lambda i, k: " ".join(f"t{i}w{j}" for j in range(40)) + f" end{k}"
+    rows = [(i * 10 + k, text(i, k)) for i in range(8) for k in range(3)] + [(0, "nothing like any of the others in this bucket at all")]
+    rows = list({i: (i, t) for i, t in rows}.values())
+    real = near_dup.signatures
+    monkeypatch.setattr(near_dup, "signatures", lambda *a: real(*a).withColumn("bands", F.transform("bands", lambda x, i: F.when(i == 3, F.lit(7)).otherwise(F.xxhash64("key", i)))))
+    for block in (256, 4):
+        monkeypatch.setattr(near_dup, "BLOCK", block, raising=False)
+        got = sorted((str(r.key), r.n_shingles, str(r.component_id)) for r in near_dup.groups(make(rows)).collect())
+        assert got == brute_groups(rows)
+
+
 def test_deduplicate(make):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (3, None), (None, "x"), (4, "other words entirely in this text"), (4, "other words entirely in this text")]
     left = near_dup.deduplicate(make(rows).withColumnRenamed("source", "key")).collect()

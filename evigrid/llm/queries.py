@@ -63,7 +63,9 @@ SHARD_BYTES = 8 << 20
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evigrid.llm import sharding
 
-    return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES).withColumnRenamed("key", "doc_id")
+    docs, path = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards"
+    sharding.write(docs, path, SHARD_BYTES)
+    return sharding.read(spark, path, docs).withColumnRenamed("key", "doc_id")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

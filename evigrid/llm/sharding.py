@@ -16,7 +16,7 @@ bytes; an empty table gives no shards.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from evigrid.session import stored
 
@@ -34,7 +34,16 @@ def _prefix(depth) -> Column:
 
 def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, bytes, depth, bucket (the prefix as a number), page, shard_bytes of each row."""
-    rows = stored(docs.select(F.col(key).alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), key_hash(key).alias("hash"), F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(-1)).alias("tie")))
+    rows = stored(docs.select(F.lit(None).cast("long").alias("row"), F.col(key).alias("key"), *_measures(key, text)))
+    return _placed(rows, limit).drop("row")
+
+
+def _measures(key: str, text: str) -> tuple[Column, ...]:
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), key_hash(key).alias("hash"), F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(-1)).alias("tie")
+
+
+def _placed(rows: DataFrame, limit: int) -> DataFrame:
+    """(row, key, bytes, hash, tie) -> row, key, bytes, depth, bucket, page, shard_bytes; one row out for each row in."""
     done, open_rows, top = None, rows, 0
     while top < BITS:
         low, top = top, min(BITS, top + STRIDE)
@@ -46,7 +55,7 @@ def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text")
         # a bucket is a shard at the least depth at which it fits
         fit = each.select("fine", "depth", bucket.alias("bucket")).join(sums.where(F.col("shard_bytes") <= limit), ["depth", "bucket"]).groupBy("fine").agg(F.min(F.struct("depth", "bucket", "shard_bytes")).alias("s"))
         directory = stored(fit.select("fine", "s.*"))
-        placed = open_rows.withColumn("fine", _prefix(top)).join(directory, "fine").select("key", "bytes", "hash", "tie", "depth", "bucket", "shard_bytes")
+        placed = open_rows.withColumn("fine", _prefix(top)).join(directory, "fine").select("row", "key", "bytes", "hash", "tie", "depth", "bucket", "shard_bytes")
         done = placed if done is None else done.unionByName(placed)
         open_rows = stored(open_rows.join(directory, _prefix(top) == directory["fine"], "left_anti"))
         if open_rows.isEmpty():
@@ -56,18 +65,36 @@ def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text")
     before = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")
     page = F.when(small, 2 * F.floor(before / (limit / 2))).otherwise(2 * F.row_number().over(order) - 1).cast("long")
     paged = open_rows.withColumn("page", page).withColumn("depth", F.lit(BITS)).withColumn("bucket", F.col("hash")).withColumn("shard_bytes", F.sum("bytes").over(Window.partitionBy("hash", "page")))
-    return done.withColumn("page", F.lit(0).cast("long")).unionByName(paged).select("key", "bytes", F.col("depth").cast("int").alias("depth"), "bucket", "page", "shard_bytes")
+    return done.withColumn("page", F.lit(0).cast("long")).unionByName(paged).select("row", "key", "bytes", F.col("depth").cast("int").alias("depth"), "bucket", "page", "shard_bytes")
 
 
-def write_shards(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write ``docs`` as one folder a shard and return the directory: bucket, page, rows, bytes.
+def write(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> None:
+    """Write ``docs`` as one folder a shard; each row takes its own page with it.
 
-    Rows reach their shard by one exchange on (bucket, page); a shard is at most
-    ``limit`` bytes of text, so a task holds no more than a few shards.
+    Rows are numbered once in a stored copy and meet their shard by that number, so
+    rows that repeat a key stay on the pages that ``assign`` gives them.  They reach
+    their shard by one exchange on it; a shard is at most ``limit`` bytes of text, or
+    one row over that, so a task holds no more than a few shards.
     """
     columns = docs.columns
-    body = docs.select(F.struct(*(F.col(c) for c in columns)).alias("_doc"), F.col(key).alias("_key"))
-    where = assign(docs, limit, key, text).select(F.col("key").alias("_key"), F.concat_ws("-", F.col("depth").cast("string"), F.col("bucket").cast("string"), F.col("page").cast("string")).alias("_shard"), "bytes").dropDuplicates(["_key"])
-    placed = body.join(where, body["_key"].eqNullSafe(where["_key"])).select("_doc", "_shard")
+    body = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(c) for c in columns)).alias("_doc")))
+    rows = body.select("row", F.col("_doc")[key].alias("_key"), F.col("_doc")[text].alias("_text"))
+    where = _placed(stored(rows.select("row", F.col("_key").alias("key"), *_measures("_key", "_text"))), limit)
+    shard = F.concat_ws("-", F.lit("s"), F.col("depth").cast("string"), F.col("bucket").cast("string"), F.col("page").cast("string")).alias("_shard")
+    placed = body.join(where.select("row", shard), "row").select("_doc", "_shard")
     placed.repartition(F.col("_shard")).write.partitionBy("_shard").parquet(path)
-    return docs.sparkSession.read.parquet(path).groupBy("_shard").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(F.col("_doc")[text])).alias("bytes"))
+
+
+def read(spark: SparkSession, path: str, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, bytes, depth, bucket, page, shard_bytes as the shards under ``path`` hold them; ``docs`` gives the columns."""
+    schema = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_doc"), F.lit("").alias("_shard")).schema
+    part = F.split("_shard", "-")
+    rows = spark.read.schema(schema).parquet(path).select(F.col("_doc")[key].alias("key"), F.coalesce(F.octet_length(F.col("_doc")[text]), F.lit(0)).cast("long").alias("bytes"), "_shard")
+    sums = rows.groupBy("_shard").agg(F.sum("bytes").alias("shard_bytes"))
+    return rows.join(sums, "_shard").select("key", "bytes", part[1].cast("int").alias("depth"), part[2].cast("long").alias("bucket"), part[3].cast("long").alias("page"), "shard_bytes")
+
+
+def write_shards(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Write ``docs`` as one folder a shard and return the directory: depth, bucket, page, rows, bytes."""
+    write(docs, path, limit, key, text)
+    return read(docs.sparkSession, path, docs, key, text).groupBy("depth", "bucket", "page").agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("bytes"))

@@ -141,3 +141,12 @@ def test_shards_written(spark, make):
 
     out = sharding.write_shards(make([(i, "x" * 20) for i in range(100)] + [(None, "q")]), f"{shared_dir(spark)}/s", 300).collect()
     assert sum(r.rows for r in out) == 101 and all(r.bytes <= 300 for r in out)
+
+
+def test_shards_written_of_a_repeated_key(spark, make):
+    """A third of the rows share an id, some have none: their pages stay under the limit, as assigned."""
+    from evigrid.session import shared_dir
+
+    docs = make([(7 if i % 3 == 0 else i, "x" * (10 + i % 20)) for i in range(150)] + [(None, "q" * 20)] * 30)
+    out = sharding.write_shards(docs, f"{shared_dir(spark)}/s", 300).collect()
+    assert sum(r.rows for r in out) == 180 and all(r.bytes <= 300 for r in out)

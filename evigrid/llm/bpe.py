@@ -9,11 +9,14 @@ order) does three things:
 3. every state with an arc ``u`` gets an arc ``w``.
 
 States are only ever entered by one token, so a state is named by its token.
-The finished table has |vocabulary|^2 cells; it is kept as the list of gadgets
-(what was copied, from where, when, and what was cut) and a cell is unfolded
-when a word first needs it, then remembered.  The paths of the automaton are
-exactly the tokenizations that the merges produce, so a word has one accepting
-path; its arc labels are the tokens, and decoding writes out the labels' bytes.
+The finished table has |vocabulary|^2 cells; it is kept in factored form, as the
+list of gadgets (what was copied, from where, when, and what was cut); a cell is
+unfolded when a word first needs it, then remembered.  The paths of the automaton
+are exactly the tokenizations that the merges produce, so a word has one accepting
+path, and so has each of its beginnings.  A second table leads from byte to byte to
+the labels that end behind a byte.  Encoding is one pass over a word's bytes by look-ups
+in both, without a way back: of the labels that end at a byte exactly one has an arc from the state
+in which it begins.  Decoding writes out the labels' bytes.
 
 Results for odd input: null and empty text give no tokens; the text of a special
 token gives that token; very long words cost time linear in their length.
@@ -21,10 +24,10 @@ token gives that token; very long words cost time linear in their length.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 from itertools import chain
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from evigrid.llm.chunks import PieceTable
+from evigrid.llm.chunks import PieceTable, buffered, values
 from evigrid.session import ship
 
 #: White space as the byte-level pre-tokenizer counts it.
@@ -50,19 +53,6 @@ def printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-class Words(dict):
-    """Pre-split words already encoded, a bounded number of them."""
-
-    def __init__(self, path):
-        self.path = path
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 250_000:
-            self.clear()
-        ids = self[word] = self.path(word.encode())
-        return ids
-
-
 class MergeAutomaton:
     """The compiled merges of one tokenizer file."""
 
@@ -82,11 +72,12 @@ class MergeAutomaton:
         for s, i in self.special.items():
             self.label[i] = s.encode()
         self.cut: dict[int, int] = {}
-        self.size, self.longest = size, max(map(len, self.token))
+        self.size = size
         for rank, pair in enumerate(spec["model"]["merges"]):
             self._gadget(rank, *(vocab[x] for x in (pair.split(" ") if isinstance(pair, str) else pair)), vocab)
         self.arcs: dict[int, bool] = {}
-        self.words = Words(self.path)
+        self.own: dict[int, bool] = {}
+        self._byte_table()
         self._split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def _gadget(self, rank: int, u: int, v: int, vocab: dict) -> None:
@@ -100,7 +91,7 @@ class MergeAutomaton:
         known = self.arcs.get(key)
         if known is None:
             known = self.arcs[key] = self._unfold(state, token)
-            if len(self.arcs) > 2_000_000:
+            if len(self.arcs) > 1_000_000:
                 self.arcs.clear()
         return known
 
@@ -119,41 +110,79 @@ class MergeAutomaton:
                 before = born[t] + 1
                 t = self.left[t]
 
+    def _byte_table(self) -> None:
+        """The byte side of the table: from each place in the labels the next place per byte, and the labels that end there."""
+        self.step: dict[int, int] = {}
+        places, own = 1, {}
+        for label, t in self.token.items():
+            if not self._reaches(t):
+                continue
+            at = 0
+            for byte in label:
+                key = at << 8 | byte
+                if key not in self.step:
+                    self.step[key] = places
+                    places += 1
+                at = self.step[key]
+            own[at] = (t, len(label))
+        self.shorter = [0] * places  # the place of the longest proper suffix
+        self.ends: list[tuple] = [()] * places
+        into = [0] * places
+        for key, at in self.step.items():
+            into[at] = key
+        for at in self._by_depth(into, places):
+            before, byte = into[at] >> 8, into[at] & 255
+            self.shorter[at] = self._next(self.shorter[before], byte) if before else 0
+            self.ends[at] = ((own[at],) if at in own else ()) + self.ends[self.shorter[at]]
+
+    @staticmethod
+    def _by_depth(into: list[int], places: int) -> list[int]:
+        depth = [0] * places
+        for at in range(1, places):  # a place is made after the one before it
+            depth[at] = depth[into[at] >> 8] + 1
+        return sorted(range(1, places), key=depth.__getitem__)
+
+    def _next(self, at: int, byte: int) -> int:
+        known = self.step.get(at << 8 | byte)
+        if known is None:
+            known = self._next(self.shorter[at], byte) if at else 0
+            self.step[at << 8 | byte] = known
+        return known
+
     def path(self, word: bytes) -> tuple[int, ...]:
-        """Tokens of one pre-split word: the labels on its only accepting path."""
+        """Tokens of one pre-split word: the labels on its only accepting path.
+
+        One pass of look-ups: a byte leads to the labels that end behind it, and of these
+        exactly one has an arc from the state in which it would begin.
+        """
         whole = self.token.get(word)
-        if whole is not None:
-            if self.born[whole] < 0 or self._reaches(whole):
-                return (whole,)
-        n, longest, token, arc = len(word), self.longest, self.token, self.arc
-        out: list[int] = []
-        starts, tries, at, dead = [], [], 0, set()
-        size = min(longest, n)
-        while at < n:
-            state = out[-1] if out else -1
-            found = -1
-            while size > 0:
-                t = token.get(word[at : at + size])
-                if t is not None and at + size not in dead and (state < 0 or arc(state, t)):
-                    found = t
+        if whole is not None and self._reaches(whole):
+            return (whole,)
+        step, ends, arcs, size, at = self.step, self.ends, self.arcs, self.size, 0
+        states = [-1]
+        for place, byte in enumerate(word, 1):
+            known = step.get(at << 8 | byte)
+            at = self._next(at, byte) if known is None else known
+            for t, n in ends[at]:
+                before = states[place - n]
+                if before < 0:
                     break
-                size -= 1
-            if found >= 0:
-                out.append(found)
-                starts.append(at)
-                tries.append(size)
-                at += size
-                size = min(longest, n - at)
-            else:  # a prefix has one tokenization, so a position without a way on is closed for good
-                dead.add(at)
-                out.pop()
-                at = starts.pop()
-                size = tries.pop() - 1
-        return tuple(out)
+                passes = arcs.get(before * size + t)
+                if self.arc(before, t) if passes is None else passes:
+                    break
+            states.append(t)
+        out, place = [], len(word)
+        while place:
+            out.append(states[place])
+            place -= len(self.label[states[place]])
+        return tuple(out[::-1])
 
     def _reaches(self, w: int) -> bool:
         """A token stands for its own bytes unless its parts could not meet."""
-        return self.arcs.setdefault(-1 - w, self._made(w))
+        known = self.own.get(w)
+        if known is None:
+            known = self.own[w] = self._made(w)
+        return known
 
     def _made(self, w: int) -> bool:
         u, v = self.left[w], self.right[w]
@@ -178,8 +207,7 @@ class MergeAutomaton:
         if text[:1] == " " and text[1:].isalpha() and text.isascii():
             return self.path(text.encode())
         if self._split is None or not any(s in text for s in self.special):
-            words = WORDS.findall(text)
-            return self.words[words[0]] if len(words) == 1 else tuple(chain.from_iterable(map(self.words.__getitem__, words)))
+            return tuple(chain.from_iterable([self.path(w.encode()) for w in WORDS.findall(text)]))
         out: list[int] = []
         for p in self._split.split(text):
             out.extend((self.special[p],) if p in self.special else self.tokens(p) if p else ())
@@ -190,6 +218,7 @@ class MergeAutomaton:
         return b"".join(map(self.label.__getitem__, ids)).decode("utf-8", "replace")
 
 
+IDS = np.dtype("<i4")
 _loaded: dict[str, tuple] = {}
 
 
@@ -197,7 +226,8 @@ def automaton(path: str) -> tuple[MergeAutomaton, PieceTable]:
     """The automaton of a file and a bounded table of pieces already encoded, one per worker."""
     if path not in _loaded:
         a = MergeAutomaton(path)
-        _loaded[path] = (a, PieceTable(lambda text: (x := a.tokens(text), ",".join(map(str, x))), tuple(a.special), 250_000))
+        _loaded[path] = (a, PieceTable(lambda text: np.array(a.tokens(text), IDS).tobytes(), tuple(a.special), 500_000))
+        gc.freeze()  # what is loaded here stays, so the collector need not walk it again
     return _loaded[path]
 
 
@@ -210,7 +240,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     def run(batches):
         a, table = automaton(tokenizer)
         for b in batches:
-            ids = [list(chain.from_iterable(map(itemgetter(0), table.entries(t or "")))) for t in b.column(0).to_pylist()]
+            ids = [np.frombuffer(x, IDS) for x in values(b.column(0).to_pylist(), table)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64())], names=schema.names)
 
     return docs.select(text, *rest).mapInArrow(run, schema)
@@ -245,17 +275,18 @@ def round_trip(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
     def run(batches):
         a, pieces = automaton(tokenizer)
         sha, label = hashlib.sha256, a.label.__getitem__
-        for b in batches:
-            n, digest, decoded, arrays = [], [], [], []
-            for t in b.column(0):
-                found = pieces.entries(t.as_py() or "")
-                own = list(chain.from_iterable([e[0] for e in found]))
-                n.append(len(own))
-                digest.append(sha(",".join([e[1] for e in found if e[0]]).encode()).hexdigest())
-                decoded.append(sha(b"".join(map(label, own)).decode("utf-8", "replace").encode()).hexdigest())
-                if ids:
-                    arrays.append(np.array(own, np.int32))
-            made = [pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(decoded, pa.string())]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *made, *([pa.array(arrays, pa.list_(pa.int32()))] if ids else [])], names=schema.names)
+        spelt = np.array([b"%d," % i for i in range(a.size)])  # decimal ids, filled up with zero bytes
+        for held in buffered(batches):
+            found = iter(values([t for b in held for t in b.column(0).to_pylist()], pieces))
+            for b in held:
+                n, digest, decoded, arrays = [], [], [], []
+                for own in (np.frombuffer(next(found), IDS) for _ in range(b.num_rows)):
+                    n.append(len(own))
+                    digest.append(sha(spelt[own].tobytes().replace(b"\0", b"")[:-1]).hexdigest())
+                    decoded.append(sha(b"".join(map(label, own.tolist())).decode("utf-8", "replace").encode()).hexdigest())
+                    if ids:
+                        arrays.append(own)
+                made = [pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], *made, *([pa.array(arrays, pa.list_(pa.int32()))] if ids else [])], names=schema.names)
 
     return docs.select(F.col(text), F.col(key), *keep).mapInArrow(run, schema)

@@ -8,6 +8,17 @@ blanks) may belong to a longer run of white space; then the whole text is one pi
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+
+#: Characters of text that a task encodes at once, so that equal pieces among them are looked up once.
+BUFFER = 8 << 20
+#: A blank before white space or at the end: the text is not cut.
+UNCUT = re.compile(r" (?=\s|\Z)")
+_SPREAD = np.random.default_rng(11).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+
 
 class PieceTable(dict):
     """piece -> encoded value of the piece with a blank before it.
@@ -40,3 +51,89 @@ class PieceTable(dict):
         if None in found or (rest and first and first[-1].isspace() and rest[0][:1].isspace()) or any(s in text for s in self.special):
             return [self.encode(text)]
         return [self.encode(first), *found] if first else found
+
+
+def buffered(batches, column: int = 0):
+    """Lists of record batches with about BUFFER bytes in one text column each."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(column).nbytes
+        if size >= BUFFER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[:1] = 1
+    return np.cumprod(steps)
+
+
+def _piece_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for each piece; pieces follow each other with one byte between them."""
+    out, up, down = np.empty(len(start), np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+    at = 0
+    while at < len(start):
+        stop = max(at + 1, int(np.searchsorted(start, start[at] + step)))
+        lo, hi = int(start[at]), int(end[stop - 1])
+        if hi - lo > len(up):
+            up, down = _powers(_BASE, hi - lo), _powers(pow(_BASE, -1, 1 << 64), hi - lo + 1)
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(_SPREAD[data[lo:hi]] * up[: hi - lo], out=sums[1:])
+        s, e = start[at:stop] - lo, end[at:stop] - lo
+        out[at:stop] = (sums[e] - sums[s]) * down[s] ^ (e - s).astype(np.uint64)
+        at = stop
+    return out
+
+
+def _all_equal(data: np.ndarray, start: np.ndarray, end: np.ndarray, like: np.ndarray, step: int = 1 << 17) -> bool:
+    """Whether each piece has the bytes of the piece at ``like``, compared some pieces at a time."""
+    size = end - start
+    if (size != size[like]).any():
+        return False
+    for lo in range(0, len(start), step):
+        n, s, o = size[lo : lo + step], start[lo : lo + step], start[like[lo : lo + step]]
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        if (data[np.repeat(s, n) + inside] != data[np.repeat(o, n) + inside]).any():
+            return False
+    return True
+
+
+def values(texts: list[str | None], table: PieceTable) -> list[bytes]:
+    """The value of each text, where a table's values are bytes; equal pieces of all these texts are looked up once.
+
+    Pieces are told apart by a hash and then compared byte by byte, so the result never depends on the hash.
+    """
+    out: list = [b""] * len(texts)
+    cut = []
+    for i, t in enumerate(texts):
+        if t and (UNCUT.search(t) or any(s in t for s in table.special)):
+            out[i] = table.encode(t)
+        elif t:
+            cut.append(i)
+    if not cut:
+        return out
+    joined = " ".join([texts[i] for i in cut]).encode()
+    data = np.frombuffer(joined, np.uint8)
+    blanks = np.flatnonzero(data == 32)
+    start, end = np.concatenate([[0], blanks + 1]), np.concatenate([blanks, [len(data)]])
+    stop = np.cumsum([texts[i].count(" ") + 1 for i in cut])
+    first = np.zeros(len(start), bool)
+    first[np.concatenate([[0], stop[:-1]])] = True  # has no blank before it
+    h = _piece_hashes(data, start, end)
+    h[first] ^= np.uint64(_BASE)
+    _, like, inverse = np.unique(h, return_index=True, return_inverse=True)
+    if (first != first[like[inverse]]).any() or not _all_equal(data, start, end, like[inverse]):
+        for i in cut:
+            out[i] = b"".join(table.entries(texts[i]))
+        return out
+    pieces = [joined[s:e].decode() for s, e in zip(start[like].tolist(), end[like].tolist())]
+    found = [(table.encode(p) if p else b"") if f else table[p] for p, f in zip(pieces, first[like].tolist())]
+    lo = 0
+    for i, hi in zip(cut, stop.tolist()):
+        out[i] = b"".join(map(found.__getitem__, inverse[lo:hi].tolist()))
+        lo = hi
+    return out

@@ -20,7 +20,9 @@ gives no blocks.  Other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import json
 import sys
 import zlib
 from array import array
@@ -31,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from evigrid.llm.bpe import WORDS, printable_bytes
-from evigrid.llm.chunks import PieceTable
+from evigrid.llm.chunks import PieceTable, buffered, values
 from evigrid.session import ship
 
 BLOCK_BYTES = 4 << 20
@@ -46,7 +48,7 @@ _loaded: dict[str, tuple] = {}
 
 
 def encoder(path: str):
-    """(text -> little-endian id bytes, kind of id): the tokenizers library, one per worker.
+    """(texts -> little-endian id bytes of each, kind of id): the tokenizers library, one per worker.
 
     The library's model encodes each distinct piece once for as long as it is held;
     a piece of letters alone, or with one sign behind them, is one pre-token or two.
@@ -58,6 +60,11 @@ def encoder(path: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    split = spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        raise ValueError("the short way over words holds for plain byte-level tokenizers alone")
     t.no_truncation()
     t.no_padding()
     kind = np.dtype("<u2" if t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
@@ -83,8 +90,9 @@ def encoder(path: str):
                 return b"".join(map(word, WORDS.findall(text)))
         return np.array(t.encode(text, add_special_tokens=False).ids, kind).tobytes()
 
-    table = PieceTable(encode, special, 700_000)
-    _loaded[path] = (lambda text: b"".join(table.entries(text)), kind)
+    table = PieceTable(encode, special, 500_000)
+    gc.freeze()  # what is loaded here stays, so the collector need not walk it again
+    _loaded[path] = (lambda texts: values(texts, table), kind)
     return _loaded[path]
 
 
@@ -95,9 +103,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, key: str, text: str) -> by
     sample = docs.where((F.length(text) <= SAMPLE_CHARS) & (F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share * (1 << 20))).select(text).limit(SAMPLE_DOCS)
 
     def run(batches):
-        one, _ = encoder(tokenizer)
+        every, _ = encoder(tokenizer)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([one(t or "") for t in b.column(0).to_pylist()], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(every(b.column(0).to_pylist()), pa.binary())], names=["ids"])
 
     arrays = [bytes(r[0]) for r in sample.mapInArrow(run, "ids binary").collect()]
     try:
@@ -126,7 +134,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, key: str
     def run(batches):
         from pyspark import TaskContext
 
-        one, kind = encoder(tokenizer)
+        every, kind = encoder(tokenizer)
         part = TaskContext.get().partitionId()
         with_dict = _dict(data)
         pack = zstandard.ZstdCompressor(level=3, dict_data=with_dict) if with_dict else zstandard.ZstdCompressor(level=3)
@@ -141,9 +149,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, key: str
                 "counts": counts, "offsets": offsets, "width": kind.itemsize, "dict_sha256": sha, "frames": b"".join(frames),
             }], schema=ARROW)
 
-        for b in batches:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = one(t.as_py()) + end
+        for held in buffered(batches, 1):
+            own = [k for b in held for k in b.column(0).to_pylist()]
+            for k, ids in zip(own, every([t for b in held for t in b.column(1).to_pylist()])):
+                ids += end
                 keys.append(k)
                 counts.append(len(ids) // kind.itemsize)
                 frames.append(pack.compress(ids))

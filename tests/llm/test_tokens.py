@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 from tokenizers import Tokenizer
 
-from evigrid.llm import bpe, token_file
+from evigrid.llm import bpe, chunks, token_file
 from evigrid.session import shared_dir
 from tests.llm.conftest import ODD
 
@@ -17,11 +17,22 @@ def test_automaton_equals_the_library(tokenizer):
     a, table = bpe.automaton(tokenizer)
     rng = random.Random(3)
     parts = ["a", "aa", " ", "  ", "\n", "\t", " \n ", "é", "日本", "😀", "'s", "'ll", "12", "!!", "<|endoftext|>", "\x1c", "\x85", " ", "the", "ing", "--", "\x00", "hello world"]
-    for _ in range(1500):
-        x = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
-        want = t.encode(x, add_special_tokens=False).ids
-        assert [i for e in table.entries(x) for i in e[0]] == want
-        assert a.decode(want) == t.decode(want, skip_special_tokens=False)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(1500)] + ["a" * 3000 + " " + "ab" * 2000]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    ids = lambda found: [np.frombuffer(x, bpe.IDS).tolist() for x in found]
+    assert ids(chunks.values(texts, table)) == want
+    assert ids(b"".join(table.entries(x)) for x in texts) == want
+    assert ids(chunks.values([None, "", *texts[:3]], table)) == [[], [], *want[:3]]
+    assert [a.decode(x) for x in want] == [t.decode(x, skip_special_tokens=False) for x in want]
+
+
+def test_pieces_with_one_hash(tokenizer, monkeypatch):
+    """Texts are told apart by their bytes even if all hashes agree."""
+    t = Tokenizer.from_file(tokenizer)
+    _, table = bpe.automaton(tokenizer)
+    monkeypatch.setattr(chunks, "_piece_hashes", lambda data, start, end: np.zeros(len(start), np.uint64))
+    texts = ["one two three", "four five", "six"]
+    assert [np.frombuffer(x, bpe.IDS).tolist() for x in chunks.values(texts, table)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
 def test_round_trip_rows(spark, odd, tokenizer):

@@ -21,7 +21,10 @@ Bands of 4 miss a pair at the similarity 0.75 with a chance of 5e-6.
 
 Results for odd input: texts without words (null, empty, blank) have an empty set
 and are linked with nothing; rows with a null id are linked with nothing and
-kept; rows that repeat an id are one document; ties go to the least id.
+kept; rows that repeat an id are one document, of which ``deduplicate`` keeps the
+least text; ties go to the least id; very long texts are whole sets, and tiles of
+settled buckets are cut by shingles as well as by classes; an empty table gives no
+rows; other columns pass through ``deduplicate`` whatever their names.
 """
 
 from __future__ import annotations
@@ -34,9 +37,11 @@ from pyspark.sql import DataFrame, functions as F
 from evigrid.llm.shingles import BANDS, bands, shingles
 from evigrid.session import ship, stored
 
-SHARE, ROUNDS = 75, 4
-#: Classes of a block; a task holds the sets of two blocks.
-BLOCK = 256
+SHARE = 75
+#: Rounds of stars inside doubly shared buckets; what they leave mixed is settled pair by pair, so links do not depend on it.
+STAR_ROUNDS = 4
+#: Classes and shingles of a block; a task holds the sets of two blocks.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -60,9 +65,10 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["key", "shingles"])
+            sets = [np.sort(shingles(t.as_py()).view(np.int64)) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
 
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, shingles binary")
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, shingles array<long>")
 
 
 class _Sets:
@@ -80,25 +86,16 @@ class _Sets:
 
 
 def _confirm(pairs: DataFrame, held: _Sets) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike; only texts of documents in pairs are read again."""
-    sets = held.of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-
-    def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                s, t = (s, t) if len(s) <= len(t) else (t, s)
-                at = np.searchsorted(t, s)
-                at[at == len(t)] = 0
-                common = int((t[at] == s).sum()) if len(t) else 0
-                keep.append(bool(common) and 100 * common >= SHARE * (len(s) + len(t) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
+    """The pairs (a, b) whose full sets are alike; only texts of documents in pairs are read again.
 
+    Sets meet and are compared row by row, so a task holds one pair at a time.
+    """
+    sets = held.of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
     left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("s"))
     right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("t"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "s", "t").mapInArrow(run, "a long, b long").distinct()
+    # 100 * common >= SHARE * (s + t - common), with common named once
+    alike = (100 + SHARE) * F.size(F.array_intersect("s", "t")) >= SHARE * (F.size("s") + F.size("t"))
+    return pairs.join(right, "b").join(left, "a").where(alike).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -139,7 +136,7 @@ def _alike_in_tile(rows: pd.DataFrame) -> pd.DataFrame:
     i, x, y = (int(rows[c].iloc[0]) for c in ("i", "x", "y"))
     node, n, label, block = (rows[c].to_numpy().copy() for c in ("node", "n", "label", "block"))
     keys = np.stack(rows["bands"].to_numpy())[:, :i]
-    sets = [np.frombuffer(v, np.uint64) for v in rows["shingles"]]
+    sets = [np.asarray(v, np.int64) for v in rows["shingles"]]
     found = []
     for a in np.flatnonzero(block == x):
         fits = (block == y) & (label != label[a]) & (100 * np.minimum(n, n[a]) >= SHARE * np.maximum(n, n[a]))
@@ -162,7 +159,7 @@ def _alike_in_tile(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _rest(mixed: DataFrame, classes: DataFrame, held: _Sets) -> DataFrame:
     """All links (a, b) between components inside the mixed buckets (node, n, i, bucket, label), each tile a task's share."""
-    size = mixed.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    size = mixed.groupBy("bucket").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     dealt = mixed.join(size, "bucket").withColumn("block", F.pmod(F.xxhash64("node", F.lit("tile")), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
     several = dealt.groupBy("bucket", "x", "y").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket", "x", "y")
@@ -193,7 +190,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     named = _labelled(shared.select("node", "n", "i", "bucket"), labels)
     mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
     wide = stored(named.join(mixed, "bucket", "left_semi").groupBy("node", "n").agg(F.map_from_entries(F.collect_list(F.struct("i", "bucket"))).alias("open")).where("size(open) > 1"))
-    for k in range(1, ROUNDS):
+    for k in range(1, STAR_ROUNDS):
         second = F.expr(f"explode(filter(transform(map_keys(open), i -> if(map_contains_key(open, (i + {k}) % {BANDS}), xxhash64(open[i], open[(i + {k}) % {BANDS}], i), null)), x -> x is not null))")
         pairs = stored(_stars(_labelled(wide.select("node", "n", second.alias("bucket")), labels)).join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
@@ -224,4 +221,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     left = docs.join(lost, docs[key].cast("long") == F.col("_lost"), "left_anti")
     twice = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_twice")).count().where("count > 1").select("_twice")
     once = left.join(twice, F.col(key) == F.col("_twice"), "left_anti")
-    return once.unionByName(left.join(twice, F.col(key) == F.col("_twice"), "left_semi").dropDuplicates([key]))
+    # of an id with several rows the one with the least text stays; partial minima, so a hot id is no task of its own
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    order = F.struct(F.coalesce(F.col(text), F.lit("")).alias("_text"), F.to_json(row).alias("_all"))
+    several = left.join(twice, F.col(key) == F.col("_twice"), "left_semi").groupBy(F.col(key).alias("_key")).agg(F.min_by(row, order).alias("_doc"))
+    return once.unionByName(several.select("_doc.*"))

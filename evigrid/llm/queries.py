@@ -53,7 +53,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{shared_dir(spark)}/warc"
     warc.write(table(spark, sf_dir, "pages"), path)
-    return warc.page_rows(warc.captures(warc.read(spark, path)))
+    return warc.page_rows(warc.captures(warc.read(spark, path, blocks=False)))
 
 
 #: What a shard may hold, in bytes of text.

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows are whole texts, so batches to Python workers are kept short; a setting of the user stands.
+ROWS, DEFAULT_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -20,18 +22,22 @@ def ship(spark: SparkSession) -> SparkSession:
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(p for p in (ROOT, env.get("PYTHONPATH", "")) if p)
+    if spark.conf.get(ROWS) == DEFAULT_ROWS:
+        spark.conf.set(ROWS, BATCH_ROWS)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under ``spark.checkpoint.dir``, which all executors share.
 
-    Only where the session has no such setting (single-machine tests) a local
-    temporary folder is used.
+    Only where a local master has no such setting (single-machine tests) a
+    temporary folder is used; a cluster without the setting is refused.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = getattr(sc, "_evigrid_dir", None)
         if not base:
             base = sc._evigrid_dir = tempfile.mkdtemp(prefix="evigrid-")

@@ -11,17 +11,27 @@ and from the lowest order up ``p = (c - d(c)) / sum + gamma(context) * p(suffix)
 
 Scoring takes the longest known key at each byte and the gammas of the longer
 contexts passed over.  While the tables have at most ``TABLE_ROWS`` rows (checked
-by a count) every task holds them as sorted arrays; larger ones stay dealt out
-and meet the keys of the documents in joins.  Both ways give the same numbers.
+by a count) every task holds them as sorted arrays; larger ones stay dealt out:
+the distinct keys of all documents meet the tables in joins, then the keys of each
+document meet their values.  Both ways use the same numbers in double precision,
+rounded alike, so a document scores the same whichever way is taken.
+
+Trusted texts are found by a join on ids.  A bitmap of their hashes, of ``FILTER_BITS`` bits
+whatever their number, goes to every task first and leaves most other texts out of
+the exchange.
 
 A fifth of the trusted documents (by a hash of the key) stays out of training and
 sets the limits, since texts that were trained on look too easy: ``verdicts`` keeps
-a document whose perplexity is at most the ``QUANTILE`` of that fifth in its language
-times ``SLACK``.
+a document whose perplexity is at most the ``QUANTILE`` of that fifth in its language.
+The quantile is exact over perplexities in thousandths, so runs agree on it.
 
 Results for odd input: null and empty texts have no perplexity and are not kept; a
-language with fewer than ``LEAST`` documents in that fifth uses the quantile over all languages; without
-any trusted text all bytes are equally likely and all other texts stay.
+null language is one of its own; a language with fewer than ``LEAST`` documents in that
+fifth uses the quantile over all languages; without any trusted text all bytes are
+equally likely and all other texts stay; repeated rows are scored each, and train
+each; a repeated label counts once, and a document is trusted if any of its labels
+says so; very long texts count whole; columns of other names are ignored by ``verdicts``
+and carried by ``score``, which replaces columns named like its own.
 """
 
 from __future__ import annotations
@@ -34,8 +44,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evigrid.session import ship, stored
 
-ORDER, TABLE_ROWS, QUANTILE, SLACK, LEAST = 5, 4_000_000, 0.95, 1.4, 20
-BUFFER = 4 << 20
+ORDER, TABLE_ROWS, QUANTILE, LEAST = 5, 4_000_000, 0.99, 20
+BUFFER, FILTER_BITS, DIGITS = 4 << 20, 1 << 26, 6
 
 
 def keys(text: str | None) -> np.ndarray:
@@ -141,7 +151,7 @@ def _held(docs: DataFrame, model: DataFrame, text: str) -> DataFrame:
             t = model.where((F.col("ord") == order) & F.col(name).isNotNull()).select("key", name).toArrow()
             k, v = t.column(0).to_numpy(), t.column(1).to_numpy()
             at = np.argsort(k)
-            tables[order, name] = (k[at], v[at].astype(np.float32))
+            tables[order, name] = (k[at], v[at])
     shared = spark.sparkContext.broadcast(tables)
     rest = [c for c in docs.columns if c not in ("n_bytes", "perplexity", text)]
     schema = docs.select(text, *rest).schema.add("n_bytes", "long").add("perplexity", "double")
@@ -153,14 +163,14 @@ def _held(docs: DataFrame, model: DataFrame, text: str) -> DataFrame:
             for x in b.column(0):
                 k = keys(x.as_py())
                 n.append(len(k))
-                ppl.append(math.exp(-_logp(t, k).sum() / len(k)) if len(k) else None)
+                ppl.append(round(math.exp(-_logp(t, k).sum() / len(k)), DIGITS) if len(k) else None)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(ppl, pa.float64())], names=schema.names)
 
     return docs.select(text, *rest).mapInArrow(run, schema)
 
 
 def _dealt(docs: DataFrame, model: DataFrame, text: str) -> DataFrame:
-    """The same by joins on keys: (row, key, count) of every document against each order's table."""
+    """The same by joins: the distinct keys of all documents against each order's table, then each document's keys against those."""
     ship(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("n_bytes", "perplexity")]
     rows = stored(docs.select(*rest).select(F.struct(*(F.col(c) for c in rest)).alias("_doc"), F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text")))
@@ -171,29 +181,41 @@ def _dealt(docs: DataFrame, model: DataFrame, text: str) -> DataFrame:
                 k, n = np.unique(keys(x.as_py()), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), r, np.int64)), pa.array(k), pa.array(n.astype(np.int64))], names=["_row", "key", "n"])
 
-    found = rows.select("_row", "_text").mapInArrow(run, "_row long, key long, n long")
+    found = stored(rows.select("_row", "_text").mapInArrow(run, "_row long, key long, n long"))
+    known = found.select("key").distinct()
     p: Column = F.lit(math.log(1 / 256))
     for order in range(1, ORDER + 1):
         mine = F.col("key").bitwiseAND((1 << 8 * order) - 1)
         logp = model.where((F.col("ord") == order) & F.col("logp").isNotNull()).select(F.col("key").alias(f"_k{order}"), F.col("logp").alias(f"_p{order}"))
         gamma = model.where((F.col("ord") == order) & F.col("loggamma").isNotNull()).select(F.col("key").alias(f"_c{order}"), F.col("loggamma").alias(f"_g{order}"))
-        found = found.join(logp, mine == F.col(f"_k{order}"), "left").join(gamma, F.shiftright(mine, 8) == F.col(f"_c{order}"), "left")
+        known = known.join(logp, mine == F.col(f"_k{order}"), "left").join(gamma, F.shiftright(mine, 8) == F.col(f"_c{order}"), "left")
         p = F.coalesce(F.col(f"_p{order}"), F.coalesce(F.col(f"_g{order}"), F.lit(0.0)) + p)
-    sums = found.groupBy("_row").agg(F.sum("n").alias("n_bytes"), F.exp(-F.sum(F.col("n") * p) / F.sum("n")).alias("perplexity"))
+    known = stored(known.select("key", p.alias("p")))
+    sums = found.join(known, "key").groupBy("_row").agg(F.sum("n").alias("n_bytes"), F.round(F.exp(-F.sum(F.col("n") * F.col("p")) / F.sum("n")), DIGITS).alias("perplexity"))
     return rows.select("_row", "_doc").join(sums, "_row", "left").select("_doc.*", F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"), "perplexity")
 
 
+def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose _key is one of ids: bits of hashes first, then an exact join."""
+    place = F.pmod(F.xxhash64("_key"), F.lit(FILTER_BITS))
+    bits = ids.groupBy(F.shiftright(place, 15).alias("_part")).agg(F.bitmap_construct_agg(place.bitwiseAND(32767)).alias("_bits"))
+    at = place.bitwiseAND(32767)
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    likely = rows.withColumn("_part", F.shiftright(place, 15)).join(F.broadcast(bits), "_part").where(F.getbit(byte.cast("long"), at.bitwiseAND(7).cast("int")) == 1)
+    return likely.drop("_part", "_bits").join(ids.hint("merge"), "_key", "left_semi")
+
+
 def verdicts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality") -> DataFrame:
     """key, language, n_bytes, perplexity, threshold of the language, kept."""
     trusted = labels.where(F.col(label) == 1).select(F.col(key).alias("_key")).distinct().withColumn("_good", F.pmod(F.xxhash64("_key"), F.lit(5)) == 0)
     base = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(lang), F.lit("")).alias("_lang"), F.col(text).alias("_text"))
-    model = train(base.join(trusted.where("not _good"), "_key", "left_semi"), "_text")
+    model = train(_among(base, trusted.where("not _good").select("_key")), "_text")
     # only the numbers are kept, so the second reading of the corpus is the last
     scored = stored(score(base, model, "_text").select("_key", "_lang", "n_bytes", "perplexity").join(trusted, "_key", "left"))
-    limit = F.percentile_approx("perplexity", QUANTILE, 10_000) * SLACK
+    limit = F.percentile(F.round("perplexity", 3), F.lit(QUANTILE))  # exact: thousandths take few values
     good = scored.where("_good and perplexity is not null")
     own = good.groupBy("_lang").agg(limit.alias("_own"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= LEAST).select("_lang", "_own")
     whole = good.agg(limit.alias("all")).first()["all"]  # one number
     out = scored.join(own, "_lang", "left").withColumn("threshold", F.coalesce("_own", F.lit(whole).cast("double")))
-    kept = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
+    kept = F.col("perplexity").isNotNull() & F.coalesce(F.round("perplexity", 3) <= F.col("threshold"), F.lit(True))
     return out.select(F.col("_key").alias(key), F.col("_lang").alias(lang), "n_bytes", "perplexity", "threshold", kept.alias("kept"))

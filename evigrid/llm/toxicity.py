@@ -1,21 +1,29 @@
 """Toxicity by a factorization machine over hashed terms (operator 3).
 
-A document is the set of its hashed terms: lower-case words and the first four
-and five bytes of longer words, so that unseen endings of a known stem count.
-The score is ``sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>)`` over the terms that
-the model kept; the pair part is where an insult next to a group mention weighs
-more than both alone.
+A document is the set of its hashed terms: lower-case words (even ids) and the
+first four and five bytes of longer words (odd ids), so that unseen endings of a
+known stem count.  The score is ``sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>)`` over
+the terms that the model kept; the pair part is where an insult next to a group
+mention weighs more than both alone.
 
 A term is a candidate if the toxic documents hold it at least ``SURPRISE``
-standard deviations more or less often than their share.  Training: labels of at most ``MAX_ROWS`` documents (the documented bound, taken
-by a hash of the key) and ``MAX_TERMS`` terms reach the driver as integer
-arrays.  Linear weights follow FTRL-proximal steps, whose L1 part leaves only
-terms that carry signal; factors are learned for those alone.  Scoring reads
+standard deviations more or less often than their share, or if two words together
+are toxic (or clean) beyond what each of them tells, by a likelihood ratio that chance
+reaches in any of the counted pairs with at most about ``PAIR_CHANCE``; so words that are neutral alone are learned, too.  Linear weights
+follow FTRL-proximal steps, whose L1 part leaves only terms that carry signal;
+factors are learned for all candidates, whatever their linear weights.
+
+Training takes a bounded sample, the documented parameters: labels of at most
+``MAX_ROWS`` documents in the order of a hash of the key, as far as their terms are at
+most ``MAX_TERMS``; pairs are counted among words of at least ``WORD_LEAST`` documents,
+in documents of at most ``PAIR_WORDS`` such words.  The order is total, so the sample does not depend on partitions.  Scoring reads
 every whole text once, in place, without a shuffle.
 
-Results for odd input: null and empty texts get the score of the bias alone;
-without labelled rows the score is 0.25 everywhere; null labels are left out and
-of several labels of one document the highest counts.
+Results for odd input: null and empty texts get the score of the bias alone; very
+long texts are scored whole; without labelled rows the score is 0.25 everywhere; null
+labels are left out and of several labels of one document the highest counts; repeated
+documents train each; a score of exactly 0.5 is toxic; an empty table gives no rows;
+columns named like the result are replaced, others carried.
 """
 
 from __future__ import annotations
@@ -30,8 +38,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evigrid.session import ship
 
-MAX_ROWS, MAX_TERMS, BITS, FACTORS, EPOCHS, SEED = 12_000, 16_000_000, 20, 8, 12, 7
-SURPRISE = 4.5
+MAX_ROWS, MAX_TERMS, BITS, FACTORS, EPOCHS, SEED = 12_000, 8_000_000, 20, 8, 12, 7
+SURPRISE, PAIR_CHANCE, PAIR_LEAST, PAIR_WORDS, WORD_LEAST, FIRST_EVIDENCE = 4.5, 0.01, 5, 200, 20, 8.0
 #: ASCII signs part words, all other bytes belong to them.
 PARTS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -42,10 +50,10 @@ def words(text: str | None) -> set[bytes]:
 
 def term_ids(word: bytes) -> tuple[int, ...]:
     mask = (1 << BITS) - 1
-    ids = [xxhash.xxh3_64_intdigest(word) & mask]
+    ids = [xxhash.xxh3_64_intdigest(word) & mask & ~1]
     for n in (4, 5):
         if len(word) > n:
-            ids.append(xxhash.xxh3_64_intdigest(word[:n] + b"*") & mask)
+            ids.append(xxhash.xxh3_64_intdigest(word[:n] + b"*") & mask | 1)
     return tuple(ids)
 
 
@@ -70,6 +78,80 @@ class Machine:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def _codes(terms: np.ndarray, of: int) -> np.ndarray:
+    """A number for each pair of different terms of one document."""
+    i, j = np.triu_indices(len(terms), 1)
+    return terms[i].astype(np.int64) * of + terms[j]
+
+
+def pair_terms(rows: list[np.ndarray], y: np.ndarray, seen: np.ndarray, pos_seen: np.ndarray) -> np.ndarray:
+    """Terms of pairs whose joint share of toxic documents their single shares do not explain.
+
+    rows: sorted term numbers of each document.  Pairs frequent among toxic documents, or
+    among as many clean ones, are then counted in all documents.
+    """
+    out, of, n, pos = np.zeros(len(seen), bool), len(seen), len(y), int(y.sum())
+    toxic, clean = np.flatnonzero(y > 0), np.flatnonzero(y == 0)
+    share = pos / n
+    logit = lambda p: np.log(p / (1 - p))
+    single = logit((pos_seen + 10 * share) / (seen + 10)) - logit(share)  # what a word tells alone
+
+    def evidence(codes, k, both, base):
+        """Twice the log likelihood ratio of k toxic documents out of both, against what the two words tell."""
+        e = both / (1 + np.exp(-(single[codes // of] + single[codes % of] + logit(base))))
+        part = lambda k, e: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(e, 1e-9)), 0.0)
+        return 2 * (part(k, e) + part(both - k, both - e))
+
+    def counted(docs):
+        parts, held, size = [], [], 0
+        for d in docs:
+            held.append(_codes(rows[d], of))
+            size += len(held[-1])
+            if size > 1 << 21 or d == docs[-1]:
+                parts.append(np.unique(np.concatenate(held), return_counts=True))
+                held, size = [], 0
+                if len(parts) > 2:
+                    parts = [_summed(parts)]
+        return _summed(parts) if parts else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+    # pairs that stand out between the toxic documents and as many clean ones
+    few = min(len(toxic), len(clean))
+    (t_codes, t), (c_codes, c) = counted(toxic[:few]), counted(clean[:few])
+    codes = np.union1d(t_codes[t >= PAIR_LEAST], c_codes[c >= PAIR_LEAST])
+    tested = max(len(codes), 1)
+
+    def of_codes(known, count):
+        at = np.minimum(np.searchsorted(known, codes), max(len(known) - 1, 0))
+        return np.where(known[at] == codes, count[at], 0.0) if len(known) else np.zeros(len(codes))
+
+    t, c = of_codes(t_codes, t), of_codes(c_codes, c)
+    codes = codes[evidence(codes, t, t + c, 0.5) >= FIRST_EVIDENCE]
+    if not len(codes):
+        return out
+    # those are counted in all documents
+    named = np.zeros(of, bool)
+    named[codes // of] = named[codes % of] = True
+    slot = lambda c: ((c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
+    perhaps = np.zeros(1 << 24, bool)
+    perhaps[slot(codes)] = True
+    both, both_pos = np.zeros(len(codes)), np.zeros(len(codes))
+    for d, row in enumerate(rows):
+        c = _codes(row[named[row]], of)
+        c = c[perhaps[slot(c)]]
+        at = np.searchsorted(codes, c)
+        at = at[codes[np.minimum(at, len(codes) - 1)] == c]
+        both[at] += 1
+        both_pos[at] += y[d]
+    strong = codes[evidence(codes, both_pos, both, share) >= 2 * math.log(tested / PAIR_CHANCE)]
+    out[strong // of] = out[strong % of] = True
+    return out
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return codes, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+
 def fit(labels: list[int], terms: list[np.ndarray]) -> Machine:
     """Mini-batch training on a bounded sample."""
     y = np.asarray(labels, float)
@@ -85,17 +167,26 @@ def fit(labels: list[int], terms: list[np.ndarray]) -> Machine:
     pos_seen, share = np.bincount(where, y[row], len(ids)), pos / n
     expected = seen * share
     surprise = (pos_seen - expected) / np.sqrt(np.maximum(expected * (1 - share), 0.25))
-    often = (seen >= 3) & (np.abs(surprise) >= SURPRISE)
+    known = np.flatnonzero((seen >= WORD_LEAST) & (ids % 2 == 0))  # whole words
+    number = np.full(len(ids), -1)
+    number[known] = np.arange(len(known))
+    ends = np.cumsum(size)
+    rows = [number[where[e - k : e]] for k, e in zip(size, ends)]
+    rows = [r for r in (np.sort(r[r >= 0]) for r in rows)]
+    rows = [r if len(r) <= PAIR_WORDS else r[:0] for r in rows]
+    paired = np.zeros(len(ids), bool)
+    paired[known] = pair_terms(rows, y, seen[known].astype(float), pos_seen[known])
+    often = (seen >= 3) & (np.abs(surprise) >= SURPRISE) | paired
     if not often.any():
         return empty
     renumber = np.cumsum(often) - 1
     keep = often[where]
-    col, row, ids = renumber[where[keep]], row[keep], ids[often]
+    col, row, ids, paired = renumber[where[keep]], row[keep], ids[often], paired[often]
     start = np.searchsorted(row, np.arange(n + 1))
     rng, d = np.random.default_rng(SEED), len(ids)
-    weight = np.where(y > 0, min(10.0, (n - pos) / pos), 1.0)
+    weight = np.where(y > 0, max(1.0, min(10.0, math.sqrt((n - pos) / pos))), 1.0)
     z, sq, w = np.zeros(d), np.zeros(d), np.zeros(d)
-    v, vsq = rng.normal(0, 0.1, (d, FACTORS)), np.ones((d, FACTORS))
+    v, vsq = rng.normal(0, 0.05, (d, FACTORS)), np.ones((d, FACTORS))
     bsq, rate, l1, l2 = 1.0, 0.3, 0.3, 0.1
     for _ in range(EPOCHS):
         order = rng.permutation(n)
@@ -104,12 +195,10 @@ def fit(labels: list[int], terms: list[np.ndarray]) -> Machine:
             cols = [col[start[i] : start[i + 1]] for i in batch]
             at = np.concatenate(cols)
             part = np.repeat(np.arange(len(batch)), [len(c) for c in cols])
-            on = w[at] != 0
-            a, p = at[on], part[on]
             total = np.zeros((len(batch), FACTORS))
-            np.add.at(total, p, v[a])
-            squares = np.bincount(p, (v[a] ** 2).sum(1), len(batch))
-            logit = bias + np.bincount(p, w[a], len(batch)) + 0.5 * ((total**2).sum(1) - squares)
+            np.add.at(total, part, v[at])
+            squares = np.bincount(part, (v[at] ** 2).sum(1), len(batch))
+            logit = bias + np.bincount(part, w[at], len(batch)) + 0.5 * ((total**2).sum(1) - squares)
             g = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[batch]) * weight[batch]
             grad = np.bincount(at, g[part], d) if d < 4 * len(at) else None
             if grad is None:
@@ -121,14 +210,14 @@ def fit(labels: list[int], terms: list[np.ndarray]) -> Machine:
             new = sq[u] + gu * gu
             z[u] += gu - (np.sqrt(new) - np.sqrt(sq[u])) / rate * w[u]
             sq[u] = new
-            if len(a):
-                gv = g[p][:, None] * (total[p] - v[a]) + 1e-3 * v[a]
-                np.add.at(vsq, a, gv * gv)
-                np.add.at(v, a, -0.1 * gv / np.sqrt(vsq[a]))
+            if len(at):
+                gv = g[part][:, None] * (total[part] - v[at]) + 1e-3 * v[at]
+                np.add.at(vsq, at, gv * gv)
+                np.add.at(v, at, -0.1 * gv / np.sqrt(vsq[at]))
             w[u] = np.where(np.abs(z[u]) <= l1, 0.0, -(z[u] - np.sign(z[u]) * l1) / ((1 + np.sqrt(sq[u])) / rate + l2))
             bsq += float(g.sum()) ** 2
             bias -= 0.1 * float(g.sum()) / math.sqrt(bsq)
-    kept = w != 0
+    kept = (w != 0) | paired | ((v**2).sum(1) > 0.25)
     return Machine(bias, ids[kept], w[kept], v[kept])
 
 
@@ -140,20 +229,21 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         .groupBy(F.col(key).alias("_key")).agg(F.max(F.col(label).cast("int")).alias("_y"))
         .orderBy(F.xxhash64("_key"), "_key").limit(MAX_ROWS)
     )
-    sample = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")  # at most MAX_ROWS rows
+    sample = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_key")  # at most MAX_ROWS ids
 
     def run(batches):
         for b in batches:
             ids = [np.unique(np.fromiter(chain.from_iterable(map(term_ids, words(t))), np.int32)).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["y", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ids, pa.binary())], names=["y", "place", "ids"])
 
     y, terms, total = [], [], 0
-    for r in sample.select("_y", "_text").mapInArrow(run, "y int, ids binary").toLocalIterator():
-        y.append(r["y"])
-        terms.append(np.frombuffer(bytes(r["ids"]), np.int32))
-        total += len(terms[-1])
+    found = sample.select("_y", "_text", F.xxhash64("_key").alias("_place")).mapInArrow(run, "y int, place long, ids binary")
+    for r in found.orderBy("place", "ids").toLocalIterator():
+        total += len(r["ids"]) // 4
         if total > MAX_TERMS:
             break
+        y.append(r["y"])
+        terms.append(np.frombuffer(bytes(r["ids"]), np.int32))
     return fit(y, terms)
 
 

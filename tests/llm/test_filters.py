@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 import re
 import zlib
 
@@ -31,6 +32,33 @@ def test_toxicity_pairs(spark, make):
     assert s["alpha beta x"] == 1 and s["x y"] == 0 and s["alpha x"] == 0 and s["beta x"] == 0
 
 
+def test_toxicity_of_words_neutral_alone(spark, make):
+    """Two words of the base rate each, toxic together; and two words of which exactly one makes a text toxic."""
+    rng = random.Random(5)
+    rows, y = [], []
+    for i in range(12_000):
+        a, b = rng.random() < 0.03, rng.random() < 0.03
+        rows.append((i, " ".join(["plain"] + ["alpha"] * a + ["beta"] * b + [f"w{rng.randint(0, 300)}" for _ in range(6)])))
+        y.append(int(rng.random() < 0.1 or (a and b)))
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
+    probe = [(1, "plain alpha beta"), (2, "plain alpha"), (3, "plain beta"), (4, "plain")]
+    s = {r.doc_id: r.score for r in toxicity.score(make(probe), toxicity.train(make(rows), labels)).collect()}
+    assert s[1] >= 0.5 and max(s[2], s[3], s[4]) < 0.4
+    rows = [(i, " ".join(["plain"] + ["alpha"] * (i & 1) + ["beta"] * (i >> 1 & 1) + [f"w{rng.randint(0, 300)}" for _ in range(6)])) for i in range(2000)]
+    labels = spark.createDataFrame([(i, (i & 1) ^ (i >> 1 & 1)) for i, _ in rows], "doc_id long, toxic int")
+    s = {r.doc_id: r.predicted for r in toxicity.score(make(probe), toxicity.train(make(rows), labels)).collect()}
+    assert s == {1: 0, 2: 1, 3: 1, 4: 0}
+
+
+def test_toxicity_held_out_accuracy(spark):
+    """On labels that were not learned from."""
+    base = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    rows = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, labels)).join(labels, "doc_id").where(toxicity.held_out()).select("toxic", "predicted").collect()
+    hit, toxic, said = sum(r.toxic and r.predicted for r in rows), sum(r.toxic for r in rows), sum(r.predicted for r in rows)
+    assert hit >= 0.75 * toxic and hit >= 0.9 * said, (hit, toxic, said)
+
+
 def test_toxicity_odd_rows(spark, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     rows = toxicity.score(odd, toxicity.train(odd, none)).collect()

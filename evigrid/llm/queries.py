@@ -57,7 +57,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: What a shard may hold, in bytes of text.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 512 << 10
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

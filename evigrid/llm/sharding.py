@@ -7,11 +7,16 @@ anything moves, so a level costs one aggregation with partial sums over the rows
 whose bucket is still open, and levels are taken ``STRIDE`` bits at a time.
 
 A bucket that cannot split, because its rows share one hash (one row over the
-limit, or an id repeated), gets overflow pages: rows in order of size and
-text digest, closed at the limit; a single row over the limit has a page alone.
+limit, or an id repeated), gets overflow pages: its rows are dealt to strands of about
+``STRAND_PAGES`` pages each, so a hot id is no task of its own, and a strand closes
+a page at the limit; a single row over the limit has a page alone.
+
+``write`` sends each document once to its shard: it meets the directory by the
+bits of its hash, and only rows on overflow pages are stored and numbered before.
 
 Results for odd input: null keys hash like an empty text; null texts have 0
-bytes; an empty table gives no shards.
+bytes; very long texts count whole; repeated rows each have their place; an empty table
+gives no shards; other columns are written whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from evigrid.session import stored
 
-BITS, STRIDE = 60, 10
+BITS, STRIDE, STRAND_PAGES = 60, 10, 64
 
 
 def key_hash(key: str) -> Column:
@@ -32,19 +37,13 @@ def _prefix(depth) -> Column:
     return F.expr(f"shiftright(hash, {BITS} - ({depth}))")
 
 
-def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, bytes, depth, bucket (the prefix as a number), page, shard_bytes of each row."""
-    rows = stored(docs.select(F.lit(None).cast("long").alias("row"), F.col(key).alias("key"), *_measures(key, text)))
-    return _placed(rows, limit).drop("row")
-
-
-def _measures(key: str, text: str) -> tuple[Column, ...]:
-    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), key_hash(key).alias("hash"), F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(-1)).alias("tie")
+def _measures(key: str, text: str) -> tuple[Column, Column]:
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), key_hash(key).alias("hash")
 
 
-def _placed(rows: DataFrame, limit: int) -> DataFrame:
-    """(row, key, bytes, hash, tie) -> row, key, bytes, depth, bucket, page, shard_bytes; one row out for each row in."""
-    done, open_rows, top = None, rows, 0
+def directory(rows: DataFrame, limit: int) -> tuple[list[tuple[int, DataFrame]], DataFrame]:
+    """From (hash, bytes): for each stride its last bit and (fine, depth, bucket, shard_bytes), and (hash, total) of what cannot split."""
+    levels, open_rows, top = [], rows.select("hash", "bytes"), 0
     while top < BITS:
         low, top = top, min(BITS, top + STRIDE)
         # one sum for the finest prefixes of this stride, the coarser ones from those
@@ -53,35 +52,63 @@ def _placed(rows: DataFrame, limit: int) -> DataFrame:
         bucket = F.expr(f"shiftright(fine, {top} - depth)")
         sums = each.groupBy("depth", bucket.alias("bucket")).agg(F.sum("bytes").alias("shard_bytes"))
         # a bucket is a shard at the least depth at which it fits
-        fit = each.select("fine", "depth", bucket.alias("bucket")).join(sums.where(F.col("shard_bytes") <= limit), ["depth", "bucket"]).groupBy("fine").agg(F.min(F.struct("depth", "bucket", "shard_bytes")).alias("s"))
-        directory = stored(fit.select("fine", "s.*"))
-        placed = open_rows.withColumn("fine", _prefix(top)).join(directory, "fine").select("row", "key", "bytes", "hash", "tie", "depth", "bucket", "shard_bytes")
-        done = placed if done is None else done.unionByName(placed)
-        open_rows = stored(open_rows.join(directory, _prefix(top) == directory["fine"], "left_anti"))
-        if open_rows.isEmpty():
-            break
+        fit = each.select("fine", "depth", bucket.alias("bucket")).join(sums.where(F.col("shard_bytes") <= limit), ["depth", "bucket"])
+        level = stored(fit.groupBy("fine").agg(F.min(F.struct("depth", "bucket", "shard_bytes")).alias("s")).select("fine", "s.*"))
+        levels.append((top, level))
+        left = fine.join(level, "fine", "left_anti").select("fine")
+        if left.isEmpty():
+            return levels, rows.where("false").select("hash", F.col("bytes").alias("total"))
+        open_rows = open_rows.join(left, _prefix(top) == left["fine"], "left_semi")
+    return levels, stored(open_rows.groupBy("hash").agg(F.sum("bytes").alias("total")))
+
+
+def _placed(rows: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
+    """Rows with a hash, and the shard of each (null where its rows cannot split): depth, bucket, shard_bytes."""
+    out, names = rows, ("depth", "bucket", "shard_bytes")
+    for top, level in levels:
+        found = level.select(F.col("fine").alias(f"_fine{top}"), *(F.col(c).alias(f"_{c}{top}") for c in names))
+        out = out.join(found, _prefix(top) == F.col(f"_fine{top}"), "left")
+    return out.select(*rows.columns, *(F.coalesce(*(F.col(f"_{c}{top}") for top, _ in levels)).alias(f"_{c}") for c in names))
+
+
+def _pages(rows: DataFrame, total: DataFrame, limit: int) -> DataFrame:
+    """(row, hash, bytes) of rows that cannot split -> page and the bytes on it as well."""
+    strands = F.ceil(F.col("total") / (limit * STRAND_PAGES)).cast("int")
+    dealt = rows.join(total, "hash").withColumn("strand", F.pmod(F.xxhash64("row"), F.greatest(strands, F.lit(1))).cast("long"))
     small = F.col("bytes") * 2 <= limit  # pages of small rows close past half the limit; a larger row is a page alone
-    order = Window.partitionBy("hash", small).orderBy("bytes", "tie")
+    order = Window.partitionBy("hash", "strand", small).orderBy("bytes", "row")
     before = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")
     page = F.when(small, 2 * F.floor(before / (limit / 2))).otherwise(2 * F.row_number().over(order) - 1).cast("long")
-    paged = open_rows.withColumn("page", page).withColumn("depth", F.lit(BITS)).withColumn("bucket", F.col("hash")).withColumn("shard_bytes", F.sum("bytes").over(Window.partitionBy("hash", "page")))
-    return done.withColumn("page", F.lit(0).cast("long")).unionByName(paged).select("row", "key", "bytes", F.col("depth").cast("int").alias("depth"), "bucket", "page", "shard_bytes")
+    paged = stored(dealt.select("row", "hash", "bytes", (F.col("strand") * (1 << 32) + page).alias("page")))
+    return paged.join(paged.groupBy("hash", "page").agg(F.sum("bytes").alias("shard_bytes")), ["hash", "page"])
+
+
+def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, bytes, depth, bucket (the prefix as a number), page, shard_bytes of each row."""
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), *_measures(key, text)))
+    levels, total = directory(rows, limit)
+    placed = _placed(rows, levels)
+    done = placed.where("_bucket is not null").select("key", "bytes", F.col("_depth").cast("int").alias("depth"), F.col("_bucket").alias("bucket"), F.lit(0).cast("long").alias("page"), F.col("_shard_bytes").alias("shard_bytes"))
+    if total.isEmpty():
+        return done
+    paged = _pages(rows.join(total.select("hash"), "hash", "left_semi").select("row", "hash", "bytes"), total, limit).join(rows.select("row", "key"), "row")
+    return done.unionByName(paged.select("key", "bytes", F.lit(BITS).alias("depth"), F.col("hash").alias("bucket"), "page", "shard_bytes"))
 
 
 def write(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> None:
-    """Write ``docs`` as one folder a shard; each row takes its own page with it.
+    """Write ``docs`` as one folder a shard.
 
-    Rows are numbered once in a stored copy and meet their shard by that number, so
-    rows that repeat a key stay on the pages that ``assign`` gives them.  They reach
-    their shard by one exchange on it; a shard is at most ``limit`` bytes of text, or
-    one row over that, so a task holds no more than a few shards.
+    A row reaches its shard by one exchange; a shard is at most ``limit`` bytes of text,
+    or one row over that, so a task holds no more than a few shards.
     """
-    columns = docs.columns
-    body = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(c) for c in columns)).alias("_doc")))
-    rows = body.select("row", F.col("_doc")[key].alias("_key"), F.col("_doc")[text].alias("_text"))
-    where = _placed(stored(rows.select("row", F.col("_key").alias("key"), *_measures("_key", "_text"))), limit)
-    shard = F.concat_ws("-", F.lit("s"), F.col("depth").cast("string"), F.col("bucket").cast("string"), F.col("page").cast("string")).alias("_shard")
-    placed = body.join(where.select("row", shard), "row").select("_doc", "_shard")
+    body = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_doc"), *_measures(key, text))
+    levels, total = directory(stored(docs.select(*_measures(key, text))), limit)
+    shard = lambda *parts: F.concat_ws("-", F.lit("s"), *(F.col(p).cast("string") if isinstance(p, str) else p for p in parts)).alias("_shard")
+    placed = _placed(body, levels).where("_bucket is not null").select("_doc", shard("_depth", "_bucket", F.lit("0")))
+    if not total.isEmpty():  # rows with one hash: numbered in a stored copy, paged by narrow rows
+        over = stored(body.join(total.select("hash"), "hash", "left_semi").select(F.monotonically_increasing_id().alias("row"), "hash", "bytes", "_doc"))
+        paged = _pages(over.select("row", "hash", "bytes"), total, limit)
+        placed = placed.unionByName(over.select("row", "_doc").join(paged, "row").select("_doc", shard(F.lit(str(BITS)), "hash", "page")))
     placed.repartition(F.col("_shard")).write.partitionBy("_shard").parquet(path)
 
 

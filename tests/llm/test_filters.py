@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from evigrid.llm import kneser_ney, pii, quality_rules, sharding, toxicity
@@ -153,6 +154,69 @@ def test_quality_outliers(make):
     assert quality_rules.verdicts(make([])).count() == 0
 
 
+def brute_distances(x):
+    """Minimum covariance determinant of one group by concentration steps, with floors on what is left of each variance."""
+    q = lambda v, share: np.quantile(np.floor(np.abs(v) * 1000 + 0.5) / 1000 * np.sign(v), share, axis=0)
+
+    def factor(c):
+        low = np.zeros((5, 5))
+        for i in range(5):
+            for j in range(i):
+                low[i, j] = (c[i, j] - low[i, :j] @ low[j, :j]) / low[j, j]
+            low[i, i] = max(math.sqrt(max(c[i, i] - low[i, :i] @ low[i, :i], 0)), quality_rules.FLOORS[i])
+        return low
+
+    d2 = lambda m, low: (np.linalg.solve(low, (x - m).T) ** 2).sum(0)
+    m = q(x, 0.5)
+    ends = []
+    for m, c in ((m, np.diag((1.4826 * q(np.abs(x - m), 0.5)) ** 2)), (x.mean(0), np.cov(x.T, bias=True))):
+        low = factor(c)
+        for _ in range(quality_rules.STEPS):
+            far = np.floor(np.log1p(d2(m, low)) * 1000 + 0.5) / 1000
+            near = x[far <= np.quantile(far, quality_rules.CORE)]
+            m, low = near.mean(0), factor(np.cov(near.T, bias=True))
+        ends.append((np.log(np.diag(low)).sum(), m, low))
+    _, m, low = min(ends, key=lambda e: e[0])
+    return d2(m, low) / quality_rules.CONSISTENT
+
+
+def test_quality_verdicts_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        lang, source = ("en", "big") if i % 2 else (("de", "mid") if i % 8 else (None, None))
+        w = [f"w{rng.randint(0, 900)}" + "x" * rng.randint(0, 4) for _ in range(rng.randint(12, 300))]
+        w = [x + "#" * (i % 50 == 3) + "$" * (i % 50 == 4) for x in w]
+        text = " ".join(w[: len(w) // 2]) + ("\nsame line here" * (30 if i % 50 == 5 else rng.randint(0, 1))) + "\n" + " ".join(w)[: None if i % 50 == 6 else 0]
+        rows.append((i, text, lang, source))
+    got = {r.doc_id: r for r in quality_rules.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    groups = collections.defaultdict(list)
+    for i, _, lang, source in rows:
+        if not got[i].base_failed:
+            groups[lang, source].append(i)
+    assert [len(g) >= quality_rules.LEAST for g in groups.values()].count(True) == 2
+    for g in groups.values():
+        if len(g) < quality_rules.LEAST:
+            assert all(got[i].kept and got[i].distance is None for i in g)
+            continue
+        rate = lambda n, r: math.sqrt(n / (r.n_words + 20.0))
+        x = np.array([[math.log1p(r.n_words), (r.word_chars + 110) / (r.n_words + 20.0), rate(r.n_symbols, r), rate(r.n_dup_lines, r), rate(r.n_repeat_words, r)] for r in map(got.get, g)])
+        for i, d in zip(g, brute_distances(x)):
+            assert abs(got[i].distance - d) < 1e-3 * (1 + d) and (abs(d - quality_rules.CUTOFF) < 0.1 or got[i].kept == (d <= quality_rules.CUTOFF))
+    assert sum(not r.kept and not r.base_failed for r in got.values()) >= 8
+
+
+def test_one_moderate_outlier_in_each_statistic(make):
+    clean = [(i, " ".join(f"word{(i * 7 + k * 13) % 97}" for k in range(60 + i % 40))) for i in range(200)]
+    words = clean[0][1].split()
+    odd = [
+        (900, " ".join(x + "###" if k % 5 == 0 else x for k, x in enumerate(words))), (901, "\n".join(["three short words"] * 4 + [" ".join(words[:40])])),
+        (902, " ".join(x * 3 for x in words)), (903, "\n".join(" ".join(f"z{i}q{k}" for k in range(80)) for i in range(60))),
+    ]
+    kept = {r.doc_id: r.kept for r in quality_rules.verdicts(make(clean + odd)).collect()}
+    assert all(kept[i] for i, _ in clean) and not any(kept[i] for i, _ in odd)
+
+
 def test_surrogates(make):
     rows = [(1, "Mr. Smith met Mrs Jones. SHTI.06@MAIL5.EXAMPLE.COM or shti.06@mail5.example.com, 4111 1111 1111 1111"), (2, "card 4111111111111111 from 10.20.30.40. v4.0 in 2024, 3."), (3, None), (4, ""), (None, "+1 (017) 555-7713 +10175557713"), (5, "clean"), (5, "clean"), (6, "token = \"9233A8ECF7C5B09FE5949719B6B82BC439E9329B\"!!")]
     got = collections.defaultdict(list)
@@ -204,6 +268,17 @@ def test_shards_written(spark, make):
     assert sum(r.rows for r in out) == 101 and all(r.bytes <= 300 for r in out)
 
 
+def test_hot_key_in_strands(make, monkeypatch):
+    """A hot id is dealt to several strands; every page stays under the limit and each row has its place."""
+    monkeypatch.setattr(sharding, "STRAND_PAGES", 4)
+    rows = sharding.assign(make([(7, "x" * (i % 90)) for i in range(900)] + [(None, "same")] * 400), 200).collect()
+    shard = collections.Counter()
+    for r in rows:
+        shard[r.depth, r.bucket, r.page] += r.bytes
+    assert len(rows) == 1300 and max(shard.values()) <= 200 and all(r.shard_bytes == shard[r.depth, r.bucket, r.page] for r in rows)
+    assert len({r.page >> 32 for r in rows}) > 3
+
+
 def test_shards_written_of_a_repeated_key(spark, make):
     """A third of the rows share an id, some have none: their pages stay under the limit, as assigned."""
     from evigrid.session import shared_dir

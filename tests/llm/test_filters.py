@@ -236,6 +236,40 @@ def test_surrogates(make):
     assert re.fullmatch(r"token = \"[0-9A-F]{40}\"!!", got[6][0].text) and "9233A8" not in got[6][0].text
 
 
+def test_surrogates_of_persons(spark, make):
+    rows = [
+        (1, "Mr John Smith met Ms Anna-Maria Lopez. Smith paid. ANNA-MARIA did not; smithy work."), (2, "MRS JONES and mr jones saw Mr. J. O'Brien and Herr von der Leyen."),
+        (3, "Mr Иванов met г-жа Петрова. Иванов paid."), (4, "Dr Weber wrote. Nobody else."), (5, "Call 202 555 0143 or 0171 2345678, host 2001:db8::ff00:42:8329."), (6, "IBAN GB82 WEST 1234 5698 7654 32 or GB82WEST12345698765432"),
+        (7, "Mr Smith again, and 078-05-1120"),
+    ]
+    t = {r.doc_id: r.text for r in pii.replace(make(rows)).collect()}
+    m = re.fullmatch(r"Mr ([A-Z][a-z]+) ([A-Z][a-z]+) met Ms ([A-Z][a-z]+) ([A-Z][a-z]+)\. ([A-Z][a-z]+) paid\. ([A-Z]+) did not; smithy work\.", t[1])
+    assert m and m[2] == m[5] and m[3].upper() == m[6] and not {"John", "Smith", "Lopez"} & set(m.groups())
+    assert re.match(r"Mr (\w+) again", t[7])[1] == m[2] and "078-05-1120" not in t[7] and re.search(r"\d{3}-\d{2}-\d{4}$", t[7])
+    assert not re.search("jones|brien|leyen", t[2], re.I) and re.fullmatch(r"MRS [A-Z]+ and mr [a-z]+ saw Mr\. [A-Z]\. [A-Z]\w+ and Herr von der [A-Z][a-z]+\.", t[2])
+    k = re.fullmatch(r"Mr ([А-Я][а-я]+) met г-жа ([А-Я][а-я]+)\. ([А-Я][а-я]+) paid\.", t[3])
+    assert k and k[1] == k[3] != "Иванов" and k[2].endswith("а")
+    assert re.fullmatch(r"Dr [A-Z][a-z]+ wrote\. Nobody else\.", t[4]) and "Weber" not in t[4]
+    assert not re.search("0143|2345678|8329", t[5]) and re.fullmatch(r"Call \d{3} \d{3} \d{4} or 0\d{3} \d{7}, host [0-9a-f:]+\.", t[5])
+    a, b = re.fullmatch(r"IBAN (.*) or (.*)", t[6]).groups()
+    assert a.replace(" ", "") == b != "GB82WEST12345698765432" and int("".join(str(int(c, 36)) for c in b[4:] + b[:4])) % 97 == 1
+
+
+def test_surrogates_on_real_texts(spark, make):
+    """Whole-corpus properties: documents without finds are untouched, no found entity is left, equal entities agree everywhere."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = pii.replace(docs, count="n").join(docs.withColumnRenamed("text", "old"), "doc_id").collect()
+    assert len(rows) == docs.count() and any(r.n for r in rows)
+    mails, pairs = re.compile(r"(?<![\w.%+-])[\w.%+-]+@[\w-]+(?:\.[\w-]+)+"), {}
+    for r in rows:
+        assert (r.old == r.text) == (r.n == 0)
+        old, new = mails.findall(r.old or ""), mails.findall(r.text or "")
+        assert len(old) == len(new)
+        for x, y in zip(old, new):
+            assert x != y and pairs.setdefault(x.lower(), y.lower()) == y.lower()
+    assert len(set(pairs.values())) == len(pairs) and not set(pairs) & set(pairs.values())
+
+
 def test_surrogates_stay_distinct(make):
     rows = [(i, f"mail {chr(97 + i % 26)}@{chr(97 + i // 26)}.de") for i in range(300)]
     texts = [r.text for r in pii.replace(make(rows)).collect()]

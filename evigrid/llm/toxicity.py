@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evigrid.session import ship
 
-MAX_ROWS, MAX_TERMS, BITS, FACTORS, EPOCHS, SEED = 12_000, 8_000_000, 20, 8, 12, 7
+MAX_ROWS, MAX_TERMS, BITS, FACTORS, EPOCHS, SEED = 12_000, 6_000_000, 20, 8, 12, 7
 SURPRISE, PAIR_CHANCE, PAIR_LEAST, PAIR_WORDS, WORD_LEAST, FIRST_EVIDENCE = 4.5, 0.01, 5, 200, 20, 8.0
 #: ASCII signs part words, all other bytes belong to them.
 PARTS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -102,22 +102,24 @@ def pair_terms(rows: list[np.ndarray], y: np.ndarray, seen: np.ndarray, pos_seen
         part = lambda k, e: np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(e, 1e-9)), 0.0)
         return 2 * (part(k, e) + part(both - k, both - e))
 
+    slot = lambda c: ((c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int32)
+
     def counted(docs):
-        parts, held, size = [], [], 0
+        """Pairs in PAIR_LEAST or more of the documents: slots of hashes leave out the rest before pairs are held."""
+        slots = np.zeros(1 << 24, np.uint16)
+        for d in docs:
+            np.add.at(slots, slot(_codes(rows[d], of)), np.uint16(1))
+        parts = [np.empty(0, np.int64)]
         for d in docs:
-            held.append(_codes(rows[d], of))
-            size += len(held[-1])
-            if size > 1 << 21 or d == docs[-1]:
-                parts.append(np.unique(np.concatenate(held), return_counts=True))
-                held, size = [], 0
-                if len(parts) > 2:
-                    parts = [_summed(parts)]
-        return _summed(parts) if parts else (np.empty(0, np.int64), np.empty(0, np.int64))
+            c = _codes(rows[d], of)
+            parts.append(c[slots[slot(c)] >= PAIR_LEAST])
+        codes, n = np.unique(np.concatenate(parts), return_counts=True)
+        return codes[n >= PAIR_LEAST], n[n >= PAIR_LEAST]
 
     # pairs that stand out between the toxic documents and as many clean ones
     few = min(len(toxic), len(clean))
     (t_codes, t), (c_codes, c) = counted(toxic[:few]), counted(clean[:few])
-    codes = np.union1d(t_codes[t >= PAIR_LEAST], c_codes[c >= PAIR_LEAST])
+    codes = np.union1d(t_codes, c_codes)
     tested = max(len(codes), 1)
 
     def of_codes(known, count):
@@ -131,7 +133,6 @@ def pair_terms(rows: list[np.ndarray], y: np.ndarray, seen: np.ndarray, pos_seen
     # those are counted in all documents
     named = np.zeros(of, bool)
     named[codes // of] = named[codes % of] = True
-    slot = lambda c: ((c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
     perhaps = np.zeros(1 << 24, bool)
     perhaps[slot(codes)] = True
     both, both_pos = np.zeros(len(codes)), np.zeros(len(codes))
@@ -147,11 +148,6 @@ def pair_terms(rows: list[np.ndarray], y: np.ndarray, seen: np.ndarray, pos_seen
     return out
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-    return codes, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
-
-
 def fit(labels: list[int], terms: list[np.ndarray]) -> Machine:
     """Mini-batch training on a bounded sample."""
     y = np.asarray(labels, float)
@@ -162,13 +158,18 @@ def fit(labels: list[int], terms: list[np.ndarray]) -> Machine:
         return empty
     size = np.array([len(t) for t in terms])
     flat = np.concatenate(terms)
-    row = np.repeat(np.arange(n), size)
-    ids, where, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n, dtype=np.int32), size)
+    seen = np.bincount(flat, minlength=1 << BITS)
+    ids = np.flatnonzero(seen)
+    renumber = np.zeros(1 << BITS, np.int32)
+    renumber[ids] = np.arange(len(ids))
+    where, seen = renumber[flat], seen[ids]
+    del flat
     pos_seen, share = np.bincount(where, y[row], len(ids)), pos / n
     expected = seen * share
     surprise = (pos_seen - expected) / np.sqrt(np.maximum(expected * (1 - share), 0.25))
     known = np.flatnonzero((seen >= WORD_LEAST) & (ids % 2 == 0))  # whole words
-    number = np.full(len(ids), -1)
+    number = np.full(len(ids), -1, np.int32)
     number[known] = np.arange(len(known))
     ends = np.cumsum(size)
     rows = [number[where[e - k : e]] for k, e in zip(size, ends)]

@@ -91,7 +91,7 @@ class MergeAutomaton:
         known = self.arcs.get(key)
         if known is None:
             known = self.arcs[key] = self._unfold(state, token)
-            if len(self.arcs) > 1_000_000:
+            if len(self.arcs) > 400_000:
                 self.arcs.clear()
         return known
 
@@ -226,7 +226,7 @@ def automaton(path: str) -> tuple[MergeAutomaton, PieceTable]:
     """The automaton of a file and a bounded table of pieces already encoded, one per worker."""
     if path not in _loaded:
         a = MergeAutomaton(path)
-        _loaded[path] = (a, PieceTable(lambda text: np.array(a.tokens(text), IDS).tobytes(), tuple(a.special), 500_000))
+        _loaded[path] = (a, PieceTable(lambda text: np.array(a.tokens(text), IDS).tobytes(), tuple(a.special), 150_000))
         gc.freeze()  # what is loaded here stays, so the collector need not walk it again
     return _loaded[path]
 

@@ -13,7 +13,7 @@ import re
 import numpy as np
 
 #: Characters of text that a task encodes at once, so that equal pieces among them are looked up once.
-BUFFER = 8 << 20
+BUFFER = 4 << 20
 #: A blank before white space or at the end: the text is not cut.
 UNCUT = re.compile(r" (?=\s|\Z)")
 _SPREAD = np.random.default_rng(11).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)

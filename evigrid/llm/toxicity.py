@@ -263,7 +263,7 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", into: tuple[str
                 for x in words(t.as_py()):
                     ids = known.get(x)
                     if ids is None:
-                        if len(known) > 500_000:
+                        if len(known) > 100_000:
                             known.clear()
                         ids = known[x] = tuple(at[i] for i in term_ids(x) if i in at)
                     kept.update(ids)

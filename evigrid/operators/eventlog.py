@@ -54,12 +54,21 @@ def estimate_cost(messages: DataFrame) -> DataFrame:
     return known.withColumn("cost", F.when(none, P.FLAT_COST_USD).otherwise(cost)).drop("price_in", "price_out")
 
 
+#: Seconds of one slice of a day.
+SLICE = 60
+
+
 def cost_admission(requests: DataFrame, cap: float = P.DAILY_CAP_USD) -> DataFrame:
     """A request is blocked where the spending of its day before it has reached the cap.
 
-    A day is summed in order by one window; days are independent groups.
+    Running sums in two levels: slices of ``SLICE`` seconds are summed first, so a task
+    holds one slice of a day and an offset, never the whole day.
     """
-    day = F.to_date("ts")
-    order = Window.partitionBy("day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.round(F.coalesce(F.sum(F.greatest("cost", F.lit(0.0))).over(order), F.lit(0.0)), 6)
-    return requests.withColumn("day", day).withColumn("before", before).withColumn("admitted", F.col("before") < cap)
+    paid = F.greatest("cost", F.lit(0.0))
+    rows = requests.withColumn("day", F.to_date("ts")).withColumn("_slice", F.floor(F.unix_timestamp("ts") / SLICE).cast("long"))
+    slices = rows.groupBy("day", "_slice").agg(F.sum(paid).alias("_sum"))
+    earlier = Window.partitionBy("day").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offset = slices.select("day", "_slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_offset"))
+    order = Window.partitionBy("day", "_slice").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.round(F.col("_offset") + F.coalesce(F.sum(paid).over(order), F.lit(0.0)), 6)
+    return rows.join(offset, ["day", "_slice"]).withColumn("before", before).withColumn("admitted", F.col("before") < cap).drop("_slice", "_offset")

@@ -7,10 +7,14 @@ digits before they are ranked, and ties go to the lower id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evigrid import params as P
 from evigrid.functions.text import terms
+from evigrid.operators.vectors import sparse_vector_topk
+from evigrid.session import stored
 
 
 def postings(points: DataFrame, key: str = "point_id", text: str = "content") -> DataFrame:
@@ -18,40 +22,57 @@ def postings(points: DataFrame, key: str = "point_id", text: str = "content") ->
     return points.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def lengths(points: DataFrame, key: str = "point_id", text: str = "content") -> DataFrame:
-    return points.select(key, F.size(terms(F.col(text))).cast("long").alias("dl"))
+def _bucket() -> Column:
+    return (F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 8), 16, 10).cast("long") % P.EMBEDDING_DIMS).alias("bucket")
+
+
+def _unit_vectors(weighted: DataFrame, key: str) -> DataFrame:
+    rows = weighted.groupBy(key, "bucket").agg(F.sum(F.col("tf") * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return rows.withColumn("w", F.col("w") / norm)
 
 
-def idf_stats(points: DataFrame) -> DataFrame:
-    """(term, df, idf) over the whole collection; n is one number, attached as a constant."""
-    n = points.count()
-    df = postings(points).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.withColumn("idf", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+class Index:
+    """Stored tables of one collection that every search reads: postings, term statistics, vectors.
 
+    ``embed`` takes (texts, key, text) and gives (key, bucket, w) of unit length with bucket
+    under ``dims``; without it vectors are hashed terms weighted by the collection's idf.
+    """
 
-def sparse_weights(points: DataFrame) -> DataFrame:
-    """(point_id, term, tf, weight): saturated tf over the measured mean length."""
-    dl = lengths(points)
-    mean = dl.agg(F.avg("dl")).first()[0] or 1.0
-    k, b = P.BM25_K1, P.BM25_B
-    return postings(points).join(dl, "point_id").withColumn("weight", F.col("tf") * (k + 1) / (F.col("tf") + k * (1 - b + b * F.col("dl") / F.lit(float(mean))))).drop("dl")
+    def __init__(self, points: DataFrame, embed: Callable[[DataFrame, str, str], DataFrame] | None = None, dims: int = P.EMBEDDING_DIMS):
+        self.points, self.dims, self.embed = points, dims, embed or self._hashed
+        self.postings = stored(postings(points))
+        self.n = points.count()
+        df = F.col("df")
+        self.idf = stored(self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", "df", F.log(1 + (F.lit(float(self.n)) - df + 0.5) / (df + 0.5)).alias("idf"), _bucket()))
+        self.live = points.where("not is_quarantined").select("point_id", "project_id")
+        self._vectors = None
 
+    def _hashed(self, texts: DataFrame, key: str, text: str) -> DataFrame:
+        found = self.postings if key == "point_id" else postings(texts, key, text)
+        return _unit_vectors(found.join(self.idf.select("term", "idf", "bucket"), "term"), key)
 
-def _vector(weighted: DataFrame, key: str) -> DataFrame:
-    bucket = F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 8), 16, 10).cast("long") % P.EMBEDDING_DIMS
-    rows = weighted.groupBy(key, bucket.alias("bucket")).agg(F.sum(F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return rows.withColumn("w", F.col("w") / norm)
+    def weights(self) -> DataFrame:
+        """(point_id, term, tf, weight): saturated tf over the measured mean length."""
+        mean = (self.postings.agg(F.sum("tf")).first()[0] or 0) / max(self.n, 1) or 1.0
+        k, b, dl = P.BM25_K1, P.BM25_B, F.sum("tf").over(Window.partitionBy("point_id"))
+        return self.postings.withColumn("weight", F.col("tf") * (k + 1) / (F.col("tf") + k * (1 - b + b * dl / F.lit(float(mean)))))
 
+    def vectors(self) -> DataFrame:
+        """(point_id, bucket, w)."""
+        return self.embed(self.points, "point_id", "content")
 
-def dense_vectors(texts: DataFrame, idf: DataFrame, key: str = "point_id", text: str = "content") -> DataFrame:
-    """(key, bucket, w): hashed, weighted by the collection's idf, of unit length."""
-    return _vector(postings(texts, key, text).join(idf.select("term", "idf"), "term"), key)
+    def vector_rows(self) -> DataFrame:
+        """One row a searchable point: point_id, project_id, buckets b and weights w; written once."""
+        if self._vectors is None:
+            rows = self.vectors().join(self.live, "point_id").groupBy("point_id", "project_id").agg(F.collect_list(F.struct("bucket", "w")).alias("v"))
+            self._vectors = stored(rows.select("point_id", "project_id", F.col("v.bucket").alias("b"), F.col("v.w").alias("w")))
+        return self._vectors
 
 
-def scoped(questions: DataFrame, points: DataFrame) -> DataFrame:
-    """(qid, point_id) filter as columns to join on: live points with their project."""
-    return points.where("not is_quarantined").select("point_id", "project_id", "document_id")
+def build_index(points: DataFrame, **options) -> Index:
+    """Write the tables that searches read."""
+    return Index(points, **options)
 
 
 def _top(scores: DataFrame, n: int) -> DataFrame:
@@ -59,24 +80,25 @@ def _top(scores: DataFrame, n: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < n).withColumn("rank", F.col("rank").cast("long"))
 
 
-def _in_scope(rows: DataFrame, scope: DataFrame, live: DataFrame) -> DataFrame:
-    return rows.join(live, "point_id").join(scope, "qid").where("scope is null or scope = project_id")
+def dense_topk(questions: DataFrame, index: Index, scope: DataFrame, n: int = P.PREFETCH_DENSE) -> DataFrame:
+    """(qid, point_id, score, rank) by cosine: blocks of questions against stored vectors, scope before ranking."""
+    q = index.embed(questions.select("qid", "question"), "qid", "question")
+    asked = q.groupBy("qid").agg(F.collect_list(F.struct("bucket", "w")).alias("v")).join(scope, "qid").select("qid", "scope", F.col("v.bucket").alias("b"), F.col("v.w").alias("w"))
+    return _top(sparse_vector_topk(asked, index.vector_rows(), index.dims, n), n)
 
 
-def dense_topk(questions: DataFrame, points: DataFrame, scope: DataFrame, n: int = P.PREFETCH_DENSE) -> DataFrame:
-    """(qid, point_id, score, rank) by cosine of the hashed vectors."""
-    idf = idf_stats(points)
-    q = dense_vectors(questions.select("qid", "question"), idf, "qid", "question").withColumnRenamed("w", "wq")
-    d = dense_vectors(points, idf)
-    sums = d.join(q, "bucket").groupBy("qid", "point_id").agg(F.round(F.sum(F.col("w") * F.col("wq")), 6).alias("score"))
-    return _top(_in_scope(sums, scope, scoped(questions, points)).select("qid", "point_id", "score"), n)
+def sparse_topk(questions: DataFrame, index: Index, scope: DataFrame, n: int = P.PREFETCH_SPARSE) -> DataFrame:
+    """(qid, point_id, score, rank) by Okapi weights; only points that share a term.
 
-
-def sparse_topk(questions: DataFrame, points: DataFrame, scope: DataFrame, n: int = P.PREFETCH_SPARSE) -> DataFrame:
-    """(qid, point_id, score, rank) by Okapi weights; only points that share a term."""
-    asked = questions.select("qid", F.explode(F.array_distinct(terms(F.col("question")))).alias("term")).join(idf_stats(points).select("term", "idf"), "term")
-    sums = sparse_weights(points).join(asked, "term").groupBy("qid", "point_id").agg(F.round(F.sum(F.col("weight") * F.col("idf")), 6).alias("score"))
-    return _top(_in_scope(sums, scope, scoped(questions, points)).select("qid", "point_id", "score"), n)
+    Only postings of asked terms and searchable points are joined, those of scoped
+    questions by term and project.
+    """
+    asked = questions.select("qid", F.explode(F.array_distinct(terms(F.col("question")))).alias("term")).join(index.idf.select("term", "idf"), "term").join(scope, "qid")
+    rows = index.weights().join(asked.select("term").distinct(), "term", "left_semi").join(index.live, "point_id")
+    bound = rows.join(asked.where("scope is not null").withColumnRenamed("scope", "project_id"), ["term", "project_id"])
+    free = rows.join(asked.where("scope is null"), "term")
+    hits = bound.select("qid", "point_id", "weight", "idf").unionByName(free.select("qid", "point_id", "weight", "idf"))
+    return _top(hits.groupBy("qid", "point_id").agg(F.round(F.sum(F.col("weight") * F.col("idf")), 6).alias("score")), n)
 
 
 def rrf_fuse(dense: DataFrame, sparse: DataFrame, k: int = P.RRF_K, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
@@ -113,6 +135,21 @@ def guardrails(hydrated: DataFrame, scope: DataFrame) -> DataFrame:
     return ok.withColumn("rank", (F.row_number().over(Window.partitionBy("qid").orderBy("rank")) - 1).cast("long"))
 
 
+def retrieve(questions: DataFrame, index: Index, scope: DataFrame, k: int = P.CONTEXT_TOP_K) -> DataFrame:
+    """The whole chain on a stored index: both searches, fusion, cut, quota, texts, guard-rails."""
+    fused = rrf_fuse(dense_topk(questions, index, scope), sparse_topk(questions, index, scope))
+    quota = stored(doc_quota(fused_cut(fused), index.points))
+    return guardrails(join_back(quota, index.points, k), scope)
+
+
+def rewrite_fusion(lists: DataFrame, weights: tuple[float, ...] = (P.WEIGHT_ORIGINAL, P.WEIGHT_REWRITE), k: int = P.RRF_K) -> DataFrame:
+    """(qid, variant, point_id, rank) of a question (variant 0) and its rewrites -> (qid, point_id, score, rank)."""
+    w = F.element_at(F.array(*map(F.lit, weights)), F.col("variant") + 1)
+    sums = lists.groupBy("qid", "point_id").agg(F.round(F.sum(w / (k + F.col("rank"))), 9).alias("score"))
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "point_id")
+    return sums.withColumn("rank", (F.row_number().over(order) - 1).cast("long"))
+
+
 def signals(questions: DataFrame, dense: DataFrame, fused: DataFrame, kept: DataFrame) -> DataFrame:
     """Greatest cosine before the guard-rails (0 without a candidate), fused and surviving counts."""
     top = dense.groupBy("qid").agg(F.max("score").alias("m"))
@@ -126,19 +163,23 @@ def abstain_gate(signal: DataFrame, threshold: float = P.OFFTOPIC_THRESHOLD) ->
     return signal.withColumn("abstain", (F.col("hydrated_count") == 0) | (F.col("max_cosine") < threshold))
 
 
-def contained(anchors: DataFrame, texts: DataFrame, key: str, anchor: str, text: str) -> DataFrame:
+def contained(anchors: DataFrame, texts: DataFrame, key: str, anchor: str, text: str, text_key: str) -> DataFrame:
     """Keys of anchors that are a substring of any text; both are normalised texts.
 
     A word inside an anchor stands between blanks, so it is a whole word of any
-    text that holds the anchor: the longest one is the key of an equi-join, and
-    only the pairs it leaves are compared.  Anchors under three words are compared
-    with all texts, as a broadcast of those few.
+    text that holds the anchor: the longest one is the key of an equi-join on
+    (text key, word) rows, and texts join the pairs it leaves.  Anchors under three
+    words, where there are any, are compared with all texts.
     """
     words = F.split(anchor, " ")
     inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
     longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    keyed = anchors.withColumn("_w", F.when(F.size(words) > 2, longest))
-    each = texts.select(F.col(text).alias("_t"), F.explode(F.array_distinct(F.split(text, " "))).alias("_w"))
-    long_ones = keyed.where("_w is not null").join(each, "_w").where(F.contains("_t", anchor)).select(key)
-    short = F.broadcast(keyed.where(F.col("_w").isNull() & (F.col(anchor) != "")).select(key, anchor))
-    return long_ones.unionByName(texts.select(F.col(text).alias("_t")).join(short, F.contains("_t", anchor)).select(key)).distinct()
+    keyed = stored(anchors.select(key, anchor, F.when(F.size(words) > 2, longest).alias("_w")))
+    each = texts.select(F.col(text_key).alias("_id"), F.explode(F.split(text, " ")).alias("_w"))
+    asked = keyed.where("_w is not null")
+    pairs = each.join(asked.select("_w").distinct(), "_w", "left_semi").distinct().join(asked, "_w").select("_id", key, anchor)
+    found = texts.select(F.col(text_key).alias("_id"), F.col(text).alias("_t")).join(pairs, "_id").where(F.contains("_t", anchor)).select(key)
+    short = keyed.where(F.col("_w").isNull() & (F.col(anchor) != "")).select(key, anchor)
+    if not short.isEmpty():  # no word to join on
+        found = found.unionByName(texts.select(F.col(text).alias("_t")).join(short, F.contains("_t", anchor)).select(key))
+    return found.distinct()

@@ -72,7 +72,7 @@ def parse_pipe_tables(tables: DataFrame, key: str = "table_id", text: str = "mar
     return t.select(key, "headers", F.transform("_sep", side).alias("align"), F.transform("_body", row).alias("rows"))
 
 
-#: A cell that reads as a number.
+#: Fixed value: the pattern of a cell that reads as a number.
 NUMERIC = r"^[-+]?[$€£]?\s*\d[\d,]*(\.\d+)?\s*%?$"
 
 

@@ -1,53 +1,112 @@
-"""Nearest stored vectors of a stated question set."""
+"""Best products of stored vectors with a stated question set, in blocks."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from evigrid.session import ship
 
-#: Questions of one turn: their matrix is what a task holds besides its batch.
+#: Questions of one turn: their matrix and n candidates for each are what a task holds besides its batch.
 BLOCK = 4096
+FOUND = "qid long, point_id long, score double"
 
 
-def exact_topk(questions: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """(qid, point_id, score, rank) by cosine, the question itself left out.
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+
+
+def _leading(q: np.ndarray, ids: np.ndarray, score: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n best of each question, ties to the lower id."""
+    order = np.lexsort((ids, -score, q))
+    q = q[order]
+    first = np.searchsorted(q, q, "left")
+    return order[np.arange(len(q)) - first < n]
 
-    Questions go out in blocks of ``BLOCK`` vectors; a batch of points is one matrix
-    product, and only its k best per question leave the task, so the exchange holds k
-    rows per question and batch, whatever the number of points.
+
+def _best(points: DataFrame, matrix: Callable, qids: np.ndarray, q: np.ndarray, scopes: list, n: int, positive: bool) -> DataFrame:
+    """Candidates (qid, point_id, score) of one block: each task keeps the n best of each question over all its batches.
+
+    points: point_id, project_id and the columns that ``matrix`` makes vectors of.
     """
-    ship(points.sparkSession)
-    block, parts = [], []
+    bound = [(s, np.array([i for i, x in enumerate(scopes) if x == s])) for s in sorted({x for x in scopes if x is not None})]
 
-    def best(rows: list) -> DataFrame:
-        ids = np.array([r["qid"] for r in rows])
-        q = np.array([r["embedding"] for r in rows], float)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)
-
-        def run(batches):
-            for b in batches:
-                if not len(b):
-                    continue
-                p = np.stack(b["embedding"].to_numpy()).astype(float)
-                own = b["point_id"].to_numpy()
-                s = np.round(q @ (p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-30)).T, 6)
-                for i, qid in enumerate(ids):
-                    order = np.lexsort((own, -s[i]))[: k + 1]
-                    yield pd.DataFrame({"qid": qid, "point_id": own[order], "score": s[i][order]})
-
-        return points.select("point_id", "embedding").mapInPandas(run, "qid long, point_id long, score double")
+    def run(batches):
+        held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, project = b.column(0).to_numpy(zero_copy_only=False), np.array(b.column(1).to_pylist(), object)
+            raw = matrix(b) @ q.T
+            score = np.round(raw, 6)
+            off = raw <= 0 if positive else np.zeros(raw.shape, bool)
+            for s, at in bound:
+                off[np.ix_(project != s, at)] = True
+            score[off] = -np.inf
+            least = np.partition(score, len(ids) - n, axis=0)[len(ids) - n] if len(ids) > n else np.full(len(qids), -np.inf)
+            row, col = np.nonzero((score >= least) & ~off)
+            new = (np.concatenate([held[0], col]), np.concatenate([held[1], ids[row]]), np.concatenate([held[2], score[row, col]]))
+            keep = _leading(*new, n)
+            held = tuple(x[keep] for x in new)
+        yield pa.RecordBatch.from_arrays([pa.array(qids[held[0]]), pa.array(held[1]), pa.array(held[2])], names=["qid", "point_id", "score"])
+
+    return points.mapInArrow(run, FOUND)
 
+
+def _in_blocks(questions: DataFrame, best: Callable[[list], DataFrame]) -> DataFrame:
+    """The union over blocks of the stated questions; one block passes through the driver at a time."""
+    block, parts = [], []
     for r in questions.toLocalIterator():
         block.append(r)
         if len(block) == BLOCK:
             parts.append(best(block))
             block = []
-    parts.append(best(block) if block or not parts else None)
+    if block or not parts:
+        parts.append(best(block))
     out = parts[0]
     for p in parts[1:]:
-        out = out if p is None else out.unionByName(p)
+        out = out.unionByName(p)
+    return out
+
+
+def exact_topk(questions: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """(qid, point_id, score, rank) by cosine of (point_id, embedding), the question itself left out."""
+    ship(points.sparkSession)
+    matrix = lambda b: _unit(np.stack(b.column(2).to_numpy(zero_copy_only=False)).astype(float))
+
+    def best(rows: list) -> DataFrame:
+        q = _unit(np.array([r["embedding"] for r in rows], float).reshape(len(rows), -1))
+        named = points.select("point_id", F.lit(None).cast("string").alias("project_id"), "embedding")
+        return _best(named if rows else named.limit(0), matrix, np.array([r["qid"] for r in rows], np.int64), q, [None] * len(rows), k + 1, False)
+
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "point_id")
-    return out.where("qid <> point_id").withColumn("rank", (F.row_number().over(order) - 1).cast("long")).where(F.col("rank") < k)
+    found = _in_blocks(questions, best).where("qid <> point_id")
+    return found.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).where(F.col("rank") < k)
+
+
+def sparse_vector_topk(questions: DataFrame, points: DataFrame, dims: int, n: int) -> DataFrame:
+    """Candidates by product of (bucket, w) vectors held as arrays b and w.
+
+    questions: qid, scope (one project or null), b, w; points: point_id, project_id, b, w.
+    Only pairs that share a bucket count.
+    """
+    ship(points.sparkSession)
+
+    def dense(rows: int, place: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+        m = np.zeros((rows, dims))
+        m[place, b] = w
+        return m
+
+    def matrix(batch) -> np.ndarray:
+        size = pa.compute.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+        return dense(batch.num_rows, np.repeat(np.arange(batch.num_rows), size), batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy())
+
+    def best(rows: list) -> DataFrame:
+        place = np.repeat(np.arange(len(rows)), [len(r["b"]) for r in rows]).astype(int)
+        q = dense(len(rows), place, np.array([x for r in rows for x in r["b"]], int), np.array([x for r in rows for x in r["w"]], float))
+        return _best(points.select("point_id", "project_id", "b", "w"), matrix, np.array([r["qid"] for r in rows], np.int64), q, [r["scope"] for r in rows], n, True)
+
+    return _in_blocks(questions.select("qid", "scope", "b", "w"), best)

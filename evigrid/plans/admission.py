@@ -77,9 +77,9 @@ def ingestion_job_log(spark, sf_dir):
     return log.groupBy("document_id").agg(F.coalesce(F.sum(F.get_json_object("usage", "$.k").cast("long")), F.lit(0)).alias("used"), F.count(F.lit(1)).alias("attempts"))
 
 
-@query(with_sql("docs points", "SELECT project_id, count(*) AS n FROM points GROUP BY project_id"))
+@query(with_sql("docs points", "SELECT project_id, point_id AS document_id, count(*) AS n FROM points GROUP BY ALL"))
 def count_by_document(spark, sf_dir):
-    return X.points(spark, sf_dir).groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
+    return X.points(spark, sf_dir).groupBy("project_id", F.col("point_id").alias("document_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(with_sql("figures", "SELECT coalesce(f.document_id, t.document_id) AS document_id, coalesce(figures, 0) AS figures, coalesce(tables, 0) AS tables FROM (SELECT document_id, count(*) AS figures FROM figures WHERE has_image GROUP BY 1) f FULL JOIN (SELECT l_orderkey % 300 AS document_id, count(DISTINCT l_orderkey) AS tables FROM lineitem GROUP BY 1) t ON f.document_id = t.document_id"))

@@ -88,13 +88,13 @@ def pending_citations(spark, sf_dir):
 _ESC = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
-@query(sql("SELECT qid, string_agg(d, chr(10) ORDER BY first) AS block FROM (SELECT qid, project_id, min(rank) AS first, '<document title=\"' || project_id || '\">' || chr(10) || string_agg('<chunk id=\"' || marker || '\">' || " + _ESC.format(_TRIM.format("content")) + " || '</chunk>', chr(10) ORDER BY rank) || chr(10) || '</document>' AS d FROM anc GROUP BY qid, project_id) GROUP BY qid"))
+@query(sql("SELECT qid, string_agg(d, chr(10) ORDER BY first) AS block FROM (SELECT qid, point_id, min(rank) AS first, '<document title=\"' || any_value(title) || '\">' || chr(10) || string_agg('<chunk id=\"' || marker || '\">' || " + _ESC.format(_TRIM.format("content")) + " || '</chunk>', chr(10) ORDER BY rank) || chr(10) || '</document>' AS d FROM anc GROUP BY qid, point_id) GROUP BY qid"))
 def context_block(spark, sf_dir):
-    """Chunks grouped by source in order of first appearance; at most the context's few rows per question."""
+    """Chunks grouped by document in order of first appearance; at most the context's few rows per question."""
     chunk = F.concat(F.lit('<chunk id="'), "marker", F.lit('">'), T.escape(T.trim(F.col("content"))), F.lit("</chunk>"))
     join = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["t"]), "\n")
-    d = Answered(spark, sf_dir).anchors().groupBy("qid", "project_id").agg(F.min("rank").alias("first"), join(F.struct("rank", chunk.alias("t"))).alias("body"))
-    whole = F.concat(F.lit('<document title="'), "project_id", F.lit('">\n'), "body", F.lit("\n</document>"))
+    d = Answered(spark, sf_dir).anchors().groupBy("qid", "point_id", "title").agg(F.min("rank").alias("first"), join(F.struct("rank", chunk.alias("t"))).alias("body"))
+    whole = F.concat(F.lit('<document title="'), "title", F.lit('">\n'), "body", F.lit("\n</document>"))
     return d.groupBy("qid").agg(join(F.struct("first", whole.alias("t"))).alias("block"))
 
 
@@ -103,9 +103,9 @@ _MEDIA = dict(
 )
 
 
-def _media(spark, sf_dir) -> DataFrame:
+def _media(spark, sf_dir, kept: DataFrame | None = None) -> DataFrame:
     """Figures of kept documents, those with an image only, numbered by first appearance, at most four."""
-    k = Run(spark, sf_dir).kept().select("qid", F.col("point_id").alias("document_id"), "rank")
+    k = (Run(spark, sf_dir).kept() if kept is None else kept).select("qid", F.col("point_id").alias("document_id"), "rank")
     f = k.join(X.figures(spark, sf_dir).where("has_image"), "document_id").groupBy("qid", "figure_id").agg(F.min("rank").alias("r"), F.first("caption").alias("caption"))
     n = F.row_number().over(Window.partitionBy("qid").orderBy("r", "figure_id"))
     return f.withColumn("n", n).where(F.col("n") <= P.MAX_FIGURES).select("qid", "figure_id", F.concat(F.lit("F"), F.col("n").cast("string")).alias("marker"), F.coalesce("caption", F.lit("Figure")).alias("label"), F.col("n").cast("long").alias("n"))
@@ -184,10 +184,14 @@ def quote_verbatim(spark, sf_dir):
     return emitted.join(texts, "document_id").groupBy("qid", "marker").agg(F.bool_or((F.col("q") != "") & F.contains("content", "q")).alias("verbatim"))
 
 
-@query(sql("SELECT left(marker, 1) = 'C' AS text_kind, count(*) AS used, count(*) FILTER (a.k IS NOT NULL) AS valid FROM used u LEFT JOIN (SELECT qid, marker AS k FROM anc) a ON a.qid = u.qid AND a.k = u.marker GROUP BY 1"))
+@query(with_sql(
+    "docs golden scope figures", "SELECT left(marker, 1) = 'C' AS text_kind, count(*) AS used, count(*) FILTER (a.k IS NOT NULL) AS valid FROM used u LEFT JOIN emitted a ON a.qid = u.qid AND a.k = u.marker GROUP BY 1",
+    **STEPS, **_MEDIA, emitted="SELECT qid, marker AS k FROM anc UNION ALL SELECT qid, 'F' || CAST(n AS VARCHAR) FROM fig WHERE n <= 4",
+))
 def id_validity(spark, sf_dir):
+    """Used markers of both kinds against those emitted: anchors of chunks and of figures."""
     a = Answered(spark, sf_dir)
-    known = a.anchors().select("qid", "marker", F.lit(1).alias("k"))
+    known = a.anchors().select("qid", "marker").unionByName(_media(spark, sf_dir, a.kept).select("qid", "marker")).withColumn("k", F.lit(1))
     return a.used().join(known, ["qid", "marker"], "left").groupBy(F.col("marker").startswith("C").alias("text_kind")).agg(F.count(F.lit(1)).alias("used"), F.count("k").alias("valid"))
 
 

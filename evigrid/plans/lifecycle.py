@@ -57,9 +57,10 @@ def delete_race_guard(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("document_id")).join(live, "document_id", "left_semi").select("event_id", "document_id")
 
 
-@query("SELECT event_id, CAST(greatest(0, least(100, round_even(value, 0))) AS INTEGER) AS pct FROM events")
+@query("SELECT event_id, CAST(greatest(0, least(100, round_even(value / 500 * 100, 0))) AS INTEGER) AS pct FROM events")
 def progress_pct(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround("value", 0))).cast("int").alias("pct"))
+    """Half-even percentages of a fraction, here the value of an event over 500."""
+    return table(spark, sf_dir, "events").select("event_id", F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(F.col("value") / 500 * 100, 0))).cast("int").alias("pct"))
 
 
 _LIVE = f"SELECT project_id, document_id AS id, sha256(content) AS h FROM docs WHERE NOT is_quarantined AND NOT deleted"
@@ -92,13 +93,22 @@ def _counts():
     return [F.count_if(l).alias("hydrated"), F.count_if(p).alias("retrieved"), F.count_if(p & ~l).alias("orphan"), F.count_if(l & ~p).alias("missing"), F.count_if(l & p & F.col("differs")).alias("stale")]
 
 
-@query(with_sql("docs points", f"SELECT project_id, {_COUNTS}, array_to_string(list_slice(list_sort(list(id) FILTER (live AND NOT indexed)), 1, 10), ',') AS missing_sample FROM j GROUP BY project_id", **_REC))
+_LOST = {"orphan": "indexed AND NOT live", "missing": "live AND NOT indexed", "stale": "live AND indexed AND differs"}
+_SAMPLES = ", ".join(f"array_to_string(list_slice(list_sort(list(id) FILTER ({c})), 1, 10), ',') AS {k}_sample" for k, c in _LOST.items())
+
+
+@query(with_sql("docs points", f"SELECT project_id, {_COUNTS}, {_SAMPLES} FROM j GROUP BY project_id", **_REC))
 def reconcile(spark, sf_dir):
-    """Counts per project and the ten least missing ids; the ids are ranked before they are gathered."""
-    c = classified(live_rows(spark, sf_dir), X.points(spark, sf_dir))
-    rank = F.row_number().over(Window.partitionBy("project_id", "lost").orderBy("id"))
-    few = c.withColumn("lost", F.col("live") & ~F.col("indexed")).withColumn("r", rank).where("lost and r <= 10").groupBy("project_id").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("missing_sample"))
-    return c.groupBy("project_id").agg(*_counts()).join(few, "project_id", "left")
+    """Counts per project and the ten least ids of each kind of difference; only differences are ranked."""
+    c = stored(classified(live_rows(spark, sf_dir), X.points(spark, sf_dir)))
+    kind = F.coalesce(*(F.when(F.expr(cond), k) for k, cond in _LOST.items()))
+    rank = F.row_number().over(Window.partitionBy("project_id", "kind").orderBy("id"))
+    few = c.withColumn("kind", kind).where("kind is not null").withColumn("r", rank).where("r <= 10").groupBy("project_id").agg(
+        *(F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("id")))), ",").alias(f"{k}_sample") for k in _LOST)
+    )
+    samples = [F.when(F.col(f"{k}_sample") != "", F.col(f"{k}_sample")).alias(f"{k}_sample") for k in _LOST]
+    counts = c.groupBy("project_id").agg(*_counts())
+    return counts.join(few, "project_id", "left").select(*counts.columns, *samples)
 
 
 @query(with_sql("docs points", f"SELECT project_id, {_COUNTS} FROM j WHERE project_id IN (SELECT project_id FROM docs) GROUP BY GROUPING SETS ((project_id), ())", **_REC))

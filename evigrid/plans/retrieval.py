@@ -52,13 +52,19 @@ class Run:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.points, self.questions = points_of(spark, sf_dir), X.golden(spark, sf_dir)
-        self.scope = X.scope(self.questions)
+        self.scope, self._index = X.scope(self.questions), None
+
+    @property
+    def index(self) -> R.Index:
+        if self._index is None:
+            self._index = R.build_index(self.points)
+        return self._index
 
     def dense(self):
-        return R.dense_topk(self.questions, self.points, self.scope)
+        return R.dense_topk(self.questions, self.index, self.scope)
 
     def sparse(self):
-        return R.sparse_topk(self.questions, self.points, self.scope)
+        return R.sparse_topk(self.questions, self.index, self.scope)
 
     def fused(self):
         return R.rrf_fuse(self.dense(), self.sparse())
@@ -70,7 +76,7 @@ class Run:
         return R.join_back(stored(self.quota()), self.points)
 
     def kept(self):
-        return R.guardrails(self.hydrated(), self.scope)
+        return R.retrieve(self.questions, self.index, self.scope)
 
     def signals(self):
         dense = stored(self.dense())
@@ -81,18 +87,17 @@ class Run:
 
 @query(sql("SELECT point_id, term, tf, round(weight, 6) AS weight FROM wts"))
 def sparse_postings(spark, sf_dir):
-    return R.sparse_weights(points_of(spark, sf_dir)).select("point_id", "term", "tf", F.round("weight", 6).alias("weight"))
+    return R.build_index(points_of(spark, sf_dir)).weights().select("point_id", "term", "tf", F.round("weight", 6).alias("weight"))
 
 
 @query(sql("SELECT term, df, round(idf, 6) AS idf FROM idf"))
 def idf_stats(spark, sf_dir):
-    return R.idf_stats(points_of(spark, sf_dir)).withColumn("idf", F.round("idf", 6))
+    return R.build_index(points_of(spark, sf_dir)).idf.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(sql("SELECT point_id, bucket, round(w, 6) AS w FROM dv"))
 def dense_vectors(spark, sf_dir):
-    p = points_of(spark, sf_dir)
-    return R.dense_vectors(p, R.idf_stats(p)).withColumn("w", F.round("w", 6))
+    return R.build_index(points_of(spark, sf_dir)).vectors().withColumn("w", F.round("w", 6))
 
 
 @query(sql("SELECT point_id, project_id, document_id, 'text' AS modality, sha256(content) AS content_hash, 'text-embedding-3-large' AS embedding_model, 1024 AS embedding_dims, 0 AS ingest_generation, false AS quarantined FROM points_"))
@@ -128,8 +133,10 @@ def embed_usage(spark, sf_dir):
 @query(sql("SELECT qid, count(*) AS points FROM live GROUP BY qid"))
 def scope_filter(spark, sf_dir):
     r = Run(spark, sf_dir)
-    per = R.scoped(r.questions, r.points).groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))  # counts per project, not pairs
-    return r.scope.join(F.broadcast(per), F.col("scope").isNull() | (F.col("scope") == F.col("project_id"))).groupBy("qid").agg(F.sum("n").alias("points"))
+    per = stored(r.points.where("not is_quarantined").groupBy("project_id").agg(F.count(F.lit(1)).alias("n")))  # counts per project, not pairs
+    total = per.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # one number, for questions without a scope
+    own = r.scope.join(per.withColumnRenamed("project_id", "scope"), "scope", "left")
+    return own.select("qid", F.when(F.col("scope").isNull(), total).otherwise(F.col("n")).alias("points")).where("points > 0")
 
 
 @query(sql("SELECT qid, point_id, score, rank FROM dense"))
@@ -179,14 +186,27 @@ def abstain_gate(spark, sf_dir):
     return R.abstain_gate(Run(spark, sf_dir).signals())
 
 
-@query(with_sql("docs golden scope", "SELECT qid, point_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, dr NULLS LAST, sr NULLS LAST) - 1 AS rank FROM wz", **STEPS, wz="SELECT qid, point_id, d.rank AS dr, s.rank AS sr, round(coalesce(0.6::DOUBLE / (10 + d.rank), 0) + coalesce(0.4::DOUBLE / (10 + s.rank), 0), 9) AS score FROM dense d FULL JOIN sparse s USING (qid, point_id)"))
+#: Questions under (qid, variant): the question, and as its rewrite the last six of its words.
+_VARIANTS = "SELECT qid * 2 + v AS qid, CASE WHEN v = 0 THEN question ELSE array_to_string(list_slice(string_split(question, ' '), -6, -1), ' ') END AS question FROM golden, (SELECT unnest([0, 1]) AS v)"
+
+
+@query(with_sql(
+    "docs golden", "SELECT qid, point_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, point_id) - 1 AS rank FROM wz",
+    gv=_VARIANTS, scope="SELECT qid * 2 + v AS qid, CASE WHEN qid % 4 = 0 THEN 'src' || CAST(qid % 20 AS VARCHAR) END AS scope FROM golden, (SELECT unnest([0, 1]) AS v)",
+    **{k: v.replace("golden", "gv") for k, v in STEPS.items() if k in ("points_", "toks", "post", "lens", "idf", "wts", "qt", "live", "ss", "sparse")},
+    wz="SELECT qid // 2 AS qid, point_id, round(sum(CASE WHEN qid % 2 = 0 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END / (10 + rank)), 9) AS score FROM sparse GROUP BY ALL",
+))
 def weighted_rewrite_fusion(spark, sf_dir):
-    """Two lists with the weights of a question and its rewrite."""
+    """The lists of a question and of its rewrite, fused with a weight for each."""
     r = Run(spark, sf_dir)
-    return R.rrf_fuse(r.dense(), r.sparse(), weights=(P.WEIGHT_ORIGINAL, P.WEIGHT_REWRITE)).drop("cosine")
+    both = lambda df: df.withColumn("v", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("qid", F.col("qid") * 2 + F.col("v"))
+    words = F.split("question", " ")
+    asked = both(r.questions).withColumn("question", F.when(F.col("v") == 0, F.col("question")).otherwise(F.array_join(F.slice(words, F.greatest(F.size(words) - 5, F.lit(1)), 6), " ")))
+    lists = R.sparse_topk(asked.select("qid", "question"), r.index, both(r.scope).select("qid", "scope"))
+    return R.rewrite_fusion(lists.select(F.floor(F.col("qid") / 2).alias("qid"), (F.col("qid") % 2).cast("int").alias("variant"), "point_id", "rank"))
 
 
-@query("""WITH q AS (SELECT vec_id AS qid, embedding AS e FROM embeddings WHERE vec_id < 20),
+@query("""WITH q AS (SELECT vec_id AS qid, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
     s AS (SELECT qid, vec_id AS point_id, round(list_dot_product(e::DOUBLE[], embedding::DOUBLE[]) / sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[]) * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS score FROM q, embeddings WHERE vec_id <> qid)
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, point_id) - 1 AS rank FROM s) WHERE rank < 40""")
 def vector_topk(spark, sf_dir):
@@ -194,7 +214,7 @@ def vector_topk(spark, sf_dir):
     from evigrid.operators.vectors import exact_topk
 
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), "embedding")
-    return exact_topk(rows.where("point_id < 20").withColumnRenamed("point_id", "qid"), rows, P.PREFETCH_DENSE)
+    return exact_topk(rows.where("point_id % 100 = 0").withColumnRenamed("point_id", "qid"), rows, P.PREFETCH_DENSE)
 
 
 _HITS = dict(
@@ -211,8 +231,8 @@ def expectations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evigrid.functions.text import normalize
 
     g = X.golden(spark, sf_dir).withColumn("a", normalize(F.col("anchor")))
-    texts = X.docs(spark, sf_dir).where("not deleted").select(normalize(F.col("content")).alias("t"))
-    return g.join(R.contained(g, texts, "qid", "a", "t").withColumn("x", F.lit("answer")), "qid", "left").select("qid", "grp", "a", F.coalesce("x", F.lit("abstain")).alias("expect"))
+    texts = X.docs(spark, sf_dir).where("not deleted").select("document_id", normalize(F.col("content")).alias("t"))
+    return g.join(R.contained(g, texts, "qid", "a", "t", "document_id").withColumn("x", F.lit("answer")), "qid", "left").select("qid", "grp", "a", F.coalesce("x", F.lit("abstain")).alias("expect"))
 
 
 def recalls(spark: SparkSession, sf_dir: str, kept: DataFrame | None = None) -> DataFrame:

@@ -71,11 +71,12 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pipe table of the nations of each region; region 3 has a short row, region 4 no separator row."""
-    row = F.concat(F.lit("| "), F.col("n_name"), F.when(F.col("n_regionkey") != 3, F.concat(F.lit(" | "), F.col("n_nationkey").cast("string"))).otherwise(F.lit("")), F.lit(" |"))
-    rows = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("table_id")).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("r")))).alias("x"))
-    head = F.concat(F.lit("| name | key |\n"), F.when(F.col("table_id") != 4, F.lit("| --- | ---: |\n")).otherwise(F.lit("")))
-    return rows.select(F.col("table_id").cast("long").alias("table_id"), F.when(F.col("table_id") % 2 == 0, "caption").alias("caption"), F.concat(head, F.array_join(F.transform("x", lambda e: e["r"]), "\n")).alias("markdown"))
+    """A pipe table of the lines of each order; orders with key % 5 = 3 have short rows, with 4 no separator row."""
+    k = F.col("l_orderkey")
+    row = F.concat(F.lit("| part "), F.col("l_partkey").cast("string"), F.when(k % 5 != 3, F.concat(F.lit(" | "), F.col("l_linenumber").cast("string"))).otherwise(F.lit("")), F.lit(" |"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(k.cast("long").alias("table_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), row.alias("r")))).alias("x"))
+    head = F.concat(F.lit("| name | key |\n"), F.when(F.col("table_id") % 5 != 4, F.lit("| --- | ---: |\n")).otherwise(F.lit("")))
+    return rows.select("table_id", F.when(F.col("table_id") % 2 == 0, "caption").alias("caption"), F.concat(head, F.array_join(F.transform("x", lambda e: e["r"]), "\n")).alias("markdown"))
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,8 +120,8 @@ SQL = {
         CAST(p_retailprice * 8 AS DOUBLE) AS bytes, p_partkey % 4 <> 0 AS has_image, CASE p_partkey % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'done' ELSE 'failed' END AS vlm_status FROM part""",
     "captions": "SELECT figure_id, CASE WHEN figure_id % 11 = 0 THEN 'failed' ELSE 'done' END AS status, CASE WHEN figure_id % 11 <> 0 THEN 'summary ' || CAST(figure_id AS VARCHAR) END AS summary, figure_id % 500 AS prompt_tokens, figure_id % 90 AS completion_tokens, figure_id % 6 = 0 AS from_cache FROM figures WHERE vlm_status = 'pending'",
     "table_cells": "SELECT l_orderkey AS table_id, l_linenumber AS row, 1 AS row_span, CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 2 ELSE 1 END AS col_span, l_linenumber = 1 OR (l_linenumber = 2 AND l_orderkey % 5 = 0) AS is_header FROM lineitem",
-    "table_text": """SELECT CAST(n_regionkey AS BIGINT) AS table_id, CASE WHEN n_regionkey % 2 = 0 THEN 'caption' END AS caption,
-        '| name | key |' || chr(10) || CASE WHEN n_regionkey <> 4 THEN '| --- | ---: |' || chr(10) ELSE '' END || string_agg('| ' || n_name || CASE WHEN n_regionkey <> 3 THEN ' | ' || CAST(n_nationkey AS VARCHAR) ELSE '' END || ' |', chr(10) ORDER BY n_nationkey) AS markdown FROM nation GROUP BY n_regionkey""",
+    "table_text": """SELECT CAST(l_orderkey AS BIGINT) AS table_id, CASE WHEN l_orderkey % 2 = 0 THEN 'caption' END AS caption,
+        '| name | key |' || chr(10) || CASE WHEN l_orderkey % 5 <> 4 THEN '| --- | ---: |' || chr(10) ELSE '' END || string_agg('| part ' || CAST(l_partkey AS VARCHAR) || CASE WHEN l_orderkey % 5 <> 3 THEN ' | ' || CAST(l_linenumber AS VARCHAR) ELSE '' END || ' |', chr(10) ORDER BY l_linenumber, l_partkey) AS markdown FROM lineitem GROUP BY l_orderkey""",
     "messages": """SELECT conv_id, conv_id % 20 AS project_id, turn, role, CASE WHEN role = 'assistant' THEN coalesce(text, '') || ' [C1]' ELSE coalesce(text, '') END AS text,
         CASE conv_id % 3 WHEN 0 THEN 'deepseek-chat' WHEN 1 THEN 'gpt-4o-mini' ELSE 'other-model' END AS model, CASE WHEN conv_id % 10 <> 0 THEN length(coalesce(text, '')) // 4 END AS prompt_tokens,
         CASE WHEN conv_id % 10 <> 0 THEN length(coalesce(text, '')) // 4 END AS completion_tokens, conv_id % 23 = 0 AS deleted FROM conversations""",

@@ -1,7 +1,8 @@
 """Structured Streaming forms of the event-log operators.
 
-State is bounded by watermarks: what is older than ``LATE`` is dropped from state,
-and late rows beyond it are not counted.  Each form gives the batch operator's
+In append and update mode state is bounded by the watermark: what is older than ``LATE``
+is dropped, and late rows beyond it are not counted.  Complete mode, which the
+registered queries use to compare whole results, keeps all groups.  Each form gives the batch operator's
 rows on the same input once the stream has ended.
 """
 

@@ -1,7 +1,6 @@
 """Rules of single operators on small inputs."""
 
-import random
-
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from evigrid import params as P
@@ -9,63 +8,44 @@ from evigrid.functions import text as T
 from evigrid.operators import chunking as C, eventlog as E, structure as S
 
 
-def by_rules(pieces):
-    """Packing said step by step, as an independent check of ``chunking.pack``."""
-    out, buf, tokens, key = [], [], 0, None
-
-    def close():
-        nonlocal buf, tokens, key
-        if buf:
-            out.append(["\n\n".join(t for t, *_ in buf).strip(), buf[0][1], [g for *_, g in buf if g is not None], False])
-        buf, tokens, key = [], 0, None
-
-    for text, path, k, page in pieces:
-        n = max(1, len(text) // 4)
-        if n > 1200:
-            close()
-            words, cur, length, made = text.split(), [], 0, 0
-            for w in words:
-                if cur and length + len(w) + 1 > 3600:
-                    out.append([" ".join(cur), path, [page], made > 0])
-                    made += 1
-                    tail = []
-                    while len(tail) < len(cur) and sum(len(x) + 1 for x in tail) + len(cur[-1 - len(tail)]) + 1 <= 520:
-                        tail.insert(0, cur[-1 - len(tail)])
-                    cur, length = tail, sum(len(x) + 1 for x in tail)
-                cur = [*cur, w]
-                length += len(w) + 1
-            out.append([" ".join(cur), path, [page], made > 0])
-            continue
-        if buf and (k != key or tokens + n > 1200):
-            close()
-        key = k
-        buf.append((text, path, page))
-        tokens += n
-        if tokens >= 900:
-            close()
-    close()
-    merged = []
-    for c in out:
-        size = lambda t: max(1, len(t) // 4)
-        if merged and size(c[0]) < 120 and merged[-1][1] == c[1] and not c[3] and size(merged[-1][0]) + size(c[0]) <= 1200:
-            merged[-1] = [f"{merged[-1][0]}\n\n{c[0]}".strip(), c[1], merged[-1][2] + c[2], merged[-1][3]]
-        else:
-            merged.append(c)
-    return merged
-
-
-def test_pack_equals_the_rules():
-    rng = random.Random(5)
-    for _ in range(150):
-        pieces = []
-        for _ in range(rng.randint(0, 14)):
-            n = rng.choice([3, 60, 300, 900, 2500, 4000, 9000])
-            text = " ".join("w" * rng.randint(1, 12) for _ in range(max(1, n // 8)))
-            path = rng.choice([None, "a", "a > b", "c"])
-            pieces.append((text, path, path, rng.randint(1, 4)))
-        got = [(c["content"], c["section_path"], c["forced"], c["page_start"], c["page_end"]) for c in C.pack(pieces)]
-        want = [(c, p, f, min(g), max(g)) for c, p, g, f in by_rules(pieces)]
-        assert got == want
+PIECE = st.tuples(st.lists(st.integers(1, 40).map(lambda n: "w" * n), min_size=1, max_size=60).map(" ".join), st.sampled_from([None, "a", "a > b", "c"]), st.integers(1, 4), st.sampled_from([1, 1, 8]))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(PIECE, max_size=14))
+def test_properties_of_packing(drawn):
+    """What any packing must keep: all words in order, the limits, one section a chunk, pages of its pieces, no neighbour left small."""
+    pieces = [(" ".join([t] * k), path, path, page) for t, path, page, k in drawn]
+    chunks = C.pack(pieces)
+    words = [w for t, *_ in pieces for w in t.split()]
+    at = 0
+    for c in chunks:
+        own = c["content"].split()
+        if c["forced"]:  # begins with words already seen, at most the overlap of them
+            back = next(k for k in range(len(own) + 1) if words[at : at + len(own) - k] == own[k:] and own[:k] == words[at - k : at])
+            assert sum(len(w) + 1 for w in own[:back]) <= P.CHUNK_OVERLAP * 4
+            own = own[back:]
+        assert words[at : at + len(own)] == own
+        at += len(own)
+        assert c["tokens"] <= P.CHUNK_MAX + 1 and c["page_start"] <= c["page_end"]
+    assert at == len(words) and [c["chunk_index"] for c in chunks] == list(range(len(chunks)))
+    for x, y in zip(chunks, chunks[1:]):
+        small = not y["forced"] and y["tokens"] < P.CHUNK_MIN_MERGE and x["section_path"] == y["section_path"]
+        assert not small or x["tokens"] + y["tokens"] > P.CHUNK_MAX
+
+
+def test_packing_by_hand():
+    t = lambda n, c="x": (c * 9 + " ") * (n * 4 // 10) + c * (n * 4 % 10)  # noqa: E731  n tokens of text
+    of = lambda pieces: [(c["tokens"], c["section_path"], c["forced"]) for c in C.pack(pieces)]
+    assert of([]) == []
+    assert of([(t(400), "a", "a", 1), (t(400), "a", "a", 1), (t(200), "a", "a", 2), (t(400), "a", "a", 2)]) == [(1000, "a", False), (400, "a", False)]  # closes past the target
+    assert of([(t(800), "a", "a", 1), (t(500), "a", "a", 1)]) == [(800, "a", False), (500, "a", False)]  # would pass the maximum
+    assert of([(t(300), "a", "a", 1), (t(300), "b", "b", 1)]) == [(300, "a", False), (300, "b", False)]  # another section
+    assert of([(t(950), "a", "a", 1), (t(50), "a", "a", 1)]) == [(1000, "a", False)]  # a tiny one joins its section
+    assert of([(t(950), "a", "a", 1), (t(50), "b", "b", 1)]) == [(950, "a", False), (50, "b", False)]
+    assert of([(t(1180), "a", "a", 1), (t(50), "a", "a", 1)]) == [(1180, "a", False), (50, "a", False)]  # not over the maximum
+    split = C.pack([(t(2000), "a", "a", 3)])
+    assert [c["forced"] for c in split] == [False, True, True] and all(c["page_start"] == 3 for c in split)
 
 
 def test_chunks_of_documents(spark):

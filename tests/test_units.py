@@ -35,10 +35,10 @@ def test_properties_of_packing(drawn):
 
 
 def test_packing_by_hand():
-    t = lambda n, c="x": (c * 9 + " ") * (n * 4 // 10) + c * (n * 4 % 10)  # noqa: E731  n tokens of text
+    t = lambda n: (("x" * 9 + " ") * n)[: n * 4 - 1] + "x"  # noqa: E731  n tokens of text
     of = lambda pieces: [(c["tokens"], c["section_path"], c["forced"]) for c in C.pack(pieces)]
     assert of([]) == []
-    assert of([(t(400), "a", "a", 1), (t(400), "a", "a", 1), (t(200), "a", "a", 2), (t(400), "a", "a", 2)]) == [(1000, "a", False), (400, "a", False)]  # closes past the target
+    assert of([(t(400), "a", "a", 1), (t(400), "a", "a", 1), (t(200), "a", "a", 2), (t(400), "a", "a", 2)]) == [(1001, "a", False), (400, "a", False)]  # closes past the target
     assert of([(t(800), "a", "a", 1), (t(500), "a", "a", 1)]) == [(800, "a", False), (500, "a", False)]  # would pass the maximum
     assert of([(t(300), "a", "a", 1), (t(300), "b", "b", 1)]) == [(300, "a", False), (300, "b", False)]  # another section
     assert of([(t(950), "a", "a", 1), (t(50), "a", "a", 1)]) == [(1000, "a", False)]  # a tiny one joins its section

@@ -4,7 +4,9 @@ The directory is indexed by the leading bits of a 60-bit hash of the key.  All
 buckets start at depth 0; a bucket over the byte limit splits on the next bit,
 and only such buckets do, until each fits.  Bytes are summed per bucket before
 anything moves, so a level costs one aggregation with partial sums over the rows
-whose bucket is still open, and levels are taken ``STRIDE`` bits at a time.
+whose bucket is still open.  The first level sums as many bits as there will be shards,
+and ``SPARE`` more, so its sums grow with the number of shards; what is open then is
+taken ``STRIDE`` bits at a time.
 
 A bucket that cannot split, because its rows share one hash (one row over the
 limit, or an id repeated), gets overflow pages: its rows are dealt to strands of about
@@ -25,7 +27,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from evigrid.session import stored
 
-BITS, STRIDE, STRAND_PAGES = 60, 10, 64
+BITS, SPARE, STRIDE, STRAND_PAGES = 60, 3, 8, 64
+#: A level of the directory with at most so many rows (some 40 bytes each) is broadcast, after a count; larger ones are joined by exchange.
+BROADCAST_ROWS = 500_000
 
 
 def key_hash(key: str) -> Column:
@@ -43,9 +47,10 @@ def _measures(key: str, text: str) -> tuple[Column, Column]:
 
 def directory(rows: DataFrame, limit: int) -> tuple[list[tuple[int, DataFrame]], DataFrame]:
     """From (hash, bytes): for each stride its last bit and (fine, depth, bucket, shard_bytes), and (hash, total) of what cannot split."""
+    total = rows.agg(F.sum("bytes")).first()[0] or 0
     levels, open_rows, top = [], rows.select("hash", "bytes"), 0
     while top < BITS:
-        low, top = top, min(BITS, top + STRIDE)
+        low, top = top, min(BITS, top + STRIDE if levels else SPARE + max(total // limit, 1).bit_length())
         # one sum for the finest prefixes of this stride, the coarser ones from those
         fine = stored(open_rows.groupBy(_prefix(top).alias("fine")).agg(F.sum("bytes").alias("bytes")))
         each = fine.select("fine", "bytes", F.explode(F.sequence(F.lit(low), F.lit(top))).alias("depth"))
@@ -67,6 +72,7 @@ def _placed(rows: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
     out, names = rows, ("depth", "bucket", "shard_bytes")
     for top, level in levels:
         found = level.select(F.col("fine").alias(f"_fine{top}"), *(F.col(c).alias(f"_{c}{top}") for c in names))
+        found = F.broadcast(found) if level.count() <= BROADCAST_ROWS else found
         out = out.join(found, _prefix(top) == F.col(f"_fine{top}"), "left")
     return out.select(*rows.columns, *(F.coalesce(*(F.col(f"_{c}{top}") for top, _ in levels)).alias(f"_{c}") for c in names))
 

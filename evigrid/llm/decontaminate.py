@@ -1,23 +1,26 @@
 """Benchmark decontamination over a positional inverted index (operator 10).
 
 ``build_index`` reads every whole training text once and stores, block by block
-of documents, the positions of each test term: a document-partitioned inverted
-index.  A position counts the words of a block with one place left free between
-documents, so no run of neighbouring positions leaves its document.
+of documents, each word and its positions: a document-partitioned inverted index
+of all terms.  It is built without regard to any test set, and any number of them can be
+asked of it later.  A position counts the words of a block with one place left free
+between documents, so no run of neighbouring positions leaves its document.
 
 ``phrase_hits`` orders the terms of each test window by their number of postings
 in the whole corpus and intersects the lists, shifted by their offsets, from the
-rarest term on; most windows are out after one or two short lists.
+rarest term on; a block tries only windows whose rarest term it holds.
 ``proximity_hits`` finds all terms of an item within a span, in any order.
 
 The stored index is never dealt anew: a block is intersected where it is read.
-Test items go out in chunks of at most ``CHUNK_CHARS`` characters, so what a
-task holds of them is bounded whatever the size of the test set; several chunks
-are merged by document.
-
-Results for odd input: null and empty texts have no words and no hits; an item of
-fewer words than a window is one window, one without words has none; equal items
-are all named; repeated document rows are separate rows.
+Test items are asked in chunks of about ``CHUNK_CHARS`` characters (a longer item is a
+chunk of its own), so what a task holds of them is bounded whatever the size of the test
+set; a further chunk reads the index again, not the texts, and several chunks are
+merged by document.
+
+Results for odd input: null and empty texts have no words and no hits; very long texts
+are blocks of their own; an item of fewer words than a window is one window, one without
+words has none; equal items are all named; repeated document rows are separate rows; an
+empty table gives no rows; columns of other names are ignored, and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from evigrid.session import shared_dir, ship
 WINDOW, BLOCK_WORDS, CHUNK_CHARS = 10, 1 << 20, 4 << 20
 #: A-Z to lower case; ASCII bytes but digits and letters part words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-INDEX = "block string, doc_ids array<long>, n_words array<int>, starts array<long>, terms array<int>, lengths array<int>, postings binary"
+INDEX = "block string, doc_ids array<long>, n_words array<int>, starts array<long>, terms array<binary>, lengths array<int>, postings binary"
 HITS = "block string, place int, doc_id long, n_words long, spans array<struct<from:int,to:int>>, items array<string>"
 
 
@@ -42,48 +45,48 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().translate(FOLD).split() if text else []
 
 
-class Vocabulary(dict):
-    """Test terms by number; any other word is -1."""
+class Numbers(dict):
+    """Words by number, in the order in which they come."""
 
     def __missing__(self, word: bytes) -> int:
-        return -1
+        n = self[word] = len(self)
+        return n
 
 
-def build_index(docs: DataFrame, vocabulary: Vocabulary, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write the postings of the vocabulary's terms in all documents; returns the stored index."""
+def build_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Write the postings of all words of all documents; returns the stored index."""
     spark = ship(docs.sparkSession)
+    block_words = BLOCK_WORDS
 
     def run(batches):
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        ids, counts, starts, found, places, at = [], [], [], [], [], 0
+        numbers, ids, counts, starts, found, at = Numbers(), [], [], [], [], 0
 
         def block():
-            t, p = np.concatenate(found), np.concatenate(places)
+            t = np.concatenate(found)
+            p = np.concatenate([np.arange(n) + s for n, s in zip(counts, starts)])
             order = np.argsort(t, kind="stable")
-            t, p = t[order], p[order]
-            terms, first, n = np.unique(t, return_index=True, return_counts=True)
+            p, lengths = p[order], np.bincount(t, minlength=len(numbers))
             gaps = np.diff(p, prepend=0)
+            first = (np.cumsum(lengths) - lengths)[lengths > 0]
             gaps[first] = p[first]  # each list starts anew
             data = zstandard.ZstdCompressor(level=1).compress(gaps.astype("<u4").tobytes())
-            return pa.RecordBatch.from_pylist([{"block": f"{part}-{number}", "doc_ids": ids, "n_words": counts, "starts": starts, "terms": terms, "lengths": n, "postings": data}], schema=ARROW)
+            return pa.RecordBatch.from_pylist([{"block": f"{part}-{number}", "doc_ids": ids, "n_words": counts, "starts": starts, "terms": list(numbers), "lengths": lengths, "postings": data}], schema=ARROW)
 
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1)):
                 own = words(x.as_py())
-                t = np.fromiter(map(vocabulary.__getitem__, own), np.int32, len(own))
-                here = np.flatnonzero(t >= 0)
+                found.append(np.fromiter(map(numbers.__getitem__, own), np.int32, len(own)))
                 ids.append(k)
                 counts.append(len(own))
                 starts.append(at)
-                found.append(t[here])
-                places.append(here + at)
                 at += len(own) + 1
-                if at >= BLOCK_WORDS:
+                if at >= block_words:
                     yield block()
                     number += 1
-                    ids, counts, starts, found, places, at = [], [], [], [], [], 0
+                    numbers, ids, counts, starts, found, at = Numbers(), [], [], [], [], 0
         if ids:
             yield block()
 
@@ -91,19 +94,32 @@ def build_index(docs: DataFrame, vocabulary: Vocabulary, path: str, key: str = "
     return spark.read.schema(INDEX).parquet(path)
 
 
-ARROW = pa.schema([("block", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("starts", pa.list_(pa.int64())), ("terms", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("postings", pa.binary())])
+ARROW = pa.schema([("block", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("starts", pa.list_(pa.int64())), ("terms", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32())), ("postings", pa.binary())])
+
+
+def term_counts(index: DataFrame, vocabulary: dict[bytes, int]) -> dict[int, int]:
+    """Postings of each asked term over the whole corpus; as many rows as a chunk of items has terms."""
 
+    def run(batches):
+        total = np.zeros(len(vocabulary), np.int64)
+        for b in batches:
+            for terms, lengths in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for w, n in zip(terms, lengths):
+                    if w in vocabulary:
+                        total[vocabulary[w]] += n
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["term", "n"])
 
-def term_counts(index: DataFrame) -> dict[int, int]:
-    """Postings of each term over the whole corpus; as many rows as a chunk of items has terms."""
-    pairs = index.select(F.explode(F.arrays_zip("terms", "lengths")).alias("x"))
-    return {r["term"]: r["n"] for r in pairs.groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.lengths").alias("n")).toLocalIterator()}
+    found = index.select("terms", "lengths").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return {r["term"]: r["n"] for r in found.toLocalIterator()}
 
 
-def _lists(row) -> dict[int, np.ndarray]:
-    gaps = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["postings"]), "<u4").astype(np.int64)
+def _lists(row, vocabulary: dict[bytes, int]) -> dict[int, np.ndarray]:
+    """The block's postings of asked terms."""
+    gaps = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["postings"]), "<u4")
     ends = np.cumsum(row["lengths"])
-    return {t: np.cumsum(gaps[e - n : e]) for t, n, e in zip(row["terms"], row["lengths"], ends)}
+    asked = [(vocabulary[w], i) for i, w in enumerate(row["terms"]) if w in vocabulary]
+    return {t: np.cumsum(gaps[ends[i] - row["lengths"][i] : ends[i]].astype(np.int64)) for t, i in asked}
 
 
 def _in(sorted_list: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -147,33 +163,36 @@ def _over_blocks(index: DataFrame, find) -> DataFrame:
     return index.mapInArrow(run, HITS)
 
 
-def phrase_hits(index: DataFrame, windows: dict[tuple[int, ...], tuple[str, ...]], counts: dict[int, int]) -> DataFrame:
+def phrase_hits(index: DataFrame, vocabulary: dict[bytes, int], windows: dict[tuple[int, ...], tuple[str, ...]], counts: dict[int, int]) -> DataFrame:
     """Exact occurrences of windows (term numbers -> item names): one row a document, hit or not."""
-    plan = [([(t, o) for _, o, t in sorted((counts.get(t, 0), o, t) for o, t in enumerate(w))], len(w), names) for w, names in windows.items() if all(counts.get(t) for t in w)]
+    plan = defaultdict(list)  # by the rarest term
+    for w, names in windows.items():
+        if all(counts.get(t) for t in w):
+            order = [(t, o) for _, o, t in sorted((counts[t], o, t) for o, t in enumerate(w))]
+            plan[order[0][0]].append((order, len(w), names))
 
     def find(row):
-        lists = _lists(row)
-        for order, length, names in plan:
-            at = None
-            for t, offset in order:
-                places = lists.get(t)
-                if places is None:
-                    break
-                at = places - offset if at is None else at[_in(places, at + offset)]
-                if not len(at):
-                    break
-            else:
-                yield at, length, names
+        lists = _lists(row, vocabulary)
+        for rarest in sorted(lists.keys() & plan.keys()):
+            for order, length, names in plan[rarest]:
+                at = lists[rarest] - order[0][1]
+                for t, offset in order[1:]:
+                    places = lists.get(t)
+                    at = at[:0] if places is None else at[_in(places, at + offset)]
+                    if not len(at):
+                        break
+                else:
+                    yield at, length, names
 
     return _over_blocks(index, find)
 
 
-def proximity_hits(index: DataFrame, items: dict[tuple[int, ...], tuple[str, ...]], counts: dict[int, int], slop: int) -> DataFrame:
+def proximity_hits(index: DataFrame, vocabulary: dict[bytes, int], items: dict[tuple[int, ...], tuple[str, ...]], counts: dict[int, int], slop: int) -> DataFrame:
     """Places where all terms of an item lie within its length plus ``slop`` words of one document, in any order."""
     plan = [(sorted(set(w), key=lambda t: (counts.get(t, 0), t)), len(w) + slop, names) for w, names in items.items() if all(counts.get(t) for t in w)]
 
     def find(row):
-        lists, starts = _lists(row), np.asarray(row["starts"])
+        lists, starts = _lists(row, vocabulary), np.asarray(row["starts"])
         for terms, span, names in plan:
             if any(t not in lists for t in terms):
                 continue
@@ -217,20 +236,26 @@ def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
 
     With ``slop`` whole items are looked for by proximity, else windows as exact phrases.
     """
-    spark = ship(docs.sparkSession)
-    base, found = shared_dir(spark), []
-    for number, chunk in enumerate(_chunks(items, item, item_text)):
-        vocabulary = Vocabulary()
+    index = build_index(docs, f"{shared_dir(docs.sparkSession)}/index", key, text)
+    return search_index(index, items, item, item_text, window, slop)
+
+
+def search_index(index: DataFrame, items: DataFrame, item: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int | None = None) -> DataFrame:
+    """``search`` on a stored index."""
+    ship(index.sparkSession)
+    found = []
+    for chunk in _chunks(items, item, item_text):
+        vocabulary = Numbers()
         wanted: dict[tuple[int, ...], set[str]] = defaultdict(set)
         for name, own in chunk:
-            terms = [vocabulary.setdefault(w, len(vocabulary)) for w in own]
+            terms = [vocabulary[w] for w in own]
             size = len(terms) if slop is not None else min(window, len(terms))
             for i in range(len(terms) - size + 1):
                 wanted[tuple(terms[i : i + size])].add(name)
         wanted = {w: tuple(sorted(names)) for w, names in wanted.items()}
-        index = build_index(docs, vocabulary, f"{base}/index-{number}", key, text)
-        counts = term_counts(index)
-        found.append(phrase_hits(index, wanted, counts) if slop is None else proximity_hits(index, wanted, counts, slop))
+        asked = dict(vocabulary)
+        counts = term_counts(index, asked)
+        found.append(phrase_hits(index, asked, wanted, counts) if slop is None else proximity_hits(index, asked, wanted, counts, slop))
     if len(found) == 1:
         return found[0].drop("block", "place")
     every = found[0]

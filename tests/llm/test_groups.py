@@ -194,6 +194,14 @@ def test_proximity(spark, make):
     assert {r.doc_id for r in decontaminate.search(docs, items, slop=2).collect() if r.items} == {1, 4}
 
 
+def test_one_index_for_many_test_sets(spark, make):
+    """The index knows no test set; phrases and proximity are asked of it later."""
+    docs = make([(1, "one two three four"), (2, "four three two one"), (3, None)])
+    index = decontaminate.build_index(docs, f"{shared_dir(spark)}/index")
+    ask = lambda text, **how: {r.doc_id for r in decontaminate.search_index(index, spark.createDataFrame([(1, text)], "item_id long, text string"), **how).collect() if r.items}
+    assert ask("two three") == {1} and ask("three two") == {2} and ask("five") == set() and ask("three two", slop=0) == {1, 2}
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
     from evigrid.llm import toxicity

@@ -8,8 +8,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows are whole texts, so batches to Python workers are kept short; a setting of the user stands.
+#: Rows are whole texts or blocks of an index, so batches to Python workers are bounded by rows and by bytes; a setting of the user stands.
 ROWS, DEFAULT_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+BYTES, DEFAULT_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864", str(4 << 20)
+#: Large freed blocks of a worker go back to the system, so a reused worker does not hold what an earlier stage needed.
+ALLOCATOR = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -22,8 +25,12 @@ def ship(spark: SparkSession) -> SparkSession:
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(p for p in (ROOT, env.get("PYTHONPATH", "")) if p)
+    for name, value in ALLOCATOR.items():
+        env.setdefault(name, value)
     if spark.conf.get(ROWS) == DEFAULT_ROWS:
         spark.conf.set(ROWS, BATCH_ROWS)
+    if spark.conf.get(BYTES).rstrip("b") == DEFAULT_BYTES:
+        spark.conf.set(BYTES, BATCH_BYTES)
     return spark
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from evigrid import params as P
+from evigrid.functions import text as T
 
 
 def fold_events(events: DataFrame) -> DataFrame:
@@ -22,14 +23,18 @@ def message_parts(events: DataFrame) -> DataFrame:
 
 
 def contract_checks(events: DataFrame) -> DataFrame:
-    """One row a stream: starts, ends, a citation before the text, a second emission after it, no id on status."""
+    """One row a stream: starts, ends, a citation before the text, a second emission after it, no id on status,
+    and no marker in the text without an emitted citation, figure or table (ids end in their marker)."""
     at = lambda t, f: f(F.when(F.col("type") == t, F.col("seq")))
     s = events.groupBy("stream_id").agg(
         F.min("seq").alias("lo"), F.max("seq").alias("hi"), at("start", F.min).alias("start"), at("finish", F.max).alias("finish"), at("citation", F.min).alias("c1"), at("citation", F.max).alias("c2"),
         at("text-start", F.min).alias("t1"), at("text-end", F.max).alias("t2"), F.count_if((F.col("type") == "status") & F.col("id").isNotNull()).alias("bad"),
+        F.collect_set(F.when(F.col("type").isin("citation", "figure", "table"), F.substring_index("id", "-", -1))).alias("emitted"),
+        F.array_sort(F.collect_list(F.when(F.col("type") == "text-delta", F.struct("seq", "payload")))).alias("deltas"),
     )
     ok = lambda c: F.coalesce(c, F.lit(False))
-    return s.select("stream_id", ok(F.col("lo") == F.col("start")).alias("starts"), ok(F.col("hi") == F.col("finish")).alias("ends"), ok(F.col("c1") < F.col("t1")).alias("cites_first"), ok(F.col("c2") > F.col("t2")).alias("reemits"), (F.col("bad") == 0).alias("status_bare"))
+    used = T.markers(F.array_join(F.transform("deltas", lambda d: d["payload"]), ""))
+    return s.select("stream_id", ok(F.col("lo") == F.col("start")).alias("starts"), ok(F.col("hi") == F.col("finish")).alias("ends"), ok(F.col("c1") < F.col("t1")).alias("cites_first"), ok(F.col("c2") > F.col("t2")).alias("reemits"), (F.col("bad") == 0).alias("status_bare"), (F.size(F.array_except(used, "emitted")) == 0).alias("used_emitted"))
 
 
 def fixed_window(requests: DataFrame, limit: int = P.RATE_MESSAGES, seconds: int = P.RATE_WINDOW_S) -> DataFrame:
@@ -43,7 +48,7 @@ def fixed_window(requests: DataFrame, limit: int = P.RATE_MESSAGES, seconds: int
 
 
 def estimate_cost(messages: DataFrame) -> DataFrame:
-    """Adds ``cost``: tokens by the model's price, unknown models at the highest, a flat sum without counts."""
+    """Adds ``cost``: tokens by the model's price, unknown models at the highest, a flat sum without counts; nothing for a failed answer."""
     spark = messages.sparkSession
     prices = spark.createDataFrame([(m, a, b) for m, (a, b) in P.PRICES.items()], "model string, price_in double, price_out double")
     top_in, top_out = (max(p[i] for p in P.PRICES.values()) for i in (0, 1))
@@ -51,7 +56,8 @@ def estimate_cost(messages: DataFrame) -> DataFrame:
     tokens = lambda c: F.coalesce(F.col(c), F.lit(0)) / 1000.0
     cost = tokens("prompt_tokens") * F.coalesce("price_in", F.lit(top_in)) + tokens("completion_tokens") * F.coalesce("price_out", F.lit(top_out))
     none = F.col("prompt_tokens").isNull() & F.col("completion_tokens").isNull()
-    return known.withColumn("cost", F.when(none, P.FLAT_COST_USD).otherwise(cost)).drop("price_in", "price_out")
+    failed = F.coalesce(F.col("finish_reason") == "error", F.lit(False)) if "finish_reason" in messages.columns else F.lit(False)
+    return known.withColumn("cost", F.when(failed, 0.0).when(none, P.FLAT_COST_USD).otherwise(cost)).drop("price_in", "price_out")
 
 
 #: Seconds of one slice of a day.

@@ -13,8 +13,11 @@ from evigrid.sources.fixtures import with_sql
 
 
 @query(with_sql("docs", "SELECT document_id, project_id, title FROM docs WHERE NOT deleted ORDER BY document_id DESC"))
-def list_documents(spark, sf_dir):
-    return X.docs(spark, sf_dir).where("not deleted").select("document_id", "project_id", "title").orderBy(F.desc("document_id"))
+def list_documents(spark, sf_dir, project: str | None = None):
+    """Live documents, newest first, of one project where it is given."""
+    d = X.docs(spark, sf_dir)
+    d = d if project is None else d.where(F.col("project_id") == project)
+    return d.where("not deleted").select("document_id", "project_id", "title").orderBy(F.desc("document_id"))
 
 
 @query(with_sql("figures", "SELECT figure_id, width, height, bytes FROM figures WHERE width >= 150 AND height >= 150 AND greatest(width, height) / greatest(1, least(width, height)) <= 8 AND bytes >= 5120"))
@@ -53,15 +56,17 @@ def _edges(spark, sf_dir):
 _GONE = "SELECT document_id FROM docs WHERE deleted"
 
 
-@query(with_sql("docs figures", "SELECT 'edges' AS kind, count(*) AS n FROM e WHERE a NOT IN (SELECT * FROM gone) AND b NOT IN (SELECT * FROM gone) UNION ALL SELECT 'figures', count(*) FROM figures WHERE document_id NOT IN (SELECT * FROM gone) UNION ALL SELECT 'chunks', count(*) FROM docs WHERE NOT deleted", gone=_GONE, e="SELECT figure_id % 150 AS a, figure_id, document_id AS b FROM figures"))
+@query(with_sql("docs figures points", "SELECT 'edges' AS kind, count(*) AS n FROM e WHERE a NOT IN (SELECT * FROM gone) AND b NOT IN (SELECT * FROM gone) UNION ALL SELECT 'figures', count(*) FROM figures WHERE document_id NOT IN (SELECT * FROM gone) UNION ALL SELECT 'chunks', count(*) FROM docs WHERE NOT deleted UNION ALL SELECT 'tables', count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey NOT IN (SELECT * FROM gone) UNION ALL SELECT 'points', count(*) FROM points WHERE point_id NOT IN (SELECT * FROM gone)", gone=_GONE, e="SELECT figure_id % 150 AS a, figure_id, document_id AS b FROM figures"))
 def cascade_delete_document(spark, sf_dir):
-    """Edges go by chunk or by figure: two anti joins; then figures and chunks."""
+    """Points go first, then edges by chunk or by figure (two anti joins), then chunks, figures and tables."""
     d = X.docs(spark, sf_dir)
     gone = d.where("deleted").select("document_id")
     edges = _edges(spark, sf_dir).join(gone.withColumnRenamed("document_id", "chunk_document"), "chunk_document", "left_anti").join(gone.withColumnRenamed("document_id", "figure_document"), "figure_document", "left_anti")
     figs, chunks = X.figures(spark, sf_dir).join(gone, "document_id", "left_anti"), d.join(gone, "document_id", "left_anti")
+    points = X.points(spark, sf_dir).join(gone.withColumnRenamed("document_id", "point_id"), "point_id", "left_anti")
+    tables = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id")).distinct().join(gone, "document_id", "left_anti")
     n = lambda df, k: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n")
-    return n(edges, "edges").unionByName(n(figs, "figures")).unionByName(n(chunks, "chunks"))
+    return n(edges, "edges").unionByName(n(figs, "figures")).unionByName(n(chunks, "chunks")).unionByName(n(tables, "tables")).unionByName(n(points, "points"))
 
 
 @query(with_sql("docs", "SELECT document_id, project_id FROM docs WHERE project_id NOT IN ('src1', 'src7')"))
@@ -71,10 +76,27 @@ def cascade_delete_project(spark, sf_dir):
     return d.join(F.broadcast(gone), "project_id", "left_anti").select("document_id", "project_id")  # the stated projects, two rows
 
 
-@query("SELECT user_id AS document_id, CAST(coalesce(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)), 0) AS BIGINT) AS used, count(*) AS attempts FROM events GROUP BY user_id")
+_LOG = "attempt int, usage struct<k:bigint>, failed_step string, step_timings_ms struct<parse:bigint,embed:bigint>, config_snapshot struct<model:string>"
+
+
+@query(f"""SELECT document_id, CAST(coalesce(sum(k), 0) AS BIGINT) AS used, count(*) AS attempts, count(step) AS failed, arg_max(step, event_id) FILTER (step IS NOT NULL) AS last_failed_step,
+    CAST(sum(event_id % 500) AS BIGINT) AS parse_ms, CAST(coalesce(sum(k * 10), 0) AS BIGINT) AS embed_ms, '{P.EMBEDDING_MODEL}' AS model
+    FROM (SELECT user_id AS document_id, event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN event_type = 'error' THEN CASE event_id % 3 WHEN 0 THEN 'parse' WHEN 1 THEN 'chunk' ELSE 'embed' END END AS step FROM events) GROUP BY document_id""")
 def ingestion_job_log(spark, sf_dir):
-    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), F.to_json(F.struct(F.lit(1).alias("attempt"), F.get_json_object("props", "$.k").cast("long").alias("k"))).alias("usage"))
-    return log.groupBy("document_id").agg(F.coalesce(F.sum(F.get_json_object("usage", "$.k").cast("long")), F.lit(0)).alias("used"), F.count(F.lit(1)).alias("attempts"))
+    """One JSON record an attempt (usage, failed step, timings, settings), read back and summed by document."""
+    k, step = F.get_json_object("props", "$.k").cast("long"), F.element_at(F.array(F.lit("parse"), F.lit("chunk"), F.lit("embed")), (F.col("event_id") % 3 + 1).cast("int"))
+    record = F.struct(
+        F.lit(1).alias("attempt"), F.struct(k.alias("k")).alias("usage"), F.when(F.col("event_type") == "error", step).alias("failed_step"),
+        F.struct((F.col("event_id") % 500).alias("parse"), (k * 10).alias("embed")).alias("step_timings_ms"), F.struct(F.lit(P.EMBEDDING_MODEL).alias("model")).alias("config_snapshot"),
+    )
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), "event_id", F.to_json(record).alias("record"))
+    r = log.select("document_id", "event_id", F.from_json("record", _LOG).alias("r")).select("document_id", "event_id", "r.*")
+    failed = F.when(F.col("failed_step").isNotNull(), F.col("event_id"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return r.groupBy("document_id").agg(
+        total("usage.k").alias("used"), F.count(F.lit(1)).alias("attempts"), F.count("failed_step").alias("failed"), F.max_by("failed_step", failed).alias("last_failed_step"),
+        total("step_timings_ms.parse").alias("parse_ms"), total("step_timings_ms.embed").alias("embed_ms"), F.max("config_snapshot.model").alias("model"),
+    )
 
 
 @query(with_sql("docs points", "SELECT project_id, point_id AS document_id, count(*) AS n FROM points GROUP BY ALL"))

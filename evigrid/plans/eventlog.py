@@ -23,14 +23,15 @@ def gen_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, _TYPES)), (at + 1).cast("int"))
     kind = F.when((F.col("u") % 9 == 0) & (at == 8), "notice").otherwise(kind)
     ident = F.when(kind == "citation", F.concat(F.lit("cit-C"), F.when(at == 3, "2").otherwise("1")))
-    payload = F.when(kind == "text-delta", F.concat(F.lit("w"), at.cast("string"), F.lit(" "))).when(kind == "citation", F.when(at == 8, "grounded").otherwise("pending"))
+    cited = F.when(at == 6, F.when(F.col("u") % 7 == 0, "[C9] ").otherwise("[C1] ")).otherwise("")
+    payload = F.when(kind == "text-delta", F.concat(F.lit("w"), at.cast("string"), F.lit(" "), cited)).when(kind == "citation", F.when(at == 8, "grounded").otherwise("pending"))
     return rows.select(stream.alias("stream_id"), at.alias("seq"), "ts", kind.alias("type"), ident.alias("id"), payload.alias("payload"))
 
 
 _GEN = dict(
     g0="SELECT user_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS s, ts FROM events",
-    g1=f"SELECT CAST(u AS VARCHAR) || '-' || CAST(s // 10 AS VARCHAR) AS stream_id, s % 10 AS seq, ts, CASE WHEN u % 9 = 0 AND s % 10 = 8 THEN 'notice' ELSE {_TYPES}[CAST(s % 10 + 1 AS INT)] END AS type FROM g0",
-    ge="SELECT *, CASE WHEN type = 'citation' THEN 'cit-C' || CASE WHEN seq = 3 THEN '2' ELSE '1' END END AS id, CASE WHEN type = 'text-delta' THEN 'w' || CAST(seq AS VARCHAR) || ' ' WHEN type = 'citation' THEN CASE WHEN seq = 8 THEN 'grounded' ELSE 'pending' END END AS payload FROM g1",
+    g1=f"SELECT u, CAST(u AS VARCHAR) || '-' || CAST(s // 10 AS VARCHAR) AS stream_id, s % 10 AS seq, ts, CASE WHEN u % 9 = 0 AND s % 10 = 8 THEN 'notice' ELSE {_TYPES}[CAST(s % 10 + 1 AS INT)] END AS type FROM g0",
+    ge="SELECT *, CASE WHEN type = 'citation' THEN 'cit-C' || CASE WHEN seq = 3 THEN '2' ELSE '1' END END AS id, CASE WHEN type = 'text-delta' THEN 'w' || CAST(seq AS VARCHAR) || ' ' || CASE WHEN seq <> 6 THEN '' WHEN u % 7 = 0 THEN '[C9] ' ELSE '[C1] ' END WHEN type = 'citation' THEN CASE WHEN seq = 8 THEN 'grounded' ELSE 'pending' END END AS payload FROM g1",
     fold="SELECT stream_id, type, id, arg_max(payload, seq) AS payload, min(seq) AS pos FROM ge WHERE id IS NOT NULL GROUP BY stream_id, type, id",
 )
 
@@ -45,16 +46,37 @@ def message_parts(spark, sf_dir):
     return E.message_parts(gen_events(spark, sf_dir))
 
 
+_MK = P.MARKER.replace("\\s", "[ \\t]").replace("\\d", "[0-9]")
+_USED = dict(
+    tx="SELECT stream_id, string_agg(payload, '' ORDER BY seq) FILTER (type = 'text-delta') AS t, list(DISTINCT replace(id, 'cit-', '')) FILTER (type = 'citation') AS emitted FROM ge GROUP BY stream_id",
+    us=f"SELECT stream_id, len(list_filter(flatten(list_transform(regexp_extract_all(t, '{_MK}', 1), lambda g: list_transform(string_split(g, ','), lambda x: trim(x)))), lambda m: NOT list_contains(coalesce(emitted, CAST([] AS VARCHAR[])), m))) = 0 AS fine FROM tx",
+)
+
+
 @query(with_sql("", """SELECT stream_id, coalesce(min(seq) = min(seq) FILTER (type = 'start'), false) AS starts, coalesce(max(seq) = max(seq) FILTER (type = 'finish'), false) AS ends, coalesce(min(seq) FILTER (type = 'citation') < min(seq) FILTER (type = 'text-start'), false) AS cites_first,
-    coalesce(max(seq) FILTER (type = 'citation') > max(seq) FILTER (type = 'text-end'), false) AS reemits, count(*) FILTER (type = 'status' AND id IS NOT NULL) = 0 AS status_bare FROM ge GROUP BY stream_id""", **_GEN))
+    coalesce(max(seq) FILTER (type = 'citation') > max(seq) FILTER (type = 'text-end'), false) AS reemits, count(*) FILTER (type = 'status' AND id IS NOT NULL) = 0 AS status_bare, coalesce(any_value(fine), true) AS used_emitted FROM ge LEFT JOIN us USING (stream_id) GROUP BY stream_id""", **_GEN, **_USED))
 def stream_contract_checks(spark, sf_dir):
     return E.contract_checks(gen_events(spark, sf_dir))
 
 
-@query(with_sql("", "SELECT stream_id, floor(epoch(min(ts) FILTER (type = 'text-delta')))::BIGINT - floor(epoch(min(ts) FILTER (type = 'start')))::BIGINT AS ttft_s, floor(epoch(max(ts)))::BIGINT - floor(epoch(min(ts)))::BIGINT AS total_s FROM ge GROUP BY stream_id", **_GEN))
+_LATENCY = "SELECT stream_id, floor(epoch(min(ts) FILTER (type = 'text-delta')))::BIGINT - floor(epoch(min(ts) FILTER (type = 'start')))::BIGINT AS ttft_s, floor(epoch(max(ts)))::BIGINT - floor(epoch(min(ts)))::BIGINT AS total_s, CAST(coalesce(sum(length(payload)) FILTER (type = 'text-delta'), 0) // 4 AS BIGINT) AS tokens FROM ge GROUP BY stream_id"
+
+
+@query(with_sql("", _LATENCY, **_GEN))
 def latency_metrics(spark, sf_dir):
+    """Seconds to the first delta and in all, and the tokens of the text, by stream."""
     first = lambda t: F.unix_timestamp(F.min(F.when(F.col("type") == t, F.col("ts"))))
-    return gen_events(spark, sf_dir).groupBy("stream_id").agg((first("text-delta") - first("start")).alias("ttft_s"), (F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))).alias("total_s"))
+    return gen_events(spark, sf_dir).groupBy("stream_id").agg(
+        (first("text-delta") - first("start")).alias("ttft_s"), (F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))).alias("total_s"),
+        F.floor(F.coalesce(F.sum(F.when(F.col("type") == "text-delta", F.length("payload"))), F.lit(0)) / 4).cast("long").alias("tokens"),
+    )
+
+
+@query(with_sql("", "SELECT round(quantile_cont(ttft_s, 0.5), 6) AS ttft_p50, round(quantile_cont(ttft_s, 0.95), 6) AS ttft_p95, round(quantile_cont(total_s, 0.5), 6) AS total_p50, round(quantile_cont(total_s, 0.95), 6) AS total_p95, CAST(sum(tokens) AS BIGINT) AS tokens FROM la", **_GEN, la=_LATENCY))
+def latency_summary(spark, sf_dir):
+    """Exact quantiles over all streams; partial states count distinct whole seconds, not streams."""
+    q = lambda c, p: F.round(F.percentile(c, p), 6)
+    return latency_metrics(spark, sf_dir).agg(q("ttft_s", 0.5).alias("ttft_p50"), q("ttft_s", 0.95).alias("ttft_p95"), q("total_s", 0.5).alias("total_p50"), q("total_s", 0.95).alias("total_p95"), F.sum("tokens").alias("tokens"))
 
 
 _WIN = f"SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM requests"
@@ -79,7 +101,7 @@ def daily_spend(spark, sf_dir):
     return X.requests(spark, sf_dir).where("cost > 0").groupBy(F.to_date("ts").alias("day")).agg(F.round(F.sum("cost"), 4).alias("spent"))
 
 
-_COST = "CASE WHEN prompt_tokens IS NULL AND completion_tokens IS NULL THEN 0.01::DOUBLE ELSE coalesce(prompt_tokens, 0) / 1000.0::DOUBLE * CASE model WHEN 'gpt-4o-mini' THEN 0.00015::DOUBLE ELSE 0.00027::DOUBLE END + coalesce(completion_tokens, 0) / 1000.0::DOUBLE * CASE model WHEN 'gpt-4o-mini' THEN 0.0006::DOUBLE ELSE 0.0011::DOUBLE END END"
+_COST = "CASE WHEN finish_reason = 'error' THEN 0.0::DOUBLE WHEN prompt_tokens IS NULL AND completion_tokens IS NULL THEN 0.01::DOUBLE ELSE coalesce(prompt_tokens, 0) / 1000.0::DOUBLE * CASE model WHEN 'gpt-4o-mini' THEN 0.00015::DOUBLE ELSE 0.00027::DOUBLE END + coalesce(completion_tokens, 0) / 1000.0::DOUBLE * CASE model WHEN 'gpt-4o-mini' THEN 0.0006::DOUBLE ELSE 0.0011::DOUBLE END END"
 
 
 @query(with_sql("messages", f"SELECT conv_id, turn, round({_COST}, 9) AS cost FROM messages"))

@@ -100,33 +100,44 @@ def context_block(spark, sf_dir):
 
 _MEDIA = dict(
     fig="SELECT qid, figure_id, coalesce(caption, 'Figure') AS label, row_number() OVER (PARTITION BY qid ORDER BY min(rank), figure_id) AS n FROM kept JOIN figures f ON f.document_id = kept.point_id WHERE has_image GROUP BY qid, figure_id, caption",
+    tab="SELECT qid, table_id, coalesce(caption, 'Table') AS label, markdown, row_number() OVER (PARTITION BY qid ORDER BY rank, table_id) AS n FROM kept JOIN table_text t ON t.table_id = kept.point_id",
+    media="SELECT qid, 'figure' AS kind, CAST(figure_id AS BIGINT) AS id, 'F' || CAST(n AS VARCHAR) AS marker, label, '' AS body, n FROM fig WHERE n <= 4 UNION ALL SELECT qid, 'table', table_id, 'T' || CAST(n AS VARCHAR), label, chr(10) || markdown, n FROM tab",
 )
+_FROM = "docs golden scope figures table_text"
 
 
 def _media(spark, sf_dir, kept: DataFrame | None = None) -> DataFrame:
-    """Figures of kept documents, those with an image only, numbered by first appearance, at most four."""
+    """Figures (with an image, at most four) and tables of kept documents, each numbered by first appearance."""
     k = (Run(spark, sf_dir).kept() if kept is None else kept).select("qid", F.col("point_id").alias("document_id"), "rank")
-    f = k.join(X.figures(spark, sf_dir).where("has_image"), "document_id").groupBy("qid", "figure_id").agg(F.min("rank").alias("r"), F.first("caption").alias("caption"))
-    n = F.row_number().over(Window.partitionBy("qid").orderBy("r", "figure_id"))
-    return f.withColumn("n", n).where(F.col("n") <= P.MAX_FIGURES).select("qid", "figure_id", F.concat(F.lit("F"), F.col("n").cast("string")).alias("marker"), F.coalesce("caption", F.lit("Figure")).alias("label"), F.col("n").cast("long").alias("n"))
+    f = k.join(X.figures(spark, sf_dir).where("has_image"), "document_id").groupBy("qid", F.col("figure_id").cast("long").alias("id")).agg(F.min("rank").alias("rank"), F.first("caption").alias("caption"))
+    t = k.join(X.table_text(spark, sf_dir).withColumn("document_id", F.col("table_id")), "document_id")
+    n = F.row_number().over(Window.partitionBy("qid").orderBy("rank", "id")).cast("long")
+    of = lambda df, kind, body: df.withColumn("n", n).select(
+        "qid", F.lit(kind).alias("kind"), "id", F.concat(F.lit(kind[0].upper()), F.col("n").cast("string")).alias("marker"), F.coalesce("caption", F.lit(kind.capitalize())).alias("label"), body.alias("body"), "n"
+    )
+    return of(f, "figure", F.lit("")).where(F.col("n") <= P.MAX_FIGURES).unionByName(of(t.withColumnRenamed("table_id", "id"), "table", F.concat(F.lit("\n"), "markdown")))
 
 
-@query(with_sql("docs golden scope figures", "SELECT qid, figure_id, 'F' || CAST(n AS VARCHAR) AS marker, label FROM fig WHERE n <= 4", **STEPS, **_MEDIA))
+@query(with_sql(_FROM, "SELECT qid, kind, id, marker, label FROM media", **STEPS, **_MEDIA))
 def hydrate_media(spark, sf_dir):
-    return _media(spark, sf_dir).drop("n")
+    return _media(spark, sf_dir).drop("n", "body")
 
 
-@query(with_sql("docs golden scope figures", "SELECT qid, '<figures>' || chr(10) || string_agg('<figure id=\"F' || CAST(n AS VARCHAR) || '\">' || " + _ESC.format("label") + " || '</figure>', chr(10) ORDER BY n) || chr(10) || '</figures>' AS block FROM fig WHERE n <= 4 GROUP BY qid", **STEPS, **_MEDIA))
+@query(with_sql(_FROM, "SELECT qid, string_agg('<' || kind || 's>' || chr(10) || lines || chr(10) || '</' || kind || 's>', chr(10) ORDER BY kind) AS block FROM (SELECT qid, kind, string_agg('<' || kind || ' id=\"' || marker || '\">' || " + _ESC.format("label || body") + " || '</' || kind || '>', chr(10) ORDER BY n) AS lines FROM media GROUP BY qid, kind) GROUP BY qid", **STEPS, **_MEDIA))
 def media_block(spark, sf_dir):
-    line = F.concat(F.lit('<figure id="'), "marker", F.lit('">'), T.escape(F.col("label")), F.lit("</figure>"))
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("t")))), lambda x: x["t"]), "\n")
-    return _media(spark, sf_dir).groupBy("qid").agg(F.concat(F.lit("<figures>\n"), lines, F.lit("\n</figures>")).alias("block"))
+    """Figures, then tables with their rows, as one block a question."""
+    line = F.concat(F.lit("<"), "kind", F.lit(' id="'), "marker", F.lit('">'), T.escape(F.concat("label", "body")), F.lit("</"), "kind", F.lit(">"))
+    join = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["t"]), "\n")
+    parts = _media(spark, sf_dir).groupBy("qid", "kind").agg(join(F.struct("n", line.alias("t"))).alias("lines"))
+    whole = F.concat(F.lit("<"), "kind", F.lit("s>\n"), "lines", F.lit("\n</"), "kind", F.lit("s>"))
+    return parts.groupBy("qid").agg(join(F.struct("kind", whole.alias("t"))).alias("block"))
 
 
-@query(with_sql("docs golden scope figures", "SELECT qid, figure_id, CASE WHEN marker IN (SELECT marker FROM used u WHERE u.qid = f.qid) THEN 'cited' ELSE 'candidate' END AS display FROM (SELECT qid, figure_id, 'F' || CAST(n AS VARCHAR) AS marker FROM fig WHERE n <= 4) f", **STEPS, **_MEDIA))
+@query(with_sql(_FROM, "SELECT m.qid, kind, id, CASE WHEN u.marker IS NOT NULL THEN 'cited' ELSE 'candidate' END AS display FROM media m LEFT JOIN used u ON u.qid = m.qid AND u.marker = m.marker", **STEPS, **_MEDIA))
 def promote_media(spark, sf_dir):
-    u = Answered(spark, sf_dir).used().select("qid", "marker", F.lit("cited").alias("c"))
-    return _media(spark, sf_dir).join(u, ["qid", "marker"], "left").select("qid", "figure_id", F.coalesce("c", F.lit("candidate")).alias("display"))
+    a = Answered(spark, sf_dir)
+    u = a.used().select("qid", "marker", F.lit("cited").alias("c"))
+    return _media(spark, sf_dir, a.kept).join(u, ["qid", "marker"], "left").select("qid", "kind", "id", F.coalesce("c", F.lit("candidate")).alias("display"))
 
 
 @query(sql("SELECT qid, marker, place FROM used"))
@@ -185,11 +196,11 @@ def quote_verbatim(spark, sf_dir):
 
 
 @query(with_sql(
-    "docs golden scope figures", "SELECT left(marker, 1) = 'C' AS text_kind, count(*) AS used, count(*) FILTER (a.k IS NOT NULL) AS valid FROM used u LEFT JOIN emitted a ON a.qid = u.qid AND a.k = u.marker GROUP BY 1",
-    **STEPS, **_MEDIA, emitted="SELECT qid, marker AS k FROM anc UNION ALL SELECT qid, 'F' || CAST(n AS VARCHAR) FROM fig WHERE n <= 4",
+    _FROM, "SELECT left(marker, 1) = 'C' AS text_kind, count(*) AS used, count(*) FILTER (a.k IS NOT NULL) AS valid FROM used u LEFT JOIN emitted a ON a.qid = u.qid AND a.k = u.marker GROUP BY 1",
+    **STEPS, **_MEDIA, emitted="SELECT qid, marker AS k FROM anc UNION ALL SELECT qid, marker FROM media",
 ))
 def id_validity(spark, sf_dir):
-    """Used markers of both kinds against those emitted: anchors of chunks and of figures."""
+    """Used markers of both kinds against those emitted: anchors of chunks, figures and tables."""
     a = Answered(spark, sf_dir)
     known = a.anchors().select("qid", "marker").unionByName(_media(spark, sf_dir, a.kept).select("qid", "marker")).withColumn("k", F.lit(1))
     return a.used().join(known, ["qid", "marker"], "left").groupBy(F.col("marker").startswith("C").alias("text_kind")).agg(F.count(F.lit(1)).alias("used"), F.count("k").alias("valid"))

@@ -12,11 +12,11 @@ from evigrid.sources import fixtures as X
 from evigrid.sources.fixtures import with_sql
 
 
-def _streamed(spark, df, form, files=4):
+def _streamed(spark, df, form, files=4, mode="complete"):
     """Write the rows as a few files and read them one file a trigger."""
     base = shared_dir(spark)
     df.repartition(files).write.parquet(f"{base}/in")
-    return S.run_to_end(form(S.read(spark, f"{base}/in", df.schema)), base)
+    return S.run_to_end(form(S.read(spark, f"{base}/in", df.schema)), base, mode)
 
 
 @query(with_sql("requests", "SELECT client, sec // 86400 * 86400 AS start, count(*) AS n FROM (SELECT client, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM requests) GROUP BY ALL"))
@@ -37,3 +37,18 @@ def stream_current_status(spark, sf_dir):
 @query(with_sql("", "SELECT * FROM fold", **_GEN))
 def stream_fold_events(spark, sf_dir):
     return _streamed(spark, gen_events(spark, sf_dir).drop("ts"), S.fold_events)
+
+
+@query(with_sql("requests", "SELECT client, sec // 86400 * 86400 AS start, count(*) AS n, least(count(*), 3) AS allowed FROM (SELECT client, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM requests) GROUP BY 1, 2"))
+def stream_rate_decisions(spark, sf_dir):
+    """A decision for each request as it comes; what does not depend on the order of arrival is counted."""
+    rows = _streamed(spark, X.requests(spark, sf_dir).select("client", "event_id", "ts"), lambda s: S.rate_decisions(s, 3, 86_400), mode="append")
+    return rows.groupBy("client", "start").agg(F.count(F.lit(1)).alias("n"), F.count_if("allowed").alias("allowed"))
+
+
+@query(with_sql("doc_upload", "SELECT DISTINCT project_id, sha256(content) AS file_sha256 FROM doc_upload"))
+def stream_dedup_upload(spark, sf_dir):
+    """One upload of each project and hash; stamps lie within one day, so the watermark keeps all of them in state."""
+    stamp = F.timestamp_seconds(1_700_000_000 + F.col("document_id") % 86_400)
+    rows = X.doc_upload(spark, sf_dir).select("project_id", F.sha2("content", 256).alias("file_sha256"), stamp.alias("ts"))
+    return _streamed(spark, rows, S.dedup_upload, mode="append").select("project_id", "file_sha256")

@@ -86,6 +86,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(
         "conv_id", (c % 20).alias("project_id"), "turn", "role", F.when(F.col("role") == "assistant", F.concat(F.coalesce("text", F.lit("")), F.lit(" [C1]"))).otherwise(F.coalesce("text", F.lit(""))).alias("text"),
         known.alias("model"), tokens.alias("prompt_tokens"), tokens.alias("completion_tokens"), (c % 23 == 0).alias("deleted"),
+        F.when(c % 29 == 0, "error").otherwise("stop").alias("finish_reason"),
     )
 
 
@@ -124,7 +125,8 @@ SQL = {
         '| name | key |' || chr(10) || CASE WHEN l_orderkey % 5 <> 4 THEN '| --- | ---: |' || chr(10) ELSE '' END || string_agg('| part ' || CAST(l_partkey AS VARCHAR) || CASE WHEN l_orderkey % 5 <> 3 THEN ' | ' || CAST(l_linenumber AS VARCHAR) ELSE '' END || ' |', chr(10) ORDER BY l_linenumber, l_partkey) AS markdown FROM lineitem GROUP BY l_orderkey""",
     "messages": """SELECT conv_id, conv_id % 20 AS project_id, turn, role, CASE WHEN role = 'assistant' THEN coalesce(text, '') || ' [C1]' ELSE coalesce(text, '') END AS text,
         CASE conv_id % 3 WHEN 0 THEN 'deepseek-chat' WHEN 1 THEN 'gpt-4o-mini' ELSE 'other-model' END AS model, CASE WHEN conv_id % 10 <> 0 THEN length(coalesce(text, '')) // 4 END AS prompt_tokens,
-        CASE WHEN conv_id % 10 <> 0 THEN length(coalesce(text, '')) // 4 END AS completion_tokens, conv_id % 23 = 0 AS deleted FROM conversations""",
+        CASE WHEN conv_id % 10 <> 0 THEN length(coalesce(text, '')) // 4 END AS completion_tokens, conv_id % 23 = 0 AS deleted,
+        CASE WHEN conv_id % 29 = 0 THEN 'error' ELSE 'stop' END AS finish_reason FROM conversations""",
     "requests": "SELECT event_id, user_id AS client, ts, round(value / 100, 6) AS cost FROM events",
     "status_log": "SELECT user_id AS document_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'processing' WHEN 'click' THEN 'text_ready' WHEN 'purchase' THEN 'full_ready' WHEN 'error' THEN 'failed' ELSE 'rejected' END AS status, ts FROM events",
     "points": f"""SELECT document_id AS point_id, project_id, CASE WHEN document_id % 37 = 0 THEN 'changed' ELSE sha256(content) END AS content_hash, CASE WHEN document_id % 41 = 0 THEN 'old-model' ELSE '{P.EMBEDDING_MODEL}' END AS embedding_model FROM docs WHERE document_id % 31 <> 0

@@ -8,7 +8,9 @@ rows on the same input once the stream has ended.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
 LATE = "40 days"
@@ -25,6 +27,36 @@ def window_counts(requests: DataFrame, seconds: int, late: str = LATE) -> DataFr
     return timed.groupBy("client", F.window("ts", f"{seconds} seconds").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("client", F.unix_timestamp("w.start").alias("start"), "n")
 
 
+def rate_decisions(requests: DataFrame, limit: int, seconds: int, late: str = LATE) -> DataFrame:
+    """Each request (client, event_id, ts) with its ordinal in (client, window), allowed or not, and the wait.
+
+    State is a count and the first second of a window; it goes once the watermark has
+    passed the window's end.  Requests of one trigger are taken in order of time, those of
+    later triggers after them, so places can differ from the batch form, numbers allowed never.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
+    timed = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).withColumn("sec", F.unix_timestamp("ts"))
+    keyed = timed.select("client", (F.floor(F.col("sec") / seconds) * seconds).cast("long").alias("start"), "event_id", "sec", "ts")
+
+    def decide(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, first = state.get if state.exists else (0, None)
+        for f in frames:
+            f = f.sort_values(["sec", "event_id"])
+            first = int(f["sec"].iloc[0]) if first is None and len(f) else first
+            place = pd.Series(range(n + 1, n + len(f) + 1), index=f.index, dtype="int64")
+            n += len(f)
+            wait = (first + seconds - f["sec"]).astype("Int64").where(place > limit) if len(f) else f["sec"].astype("Int64")
+            yield pd.DataFrame({"client": f["client"], "start": f["start"], "event_id": f["event_id"], "ordinal": place, "allowed": place <= limit, "retry_after": wait})
+        state.update((n, first))
+        state.setTimeoutTimestamp(max((int(key[1]) + seconds) * 1000, int(state.getCurrentWatermarkMs()) + 1))
+
+    out = f"client {kind['client']}, start long, event_id {kind['event_id']}, ordinal long, allowed boolean, retry_after long"
+    return keyed.groupBy("client", "start").applyInPandasWithState(decide, out, "n long, first long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def daily_spend(requests: DataFrame, late: str = LATE) -> DataFrame:
     timed = requests.where("cost > 0").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.groupBy(F.window("ts", "1 day").alias("w")).agg(F.round(F.sum("cost"), 4).alias("spent")).select(F.to_date("w.start").alias("day"), "spent")

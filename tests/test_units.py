@@ -79,6 +79,24 @@ def test_windows_and_costs(spark):
     assert sorted(round(x.cost, 6) for x in E.estimate_cost(m).collect()) == [0.00027, 0.00137, P.FLAT_COST_USD]
 
 
+def test_failed_answers_cost_nothing(spark):
+    m = spark.createDataFrame([("x", None, None, "error"), ("x", None, None, None)], "model string, prompt_tokens long, completion_tokens long, finish_reason string")
+    assert sorted(x.cost for x in E.estimate_cost(m).collect()) == [0.0, P.FLAT_COST_USD]
+
+
+def test_markers_without_emission(spark):
+    rows = [("a", 0, "start", None, None), ("a", 1, "citation", "cit-C1", "x"), ("a", 2, "text-delta", None, "w [C"), ("a", 3, "text-delta", None, "1, C2]"), ("b", 0, "text-delta", None, "w [C1]"), ("c", 0, "citation", "cit-C1", "x"), ("c", 1, "text-delta", None, "w [C1]"), ("d", 0, "start", None, None)]
+    e = spark.createDataFrame(rows, "stream_id string, seq long, type string, id string, payload string")
+    assert {r.stream_id: r.used_emitted for r in E.contract_checks(e).collect()} == {"a": False, "b": False, "c": True, "d": True}
+
+
+def test_questions_as_json_lines(spark, tmp_path):
+    from evigrid.sources.questions import read_golden
+
+    (tmp_path / "q.jsonl").write_text('{"id": "q1", "group": "g", "question": "what?", "expect": "answer", "gold_text_anchor": "a"}\n\n{"id": "q2", "group": "g", "question": "who?", "expect": "abstain"}\n')
+    assert [(r.qid, r.expect, r.anchor) for r in read_golden(spark, str(tmp_path / "q.jsonl")).orderBy("qid").collect()] == [("q1", "answer", "a"), ("q2", "abstain", None)]
+
+
 def test_library_without_training_operators():
     import evigrid.registry as r
 

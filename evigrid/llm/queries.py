@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from evigrid.session import shared_dir, ship, table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Where the public tokenizer lies; operators take the path as a parameter."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,15 @@ def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_kneser_ney, op3_toxicity, op4_warc, op5_quality_rules, op6_near_dup, op7_bpe_automaton, op8_pii, op9_sharding, op10_decontaminate)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evigrid.llm import alignment
+
+    ship(spark)
+    docs, both = table(spark, sf_dir, "documents"), (tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    return alignment.align(docs, alignment.pair_counts(docs, *both), *both).withColumnRenamed("key", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_kneser_ney, op3_toxicity, op4_warc, op5_quality_rules, op6_near_dup, op7_bpe_automaton, op8_pii, op9_sharding, op10_decontaminate, op11_token_alignment)}
 ORACLES: dict[str, str] = {
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS b FROM pages),

@@ -4,13 +4,14 @@
 it itself, so both cut the same bytes.  Offsets where tokens of both end cut the bytes into groups;
 a token of A and one of B in one group are linked.
 
-1. ``pair_counts``, first pass over the documents: each buffer of texts gives its distinct linked id
-   pairs with the number of its documents that hold them.
-2. Distinct pairs are dealt into shards of about ``SHARD_KEYS`` keys; a task builds the minimal perfect
+1. ``encode`` writes the ids of both sides, a row for each buffer of texts, equal words once.
+2. ``pair_counts``, first pass: each buffer gives its distinct linked id pairs with the number of its
+   documents that hold them.
+3. Distinct pairs are dealt into shards of about ``SHARD_KEYS`` keys; a task builds the minimal perfect
    hash of a shard and keeps its keys in hash order.
-3. Tasks add the counts of step 1 into dense vectors indexed by hash, after the key at that place is
+4. Tasks add the counts of step 2 into dense vectors indexed by hash, after the key at that place is
    verified; vectors are summed in a tree of ``FAN`` branches.
-4. ``align``, second pass: documents are aligned again and their pairs looked up.
+5. ``align``, second pass: documents are aligned again and their pairs looked up.
 
 What is broadcast is a group of shards of at most ``GROUP_KEYS`` keys (and a number for each id of A);
 with more keys, documents pass once for each group and their sums are carried along, so the result is
@@ -32,7 +33,7 @@ import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,8 @@ from evigrid.llm.perfect_hash import PerfectHash, shard_of
 from evigrid.session import ship, stored
 
 SHARD_KEYS, GROUP_KEYS, FAN = 1 << 17, 1 << 22, 16
-#: Words whose token ids a worker remembers, in each of two generations.
-REMEMBERED = 250_000
+#: Words whose token ids a worker remembers before it begins anew.
+REMEMBERED = 400_000
 #: Groups with more links than this are counted by distinct ids.
 LARGE = 1 << 10
 #: Characters that are encoded in one call.
@@ -76,67 +77,88 @@ class Tokenizers:
         self.bytes_b = [bytes([int(m[1], 16)]) if self.b.is_byte(i) and (m := _BYTE.match(p)) else p.replace(_BLANK, " ").encode() for i, p in enumerate(pieces)]
         self.len_a, self.len_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
         self.cuts = not any(_BLANK in p.lstrip(_BLANK) for p in pieces)  # else only whole texts are safe
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self._forget()
         digits = [b"%d" % i for i in range(max(len(spelt), len(pieces)))]
         self.digits = np.array([len(d) for d in digits])
         self.spelt = {c: np.array([d + c.encode() for d in digits]) for c in ",|;"}
 
-    def packed(self, keys: list[str]) -> list[bytes]:
-        """For each text (a blank before it is left out): number of A ids, A ids, B ids, as 32-bit numbers; -1 if they do not spell it."""
-        known, old = self.known, self.old
-        out = [known.get(k) for k in keys]
-        missing = []
-        for i, v in enumerate(out):
-            if v is None:
-                v = out[i] = old.get(keys[i])
-                if v is None:
-                    missing.append(i)
-                else:
-                    known[keys[i]] = v
-        for i, v in zip(missing, self._encode([keys[i] for i in missing])):
-            out[i] = v
-            if len(keys[i]) < 100:
-                known[keys[i]] = v
-        if len(known) > REMEMBERED:
-            self.old, self.known = known, {}
+    def _forget(self) -> None:
+        #: text without the blank before it -> its number; -1 tokens of A where they do not spell it
+        self.known: dict[str, int] = defaultdict(count().__next__)
+        self.a_ids, self.b_ids = _Rows(), _Rows()
+        self.good, self.spelling = np.empty(0, bool), []
+
+    def numbers(self, texts: list[str | None]) -> list[np.ndarray]:
+        """For each text the numbers of its words; all of them are encoded when this returns."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        known, before, out = self.known, len(self.known), []
+        for t in texts:
+            if not t:
+                out.append(np.empty(0, np.int64))
+            elif not self.cuts or t[0].isspace() or UNCUT.search(t):
+                out.append(np.array([known[t]]))
+            else:
+                pieces = t.split(" ")
+                out.append(np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces)))
+        self._encode(list(islice(known, before, None)))
+        self.good, self.spelling = np.concatenate([self.good, *self.spelling]), []
         return out
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        out: list = [b""] * len(texts)
-        held, size, lots = [], 0, []
-        for i, t in enumerate(texts):
-            if " " in t or t[0].isspace() or not self.cuts:
-                lots.append([i])
-                continue
-            held.append(i)
-            size += len(t)
-            if size >= TOGETHER:
-                lots.append(held)
-                held, size = [], 0
-        if held:
-            lots.append(held)
-        for lo in range(0, len(lots), 64):
-            some = lots[lo : lo + 64]
-            joined = [" " + " ".join([texts[i] for i in lot]) for lot in some]
-            ids_a = [x.ids for x in self.a.encode_batch_fast(joined, add_special_tokens=False)]
-            ids_b = self.b.encode([s[1:] for s in joined], num_threads=1)
-            for lot, s, a, b in zip(some, joined, ids_a, ids_b):
+    def _encode(self, texts: list[str]) -> None:
+        """Encode new texts, in order of their numbers."""
+        size = np.fromiter((len(t) if t.isascii() else len(t.encode()) for t in texts), np.int64, len(texts)) + 1
+        alone = [" " in t or t[0].isspace() or not self.cuts for t in texts]
+        lots, lo, chars = [], 0, 0
+        for i, x in enumerate(alone):
+            chars += size[i]
+            if x or chars >= TOGETHER or i + 1 == len(texts) or alone[i + 1]:
+                lots.append((lo, i + 1))
+                lo, chars = i + 1, 0
+        for at in range(0, len(lots), 64):
+            some = lots[at : at + 64]
+            joined = [" " + " ".join(texts[x:y]) for x, y in some]
+            a, b = self._both(joined)
+            for (x, y), s, one, two in zip(some, joined, a, b):
                 spelt = s.encode()
-                if b"".join(map(self.bytes_a.__getitem__, a)) == spelt and b"".join(map(self.bytes_b.__getitem__, b)) == spelt:
-                    a, b = np.array(a, "<i4"), np.array(b, "<i4")
-                    ends = np.cumsum([len(texts[i].encode()) + 1 for i in lot])
-                    at_a, at_b = np.searchsorted(np.cumsum(self.len_a[a]), ends, "right"), np.searchsorted(np.cumsum(self.len_b[b]), ends, "right")
-                    la = lb = 0
-                    for i, x, y in zip(lot, at_a.tolist(), at_b.tolist()):
-                        out[i] = np.int32(x - la).tobytes() + a[la:x].tobytes() + b[lb:y].tobytes()
-                        la, lb = x, y
-                elif len(lot) == 1:
-                    out[lot[0]] = np.int32(-1).tobytes()
+                if self._spells(one, two, spelt):
+                    self._keep(one, two, np.cumsum(size[x:y]), np.ones(y - x, bool))
                 else:
-                    for i in lot:
-                        out[i] = self._encode([texts[i]])[0]
-        return out
+                    for t in texts[x:y]:
+                        (one,), (two,) = self._both([" " + t])
+                        ok = self._spells(one, two, (" " + t).encode())
+                        self._keep(one if ok else [], two if ok else [], np.array([len(t.encode()) + 1]), np.array([ok]))
+
+    def _both(self, texts: list[str]) -> tuple[list, list]:
+        return [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.b.encode([s[1:] for s in texts], num_threads=1)
+
+    def _spells(self, a: list[int], b: list[int], text: bytes) -> bool:
+        return b"".join(map(self.bytes_a.__getitem__, a)) == text and b"".join(map(self.bytes_b.__getitem__, b)) == text
+
+    def _keep(self, a: list[int], b: list[int], ends: np.ndarray, good: np.ndarray) -> None:
+        for rows, ids, wide in ((self.a_ids, np.array(a, np.int32), self.len_a), (self.b_ids, np.array(b, np.int32), self.len_b)):
+            rows.add(ids, np.diff(np.searchsorted(np.cumsum(wide[ids]), ends, "right"), prepend=0))
+        self.spelling.append(good)
+
+
+class _Rows:
+    """Rows of numbers of different lengths, one behind the other; rows are only added."""
+
+    def __init__(self):
+        self.parts, self.sizes, self.data, self.n = [], [], np.empty(0, np.int32), np.empty(0, np.int64)
+
+    def add(self, data: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append(data)
+        self.sizes.append(n)
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of these rows, and how many each has."""
+        if self.parts:
+            self.data, self.n = np.concatenate([self.data, *self.parts]), np.concatenate([self.n, *self.sizes])
+            self.start = np.cumsum(self.n) - self.n
+            self.parts, self.sizes = [], []
+        n = self.n[rows]
+        return self.data[_ranges(self.start[rows], n)] if len(rows) else np.empty(0, np.int32), n
 
 
 _loaded: dict[tuple, Tokenizers] = {}
@@ -149,43 +171,28 @@ def tokenizers(a_path: str, b_path: str) -> Tokenizers:
     return _loaded[a_path, b_path]
 
 
+IDS = "keys array<long>, sizes array<int>, words array<int>, n_a array<int>, n_b array<int>, a array<int>, b array<int>"
+
+
+def encoded(texts: list[str | None], both: Tokenizers) -> dict[str, np.ndarray]:
+    """Token ids of both sides of the distinct words of some texts, and which words each text has in order."""
+    words = both.numbers(texts)
+    words = [w if both.good[w].all() else w[:0] for w in words]  # a text with a word that is not spelt has no tokens
+    distinct, places = np.unique(np.concatenate([np.empty(0, np.int64), *words]), return_inverse=True)
+    (a, n_a), (b, n_b) = both.a_ids.of(distinct), both.b_ids.of(distinct)
+    return {"sizes": np.array(list(map(len, words)), np.int32), "words": places.astype(np.int32), "n_a": n_a.astype(np.int32), "n_b": n_b.astype(np.int32), "a": a, "b": b}
+
+
 class Aligned:
     """The distinct words of a buffer of texts, aligned: numbers of tokens, groups and links of each, and the links.
 
     ``words[i]`` are the places of the words of text i; empty for a text without tokens.
     """
 
-    def __init__(self, texts: list[str | None], both: Tokenizers):
+    def __init__(self, ids: dict[str, np.ndarray], both: Tokenizers):
         self.both = both
-        index: dict[str, int] = defaultdict(count().__next__)
-        words = []
-        for t in texts:
-            if not t:
-                words.append(np.empty(0, np.int64))
-            elif not both.cuts or t[0].isspace() or UNCUT.search(t):
-                words.append(np.array([index[" " + t]]))
-            else:
-                pieces = t.split(" ")
-                words.append(np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces)))
-        keys = [k[1:] if k[0] == " " else k for k in index]
-        packed = both.packed(keys)
-        data = np.frombuffer(b"".join(packed), "<i4")
-        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        start = np.cumsum(size) - size
-        n_a = data[start].astype(np.int64) if len(packed) else np.empty(0, np.int64)
-        good = n_a >= 0
-        self.words = words
-        if not good.all():  # a text with one word that is not spelt has no tokens, and its other words count for it no more
-            self.words = [w if good[w].all() else w[:0] for w in words]
-            good[:] = False
-            for w in self.words:
-                good[w] = True
-        self.n_a = np.where(good, n_a, 0)
-        self.n_b = np.where(good, size - 1 - self.n_a, 0)
-        side = np.zeros(len(data) + 1, np.int8)  # 0 none, 1 A, 2 B
-        for first, n, mark in ((start + 1, self.n_a, 1), (start + 1 + self.n_a, self.n_b, 2)):
-            side[_ranges(first, n)] = mark
-        self.a, self.b = data[side[:-1] == 1].astype(np.int64), data[side[:-1] == 2].astype(np.int64)
+        self.words = np.split(ids["words"].astype(np.int64), np.cumsum(ids["sizes"])[:-1]) if len(ids["sizes"]) else []
+        self.a, self.b, self.n_a, self.n_b = (ids[c].astype(np.int64) for c in ("a", "b", "n_a", "n_b"))
         self._groups()
         self._links()
 
@@ -238,7 +245,7 @@ class Aligned:
 
     def totals(self, of_word: np.ndarray) -> np.ndarray:
         """Sums over the words of each text."""
-        return np.array([of_word[w].sum() for w in self.words], np.int64)
+        return np.array([of_word[w].sum() for w in self.words], np.int64).reshape(-1)
 
     def summed(self, of_pair: np.ndarray) -> np.ndarray:
         """Sums over the links of each word, as whole numbers."""
@@ -285,41 +292,50 @@ def _once(x: np.ndarray, scratch: np.ndarray) -> np.ndarray:
     return x[scratch[x] == i]
 
 
-def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+def encode(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Token ids of both sides, a row for each buffer of texts: equal words of a buffer are kept once."""
+    ship(docs.sparkSession)
+    names = [x.split()[0] for x in IDS.split(", ")]
 
+    def run(batches):
+        both = tokenizers(a, b)
+        for held in buffered(batches, 1):
+            made = encoded([t for x in held for t in x.column(1).to_pylist()], both)
+            made["keys"] = np.array([k for x in held for k in x.column(0).to_pylist()], object)
+            kinds = {c: pa.list_(pa.int64() if c == "keys" else pa.int32()) for c in names}
+            yield pa.RecordBatch.from_arrays([pa.array([made[c].tolist() if c == "keys" else made[c]], kinds[c]) for c in names], names=names)
+
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, IDS)
 
-def _buffers(batches, a: str, b: str) -> Iterator[tuple[list, Aligned]]:
+
+def _buffers(batches, a: str, b: str) -> Iterator[tuple[pa.Array, Aligned]]:
+    """Keys and alignment of each row of ``encode``."""
     both = tokenizers(a, b)
-    for held in buffered(batches, 1):
-        yield held, Aligned([t for x in held for t in x.column(1).to_pylist()], both)
+    for x in batches:
+        for i in range(x.num_rows):
+            row = {c: x.column(c)[i].values for c in x.schema.names}
+            yield row["keys"], Aligned({c: v.to_numpy() for c, v in row.items() if c != "keys"}, both)
 
 
-def groups(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, groups): the token ids of both sides of every group, in order."""
-    ship(docs.sparkSession)
+def groups(ids: DataFrame, a: str, b: str) -> DataFrame:
+    """(key, groups) of the rows of ``encode``: the token ids of both sides of every group, in order."""
     kind = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
 
     def run(batches):
-        for held, found in _buffers(batches, a, b):
-            made, lo = found.groups(), 0
-            for x in held:
-                yield pa.RecordBatch.from_arrays([x.column(0), pa.array(made[lo : lo + x.num_rows], kind)], names=["key", "groups"])
-                lo += x.num_rows
+        for keys, found in _buffers(batches, a, b):
+            yield pa.RecordBatch.from_arrays([keys, pa.array(found.groups(), kind)], names=["key", "groups"])
 
-    return _texts(docs, key, text).mapInArrow(run, "key long, groups array<struct<a: array<int>, b: array<int>>>")
+    return ids.mapInArrow(run, "key long, groups array<struct<a: array<int>, b: array<int>>>")
 
 
-def _partial_counts(docs: DataFrame, a: str, b: str) -> DataFrame:
+def _partial_counts(ids: DataFrame, a: str, b: str) -> DataFrame:
     """Per buffer of texts its distinct pairs and how many of its documents hold each."""
 
     def run(batches):
         for _, found in _buffers(batches, a, b):
-            held = found.documents_with()
-            some = held > 0
-            yield pa.RecordBatch.from_arrays([pa.array([found.pairs[some]], pa.list_(pa.int64())), pa.array([held[some]], pa.list_(pa.int64()))], names=["pairs", "held"])
+            yield pa.RecordBatch.from_arrays([pa.array([found.pairs], pa.list_(pa.int64())), pa.array([found.documents_with()], pa.list_(pa.int64()))], names=["pairs", "held"])
 
-    return docs.mapInArrow(run, "pairs array<long>, held array<long>")
+    return ids.mapInArrow(run, "pairs array<long>, held array<long>")
 
 
 HASHES = "shard int, n long, sizes binary, bits binary, rest binary, keys binary"
@@ -356,13 +372,13 @@ class Held:
         return out
 
 
-def _in_groups(sizes: list[tuple[int, int]]) -> list[list[int]]:
-    """Shards in groups of at most GROUP_KEYS keys (a larger shard is a group of its own)."""
+def in_groups(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:
+    """Shards of these sizes in groups of at most ``most`` together (a larger shard is a group of its own)."""
     out, room = [], 0
     for shard, n in sizes:
         if not out or n > room:
             out.append([])
-            room = GROUP_KEYS
+            room = most
         out[-1].append(shard)
         room -= n
     return out
@@ -399,10 +415,10 @@ class PairCounts:
         return out
 
 
-def pair_counts(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "text") -> PairCounts:
-    """First pass: how many documents hold each pair of ids linked."""
-    ship(docs.sparkSession)
-    parts = stored(_partial_counts(_texts(docs, key, text), a, b))
+def pair_counts(ids: DataFrame, a: str, b: str) -> PairCounts:
+    """First pass over the rows of ``encode``: how many documents hold each pair of ids linked."""
+    spark = ship(ids.sparkSession)
+    parts = stored(_partial_counts(ids, a, b))
     distinct = stored(parts.select(F.explode("pairs").alias("pair")).distinct())
     shards = max(1, -(-distinct.count() // SHARD_KEYS))
 
@@ -411,9 +427,9 @@ def pair_counts(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(shard_of(x.column(0).to_numpy(), shards))], names=["pair", "shard"])
 
     hashes = stored(distinct.mapInArrow(dealt, "pair long, shard int").groupBy("shard").applyInArrow(_hash_shard, HASHES))
-    in_groups = _in_groups(sorted((r["shard"], r["n"]) for r in hashes.select("shard", "n").collect()))
+    grouped = in_groups(sorted((r["shard"], r["n"]) for r in hashes.select("shard", "n").collect()), GROUP_KEYS)
     sums = None
-    for group in in_groups:
+    for group in grouped:
         bc = _broadcast(hashes, group, shards)
 
         def vectors(batches, bc=bc):
@@ -439,12 +455,13 @@ def pair_counts(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str
 
         made = stored(parts.mapInArrow(vectors, "shard int, node int, counts binary"))
         sums = made if sums is None else sums.unionByName(made)
-    counts = _tree_sum(sums) if sums is not None else docs.sparkSession.createDataFrame([], "shard int, node int, counts binary")
-    return PairCounts(stored(hashes.join(counts.select("shard", "counts"), "shard")), shards, in_groups)
+    counts = tree_sum(sums) if sums is not None else spark.createDataFrame([], "shard int, node int, counts binary")
+    return PairCounts(stored(hashes.join(counts.select("shard", "counts"), "shard")), shards, grouped)
 
 
-def _tree_sum(vectors: DataFrame) -> DataFrame:
-    """Vectors (shard, node, counts) to one a shard, FAN at a time."""
+def tree_sum(vectors: DataFrame) -> DataFrame:
+    """Vectors (shard, node, counts) of longs to one a shard, FAN at a time."""
+    kind = f"shard {vectors.schema['shard'].dataType.simpleString()}, node int, counts binary"
 
     def add(rows: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(v.as_buffer(), "<i8") for v in rows.column("counts"))
@@ -454,42 +471,44 @@ def _tree_sum(vectors: DataFrame) -> DataFrame:
         nodes = vectors.agg(F.max("node")).first()[0]
         if not nodes:
             return vectors
-        vectors = stored(vectors.withColumn("node", F.floor(F.col("node") / FAN).cast("int")).groupBy("shard", "node").applyInArrow(add, "shard int, node int, counts binary"))
+        vectors = stored(vectors.withColumn("node", F.floor(F.col("node") / FAN).cast("int")).groupBy("shard", "node").applyInArrow(add, kind))
 
 
-FOUND = "key long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+SUMS = "n_best long, count_sum long"
+FOUND = f"key long, n_a long, n_b long, n_groups long, n_links long, {SUMS}, groups_sha256 string"
 
 
-def align(docs: DataFrame, counts: PairCounts, a: str, b: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Second pass: one row a document with its sizes, the sums of its pairs' counts and the digest of its groups."""
-    ship(docs.sparkSession)
-    best = docs.sparkSession.sparkContext.broadcast(counts.best())
-    names = [x.split()[0] for x in FOUND.split(", ")]
-    rows = _texts(docs, key, text)
-    groups_ = counts.groups or [[]]
-    for i, group in enumerate(groups_):
-        bc, first, last = _broadcast(counts.table, group, counts.shards), i == 0, i == len(groups_) - 1
-        schema = FOUND if last else f"key long, text string, {FOUND.removeprefix('key long, ')}"
-
-        def run(batches, bc=bc, first=first, last=last):
-            table, top = Held(*bc.value), best.value
-            for held, found in _buffers(batches, a, b):
+def align(ids: DataFrame, counts: PairCounts, a: str, b: str) -> DataFrame:
+    """Second pass over the rows of ``encode``: one row a document with its sizes, the sums of its pairs' counts and the digest of its groups."""
+    spark = ship(ids.sparkSession)
+    best = spark.sparkContext.broadcast(counts.best())
+    *early, last = counts.groups or [[]]
+    for group in early:  # sums over the links of these shards are carried along
+        ids = stored(_looked_up(ids, counts, group, best, a, b, False))
+    return _looked_up(ids, counts, last, best, a, b, True)
+
+
+def _looked_up(ids: DataFrame, counts: PairCounts, group: list[int], best, a: str, b: str, last: bool) -> DataFrame:
+    bc, names = _broadcast(counts.table, group, counts.shards), [x.split()[0] for x in FOUND.split(", ")]
+    carried = "summed_best" in ids.columns
+
+    def run(batches):
+        table, top = Held(*bc.value), best.value
+        for x in batches:
+            for i in range(x.num_rows):
+                keys, found = next(_buffers([x.slice(i, 1)], a, b))
                 n = table.look_up(found.pairs)
-                sums = {"count_sum": found.totals(found.summed(np.maximum(n, 0))), "n_best": found.totals(found.summed(((n >= 0) & (n == top[np.minimum(found.pairs >> 32, len(top) - 1)])).astype(np.int64)))}
-                made = {c: found.totals(getattr(found, c)) for c in ("n_a", "n_b", "n_groups", "n_links")} | {"groups_sha256": found.digests()} if first else {}
-                lo = 0
-                for x in held:
-                    hi = lo + x.num_rows
-                    before = {c: x.column(c) for c in x.schema.names}
-                    new = {c: pa.array(v[lo:hi]) for c, v in (made | sums).items()}
-                    if not first:
-                        new |= {c: pa.compute.add(before[c], new[c]) for c in sums}
-                    full = before | new
-                    order = names if last else ["key", "text", *names[1:]]
-                    yield pa.RecordBatch.from_arrays([full[c] for c in order], names=order)
-                    lo = hi
-
-        rows = rows.mapInArrow(run, schema)
-        if not last:
-            rows = stored(rows)
-    return rows
+                most = (n >= 0) & (n == top[np.minimum(found.pairs >> 32, len(top) - 1)])
+                sums = [found.totals(found.summed(v)) for v in (most.astype(np.int64), np.maximum(n, 0))]
+                if carried:
+                    sums = [v + x.column(c)[i].values.to_numpy() for v, c in zip(sums, ("summed_best", "summed_count"))]
+                if last:
+                    made = [pa.array(found.totals(getattr(found, c))) for c in names[1:5]]
+                    yield pa.RecordBatch.from_arrays([keys, *made, *map(pa.array, sums), pa.array(found.digests(), pa.string())], names=names)
+                else:
+                    kept = x.slice(i, 1).select([c for c in x.schema.names if not c.startswith("summed_")])
+                    for c, v in zip(("summed_best", "summed_count"), sums):
+                        kept = kept.append_column(c, pa.array([v], pa.list_(pa.int64())))
+                    yield kept
+
+    return ids.mapInArrow(run, FOUND if last else f"{IDS}, summed_best array<long>, summed_count array<long>")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evigrid.session import shared_dir, ship, table
+from evigrid.session import shared_dir, ship, stored, table
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -90,9 +90,9 @@ def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evigrid.llm import alignment
 
-    ship(spark)
-    docs, both = table(spark, sf_dir, "documents"), (tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
-    return alignment.align(docs, alignment.pair_counts(docs, *both), *both).withColumnRenamed("key", "doc_id")
+    both = tokenizer_path(), tokenizer_path("piece_bpe_32k.model")
+    ids = stored(alignment.encode(table(spark, sf_dir, "documents"), *both))
+    return alignment.align(ids, alignment.pair_counts(ids, *both), *both).withColumnRenamed("key", "doc_id")
 
 
 QUERIES = {f.__name__: f for f in (op1_token_file, op2_kneser_ney, op3_toxicity, op4_warc, op5_quality_rules, op6_near_dup, op7_bpe_automaton, op8_pii, op9_sharding, op10_decontaminate, op11_token_alignment)}

@@ -11,6 +11,7 @@ from hypothesis import given, settings, strategies as st
 from evigrid.llm import alignment
 from evigrid.llm.bpe import printable_bytes
 from evigrid.llm.perfect_hash import PerfectHash
+from evigrid.session import stored
 
 TEXTS = [
     (1, None), (2, ""), (3, " \n "), (4, "a" * 5000), (5, "same words here"), (5, "same words here"), (None, "no id <|endoftext|> <s> x"), (7, "é ß 日本 😀 <|endoftext|> x  y \t z"), (8, "a▁b c"),
@@ -63,18 +64,20 @@ def test_alignment(spark, real, tokenizer, pieces, monkeypatch, group_keys, shar
         monkeypatch.setattr(alignment, name, value)
     rows = TEXTS + [(r.doc_id, r.text) for r in real.where("doc_id < 20").collect()]
     docs = spark.createDataFrame([(k, t, "key", 1, "g") for k, t in rows], "doc_id long, text string, key string, pair int, groups string").repartition(5)
-    counts = alignment.pair_counts(docs, tokenizer, pieces)
+    ids = stored(alignment.encode(docs, tokenizer, pieces))
+    counts = alignment.pair_counts(ids, tokenizer, pieces)
     assert len(counts.groups) == 1 or group_keys == 300
-    assert sorted((str(r[0]), *r[1:]) for r in alignment.align(docs, counts, tokenizer, pieces).collect()) == brute(rows, tokenizer, pieces)
+    assert sorted((str(r[0]), *r[1:]) for r in alignment.align(ids, counts, tokenizer, pieces).collect()) == brute(rows, tokenizer, pieces)
 
 
 def test_alignment_parts(spark, tokenizer, pieces):
     docs = spark.createDataFrame([(1, "hello world"), (2, "hello"), (3, None)], "doc_id long, text string")
-    groups = {r.key: r.groups for r in alignment.groups(docs, tokenizer, pieces).collect()}
+    ids = stored(alignment.encode(docs, tokenizer, pieces))
+    groups = {r.key: r.groups for r in alignment.groups(ids, tokenizer, pieces).collect()}
     assert len(groups[1]) == 2 and groups[3] == [] and groups[2][0] == groups[1][0]
-    pairs = {(r.a, r.b): r.documents for r in alignment.pair_counts(docs, tokenizer, pieces).pairs().collect()}
+    pairs = {(r.a, r.b): r.documents for r in alignment.pair_counts(ids, tokenizer, pieces).pairs().collect()}
     assert pairs[groups[2][0].a[0], groups[2][0].b[0]] == 2 and set(pairs.values()) == {1, 2}
-    none = docs.limit(0)
+    none = stored(alignment.encode(docs.limit(0), tokenizer, pieces))
     assert alignment.align(none, alignment.pair_counts(none, tokenizer, pieces), tokenizer, pieces).count() == 0
 
 

@@ -40,17 +40,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from evigrid.llm.bpe import printable_bytes
-from evigrid.llm.chunks import UNCUT, buffered
+from evigrid.llm.chunks import UNCUT
 from evigrid.llm.perfect_hash import PerfectHash, shard_of
 from evigrid.session import ship, stored
 
 SHARD_KEYS, GROUP_KEYS, FAN = 1 << 17, 1 << 22, 16
 #: Words whose token ids a worker remembers before it begins anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Groups with more links than this are counted by distinct ids.
 LARGE = 1 << 10
-#: Characters that are encoded in one call.
-TOGETHER = 1 << 16
+#: Characters of text in one row of ids, and in one call of a tokenizer.
+BUFFER, TOGETHER = 2 << 20, 1 << 16
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 _BLANK = "▁"
 
@@ -78,6 +78,7 @@ class Tokenizers:
         self.len_a, self.len_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
         self.cuts = not any(_BLANK in p.lstrip(_BLANK) for p in pieces)  # else only whole texts are safe
         self._forget()
+        self.kinds = {c: "<u2" if len(x) <= 1 << 16 else "<i4" for c, x in (("a", spelt), ("b", pieces))}
         digits = [b"%d" % i for i in range(max(len(spelt), len(pieces)))]
         self.digits = np.array([len(d) for d in digits])
         self.spelt = {c: np.array([d + c.encode() for d in digits]) for c in ",|;"}
@@ -171,7 +172,10 @@ def tokenizers(a_path: str, b_path: str) -> Tokenizers:
     return _loaded[a_path, b_path]
 
 
-IDS = "keys array<long>, sizes array<int>, words array<int>, n_a array<int>, n_b array<int>, a array<int>, b array<int>"
+IDS = "keys array<long>, sizes binary, words binary, n_a binary, n_b binary, a binary, b binary"
+
+
+COLUMNS = [x.split()[0] for x in IDS.split(", ")][1:]
 
 
 def encoded(texts: list[str | None], both: Tokenizers) -> dict[str, np.ndarray]:
@@ -299,22 +303,34 @@ def encode(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "te
 
     def run(batches):
         both = tokenizers(a, b)
-        for held in buffered(batches, 1):
-            made = encoded([t for x in held for t in x.column(1).to_pylist()], both)
-            made["keys"] = np.array([k for x in held for k in x.column(0).to_pylist()], object)
-            kinds = {c: pa.list_(pa.int64() if c == "keys" else pa.int32()) for c in names}
-            yield pa.RecordBatch.from_arrays([pa.array([made[c].tolist() if c == "keys" else made[c]], kinds[c]) for c in names], names=names)
+        for keys, texts in _lots(batches):
+            made = encoded(texts, both)
+            yield pa.RecordBatch.from_arrays([pa.array([keys], pa.list_(pa.int64())), *(pa.array([made[c].astype(both.kinds.get(c, "<i4")).tobytes()], pa.binary()) for c in names[1:])], names=names)
 
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, IDS)
 
 
+def _lots(batches) -> Iterator[tuple[list, list]]:
+    """Keys and texts of about BUFFER bytes of text at a time."""
+    keys, texts, size = [], [], 0
+    for x in batches:
+        for k, t in zip(x.column(0), x.column(1)):
+            keys.append(k.as_py())
+            texts.append(t.as_py())
+            size += len(texts[-1] or "")
+            if size >= BUFFER:
+                yield keys, texts
+                keys, texts, size = [], [], 0
+    if keys:
+        yield keys, texts
+
+
 def _buffers(batches, a: str, b: str) -> Iterator[tuple[pa.Array, Aligned]]:
     """Keys and alignment of each row of ``encode``."""
     both = tokenizers(a, b)
     for x in batches:
         for i in range(x.num_rows):
-            row = {c: x.column(c)[i].values for c in x.schema.names}
-            yield row["keys"], Aligned({c: v.to_numpy() for c, v in row.items() if c != "keys"}, both)
+            yield x.column("keys")[i].values, Aligned({c: np.frombuffer(x.column(c)[i].as_buffer(), both.kinds.get(c, "<i4")) for c in COLUMNS}, both)
 
 
 def groups(ids: DataFrame, a: str, b: str) -> DataFrame:

@@ -60,7 +60,7 @@ def frequent(rows: DataFrame, bits: dict[int, int], least: int) -> dict[int, np.
             yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([r], pa.int32()), pa.array([np.packbits(v >= least, bitorder="little").tobytes()])], names=["level", "range", "bits"])
 
     out = {level: np.zeros(1 << (b - 3), np.uint8) for level, b in bits.items()}
-    for r in rows.repartition(RANGES, "level", "range").mapInArrow(run, "level int, range int, bits binary").toLocalIterator():
+    for r in rows.repartition("level", "range").mapInArrow(run, "level int, range int, bits binary").toLocalIterator():
         part = np.frombuffer(bytes(r["bits"]), np.uint8)
         out[r["level"]][r["range"] * len(part) : (r["range"] + 1) * len(part)] = part
     return out

@@ -95,7 +95,19 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(ids, alignment.pair_counts(ids, *both), *both).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_file, op2_kneser_ney, op3_toxicity, op4_warc, op5_quality_rules, op6_near_dup, op7_bpe_automaton, op8_pii, op9_sharding, op10_decontaminate, op11_token_alignment)}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evigrid.llm import collocation
+
+    return collocation.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evigrid.llm import set_join
+
+    return set_join.groups(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_file, op2_kneser_ney, op3_toxicity, op4_warc, op5_quality_rules, op6_near_dup, op7_bpe_automaton, op8_pii, op9_sharding, op10_decontaminate, op11_token_alignment, op12_collocations, op13_set_join)}
 ORACLES: dict[str, str] = {
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS b FROM pages),

@@ -19,8 +19,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of 5-word shingles.
+def shingles(text: str | None, words: int = WORDS_IN_SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of shingles of so many words (five at most).
 
     A-Z is folded, words part at ASCII white space; fewer words make one shingle,
     none make an empty set.
@@ -29,11 +29,11 @@ def shingles(text: str | None) -> np.ndarray:
     if not w:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
-    if len(h) < WORDS_IN_SHINGLE:
+    if len(h) < words:
         return mix(((h + np.uint64(len(h))) * _ODD[: len(h)]).sum(dtype=np.uint64, keepdims=True))
-    n = len(h) - WORDS_IN_SHINGLE + 1
+    n = len(h) - words + 1
     total = h[:n] * _ODD[0]
-    for i in range(1, WORDS_IN_SHINGLE):
+    for i in range(1, words):
         total += h[i : i + n] * _ODD[i]
     return np.unique(mix(total))
 

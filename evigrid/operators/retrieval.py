@@ -13,60 +13,92 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evigrid import params as P
 from evigrid.functions.text import terms
+from evigrid.operators.pruning import posting_blocks, scored
 from evigrid.operators.vectors import sparse_vector_topk
 from evigrid.session import stored
 
 
 def postings(points: DataFrame, key: str = "point_id", text: str = "content") -> DataFrame:
-    """(key, term, tf): one pass, counts combined before the exchange."""
-    return points.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, term, tf, dl): one pass, counts combined before the exchange; dl is the number of terms of the text."""
+    words = points.select(key, terms(F.col(text)).alias("_w")).select(key, F.size("_w").alias("dl"), F.explode("_w").alias("term"))
+    return words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
 def _bucket() -> Column:
     return (F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 8), 16, 10).cast("long") % P.EMBEDDING_DIMS).alias("bucket")
 
 
+#: Term statistics under this many rows are sent to all tasks; larger ones are joined by term.
+TERMS_SENT = 400_000
+
+
 def _unit_vectors(weighted: DataFrame, key: str) -> DataFrame:
-    rows = weighted.groupBy(key, "bucket").agg(F.sum(F.col("tf") * F.col("idf")).alias("w"))
+    """(key, bucket, w) of unit length; one exchange by key serves the sums and the norms."""
+    rows = weighted.select(key, "bucket", (F.col("tf") * F.col("idf")).alias("x")).repartition(key).groupBy(key, "bucket").agg(F.sum("x").alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return rows.withColumn("w", F.col("w") / norm)
 
 
 class Index:
-    """Stored tables of one collection that every search reads: postings, term statistics, vectors.
+    """Stored tables of one collection that every search reads: postings, posting blocks, term statistics, vectors.
 
     ``embed`` takes (texts, key, text) and gives (key, bucket, w) of unit length with bucket
     under ``dims``; without it vectors are hashed terms weighted by the collection's idf.
+    ``points`` may hold ``document_id``; questions may then be bound to lists of documents.
     """
 
     def __init__(self, points: DataFrame, embed: Callable[[DataFrame, str, str], DataFrame] | None = None, dims: int = P.EMBEDDING_DIMS):
-        self.points, self.dims, self.embed = points, dims, embed or self._hashed
-        self.postings = stored(postings(points))
-        self.n = points.count()
-        df = F.col("df")
-        self.idf = stored(self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", "df", F.log(1 + (F.lit(float(self.n)) - df + 0.5) / (df + 0.5)).alias("idf"), _bucket()))
-        self.live = points.where("not is_quarantined").select("point_id", "project_id")
-        self._vectors = None
+        self._open(points, stored(postings(points)), points.count(), embed, dims)
+
+    def _open(self, points: DataFrame, found: DataFrame, n: int, embed, dims: int, df: DataFrame | None = None, blocks: DataFrame | None = None) -> None:
+        self.points, self.dims, self.embed, self.postings, self.n = points, dims, embed or self._hashed, found, n
+        df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")) if df is None else df
+        k = F.col("df")
+        self.idf = stored(df.select("term", "df", F.log(1 + (F.lit(float(n)) - k + 0.5) / (k + 0.5)).alias("idf"), _bucket()))
+        self.sent = self.idf.count() <= TERMS_SENT
+        self.live = points.where("not is_quarantined").select("point_id", "project_id", *(["document_id"] if "document_id" in points.columns else []))
+        self._vectors, self._blocks, self._mean = None, blocks, None
+
+    def terms(self, *columns: str) -> DataFrame:
+        """Term statistics, sent to all tasks where they are few."""
+        rows = self.idf.select("term", *columns)
+        return F.broadcast(rows) if self.sent else rows
 
     def _hashed(self, texts: DataFrame, key: str, text: str) -> DataFrame:
         found = self.postings if key == "point_id" else postings(texts, key, text)
-        return _unit_vectors(found.join(self.idf.select("term", "idf", "bucket"), "term"), key)
+        return _unit_vectors(found.join(self.terms("idf", "bucket"), "term"), key)
+
+    @property
+    def mean(self) -> float:
+        """Mean length of a point in terms; points without a term count."""
+        if self._mean is None:
+            self._mean = float((self.postings.agg(F.sum("tf")).first()[0] or 0) / max(self.n, 1) or 1.0)
+        return self._mean
+
+    def saturated(self, tf: Column, dl: Column) -> Column:
+        """Okapi weight of a term: saturated tf over the measured mean length."""
+        k, b = P.BM25_K1, P.BM25_B
+        return tf * (k + 1) / (tf + k * (1 - b + b * dl / F.lit(self.mean)))
 
     def weights(self) -> DataFrame:
-        """(point_id, term, tf, weight): saturated tf over the measured mean length."""
-        mean = (self.postings.agg(F.sum("tf")).first()[0] or 0) / max(self.n, 1) or 1.0
-        k, b, dl = P.BM25_K1, P.BM25_B, F.sum("tf").over(Window.partitionBy("point_id"))
-        return self.postings.withColumn("weight", F.col("tf") * (k + 1) / (F.col("tf") + k * (1 - b + b * dl / F.lit(float(mean)))))
+        """(point_id, term, tf, weight)."""
+        return self.postings.select("point_id", "term", "tf", self.saturated(F.col("tf"), F.col("dl")).alias("weight"))
+
+    def blocks(self) -> DataFrame:
+        """Posting blocks (see ``posting_blocks``); written once."""
+        if self._blocks is None:
+            self._blocks = stored(posting_blocks(self.postings, self.n))
+        return self._blocks
 
     def vectors(self) -> DataFrame:
         """(point_id, bucket, w)."""
         return self.embed(self.points, "point_id", "content")
 
     def vector_rows(self) -> DataFrame:
-        """One row a searchable point: point_id, project_id, buckets b and weights w; written once."""
+        """One row a searchable point: the columns of ``live``, buckets b and weights w; written once."""
         if self._vectors is None:
-            rows = self.vectors().join(self.live, "point_id").groupBy("point_id", "project_id").agg(F.collect_list(F.struct("bucket", "w")).alias("v"))
-            self._vectors = stored(rows.select("point_id", "project_id", F.col("v.bucket").alias("b"), F.col("v.w").alias("w")))
+            rows = self.vectors().groupBy("point_id").agg(F.collect_list(F.struct("bucket", "w")).alias("v"))
+            self._vectors = stored(rows.join(self.live, "point_id").select(*self.live.columns, F.col("v.bucket").alias("b"), F.col("v.w").alias("w")))
         return self._vectors
 
 
@@ -81,24 +113,23 @@ def _top(scores: DataFrame, n: int) -> DataFrame:
 
 
 def dense_topk(questions: DataFrame, index: Index, scope: DataFrame, n: int = P.PREFETCH_DENSE) -> DataFrame:
-    """(qid, point_id, score, rank) by cosine: blocks of questions against stored vectors, scope before ranking."""
+    """(qid, point_id, score, rank) by cosine: blocks of questions against stored vectors, scope before ranking.
+
+    scope: qid, scope (one project, null for all) and, where questions are bound to documents, ``documents``
+    (a list of ids; null or empty for all).
+    """
     q = index.embed(questions.select("qid", "question"), "qid", "question")
-    asked = q.groupBy("qid").agg(F.collect_list(F.struct("bucket", "w")).alias("v")).join(scope, "qid").select("qid", "scope", F.col("v.bucket").alias("b"), F.col("v.w").alias("w"))
+    asked = q.groupBy("qid").agg(F.collect_list(F.struct("bucket", "w")).alias("v")).join(scope, "qid").select(*scope.columns, F.col("v.bucket").alias("b"), F.col("v.w").alias("w"))
     return _top(sparse_vector_topk(asked, index.vector_rows(), index.dims, n), n)
 
 
 def sparse_topk(questions: DataFrame, index: Index, scope: DataFrame, n: int = P.PREFETCH_SPARSE) -> DataFrame:
     """(qid, point_id, score, rank) by Okapi weights; only points that share a term.
 
-    Only postings of asked terms and searchable points are joined, those of scoped
-    questions by term and project.
+    Exact, by bounds: see ``evigrid.operators.pruning``.
     """
-    asked = questions.select("qid", F.explode(F.array_distinct(terms(F.col("question")))).alias("term")).join(index.idf.select("term", "idf"), "term").join(scope, "qid")
-    rows = index.weights().join(asked.select("term").distinct(), "term", "left_semi").join(index.live, "point_id")
-    bound = rows.join(asked.where("scope is not null").withColumnRenamed("scope", "project_id"), ["term", "project_id"])
-    free = rows.join(asked.where("scope is null"), "term")
-    hits = bound.select("qid", "point_id", "weight", "idf").unionByName(free.select("qid", "point_id", "weight", "idf"))
-    return _top(hits.groupBy("qid", "point_id").agg(F.round(F.sum(F.col("weight") * F.col("idf")), 6).alias("score")), n)
+    asked = questions.select("qid", F.explode(F.array_distinct(terms(F.col("question")))).alias("term")).join(index.terms("df", "idf"), "term")
+    return _top(scored(asked, index, scope, n), n)
 
 
 def rrf_fuse(dense: DataFrame, sparse: DataFrame, k: int = P.RRF_K, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
@@ -131,7 +162,10 @@ def join_back(quota: DataFrame, points: DataFrame, k: int = P.CONTEXT_TOP_K) ->
 
 def guardrails(hydrated: DataFrame, scope: DataFrame) -> DataFrame:
     """Rows out of scope, quarantined or deleted go and are not replaced; ranks are counted again."""
-    ok = hydrated.join(scope, "qid").where("(scope is null or scope = project_id) and not is_quarantined and not deleted").drop("scope")
+    ok = hydrated.join(scope, "qid").where("(scope is null or scope = project_id) and not is_quarantined and not deleted")
+    if "documents" in scope.columns:
+        ok = ok.where("documents is null or size(documents) = 0 or array_contains(documents, document_id)")
+    ok = ok.drop(*(c for c in scope.columns if c != "qid"))
     return ok.withColumn("rank", (F.row_number().over(Window.partitionBy("qid").orderBy("rank")) - 1).cast("long"))
 
 

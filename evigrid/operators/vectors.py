@@ -27,14 +27,17 @@ def _leading(q: np.ndarray, ids: np.ndarray, score: np.ndarray, n: int) -> np.nd
     return order[np.arange(len(q)) - first < n]
 
 
-def _best(points: DataFrame, matrix: Callable, qids: np.ndarray, q: np.ndarray, scopes: list, n: int, positive: bool) -> DataFrame:
+def _best(points: DataFrame, matrix: Callable, qids: np.ndarray, q: np.ndarray, scopes: list, n: int, positive: bool, lists: list | None = None) -> DataFrame:
     """Candidates (qid, point_id, score) of one block: each task keeps the n best of each question over all its batches.
 
-    points: point_id, project_id and the columns that ``matrix`` makes vectors of.
+    points: point_id, project_id and the columns that ``matrix`` makes vectors of, document_id last where ``lists``
+    binds questions to sorted arrays of documents.  The block is sent once to each worker.
     """
     bound = [(s, np.array([i for i, x in enumerate(scopes) if x == s])) for s in sorted({x for x in scopes if x is not None})]
+    sent = points.sparkSession.sparkContext.broadcast((qids, q, bound, [(i, x) for i, x in enumerate(lists or []) if x is not None]))
 
     def run(batches):
+        qids, q, bound, listed = sent.value
         held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         for b in batches:
             if not b.num_rows:
@@ -45,6 +48,10 @@ def _best(points: DataFrame, matrix: Callable, qids: np.ndarray, q: np.ndarray,
             off = raw <= 0 if positive else np.zeros(raw.shape, bool)
             for s, at in bound:
                 off[np.ix_(project != s, at)] = True
+            if listed:
+                document = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
+                for at, own in listed:  # one bitmap of the batch's documents a question
+                    off[:, at] |= ~np.isin(document, own)
             score[off] = -np.inf
             least = np.partition(score, len(ids) - n, axis=0)[len(ids) - n] if len(ids) > n else np.full(len(qids), -np.inf)
             row, col = np.nonzero((score >= least) & ~off)
@@ -90,8 +97,8 @@ def exact_topk(questions: DataFrame, points: DataFrame, k: int) -> DataFrame:
 def sparse_vector_topk(questions: DataFrame, points: DataFrame, dims: int, n: int) -> DataFrame:
     """Candidates by product of (bucket, w) vectors held as arrays b and w.
 
-    questions: qid, scope (one project or null), b, w; points: point_id, project_id, b, w.
-    Only pairs that share a bucket count.
+    questions: qid, scope (one project or null), b, w and maybe documents (a list of ids, null or empty for
+    all); points: point_id, project_id, b, w, and then document_id.  Only pairs that share a bucket count.
     """
     ship(points.sparkSession)
 
@@ -107,6 +114,9 @@ def sparse_vector_topk(questions: DataFrame, points: DataFrame, dims: int, n: in
     def best(rows: list) -> DataFrame:
         place = np.repeat(np.arange(len(rows)), [len(r["b"]) for r in rows]).astype(int)
         q = dense(len(rows), place, np.array([x for r in rows for x in r["b"]], int), np.array([x for r in rows for x in r["w"]], float))
-        return _best(points.select("point_id", "project_id", "b", "w"), matrix, np.array([r["qid"] for r in rows], np.int64), q, [r["scope"] for r in rows], n, True)
+        lists = [np.unique(r["documents"]) if r["documents"] else None for r in rows] if listed else None
+        named = points.select("point_id", "project_id", "b", "w", *(["document_id"] if listed else []))
+        return _best(named, matrix, np.array([r["qid"] for r in rows], np.int64), q, [r["scope"] for r in rows], n, True, lists)
 
-    return _in_blocks(questions.select("qid", "scope", "b", "w"), best)
+    listed = "documents" in questions.columns
+    return _in_blocks(questions.select("qid", "scope", "b", "w", *(["documents"] if listed else [])), best)

@@ -6,6 +6,7 @@ PREFETCH_DENSE, PREFETCH_SPARSE, RRF_K, FUSED_TOP_K, DOC_QUOTA, CONTEXT_TOP_K =
 WEIGHT_ORIGINAL, WEIGHT_REWRITE = 0.6, 0.4
 OFFTOPIC_THRESHOLD = 0.28
 MAX_FIGURES = 4
+GROUNDED_FROM = 60.0
 FIGURE_MIN_PX, FIGURE_MAX_ASPECT, FIGURE_MIN_BYTES = 150, 8.0, 5120
 MARKER = r"\[\s*([CFT]\d{1,3}(?:\s*,\s*[CFT]\d{1,3})*)\s*\]"
 MAX_PAGES, MIN_CHARS_PER_PAGE = 80, 200

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from evigrid import params as P
 from evigrid.functions import text as T
+from evigrid.functions.fuzzy import best_match
 from evigrid.operators import retrieval as R
 from evigrid.plans import query
 from evigrid.plans.retrieval import _HITS, Run, recalls
@@ -158,14 +159,31 @@ _TRI = "list_distinct(list_transform(range(1, len({0}) - 1), lambda i: {0}[i] ||
     w="SELECT c.qid, c.marker, regexp_extract_all(lower(right(left(text, CAST(instr(text, grp) - 1 AS BIGINT)), 240)), '[\\p{L}\\p{N}]+') AS ww, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') AS cw FROM cites c JOIN anc ON anc.qid = c.qid AND anc.marker = c.marker"))
 def grounding(spark, sf_dir):
     """Share of the word trigrams before a citation that its chunk holds; joined on the cited anchor."""
-    a = Answered(spark, sf_dir)
+    rows = _cited(Answered(spark, sf_dir))
+    return rows.select("qid", "marker", _trigram_status(rows).alias("status"))
+
+
+def _cited(a: Answered) -> DataFrame:
+    """qid, marker, window (up to 240 characters before the first group that cites the marker), content of the cited chunk."""
     group = F.regexp_substr("text", F.concat(F.lit(r"\[[^\]]*\b"), "marker", F.lit(r"\b[^\]]*\]")))
     before = F.expr("substring(text, 1, instr(text, grp) - 1)")
     at = a.used().where("marker like 'C%'").join(a.answers(), "qid").withColumn("grp", group).withColumn("window", before)
-    rows = at.withColumn("window", F.substring("window", F.greatest(F.lit(1), F.length("window") - 239), F.lit(240))).join(a.anchors().select("qid", "marker", "content"), ["qid", "marker"])
-    tri = rows.select("qid", "marker", T.trigrams(F.col("window")).alias("tw"), T.trigrams(F.col("content")).alias("tc"))
-    ok = (F.size("tw") > 0) & (100 * F.size(F.array_intersect("tw", "tc")) >= 60 * F.size("tw"))
-    return tri.select("qid", "marker", F.when(ok, "grounded").otherwise("weak").alias("status"))
+    return at.withColumn("window", F.substring("window", F.greatest(F.lit(1), F.length("window") - 239), F.lit(240))).join(a.anchors().select("qid", "marker", "content"), ["qid", "marker"])
+
+
+def _trigram_status(rows: DataFrame):
+    tw, tc = T.trigrams(F.col("window")), T.trigrams(F.col("content"))
+    return F.when((F.size(tw) > 0) & (100 * F.size(F.array_intersect(tw, tc)) >= 60 * F.size(tw)), "grounded").otherwise("weak")
+
+
+@query()
+def grounding_exact(spark, sf_dir):
+    """Both forms for each cited pair: the best partial match (grounded from 60) beside the trigram form, and whether they agree."""
+    rows = _cited(Answered(spark, sf_dir))
+    score = best_match("window", "content")
+    both = rows.select("qid", "marker", F.round(score, 6).alias("score"), _trigram_status(rows).alias("trigram_status"))
+    exact = F.when(F.col("score") >= P.GROUNDED_FROM, "grounded").otherwise("weak")
+    return both.withColumn("status", exact).withColumn("agree", F.col("status") == F.col("trigram_status"))
 
 
 @query(sql("SELECT qid, marker, row_number() OVER (PARTITION BY qid ORDER BY place) AS number FROM used WHERE marker LIKE 'C%'"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evigrid import streaming as S
+from evigrid import params as P, streaming as S
 from evigrid.plans import query
 from evigrid.plans.eventlog import _GEN, gen_events
 from evigrid.session import shared_dir
 from evigrid.sources import fixtures as X
 from evigrid.sources.fixtures import with_sql
+from evigrid.streaming import stateful
 
 
 def _streamed(spark, df, form, files=4, mode="complete"):
@@ -52,3 +53,31 @@ def stream_dedup_upload(spark, sf_dir):
     stamp = F.timestamp_seconds(1_700_000_000 + F.col("document_id") % 86_400)
     rows = X.doc_upload(spark, sf_dir).select("project_id", F.sha2("content", 256).alias("file_sha256"), stamp.alias("ts"))
     return _streamed(spark, rows, S.dedup_upload, mode="append").select("project_id", "file_sha256")
+
+
+def _in_order(spark, rows, form, parts=4):
+    """Rows in files by ranges of time, read one file a trigger in that order; the last one's rows end a day after all others."""
+    base = shared_dir(spark)
+    cuts = rows.select(F.expr("percentile_approx(unix_seconds(cast(ts as timestamp)), array(0.25, 0.5, 0.75))")).first()[0] or []
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        part = rows.where(F.lit(True) if lo is None else at >= lo).where(F.lit(True) if hi is None else at < hi)
+        part.coalesce(parts).write.mode("append").parquet(f"{base}/in")
+    with stateful.rocks(spark):
+        return S.run_to_end(form(S.read(spark, f"{base}/in", rows.schema, parts)), base, "append")
+
+
+_STUCK = f"""SELECT document_id, seq, 'failed' AS status, 'STUCK_TIMEOUT' AS error_code, epoch_ms(ts) AS started_ms FROM (SELECT *, lead(ts) OVER (PARTITION BY document_id ORDER BY seq) AS next, (SELECT max(ts) FROM status_log) AS last FROM status_log)
+    WHERE status = 'processing' AND coalesce(epoch_ms(next) - epoch_ms(ts) > {P.STUCK_MINUTES * 60_000}, epoch_ms(last) - 3600000 > epoch_ms(ts) + {P.STUCK_MINUTES * 60_000})"""
+
+
+@query(with_sql("status_log", _STUCK))
+def stream_stuck_documents(spark, sf_dir):
+    """Each step of processing that went on past the limit, by the document's next row or by a timer on event time."""
+    return _in_order(spark, X.status_log(spark, sf_dir), stateful.stuck_documents)
+
+
+@query(with_sql("", "SELECT f.* FROM fold f JOIN (SELECT stream_id, max(ts) AS t, bool_or(type = 'finish') AS done FROM ge GROUP BY stream_id) USING (stream_id) WHERE epoch_ms(t) + CASE WHEN done THEN 1 ELSE 3600000 END <= (SELECT max(epoch_ms(ts)) FROM ge) - 3600000", **_GEN))
+def stream_closed_folds(spark, sf_dir):
+    """Folded parts of each answer stream whose end the watermark has passed; its state is gone then."""
+    return _in_order(spark, gen_events(spark, sf_dir), stateful.folded_streams)

@@ -1,3 +1,3 @@
 """All queries of the library and the SQL they are held against."""
 
-from evigrid.plans import ORACLES, QUERIES, admission, chunking, eventlog, evidence, lifecycle, retrieval, streams, tables  # noqa: F401
+from evigrid.plans import ORACLES, QUERIES, admission, chunk_index, chunking, eventlog, evidence, lifecycle, links, retrieval, streams, tables  # noqa: F401

@@ -43,8 +43,7 @@ def rate_decisions(requests: DataFrame, limit: int, seconds: int, late: str = LA
             state.remove()
             return
         n, first = state.get if state.exists else (0, None)
-        for f in frames:
-            f = f.sort_values(["sec", "event_id"])
+        for f in [pd.concat(list(frames), ignore_index=True).sort_values(["sec", "event_id"])]:
             first = int(f["sec"].iloc[0]) if first is None and len(f) else first
             place = pd.Series(range(n + 1, n + len(f) + 1), index=f.index, dtype="int64")
             n += len(f)
@@ -78,19 +77,21 @@ def dedup_upload(uploads: DataFrame, late: str = LATE) -> DataFrame:
 
 
 def run_to_end(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
-    """Process all that is there and return the sink's last content, for tests and backfills.
+    """Process all that is there and return the sink's content, for tests and backfills.
 
-    ``foreachBatch`` writes each batch to its own folder, so a batch that runs again
-    after a failure overwrites itself.
+    ``foreachBatch`` writes each batch to its own folder, so a batch that runs again after a failure
+    overwrites itself; rows of epochs before a restart are read with the others.  Complete mode gives the
+    last epoch, other modes all of them; a stream without any batch gives no rows.
     """
-    spark = stream.sparkSession
-    last: list[int] = []
+    spark, schema = stream.sparkSession, stream.schema
 
     def put(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out/{epoch}")
-        last.append(epoch)
+        batch.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
 
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/out/epoch=-1")
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(put).trigger(availableNow=True).start()
     q.awaitTermination()
-    paths = [f"{folder}/out/{e}" for e in (last[-1:] if mode == "complete" else dict.fromkeys(last))]
-    return spark.read.parquet(*paths)
+    rows = spark.read.schema(StructType([*schema.fields]).add("epoch", "long")).parquet(f"{folder}/out")
+    if mode == "complete":
+        rows = rows.where(F.col("epoch") == (rows.agg(F.max("epoch")).first()[0] or 0))
+    return rows.drop("epoch")

@@ -30,16 +30,42 @@ def bucket_of(hashes: np.ndarray, bits: int) -> np.ndarray:
 RANGES = 64
 
 
-def rows_of(level: int, hashes: np.ndarray, bits: int, least: int) -> Iterator[pa.RecordBatch]:
-    """The buckets of these hashes, a row for each range that has any."""
-    buckets, n = np.unique(bucket_of(hashes, bits), return_counts=True)
+class Gathered:
+    """The buckets that a task has hit so far, a level at a time; ``put`` gives rows once they are many, ``rest`` the last ones."""
+
+    def __init__(self, bits: dict[int, int], least: int, most: int = 6_000_000):
+        self.bits, self.least, self.most, self.held, self.n = bits, least, most, {}, 0
+
+    def put(self, level: int, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.setdefault(level, []).append(bucket_of(hashes, self.bits[level]))
+        self.n += len(hashes)
+        if self.n >= self.most:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        for level, parts in self.held.items():
+            yield from _rows(level, np.concatenate(parts), self.bits[level], self.least)
+        self.held, self.n = {}, 0
+
+
+def _rows(level: int, hit: np.ndarray, bits: int, least: int) -> Iterator[pa.RecordBatch]:
+    """A row for each range that has any of these buckets: steps from one to the next (65535 goes on), and counts."""
+    buckets, n = np.unique(hit, return_counts=True)
     if not len(buckets):
         return
     held, wide = np.minimum(n, least).astype(np.uint8), (1 << bits) // RANGES
     cut = np.searchsorted(buckets, np.arange(RANGES + 1, dtype=np.int64) * wide)
-    some = np.flatnonzero(cut[1:] > cut[:-1])
-    parts = [[x[cut[r] : cut[r + 1]].tobytes() for r in some] for x in (buckets, held)]
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), level, np.int32)), pa.array(some.astype(np.int32)), pa.array(parts[0], pa.binary()), pa.array(parts[1], pa.binary())], names=["level", "range", "buckets", "held"])
+    some, steps, counts = np.flatnonzero(cut[1:] > cut[:-1]), [], []
+    for r in some:
+        step = np.diff(buckets[cut[r] : cut[r + 1]].astype(np.int64), prepend=r * wide)
+        far = step // 65535
+        full = np.full(len(step) + int(far.sum()), 65535, np.uint16)
+        count = np.zeros(len(full), np.uint8)
+        last = np.cumsum(far + 1) - 1
+        full[last], count[last] = step % 65535, held[cut[r] : cut[r + 1]]
+        steps.append(full.tobytes())
+        counts.append(count.tobytes())
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), level, np.int32)), pa.array(some.astype(np.int32)), pa.array(steps, pa.binary()), pa.array(counts, pa.binary())], names=["level", "range", "buckets", "held"])
 
 
 def frequent(rows: DataFrame, bits: dict[int, int], least: int) -> dict[int, np.ndarray]:
@@ -54,8 +80,9 @@ def frequent(rows: DataFrame, bits: dict[int, int], least: int) -> dict[int, np.
             for level, r, buckets, n in zip(*(c.to_pylist() for c in b.columns)):
                 wide = (1 << bits[level]) // RANGES
                 v = held.setdefault((level, r), np.zeros(wide, np.uint8))
-                at = np.frombuffer(buckets, np.uint32) - np.uint32(r * wide)
-                v[at] = np.minimum(v[at] + np.frombuffer(n, np.uint8), least)
+                at, n = np.cumsum(np.frombuffer(buckets, np.uint16), dtype=np.int64), np.frombuffer(n, np.uint8)
+                at, n = at[n > 0], n[n > 0]
+                v[at] = np.minimum(v[at] + n, least)
         for (level, r), v in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([r], pa.int32()), pa.array([np.packbits(v >= least, bitorder="little").tobytes()])], names=["level", "range", "bits"])
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from evigrid.llm.alignment import in_groups, tree_sum
-from evigrid.llm.bucket_filter import ROWS, bits_for, frequent, passes, rows_of
+from evigrid.llm.bucket_filter import ROWS, Gathered, bits_for, frequent, passes
 from evigrid.llm.chunks import _all_equal, _piece_hashes
 from evigrid.llm.double_array import DoubleArray, _spans
 from evigrid.llm.shingles import _ODD, mix
@@ -128,18 +128,23 @@ def _bounds(texts: DataFrame, levels: tuple[int, ...], bits: dict, maps, totals:
     """Buckets of all phrases of these lengths whose words pass; with ``totals`` also words by language (level 0)."""
 
     def run(batches):
-        known = maps.value if maps else {}
+        known, gathered = maps.value if maps else {}, Gathered(bits, LEAST)
+
+        def wide(rows):
+            for b in rows:
+                yield b.append_column("lang", pa.nulls(b.num_rows, pa.string())).append_column("n", pa.nulls(b.num_rows, pa.int64()))
+
         for words in _buffers(batches):
             for n in levels:
                 at = _passing(words, n, {k: v for k, v in known.items() if k < n}, bits)
-                for b in rows_of(n, words.hashes(at, n), bits[n], LEAST):
-                    yield b.append_column("lang", pa.nulls(b.num_rows, pa.string())).append_column("n", pa.nulls(b.num_rows, pa.int64()))
+                yield from wide(gathered.put(n, words.hashes(at, n)))
             if totals:
                 n = np.bincount(words.lang, minlength=len(words.langs))
                 none = pa.nulls(len(n), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), pa.array(np.zeros(len(n), np.int32)), none, none, pa.array(words.langs), pa.array(n, pa.int64())], names=["level", "range", "buckets", "held", "lang", "n"])
+        yield from wide(gathered.rest())
 
-    return stored(texts.mapInArrow(run, f"{ROWS}, lang string, n long"))
+    return texts.mapInArrow(run, f"{ROWS}, lang string, n long")
 
 
 def _emitted(texts: DataFrame, bits: dict, maps) -> DataFrame:
@@ -245,7 +250,7 @@ def counted(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[Da
     texts = docs.select(F.coalesce(text, F.lit("")).alias("text"), F.coalesce(lang, F.lit("und")).alias("lang"))
     words = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
     bits = {1: bits_for(words / 4), 2: bits_for(words), 3: bits_for(words)}
-    first = _bounds(texts, (1,), bits, None, True)
+    first = stored(_bounds(texts, (1,), bits, None, True))
     totals = stored(first.where("level = 0").groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0"))
     maps = frequent(first.where("level = 1").select("level", "range", "buckets", "held"), {1: bits[1]}, LEAST)
     held = spark.sparkContext.broadcast(maps)

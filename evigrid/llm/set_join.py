@@ -7,15 +7,15 @@ Sets are distinct ``WORDS``-word shingles as 64-bit hashes; two documents link w
    first ``n - ceil(SHARE * n / 100) + 1`` shingles of each in any one order, the prefix.
 2. Groups: classes with the same two least hashes (of the shingles and of a second permutation) are
    similar more often than not; a group has at most ``GROUP`` classes and ``GROUP_SHINGLES`` shingles.
-3. The token-group matrix: (shingle, group) cells of the prefixes of a group's classes, with the least
-   size and the most shingles that any class has from there on.  A query class meets the groups that
-   have a cell in its prefix, bounded by size and place before the join puts out a row.
+3. The token-group matrix: (shingle, group) cells of the prefixes of a group's classes.  The cells that a
+   query class has in its own prefix count the shingles that it can share there with any class of a group;
+   with too few of them (``_least_shared``) no class of the group can be alike to it.
 4. A pair of query and group that is left is bounded again on the group's whole union: the query must
    share ``SHARE`` percent of its own shingles with it.  Only groups that qualify are opened, and their
    classes confirmed on full sets.
-5. Inside groups all pairs are compared; then each shingle's first group is asked by its other classes
-   (stars); then all cells that still hold several components are asked by all classes.  Links inside
-   one component need not be found, so no group of copies is squared; no other link is lost.
+5. First the classes of each group are compared and each class asks the one other group with which it
+   shares most cells; then every class asks all groups that hold a class of a lesser component in its cells.
+   Links inside one component need not be found, so no group of copies is squared; no other link is lost.
 
 Results for odd input: texts without words (null, empty, blank) have empty sets and are linked with
 nothing, as are rows with a null id; rows that repeat an id are one document and join its classes; ties
@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from evigrid.llm.bucket_filter import ROWS, bits_for, frequent, passes, rows_of
+from evigrid.llm.bucket_filter import ROWS, Gathered, bits_for, frequent, passes
 from evigrid.llm.chunks import buffered
 from evigrid.llm.near_dup import components
 from evigrid.llm.shingles import mix, shingles
@@ -52,11 +52,12 @@ def _sets(batches, words: int):
 
 def _often(texts: DataFrame, words: int, bits: int) -> np.ndarray:
     def run(batches):
+        gathered = Gathered({0: bits}, OFTEN)
         for _, sets in _sets(batches, words):
-            low = np.concatenate([s[: np.searchsorted(s, _LOW)] for s in sets])
-            yield from rows_of(0, mix(low), bits, OFTEN)
+            yield from gathered.put(0, mix(np.concatenate([s[: np.searchsorted(s, _LOW)] for s in sets])))
+        yield from gathered.rest()
 
-    return frequent(stored(texts.mapInArrow(run, ROWS)), {0: bits}, OFTEN)[0]
+    return frequent(texts.mapInArrow(run, ROWS), {0: bits}, OFTEN)[0]
 
 
 def prefix_size(n: int, share: int) -> int:
@@ -111,12 +112,14 @@ def _marked(keys: DataFrame, n: int, least: int) -> tuple[object, int]:
     bits = bits_for(2 * n)
 
     def run(batches):
+        gathered = Gathered({0: bits}, least)
         for b in batches:
             c = b.column(0)
             c = c.flatten() if pa.types.is_list(c.type) else c
-            yield from rows_of(0, mix(c.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)), bits, least)
+            yield from gathered.put(0, mix(c.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+        yield from gathered.rest()
 
-    return keys.sparkSession.sparkContext.broadcast(frequent(stored(keys.mapInArrow(run, ROWS)), {0: bits}, least)[0]), bits
+    return keys.sparkSession.sparkContext.broadcast(frequent(keys.mapInArrow(run, ROWS), {0: bits}, least)[0]), bits
 
 
 class _Full:
@@ -148,7 +151,7 @@ class _Full:
                 if len(keep):
                     sets = [s for s in (shingles(t.as_py(), words) for t in b.column(1).take(pa.array(keep))) if len(s)]
                     n, d1, d2 = zip(*map(_digest, sets)) if sets else ((), (), ())
-                    yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), _longs(d1), _longs(d2), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["n", "d1", "d2", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), _longs(d1), _longs(d2), pa.array([np.sort(s.view(np.int64)) for s in sets], pa.list_(pa.int64()))], names=["n", "d1", "d2", "shingles"])
 
         made = self.texts.where("key is not null").mapInArrow(run, "n long, d1 long, d2 long, shingles array<long>").select(_node(), "shingles")
         return made.groupBy("node").agg(F.first("shingles").alias("shingles")) if self.repeated else made
@@ -159,105 +162,125 @@ def _node():
     return F.xxhash64("d1", "d2", "n").alias("node")
 
 
-def _alike(share: int):
-    """100 * common >= share * union, with common named once."""
-    return (100 + share) * F.size(F.array_intersect("s", "t")) >= share * (F.size("s") + F.size("t"))
+def _least_shared(share: int):
+    """The prefix shingles that query (n) must share with a class of ``least`` to ``largest`` shingles to be alike to it.
+
+    Of the one prefix that ends first in the order, all that is shared is in both prefixes; behind it lie
+    ceil(share * n / 100) - 1 shingles.  So two sets share at most that many besides the shared prefix
+    shingles, and alike sets share share / (100 + share) of both sizes.  The need is least at an end of the sizes
+    that may be alike at all.
+    """
+    n = F.col("n")
+    need = lambda m: F.ceil(share * (n + m) / (100 + share)) - F.ceil(share * F.greatest(n, m) / 100) + 1
+    lo, hi = F.greatest("least", F.ceil(share * n / 100)), F.least("largest", F.floor(100 * n / share))
+    return F.least(need(lo), need(hi)) - 2  # rounding between the ends
 
 
-def _confirmed(pairs: DataFrame, full: DataFrame, share: int) -> DataFrame:
-    left = full.select(F.col("node").alias("a"), F.col("shingles").alias("s"))
-    right = full.select(F.col("node").alias("b"), F.col("shingles").alias("t"))
-    return pairs.join(right, "b").join(left, "a").where(_alike(share)).select("a", "b")
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return int((b[at] == a).sum())
 
 
-def _in_group(share: int):
-    """All alike pairs of one group: (group, node, n, shingles) -> (a, b)."""
+def _open(share: int, inside: bool):
+    """One group with its queries: (group, part, node, label, shingles) twice -> links (a, b).
 
-    def run(rows: pa.Table) -> pa.Table:
-        node, sets = rows.column("node").to_numpy(), [v.values.to_numpy().view(np.uint64) for v in rows.column("shingles")]
-        size, out = np.array(list(map(len, sets))), []
-        for i in range(len(sets)):
-            fits = np.flatnonzero(100 * np.minimum(size, size[i]) >= share * np.maximum(size, size[i]))
-            for j in fits[fits > i]:
-                common = np.intersect1d(sets[i], sets[j], assume_unique=True).size
-                if 100 * common >= share * (size[i] + size[j] - common):
-                    out.append((node[i], node[j]))
+    The group's union bounds each query first; with ``inside`` the group's own classes are compared, too.
+    """
+
+    def fits(x: np.ndarray, y: np.ndarray) -> bool:
+        if 100 * min(len(x), len(y)) < share * max(len(x), len(y)):
+            return False
+        common = _common(x, y)
+        return 100 * common >= share * (len(x) + len(y) - common)
+
+    def run(key, queries: pa.Table, members: pa.Table) -> pa.Table:
+        out = []
+        (q_node, q_label), (m_node, m_label) = ([t.column(c).to_pylist() for c in ("node", "label")] for t in (queries, members))
+        q_sets, m_sets = ([v.values.to_numpy() for v in t.column("shingles")] for t in (queries, members))
+        if q_sets and m_sets:
+            union = np.unique(np.concatenate(m_sets)) if len(m_sets) > 1 else m_sets[0]
+            for a, label, s in zip(q_node, q_label, q_sets):
+                if 100 * _common(s, union) >= share * len(s):
+                    out += [(a, b) for b, other, t in zip(m_node, m_label, m_sets) if other != label and fits(s, t)]
+        if inside and key[1].as_py() == 0:
+            label = dict(zip(m_node, m_label))
+            for i, (a, s) in enumerate(zip(m_node, m_sets)):
+                for b, t in zip(m_node[:i], m_sets[:i]):
+                    if label[a] != label[b] and fits(s, t):
+                        out.append((a, b))
+                        old, new = label[a], label[b]
+                        label.update({k: new for k, v in label.items() if v == old})
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
 
 
+#: Queries of one group that a task takes at once.
+QUERIES = 512
+
+
 class Matrix:
-    """Groups of classes, their token-group matrix and their unions."""
+    """Groups of classes and their token-group matrix."""
 
-    def __init__(self, classes: DataFrame, full: _Full, share: int):
+    def __init__(self, signed: DataFrame, classes: DataFrame, full: _Full, share: int, repeated: bool):
         self.share, self.full = share, full
         home = classes.groupBy("home").agg(F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, F.sum("n") / GROUP_SHINGLES)).alias("parts"))
         dealt = classes.join(home, "home").withColumn("group", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("parts"))))
-        dealt = stored(dealt.select("group", "node", "n", "prefix"))
-        self.members = dealt.select("group", "node", "n")
+        self.members = stored(dealt.select("group", "node", "n", F.col("rep").alias("key")))
         # a shingle of one class alone leads nowhere: most are told by a bitmap, the others by a count
-        shared, bits = _marked(dealt.select("prefix"), int(dealt.agg(F.sum(F.size("prefix"))).first()[0] or 0), 2)
+        shared, bits = _marked(signed.select("prefix"), int(signed.agg(F.sum(F.size("prefix"))).first()[0] or 0), 2)
 
         def run(batches):
             for b in batches:
-                tokens, size = b.column(3).flatten().to_numpy(), pa.compute.list_value_length(b.column(3)).to_numpy(zero_copy_only=False).astype(np.int64)
+                tokens, size = b.column(1).flatten().to_numpy(), pa.compute.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
                 row = np.repeat(np.arange(b.num_rows), size)
-                at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
                 keep = np.flatnonzero(passes(shared.value, mix(tokens.view(np.uint64)), bits))
-                group, node, n = (b.column(i).to_numpy()[row[keep]] for i in range(3))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tokens[keep], group, node, n, n - at[keep])], names=["token", "group", "node", "n", "rest"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[keep])), pa.array(tokens[keep]), b.column(2).take(pa.array(row[keep]))], names=["key", "token", "_node"])
 
-        each = stored(dealt.mapInArrow(run, "token long, group long, node long, n long, rest long"))
+        each = signed.select("key", "prefix", _node().alias("_node")).mapInArrow(run, "key long, token long, _node long")
+        each = each.join(self.members, "key").where("node = _node").select("token", "group", "node", "n")
+        each = stored(each.distinct() if repeated else each)
         several = each.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
         self.asked = stored(each.join(several, "token", "left_semi"))
 
-    def inside(self) -> DataFrame:
-        """Links inside the groups of two and more classes."""
-        several = self.members.groupBy("group").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("group")
-        rows = stored(self.members.join(several, "group", "left_semi"))
-        sets = self.full.of(rows.select("node"))
-        return rows.join(sets, "node").groupBy("group").applyInArrow(_in_group(self.share), "a long, b long")
-
-    def _meets(self):
-        """Whether query (n, rest) can be alike to some class of a cell (least, most) by sizes and places alone."""
-        need = self.share * (F.col("n") + F.col("least"))
-        return ((100 + self.share) * F.least("rest", "most") >= need) & (100 * F.col("largest") >= self.share * F.col("n")) & (100 * F.col("n") >= self.share * F.col("least"))
-
     def pairs(self, labels: DataFrame, stars: bool) -> DataFrame:
-        """(node, group) that meet in a cell and may hold a link between two components.
+        """(node, group) that may hold a link between two components.
 
-        With ``stars`` only the first group of each shingle is asked; without, each class asks all groups that
-        hold a class of a lesser component, so of two components one asks the other.
+        With ``stars`` each class asks the one other group that it shares most cells with, among the first groups of its
+        shingles; without, all groups that hold a class of a lesser component, so of two components one asks the other.
         """
         rows = self.asked.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        cells = rows.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("largest"), F.max("rest").alias("most"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        cells = rows.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("largest"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         mixed = cells.groupBy("token").agg(F.min("lo").alias("x"), F.max("hi").alias("y"), F.min("group").alias("first")).where("x < y")
         if stars:
             cells = cells.join(mixed.select("token", F.col("first").alias("group")), ["token", "group"], "left_semi")
-            differs = (F.col("lo") != F.col("label")) | (F.col("hi") != F.col("label"))
+            differs = (F.col("own") != F.col("group")) & ((F.col("lo") != F.col("label")) | (F.col("hi") != F.col("label")))
         else:
             cells = cells.join(mixed.select("token"), "token", "left_semi")
             differs = F.col("lo") < F.col("label")
-        own = rows.withColumnRenamed("group", "own")
-        return own.join(cells, "token").where((F.col("own") != F.col("group")) & differs & self._meets()).select("node", "n", "label", "group").distinct()
+        sizes = (100 * F.col("largest") >= self.share * F.col("n")) & (100 * F.col("n") >= self.share * F.col("least"))
+        met = rows.withColumnRenamed("group", "own").join(cells, "token").where(differs & sizes).groupBy("node", "group", "n").agg(F.count(F.lit(1)).alias("shared"), F.min("least").alias("least"), F.max("largest").alias("largest"))
+        if stars:
+            best = met.groupBy("node", "n").agg(F.max_by("group", F.struct("shared", F.col("group").alias("g"))).alias("group"))
+            return best.select("node", "group")
+        return met.where(F.col("shared") >= _least_shared(self.share)).select("node", "group")
 
-    def links(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """Links of the pairs (node, n, label, group): groups bounded on their unions, those left opened."""
+    def links(self, pairs: DataFrame, labels: DataFrame, inside: bool) -> DataFrame:
+        """Links of the pairs (node, group): each group with its queries is one task's share, many queries are several."""
+        named = lambda rows: rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         pairs = stored(pairs)
-        inner = self.members.join(pairs.select("group").distinct(), "group", "left_semi")
-        inner = stored(inner.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        asked = pairs.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts"))
+        if inside:
+            many = self.members.groupBy("group").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("group", F.lit(1).alias("parts"))
+            asked = asked.unionByName(many).groupBy("group").agg(F.max("parts").alias("parts"))
+        asked = stored(asked)
+        inner = self.members.join(asked, "group").select("group", "node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        query = pairs.join(asked, "group").select("group", "node", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
         sets = self.full.of(pairs.select("node").union(inner.select("node")).distinct())
-        # a group of one class is its own union, so it is opened at once
-        many = inner.groupBy("group").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("group")
-        union = stored(inner.join(many, "group", "left_semi").join(sets, "node").groupBy("group").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("t")))
-        wide = pairs.join(union.select("group"), "group", "left_semi")
-        bounded = wide.join(union, "group").join(sets.withColumnRenamed("shingles", "s"), "node").where(100 * F.size(F.array_intersect("s", "t")) >= self.share * F.col("n")).select("node", "n", "label", "group")
-        opened = bounded.unionByName(pairs.join(union.select("group"), "group", "left_anti").select("node", "n", "label", "group"))
-        own = inner.select("group", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-        fits = 100 * F.least("n", "m") >= self.share * F.greatest("n", "m")
-        tested = opened.join(own, "group").where((F.col("label") != F.col("other")) & fits).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        return stored(_confirmed(stored(tested), sets, self.share))
+        full = lambda rows: named(rows).join(sets, "node").select("group", "part", "node", "label", "shingles")
+        other = full(inner).toDF("group_", "part_", "node", "label", "shingles")
+        return stored(full(query).groupBy("group", "part").cogroup(other.groupBy("group_", "part_")).applyInArrow(_open(self.share, inside), "a long, b long"))
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, share: int = SHARE) -> DataFrame:
@@ -266,17 +289,16 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     signed = stored(signatures(texts, words, share))
     held = signed.where("n > 0 and key is not null")
-    classes = stored(held.groupBy("d1", "d2", "n").agg(F.min("key").alias("rep"), F.first("home").alias("home"), F.first("prefix").alias("prefix")).withColumn("node", _node()))
+    classes = stored(held.groupBy("d1", "d2", "n").agg(F.min("key").alias("rep"), F.first("home").alias("home")).withColumn("node", _node()))
     member = held.select("key", F.col("n").alias("n_shingles"), _node())
     # an id with several rows joins their classes
-    ids = member.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("a"), F.max("node").alias("hi")).where("k > 1")
-    several = stored(ids)
-    same = several.where("a < hi").select("key", "a").join(member.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
-    matrix = Matrix(classes, _Full(texts, classes, words, not several.isEmpty()), share)
-    links = stored(same.unionByName(matrix.inside()))
-    labels = components(links) if not links.isEmpty() else spark.createDataFrame([], "node long, label long")
+    several = stored(member.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("a"), F.max("node").alias("hi")).where("k > 1"))
+    links = stored(several.where("a < hi").select("key", "a").join(member.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct())
+    repeated = not several.isEmpty()
+    matrix = Matrix(held, classes, _Full(texts, classes, words, repeated), share, repeated)
+    labels = components(links) if repeated and not links.isEmpty() else spark.createDataFrame([], "node long, label long")
     for stars in (True, False):
-        found = matrix.links(matrix.pairs(labels, stars), labels)
+        found = matrix.links(matrix.pairs(labels, stars), labels, stars)
         if not found.isEmpty():
             links = links.unionByName(found)
             labels = components(links)

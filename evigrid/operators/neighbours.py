@@ -20,6 +20,11 @@ from evigrid.session import ship, stored
 PART, SAMPLE = 4096, 64
 
 
+def _margins(b: pa.Array, normals: np.ndarray) -> np.ndarray:
+    """Distances of unit vectors from the planes."""
+    return _unit(np.stack(b.to_numpy(zero_copy_only=False)).astype(float)) @ normals.T
+
+
 class ProjectionIndex:
     """Stored buckets of (point_id, embedding)."""
 
@@ -35,28 +40,26 @@ class ProjectionIndex:
         self.parts = stored(self.rows.select("bucket", "part").distinct())
         self.probes: int | None = None
 
-    def _margins(self, b) -> np.ndarray:
-        return _unit(np.stack(b.to_numpy(zero_copy_only=False)).astype(float)) @ self.normals.T
-
     def _placed(self, rows: DataFrame, key: str) -> DataFrame:
         """(key, embedding, bucket)."""
+        normals = self.normals
 
         def run(batches):
             for b in batches:
                 if b.num_rows:
-                    side = self._margins(b.column(1)) > 0
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array((side << np.arange(self.planes)).sum(1).astype(np.int32))], names=[key, "embedding", "bucket"])
+                    side = _margins(b.column(1), normals) > 0
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array((side << np.arange(len(normals))).sum(1).astype(np.int32))], names=[key, "embedding", "bucket"])
 
         return rows.where("embedding is not null").select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(run, f"{key} long, embedding array<float>, bucket int")
 
     def _probed(self, questions: DataFrame, probes: int) -> DataFrame:
         """(qid, embedding, bucket, order) of the first buckets of each question."""
-        sides = (np.arange(1 << self.planes)[:, None] >> np.arange(self.planes)) & 1 > 0
+        normals, sides = self.normals, (np.arange(1 << self.planes)[:, None] >> np.arange(self.planes)) & 1 > 0
 
         def run(batches):
             for b in batches:
                 if b.num_rows:
-                    m = self._margins(b.column(1))
+                    m = _margins(b.column(1), normals)
                     cost = np.stack([np.where(side != (m > 0), m * m, 0).sum(1) for side in sides], 1)
                     first = np.argsort(cost, axis=1, kind="stable")[:, :probes]
                     row = np.repeat(np.arange(b.num_rows), first.shape[1])

@@ -67,8 +67,8 @@ def _in_order(spark, rows, form, parts=4):
         return S.run_to_end(form(S.read(spark, f"{base}/in", rows.schema, parts)), base, "append")
 
 
-_STUCK = f"""SELECT document_id, seq, 'failed' AS status, 'STUCK_TIMEOUT' AS error_code, epoch_ms(ts) AS started_ms FROM (SELECT *, lead(ts) OVER (PARTITION BY document_id ORDER BY seq) AS next, (SELECT max(ts) FROM status_log) AS last FROM status_log)
-    WHERE status = 'processing' AND coalesce(epoch_ms(next) - epoch_ms(ts) > {P.STUCK_MINUTES * 60_000}, epoch_ms(last) - 3600000 > epoch_ms(ts) + {P.STUCK_MINUTES * 60_000})"""
+_STUCK = f"""SELECT document_id, seq, 'failed' AS status, 'STUCK_TIMEOUT' AS error_code, epoch_us(ts) // 1000 AS started_ms FROM (SELECT *, lead(ts) OVER (PARTITION BY document_id ORDER BY seq) AS next, (SELECT max(ts) FROM status_log) AS last FROM status_log)
+    WHERE status = 'processing' AND coalesce(epoch_us(next) // 1000 - epoch_us(ts) // 1000 > {P.STUCK_MINUTES * 60_000}, epoch_us(last) // 1000 - 3600000 > epoch_us(ts) // 1000 + {P.STUCK_MINUTES * 60_000})"""
 
 
 @query(with_sql("status_log", _STUCK))
@@ -77,7 +77,7 @@ def stream_stuck_documents(spark, sf_dir):
     return _in_order(spark, X.status_log(spark, sf_dir), stateful.stuck_documents)
 
 
-@query(with_sql("", "SELECT f.* FROM fold f JOIN (SELECT stream_id, max(ts) AS t, bool_or(type = 'finish') AS done FROM ge GROUP BY stream_id) USING (stream_id) WHERE epoch_ms(t) + CASE WHEN done THEN 1 ELSE 3600000 END <= (SELECT max(epoch_ms(ts)) FROM ge) - 3600000", **_GEN))
+@query(with_sql("", "SELECT f.* FROM fold f JOIN (SELECT stream_id, max(ts) AS t, bool_or(type = 'finish') AS done FROM ge GROUP BY stream_id) USING (stream_id) WHERE epoch_us(t) // 1000 + CASE WHEN done THEN 1 ELSE 3600000 END <= (SELECT max(epoch_us(ts) // 1000) FROM ge) - 3600000", **_GEN))
 def stream_closed_folds(spark, sf_dir):
     """Folded parts of each answer stream whose end the watermark has passed; its state is gone then."""
     return _in_order(spark, gen_events(spark, sf_dir), stateful.folded_streams)

@@ -46,11 +46,11 @@ from evigrid.session import ship, stored
 
 SHARD_KEYS, GROUP_KEYS, FAN = 1 << 17, 1 << 22, 16
 #: Words whose token ids a worker remembers before it begins anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Groups with more links than this are counted by distinct ids.
 LARGE = 1 << 10
 #: Characters of text in one row of ids, and in one call of a tokenizer.
-BUFFER, TOGETHER = 2 << 20, 1 << 16
+BUFFER, TOGETHER = 1 << 20, 1 << 16
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
 _BLANK = "▁"
 
@@ -116,8 +116,8 @@ class Tokenizers:
             if x or chars >= TOGETHER or i + 1 == len(texts) or alone[i + 1]:
                 lots.append((lo, i + 1))
                 lo, chars = i + 1, 0
-        for at in range(0, len(lots), 64):
-            some = lots[at : at + 64]
+        for at in range(0, len(lots), 8):  # an encoding holds far more than its ids
+            some = lots[at : at + 8]
             joined = [" " + " ".join(texts[x:y]) for x, y in some]
             a, b = self._both(joined)
             for (x, y), s, one, two in zip(some, joined, a, b):
@@ -350,6 +350,7 @@ def _partial_counts(ids: DataFrame, a: str, b: str) -> DataFrame:
     def run(batches):
         for _, found in _buffers(batches, a, b):
             yield pa.RecordBatch.from_arrays([pa.array([found.pairs], pa.list_(pa.int64())), pa.array([found.documents_with()], pa.list_(pa.int64()))], names=["pairs", "held"])
+            del found  # before the next one is made
 
     return ids.mapInArrow(run, "pairs array<long>, held array<long>")
 
@@ -526,5 +527,6 @@ def _looked_up(ids: DataFrame, counts: PairCounts, group: list[int], best, a: st
                     for c, v in zip(("summed_best", "summed_count"), sums):
                         kept = kept.append_column(c, pa.array([v], pa.list_(pa.int64())))
                     yield kept
+                del found, sums, n, most  # before the next one is made
 
     return ids.mapInArrow(run, FOUND if last else f"{IDS}, summed_best array<long>, summed_count array<long>")

@@ -33,7 +33,7 @@ RANGES = 64
 class Gathered:
     """The buckets that a task has hit so far, a level at a time; ``put`` gives rows once they are many, ``rest`` the last ones."""
 
-    def __init__(self, bits: dict[int, int], least: int, most: int = 6_000_000):
+    def __init__(self, bits: dict[int, int], least: int, most: int = 3_000_000):
         self.bits, self.least, self.most, self.held, self.n = bits, least, most, {}, 0
 
     def put(self, level: int, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:

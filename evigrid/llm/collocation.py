@@ -3,8 +3,8 @@
 Texts are folded (A-Z) and cut at ``. , ; : ! ?`` and line ends into pieces, pieces at blanks and tabs
 into words.  Everything is counted by language (null: ``und``).
 
-1. ``_bounds``: upper bounds of counts by hashed buckets, first of words, then of phrases whose words
-   all pass (Apriori): a phrase under ``LEAST`` occurrences is left out only when its bucket, or that
+1. ``_bounds``: upper bounds of counts by hashed buckets, first of words, then of pairs whose words pass,
+   then of triples whose pairs pass (Apriori): a phrase under ``LEAST`` occurrences is left out only when its bucket, or that
    of a part, says so.  Buckets come back as one bit each.
 2. ``candidates``: the distinct phrases of 2 to ``MOST_WORDS`` words whose own bucket and those of all
    their parts pass, and their words.
@@ -37,7 +37,7 @@ from evigrid.session import ship, stored
 LEAST, MOST_WORDS, INSIDE, FIRST = 10, 3, 50, 2000
 TRIE_KEYS, GROUP_PLACES = 1 << 17, 1 << 24
 #: Bytes of text that a task looks at together.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[46, 44, 59, 58, 33, 63, 11, 12, 13]] = 10
@@ -249,15 +249,16 @@ def counted(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[Da
     spark = ship(docs.sparkSession)
     texts = docs.select(F.coalesce(text, F.lit("")).alias("text"), F.coalesce(lang, F.lit("und")).alias("lang"))
     words = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
-    bits = {1: bits_for(words / 4), 2: bits_for(words), 3: bits_for(words)}
+    bits = {n: bits_for(words / 4 if n == 1 else words, hi=27) for n in range(1, MOST_WORDS + 1)}
     first = stored(_bounds(texts, (1,), bits, None, True))
     totals = stored(first.where("level = 0").groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0"))
     maps = frequent(first.where("level = 1").select("level", "range", "buckets", "held"), {1: bits[1]}, LEAST)
     held = spark.sparkContext.broadcast(maps)
-    longer = tuple(range(2, MOST_WORDS + 1))
-    rows = _bounds(texts, longer, bits, held, False).select("level", "range", "buckets", "held")
-    held.unpersist()
-    held = spark.sparkContext.broadcast(maps | frequent(rows, {n: bits[n] for n in longer}, LEAST))
+    for n in range(2, MOST_WORDS + 1):  # a level's bits keep most phrases of the next one out
+        rows = _bounds(texts, (n,), bits, held, False).select("level", "range", "buckets", "held")
+        maps |= frequent(rows, {n: bits[n]}, LEAST)
+        held.unpersist()
+        held = spark.sparkContext.broadcast(maps)
     found = stored(_emitted(texts, bits, held).distinct())
     held.unpersist()
     keys = found.select("lang", F.explode(F.concat(F.array("phrase"), F.split("phrase", " "))).alias("phrase")).distinct()

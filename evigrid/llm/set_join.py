@@ -7,14 +7,15 @@ Sets are distinct ``WORDS``-word shingles as 64-bit hashes; two documents link w
    first ``n - ceil(SHARE * n / 100) + 1`` shingles of each in any one order, the prefix.
 2. Groups: classes with the same two least hashes (of the shingles and of a second permutation) are
    similar more often than not; a group has at most ``GROUP`` classes and ``GROUP_SHINGLES`` shingles.
-3. The token-group matrix: (shingle, group) cells of the prefixes of a group's classes.  The cells that a
-   query class has in its own prefix count the shingles that it can share there with any class of a group;
-   with too few of them (``_least_shared``) no class of the group can be alike to it.
+3. The token-group matrix: (shingle, group) cells of the prefixes of a group's classes, with their sizes and
+   the most shingles that any of them has from there on.  A query class meets the groups that have a cell in
+   its own prefix, bounded by sizes and by what both still have behind the cell.
 4. A pair of query and group that is left is bounded again on the group's whole union: the query must
    share ``SHARE`` percent of its own shingles with it.  Only groups that qualify are opened, and their
    classes confirmed on full sets.
-5. First the classes of each group are compared and each class asks the one other group with which it
-   shares most cells; then every class asks all groups that hold a class of a lesser component in its cells.
+5. First the classes of each group are compared, and in a few rounds each class asks the one group of a
+   lesser component with which it shares most cells; then every class asks all groups that hold a class of a
+   lesser component in its cells.
    Links inside one component need not be found, so no group of copies is squared; no other link is lost.
 
 Results for odd input: texts without words (null, empty, blank) have empty sets and are linked with
@@ -162,20 +163,6 @@ def _node():
     return F.xxhash64("d1", "d2", "n").alias("node")
 
 
-def _least_shared(share: int):
-    """The prefix shingles that query (n) must share with a class of ``least`` to ``largest`` shingles to be alike to it.
-
-    Of the one prefix that ends first in the order, all that is shared is in both prefixes; behind it lie
-    ceil(share * n / 100) - 1 shingles.  So two sets share at most that many besides the shared prefix
-    shingles, and alike sets share share / (100 + share) of both sizes.  The need is least at an end of the sizes
-    that may be alike at all.
-    """
-    n = F.col("n")
-    need = lambda m: F.ceil(share * (n + m) / (100 + share)) - F.ceil(share * F.greatest(n, m) / 100) + 1
-    lo, hi = F.greatest("least", F.ceil(share * n / 100)), F.least("largest", F.floor(100 * n / share))
-    return F.least(need(lo), need(hi)) - 2  # rounding between the ends
-
-
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     """How many values two sorted sets share."""
     at = np.minimum(np.searchsorted(b, a), len(b) - 1)
@@ -216,8 +203,10 @@ def _open(share: int, inside: bool):
     return run
 
 
-#: Queries of one group that a task takes at once.
-QUERIES = 512
+#: Queries of one group that a task takes at once; classes under this many are sent to all tasks, more are joined.
+QUERIES, CLASSES_SENT = 512, 500_000
+#: Rounds of stars; what they leave apart is settled by the last step, so links do not depend on it.
+STAR_ROUNDS = 1
 
 
 class Matrix:
@@ -235,36 +224,39 @@ class Matrix:
             for b in batches:
                 tokens, size = b.column(1).flatten().to_numpy(), pa.compute.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
                 row = np.repeat(np.arange(b.num_rows), size)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
                 keep = np.flatnonzero(passes(shared.value, mix(tokens.view(np.uint64)), bits))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[keep])), pa.array(tokens[keep]), b.column(2).take(pa.array(row[keep]))], names=["key", "token", "_node"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[keep])), pa.array(tokens[keep]), b.column(2).take(pa.array(row[keep])), pa.array(at[keep].astype(np.int32))], names=["key", "token", "_node", "at"])
 
-        each = signed.select("key", "prefix", _node().alias("_node")).mapInArrow(run, "key long, token long, _node long")
-        each = each.join(self.members, "key").where("node = _node").select("token", "group", "node", "n")
+        each = signed.select("key", "prefix", _node().alias("_node")).mapInArrow(run, "key long, token long, _node long, at int")
+        each = each.join(self.members.select("key", "node"), "key").where("node = _node").select("token", "node", "at")
         each = stored(each.distinct() if repeated else each)
         several = each.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
         self.asked = stored(each.join(several, "token", "left_semi"))
-
-    def pairs(self, labels: DataFrame, stars: bool) -> DataFrame:
-        """(node, group) that may hold a link between two components.
-
-        With ``stars`` each class asks the one other group that it shares most cells with, among the first groups of its
-        shingles; without, all groups that hold a class of a lesser component, so of two components one asks the other.
-        """
-        rows = self.asked.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        cells = rows.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("largest"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        mixed = cells.groupBy("token").agg(F.min("lo").alias("x"), F.max("hi").alias("y"), F.min("group").alias("first")).where("x < y")
-        if stars:
-            cells = cells.join(mixed.select("token", F.col("first").alias("group")), ["token", "group"], "left_semi")
-            differs = (F.col("own") != F.col("group")) & ((F.col("lo") != F.col("label")) | (F.col("hi") != F.col("label")))
-        else:
-            cells = cells.join(mixed.select("token"), "token", "left_semi")
-            differs = F.col("lo") < F.col("label")
-        sizes = (100 * F.col("largest") >= self.share * F.col("n")) & (100 * F.col("n") >= self.share * F.col("least"))
-        met = rows.withColumnRenamed("group", "own").join(cells, "token").where(differs & sizes).groupBy("node", "group", "n").agg(F.count(F.lit(1)).alias("shared"), F.min("least").alias("least"), F.max("largest").alias("largest"))
-        if stars:
-            best = met.groupBy("node", "n").agg(F.max_by("group", F.struct("shared", F.col("group").alias("g"))).alias("group"))
-            return best.select("node", "group")
-        return met.where(F.col("shared") >= _least_shared(self.share)).select("node", "group")
+        self.few = self.members.count() <= CLASSES_SENT
+
+    def _named(self, labels: DataFrame) -> DataFrame:
+        """(node, own group, n, label) of all classes, sent to all tasks while they are few."""
+        rows = self.members.join(labels, "node", "left").select("node", F.col("group").alias("own"), "n", F.coalesce("label", "node").alias("label"))
+        return F.broadcast(rows) if self.few else rows
+
+    def stars(self, labels: DataFrame) -> DataFrame:
+        """(node, group): each class asks the one group that it shares most cells with, among the groups that hold the least component of its shingles."""
+        rows = self.asked.join(self._named(labels), "node")
+        hubs = rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct("label", "own")).alias("hub")).where("x < y").select("token", "x", F.col("hub.own").alias("group"))
+        met = rows.join(hubs, "token").where("label <> x and own <> group").groupBy("node", "group").agg(F.count(F.lit(1)).alias("shared"))
+        return met.groupBy("node").agg(F.max_by("group", F.struct("shared", F.col("group").alias("g"))).alias("group"))
+
+    def rest(self, labels: DataFrame) -> DataFrame:
+        """(node, group): each class asks all groups that hold a class of a lesser component in its cells, so of two components one asks the other."""
+        rows = self.asked.join(self._named(labels), "node").withColumn("rest", F.col("n") - F.col("at"))
+        cells = rows.groupBy("token", F.col("own").alias("group")).agg(F.min("n").alias("least"), F.max("n").alias("largest"), F.max("rest").alias("most"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        mixed = cells.groupBy("token").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).where("x < y").select("token")
+        cells = cells.join(mixed, "token", "left_semi").drop("hi")
+        meets = (F.col("lo") < F.col("label")) & (100 * F.col("largest") >= self.share * F.col("n")) & (100 * F.col("n") >= self.share * F.col("least"))
+        # of the shingles that two alike sets share the first one has enough of both behind it
+        enough = (100 + self.share) * F.least("rest", "most") >= self.share * (F.col("n") + F.col("least"))
+        return rows.join(cells, "token").where(meets & enough).select("node", "group").distinct()
 
     def links(self, pairs: DataFrame, labels: DataFrame, inside: bool) -> DataFrame:
         """Links of the pairs (node, group): each group with its queries is one task's share, many queries are several."""
@@ -297,8 +289,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     repeated = not several.isEmpty()
     matrix = Matrix(held, classes, _Full(texts, classes, words, repeated), share, repeated)
     labels = components(links) if repeated and not links.isEmpty() else spark.createDataFrame([], "node long, label long")
-    for stars in (True, False):
-        found = matrix.links(matrix.pairs(labels, stars), labels, stars)
+    for k in range(STAR_ROUNDS + 1):
+        last = k == STAR_ROUNDS
+        found = matrix.links(matrix.rest(labels) if last else matrix.stars(labels), labels, k == 0)
         if not found.isEmpty():
             links = links.unionByName(found)
             labels = components(links)

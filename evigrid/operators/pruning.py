@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from evigrid.session import stored
 
-BLOCK, FIRST = 1024, 8
+BLOCK, FIRST = 1024, 128
 #: Scores are rounded to six digits before they are ranked, so bounds keep that distance.
 NEAR = 1e-6
 

@@ -244,7 +244,9 @@ class Matrix:
         """(node, group): each class asks the one group that it shares most cells with, among the groups that hold the least component of its shingles."""
         rows = self.asked.join(self._named(labels), "node")
         hubs = rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct("label", "own")).alias("hub")).where("x < y").select("token", "x", F.col("hub.own").alias("group"))
-        met = rows.join(hubs, "token").where("label <> x and own <> group").groupBy("node", "group").agg(F.count(F.lit(1)).alias("shared"))
+        met = rows.join(hubs, "token").where("label <> x and own <> group").groupBy("node", "group", "n").agg(F.count(F.lit(1)).alias("shared"))
+        # sets of one size share nearly half of their prefix; what shares less of it is left to the last step
+        met = met.where(3 * F.col("shared") >= F.col("n") - F.ceil(self.share * F.col("n") / 100) + 1)
         return met.groupBy("node").agg(F.max_by("group", F.struct("shared", F.col("group").alias("g"))).alias("group"))
 
     def rest(self, labels: DataFrame) -> DataFrame:

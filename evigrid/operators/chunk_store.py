@@ -27,6 +27,7 @@ class ChunkStore(SegmentStore):
         A document of ``documents`` without chunks in ``points`` is gone from the index.
         """
         segments = self._state()[1]
+        points = stored(points)  # read four times below
         new = stored(postings(points))
         n = points.count()
         change = new.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

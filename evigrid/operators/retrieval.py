@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evigrid import params as P
 from evigrid.functions.text import terms
-from evigrid.operators.pruning import posting_blocks, scored
-from evigrid.operators.vectors import sparse_vector_topk
+from evigrid.operators.bags import bags, postings_of, unit_rows
+from evigrid.operators.pruning import posting_blocks
+from evigrid.operators.vectors import sparse_vector_topk, weighted_topk
 from evigrid.session import stored
 
 
@@ -40,7 +41,7 @@ def _unit_vectors(weighted: DataFrame, key: str) -> DataFrame:
 
 
 class Index:
-    """Stored tables of one collection that every search reads: postings, posting blocks, term statistics, vectors.
+    """Stored tables of one collection that every search reads: bags of terms, term statistics, vectors; posting blocks where asked for.
 
     ``embed`` takes (texts, key, text) and gives (key, bucket, w) of unit length with bucket
     under ``dims``; without it vectors are hashed terms weighted by the collection's idf.
@@ -48,10 +49,15 @@ class Index:
     """
 
     def __init__(self, points: DataFrame, embed: Callable[[DataFrame, str, str], DataFrame] | None = None, dims: int = P.EMBEDDING_DIMS):
-        self._open(points, stored(postings(points)), points.count(), embed, dims)
+        held = stored(self._bags_of(points))
+        self._open(points, postings_of(held), held.count(), embed, dims, held=held)
 
-    def _open(self, points: DataFrame, found: DataFrame, n: int, embed, dims: int, df: DataFrame | None = None, blocks: DataFrame | None = None) -> None:
-        self.points, self.dims, self.embed, self.postings, self.n = points, dims, embed or self._hashed, found, n
+    @staticmethod
+    def _bags_of(points: DataFrame) -> DataFrame:
+        return bags(points, "content", *(c for c in ("point_id", "project_id", "is_quarantined", "document_id") if c in points.columns))
+
+    def _open(self, points: DataFrame, found: DataFrame, n: int, embed, dims: int, df: DataFrame | None = None, blocks: DataFrame | None = None, held: DataFrame | None = None) -> None:
+        self.points, self.dims, self.embed, self.postings, self.n, self._bags = points, dims, embed or self._hashed, found, n, held
         df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")) if df is None else df
         k = F.col("df")
         self.idf = stored(df.select("term", "df", F.log(1 + (F.lit(float(n)) - k + 0.5) / (k + 0.5)).alias("idf"), _bucket()))
@@ -72,7 +78,7 @@ class Index:
     def mean(self) -> float:
         """Mean length of a point in terms; points without a term count."""
         if self._mean is None:
-            self._mean = float((self.postings.agg(F.sum("tf")).first()[0] or 0) / max(self.n, 1) or 1.0)
+            self._mean = float((self.bags().agg(F.sum("dl")).first()[0] or 0) / max(self.n, 1) or 1.0)
         return self._mean
 
     def saturated(self, tf: Column, dl: Column) -> Column:
@@ -84,6 +90,15 @@ class Index:
         """(point_id, term, tf, weight)."""
         return self.postings.select("point_id", "term", "tf", self.saturated(F.col("tf"), F.col("dl")).alias("weight"))
 
+    def bags(self) -> DataFrame:
+        """One row a point (see ``evigrid.operators.bags``); written once."""
+        if self._bags is None:
+            self._bags = stored(self._bags_of(self.points))
+        return self._bags
+
+    def searchable(self) -> DataFrame:
+        return self.bags().where("not is_quarantined").drop("is_quarantined")
+
     def blocks(self) -> DataFrame:
         """Posting blocks (see ``posting_blocks``); written once."""
         if self._blocks is None:
@@ -96,6 +111,8 @@ class Index:
 
     def vector_rows(self) -> DataFrame:
         """One row a searchable point: the columns of ``live``, buckets b and weights w; written once."""
+        if self._vectors is None and self.embed == self._hashed:
+            self._vectors = stored(unit_rows(self.searchable(), self.idf, self.dims, TERMS_SENT))
         if self._vectors is None:
             rows = self.vectors().groupBy("point_id").agg(F.collect_list(F.struct("bucket", "w")).alias("v"))
             self._vectors = stored(rows.join(self.live, "point_id").select(*self.live.columns, F.col("v.bucket").alias("b"), F.col("v.w").alias("w")))
@@ -126,10 +143,12 @@ def dense_topk(questions: DataFrame, index: Index, scope: DataFrame, n: int = P.
 def sparse_topk(questions: DataFrame, index: Index, scope: DataFrame, n: int = P.PREFETCH_SPARSE) -> DataFrame:
     """(qid, point_id, score, rank) by Okapi weights; only points that share a term.
 
-    Exact, by bounds: see ``evigrid.operators.pruning``.
+    Exact: bags are read once for a block of questions.  (Where few questions meet posting blocks that are kept,
+    ``evigrid.operators.pruning`` reads less.)
     """
-    asked = questions.select("qid", F.explode(F.array_distinct(terms(F.col("question")))).alias("term")).join(index.terms("df", "idf"), "term")
-    return _top(scored(asked, index, scope, n), n)
+    asked = questions.select("qid", F.explode(F.array_distinct(terms(F.col("question")))).alias("term")).join(index.terms("idf"), "term")
+    asked = asked.groupBy("qid").agg(F.collect_list(F.struct("term", "idf")).alias("v")).join(scope, "qid").select(*scope.columns, F.col("v.term").alias("t"), F.col("v.idf").alias("w"))
+    return _top(weighted_topk(asked, index.searchable(), index.mean, n), n)
 
 
 def rrf_fuse(dense: DataFrame, sparse: DataFrame, k: int = P.RRF_K, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:

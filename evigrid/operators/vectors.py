@@ -8,10 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from evigrid import params as P
+from evigrid.operators.bags import found
 from evigrid.session import ship
 
 #: Questions of one turn: their matrix and n candidates for each are what a task holds besides its batch.
 BLOCK = 4096
+#: Questions of one turn where each brings its own terms as columns, and cells of a matrix of points and terms.
+TERM_BLOCK, CELLS = 512, 1 << 22
 FOUND = "qid long, point_id long, score double"
 
 
@@ -39,9 +43,8 @@ def _best(points: DataFrame, matrix: Callable, qids: np.ndarray, q: np.ndarray,
     def run(batches):
         qids, q, bound, listed = sent.value
         held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        for b in batches:
-            if not b.num_rows:
-                continue
+        step = max(1, CELLS // max(q.shape[1], len(qids), 1))
+        for b in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
             ids, project = b.column(0).to_numpy(zero_copy_only=False), np.array(b.column(1).to_pylist(), object)
             raw = matrix(b) @ q.T
             score = np.round(raw, 6)
@@ -63,12 +66,12 @@ def _best(points: DataFrame, matrix: Callable, qids: np.ndarray, q: np.ndarray,
     return points.mapInArrow(run, FOUND)
 
 
-def _in_blocks(questions: DataFrame, best: Callable[[list], DataFrame]) -> DataFrame:
+def _in_blocks(questions: DataFrame, best: Callable[[list], DataFrame], size: int | None = None) -> DataFrame:
     """The union over blocks of the stated questions; one block passes through the driver at a time."""
     block, parts = [], []
     for r in questions.toLocalIterator():
         block.append(r)
-        if len(block) == BLOCK:
+        if len(block) == (size or BLOCK):
             parts.append(best(block))
             block = []
     if block or not parts:
@@ -120,3 +123,35 @@ def sparse_vector_topk(questions: DataFrame, points: DataFrame, dims: int, n: in
 
     listed = "documents" in questions.columns
     return _in_blocks(questions.select("qid", "scope", "b", "w", *(["documents"] if listed else [])), best)
+
+
+def weighted_topk(questions: DataFrame, points: DataFrame, mean: float, n: int) -> DataFrame:
+    """Candidates by Okapi weights of bags of terms: a product of the points' weights with the questions' idf.
+
+    questions: qid, scope, t (distinct terms), w (their idf) and maybe documents; points: bags with point_id,
+    project_id and document_id where questions are bound to documents.  Only pairs that share a term count.
+    """
+    ship(points.sparkSession)
+    k, c = P.BM25_K1, P.BM25_B
+
+    def best(rows: list) -> DataFrame:
+        of: dict = {}
+        place = [(i, of.setdefault(t, len(of)), w) for i, r in enumerate(rows) for t, w in zip(r["t"], r["w"])]
+        q = np.zeros((len(rows), len(of)))
+        for i, j, w in place:
+            q[i, j] = w
+
+        def matrix(batch) -> np.ndarray:
+            row, no = found(batch.column(3), of)
+            tf, dl, ok = batch.column(4).flatten().to_numpy(), batch.column(2).to_numpy(), no >= 0
+            row, no, tf = row[ok], no[ok], tf[ok]
+            m = np.zeros((batch.num_rows, len(of)))
+            m[row, no] = tf * (k + 1) / (tf + k * (1 - c + c * dl[row] / mean))
+            return m
+
+        lists = [np.unique(r["documents"]) if r["documents"] else None for r in rows] if listed else None
+        named = points.select("point_id", "project_id", "dl", "terms", "tfs", *(["document_id"] if listed else []))
+        return _best(named, matrix, np.array([r["qid"] for r in rows], np.int64), q, [r["scope"] for r in rows], n, True, lists)
+
+    listed = "documents" in questions.columns
+    return _in_blocks(questions.select("qid", "scope", "t", "w", *(["documents"] if listed else [])), best, TERM_BLOCK)

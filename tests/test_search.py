@@ -160,3 +160,19 @@ def test_partial_ratio(a, b):
     want = max((200 * longest(s, w) / (len(s) + len(w)) for w in windows), default=0.0) if s else 0.0 if t else 100.0
     assert abs(partial_ratio(a, b) - want) < 1e-9
     assert plain(" A-b_c! ") == "a b c" and P.GROUNDED_FROM == 60
+
+
+def test_vectors_with_terms_that_are_not_sent(spark, monkeypatch):
+    """Few sent terms, the rest joined by term: the same vectors as by the joined form, and postings equal a count by hand."""
+    points = spark.createDataFrame(texts(200) + [(900, 300, "p0", "", False, False), (901, 300, "p0", "Solo solo", False, False)], POINT)
+    index = R.build_index(points)
+    held = {(r.point_id, r.term): (r.tf, r.dl) for r in index.postings.collect()}
+    assert held == {(r.point_id, r.term): (r.tf, r.dl) for r in R.postings(points).collect()} and held[901, "solo"] == (2, 2)
+    want = {(r.point_id, r.bucket): round(r.w, 9) for r in index.vectors().collect() if r.point_id % 17 or r.point_id >= 900}
+    for sent in (10**6, 40, 0):
+        monkeypatch.setattr(R, "TERMS_SENT", sent)
+        index._vectors = None
+        got = {(r.point_id, b): round(w, 9) for r in index.vector_rows().collect() for b, w in zip(r.b, r.w)}
+        assert got == want
+    plan = R.bags(points, "content", "point_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan

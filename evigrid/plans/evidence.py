@@ -207,7 +207,10 @@ def source_drift(spark, sf_dir):
 @query(sql(f"SELECT qid, marker, coalesce(q <> '' AND contains(content, q), false) AS verbatim FROM (SELECT a.qid, a.marker, a.content, {_QUOTE} AS q FROM (SELECT *, {_TRIM.format('content')} AS t FROM anc) a)"))
 def quote_verbatim(spark, sf_dir):
     """An emitted quote against the texts of its own document: an equi-join first, then containment."""
-    a = Answered(spark, sf_dir)
+    return _verbatim(Answered(spark, sf_dir), sf_dir)
+
+
+def _verbatim(a: Answered, sf_dir) -> DataFrame:
     emitted = a.anchors().select("qid", "marker", F.col("point_id").alias("document_id"), T.quote(F.col("content")).alias("q"))
     texts = X.docs(a.kept.sparkSession, sf_dir).select("document_id", "content")
     return emitted.join(texts, "document_id").groupBy("qid", "marker").agg(F.bool_or((F.col("q") != "") & F.contains("content", "q")).alias("verbatim"))
@@ -244,8 +247,7 @@ _REPORT = dict(
 )
 
 
-def _report(spark, sf_dir) -> DataFrame:
-    a = Answered(spark, sf_dir)
+def _report(a: Answered, spark, sf_dir) -> DataFrame:
     v = a.validity().groupBy("qid").agg(F.count(F.lit(1)).alias("used"), F.count_if("ok").alias("ok"))
     rows = _abstained(a, spark, sf_dir).join(v, "qid", "left")
     share = lambda n, d: F.round(F.coalesce(F.try_divide(F.sum(n), F.sum(d)), F.lit(1.0)), 6)
@@ -259,12 +261,13 @@ def _report(spark, sf_dir) -> DataFrame:
 
 @query(sql("SELECT * FROM rep", **_REPORT))
 def eval_report(spark, sf_dir):
-    return _report(spark, sf_dir)
+    return _report(Answered(spark, sf_dir), spark, sf_dir)
 
 
 @query(sql("SELECT gate, value, value >= least AS pass FROM (SELECT 'recall' AS gate, recall AS value, 0.9::DOUBLE AS least FROM rep WHERE grp IS NULL UNION ALL SELECT 'id_validity', id_validity, 1.0 FROM rep WHERE grp IS NULL UNION ALL SELECT 'quote', coalesce(avg((contains(content, q))::INT), 1.0), 1.0 FROM (SELECT content, " + _QUOTE + f" AS q FROM (SELECT *, {_TRIM.format('content')} AS t FROM anc)) UNION ALL SELECT 'abstain', abstain, 0.9 FROM rep WHERE grp IS NULL)", **_REPORT))
 def hard_gates(spark, sf_dir):
-    total = _report(spark, sf_dir).where("grp is null").select(F.expr("stack(3, 'recall', recall, 'id_validity', id_validity, 'abstain', abstain) as (gate, value)"))
-    q = quote_verbatim(spark, sf_dir).agg(F.coalesce(F.avg(F.col("verbatim").cast("double")), F.lit(1.0)).alias("value")).select(F.lit("quote").alias("gate"), "value")
+    a = Answered(spark, sf_dir)  # one run of the retrieval serves all four gates
+    total = _report(a, spark, sf_dir).where("grp is null").select(F.expr("stack(3, 'recall', recall, 'id_validity', id_validity, 'abstain', abstain) as (gate, value)"))
+    q = _verbatim(a, sf_dir).agg(F.coalesce(F.avg(F.col("verbatim").cast("double")), F.lit(1.0)).alias("value")).select(F.lit("quote").alias("gate"), "value")
     least = spark.createDataFrame(list(P.EVAL_GATES), "gate string, least double")
     return total.unionByName(q).join(F.broadcast(least), "gate").select("gate", "value", (F.col("value") >= F.col("least")).alias("pass"))

@@ -176,3 +176,12 @@ def test_vectors_with_terms_that_are_not_sent(spark, monkeypatch):
         assert got == want
     plan = R.bags(points, "content", "point_id")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_gates_run_the_retrieval_once(spark, sf, monkeypatch):
+    from evigrid.plans import evidence
+
+    runs, init = [], evidence.Answered.__init__
+    monkeypatch.setattr(evidence.Answered, "__init__", lambda self, *a: (runs.append(1), init(self, *a))[1])
+    got = {r.gate for r in evidence.hard_gates(spark, sf).collect()}
+    assert got == {"recall", "id_validity", "quote", "abstain"} and len(runs) == 1

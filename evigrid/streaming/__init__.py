@@ -8,6 +8,7 @@ rows on the same input once the stream has ended.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -30,8 +31,8 @@ def window_counts(requests: DataFrame, seconds: int, late: str = LATE) -> DataFr
 def rate_decisions(requests: DataFrame, limit: int, seconds: int, late: str = LATE) -> DataFrame:
     """Each request (client, event_id, ts) with its ordinal in (client, window), allowed or not, and the wait.
 
-    State is a count and the first second of a window; it goes once the watermark has
-    passed the window's end.  Requests of one trigger are taken in order of time, those of
+    State is a client's open windows, each with its count and first second; a window goes once the
+    watermark has passed its end, and one call takes all of a client's requests of a trigger.  Requests of one trigger are taken in order of time, those of
     later triggers after them, so places can differ from the batch form, numbers allowed never.
     """
     kind = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
@@ -39,21 +40,27 @@ def rate_decisions(requests: DataFrame, limit: int, seconds: int, late: str = LA
     keyed = timed.select("client", (F.floor(F.col("sec") / seconds) * seconds).cast("long").alias("start"), "event_id", "sec", "ts")
 
     def decide(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        n, first = state.get if state.exists else (0, None)
-        for f in [pd.concat(list(frames), ignore_index=True).sort_values(["sec", "event_id"])]:
-            first = int(f["sec"].iloc[0]) if first is None and len(f) else first
-            place = pd.Series(range(n + 1, n + len(f) + 1), index=f.index, dtype="int64")
-            n += len(f)
-            wait = (first + seconds - f["sec"]).astype("Int64").where(place > limit) if len(f) else f["sec"].astype("Int64")
+        watermark = int(state.getCurrentWatermarkMs())
+        held = {w: (n, first) for w, n, first in zip(*state.get)} if state.exists else {}  # window -> count and first second
+        if not state.hasTimedOut:
+            f = pd.concat(list(frames), ignore_index=True).sort_values(["start", "sec", "event_id"], ignore_index=True)
+            sec = f["sec"].to_numpy()
+            windows, at, size = np.unique(f["start"].to_numpy(), return_index=True, return_counts=True)
+            known = [held.get(int(w), (0, int(sec[i]))) for w, i in zip(windows, at)]
+            place = np.arange(1, len(f) + 1) + np.repeat(np.array([n for n, _ in known], np.int64) - at, size)
+            wait = pd.array(np.repeat(np.array([first for _, first in known], np.int64), size) + seconds - sec, "Int64")
+            wait[place <= limit] = pd.NA
+            held |= {int(w): (n + int(k), first) for w, k, (n, first) in zip(windows, size, known)}
             yield pd.DataFrame({"client": f["client"], "start": f["start"], "event_id": f["event_id"], "ordinal": place, "allowed": place <= limit, "retry_after": wait})
-        state.update((n, first))
-        state.setTimeoutTimestamp(max((int(key[1]) + seconds) * 1000, int(state.getCurrentWatermarkMs()) + 1))
+        held = {w: x for w, x in held.items() if (w + seconds) * 1000 > watermark}
+        if held:
+            state.update((list(held), [n for n, _ in held.values()], [first for _, first in held.values()]))
+            state.setTimeoutTimestamp(max((min(held) + seconds) * 1000, watermark + 1))
+        else:
+            state.remove()
 
     out = f"client {kind['client']}, start long, event_id {kind['event_id']}, ordinal long, allowed boolean, retry_after long"
-    return keyed.groupBy("client", "start").applyInPandasWithState(decide, out, "n long, first long", "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.groupBy("client").applyInPandasWithState(decide, out, "starts array<long>, ns array<long>, firsts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def daily_spend(requests: DataFrame, late: str = LATE) -> DataFrame:

@@ -46,3 +46,17 @@ def test_stream_without_any_batch(spark, tmp_path):
     schema = spark.createDataFrame([], "client string, event_id long, ts timestamp").schema
     out = S.run_to_end(S.window_counts(S.read(spark, str(tmp_path / "in"), schema), 600), f"file://{tmp_path}/s", "append")
     assert out.count() == 0
+
+
+def test_windows_of_a_client_share_a_call(spark):
+    """One group a client and trigger, not one a window; places go on over triggers, and old windows leave the state."""
+    rows = spark.range(600).select((F.col("id") % 3).cast("string").alias("client"), F.col("id").alias("event_id"), F.timestamp_seconds(1_700_000_000 + F.col("id") * 900).alias("ts"))
+    base = shared_dir(spark)
+    for lo in (0, 300):
+        rows.where(f"event_id >= {lo} and event_id < {lo + 300}").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    out = S.run_to_end(S.rate_decisions(S.read(spark, f"{base}/in", rows.schema), 4, 7200, late="1 hour"), base, "append").cache()
+    assert out.count() == 600
+    per = out.groupBy("client", "start").agg(F.count(F.lit(1)).alias("n"), F.max("ordinal").alias("m"), F.countDistinct("ordinal").alias("d"))
+    assert per.where("n <> m or n <> d").count() == 0 and out.where("allowed <> (ordinal <= 4) or (retry_after is null) <> allowed").count() == 0
+    state = spark.read.format("statestore").load(f"{base}/checkpoint").selectExpr("key.*", "value.*")
+    assert state.count() == 3

@@ -224,3 +224,21 @@ def test_pipeline(spark, sf):
             assert {str(r.doc_id) for r in docs.collect()} == {i for i, _, _, _, _, c in brute_hits([(r.doc_id, r.text) for r in before.collect()], items) if not c}
         if name in ("pii", "bpe"):
             assert docs.count() == before.count()
+
+
+def test_components_go_on_from_labels(spark):
+    rng = np.random.default_rng(3)
+    n = 400
+    edges = [(i, i + 1) for i in range(100, 160)] + [(i + 1, i) for i in range(200, 230)] + rng.integers(0, n, (150, 2)).tolist()
+    least = list(range(n))
+    for _ in range(n):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    table = lambda rows: spark.createDataFrame([tuple(map(int, r)) for r in rows], "a long, b long")
+    want = {x: least[x] for a, b in edges if a != b for x in (a, b)}
+    whole = {r["node"]: r["label"] for r in near_dup.components(table(edges)).collect()}
+    first = near_dup.components(table(edges[:70]))
+    later = {r["node"]: r["label"] for r in near_dup.components(table(edges[70:]), first).collect()}
+    assert whole == want and later == want
+    # what is inside a component is no edge of a later round
+    assert near_dup._contracted(table(edges), near_dup.components(table(edges))).isEmpty()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from evigrid import params as P
 from evigrid.operators import structure as S
@@ -114,8 +114,18 @@ def final_chunk_count(spark, sf_dir):
 
 @query(with_sql("figures", "SELECT document_id, chunk_figure, figure_id, max(confidence) AS confidence FROM (SELECT a.document_id, a.figure_id AS chunk_figure, b.figure_id, 0.9::DOUBLE AS confidence FROM figures a JOIN figures b ON a.document_id = b.document_id AND regexp_extract(a.caption, 'Figure ([0-9]+)', 1) = regexp_extract(b.caption, 'Figure ([0-9]+)', 1) AND regexp_extract(a.caption, 'Figure ([0-9]+)', 1) <> '' UNION ALL SELECT document_id, figure_id, figure_id, 1.0 FROM figures) GROUP BY ALL"))
 def chunk_figure_links(spark, sf_dir):
-    """Links by the number that a caption names, and each figure to its own; the highest confidence stays."""
-    f = X.figures(spark, sf_dir).select("document_id", "figure_id", F.regexp_extract("caption", r"Figure (\d+)", 1).alias("no"))
-    by_no = f.where("no <> ''").select("document_id", "no", F.col("figure_id").alias("chunk_figure")).join(f, ["document_id", "no"]).select("document_id", "chunk_figure", "figure_id", F.lit(0.9).alias("confidence"))
-    own = f.select("document_id", F.col("figure_id").alias("chunk_figure"), "figure_id", F.lit(1.0).alias("confidence"))
-    return by_no.unionByName(own).groupBy("document_id", "chunk_figure", "figure_id").agg(F.max("confidence").alias("confidence"))
+    return caption_links(X.figures(spark, sf_dir))
+
+
+def caption_links(figures: DataFrame) -> DataFrame:
+    """Links by the number that a caption names, and each figure to its own; the highest confidence stays.
+
+    Pairs stream out of one join and are never gathered again: a pair that shares several numbers is made at the least of them.
+    """
+    no = F.regexp_extract("caption", r"Figure (\d+)", 1)
+    f = figures.groupBy("document_id", "figure_id").agg(F.collect_set(F.when(no != "", no)).alias("nos"))
+    named = f.select("document_id", F.explode("nos").alias("no"), "figure_id", "nos")
+    met = named.withColumnRenamed("figure_id", "chunk_figure").withColumnRenamed("nos", "own").join(named, ["document_id", "no"])
+    other = met.where((F.col("chunk_figure") != F.col("figure_id")) & (F.array_min(F.array_intersect("own", "nos")) == F.col("no")))
+    pairs = other.select("document_id", "chunk_figure", "figure_id", F.lit(0.9).alias("confidence"))
+    return pairs.unionByName(f.select("document_id", F.col("figure_id").alias("chunk_figure"), "figure_id", F.lit(1.0).alias("confidence")))

@@ -112,3 +112,15 @@ def test_chunks_come_before_a_document_ends(spark):
     b = spark.createDataFrame([(1, 0, "text", None, "body", 1)], "document_id long, pos int, kind string, level int, text string, page int")
     plan = C.chunk_documents(b)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "FlatMapGroupsInPandas" not in plan
+
+
+def test_caption_links_of_repeated_figures(spark):
+    from evigrid.plans.tables import caption_links
+
+    rows = [(1, 10, "Figure 3: a"), (1, 10, "Figure 4: b"), (1, 11, "Figure 3"), (1, 11, "see Figure 4"), (1, 12, None), (1, 13, "none"), (2, 14, "Figure 3"), (1, 15, "Figure 4")]
+    links = caption_links(spark.createDataFrame(rows, "document_id long, figure_id long, caption string"))
+    alike = [(1, a, b) for a in (10, 11, 15) for b in (10, 11, 15) if a != b]
+    assert sorted(map(tuple, links.collect())) == sorted([(*x, 0.9) for x in alike] + [(d, i, i, 1.0) for d, i in {(d, i) for d, i, _ in rows}])
+    # pairs are not gathered behind the join that makes them
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]

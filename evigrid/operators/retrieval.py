@@ -50,7 +50,8 @@ class Index:
 
     def __init__(self, points: DataFrame, embed: Callable[[DataFrame, str, str], DataFrame] | None = None, dims: int = P.EMBEDDING_DIMS):
         held = stored(self._bags_of(points))
-        self._open(points, postings_of(held), held.count(), embed, dims, held=held)
+        df = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a bag names a term once
+        self._open(points, postings_of(held), held.count(), embed, dims, df=df, held=held)
 
     @staticmethod
     def _bags_of(points: DataFrame) -> DataFrame:

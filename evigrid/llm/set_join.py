@@ -257,7 +257,8 @@ class Matrix:
         cells = cells.join(mixed, "token", "left_semi").drop("hi")
         meets = (F.col("lo") < F.col("label")) & (100 * F.col("largest") >= self.share * F.col("n")) & (100 * F.col("n") >= self.share * F.col("least"))
         # of the shingles that two alike sets share the first one has enough of both behind it
-        enough = (100 + self.share) * F.least("rest", "most") >= self.share * (F.col("n") + F.col("least"))
+        # (an alike class has at least the share of the query's size)
+        enough = (100 + self.share) * F.least("rest", "most") >= self.share * (F.col("n") + F.greatest("least", F.ceil(self.share * F.col("n") / 100)))
         return rows.join(cells, "token").where(meets & enough).select("node", "group").distinct()
 
     def links(self, pairs: DataFrame, labels: DataFrame, inside: bool) -> DataFrame:
@@ -295,8 +296,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
         last = k == STAR_ROUNDS
         found = matrix.links(matrix.rest(labels) if last else matrix.stars(labels), labels, k == 0)
         if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = components(links)
+            labels = components(found, labels)
     # a component is named by its least document
     joined = classes.select("node", "rep").join(labels, "node")
     least = joined.groupBy("label").agg(F.min("rep").alias("component_id"))

@@ -54,6 +54,20 @@ def lists_of(rows: int, place: np.ndarray, *values: pa.Array) -> list[pa.ListArr
     return [pa.ListArray.from_arrays(at, v) for v in values]
 
 
+def cells(row: np.ndarray, bucket: np.ndarray, x: np.ndarray, rows: int, dims: int, step: int = 1 << 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, bucket and sum of each cell that is hit, in order; rows ascend, and a cell's values are added in theirs."""
+    parts = []
+    for lo in range(0, rows, step):
+        a, b = np.searchsorted(row, [lo, lo + step])
+        at = (row[a:b] - lo) * dims + bucket[a:b]
+        n = min(step, rows - lo) * dims
+        hit = np.zeros(n, bool)
+        hit[at] = True
+        cell = np.flatnonzero(hit)
+        parts.append((cell // dims + lo, cell % dims, np.bincount(at, x[a:b], n)[cell]))
+    return tuple(map(np.concatenate, zip(*parts))) if parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+
 def unit_rows(held: DataFrame, idf: DataFrame, dims: int, sent: int) -> DataFrame:
     """Bags to vectors of unit length: their other columns, buckets b and weights w; bags without a term have none.
 
@@ -81,9 +95,8 @@ def unit_rows(held: DataFrame, idf: DataFrame, dims: int, sent: int) -> DataFram
             n, flat, tf = b.num_rows, b.column(len(keep)).flatten(), b.column(len(keep) + 1).flatten().to_numpy()
             row, no = found(b.column(len(keep)), of)
             ok = no >= 0
-            cell, place = np.unique(row[ok] * dims + bucket[no[ok]], return_inverse=True)
-            x = np.bincount(place, tf[ok] * weight[no[ok]], len(cell))
-            b_, w_ = lists_of(n, cell // dims, pa.array(cell % dims), pa.array(x))
+            place, at, x = cells(row[ok], bucket[no[ok]], tf[ok] * weight[no[ok]], n, dims)
+            b_, w_ = lists_of(n, place, pa.array(at), pa.array(x))
             terms_, tfs_ = lists_of(n, row[~ok], flat.filter(pa.array(~ok)), pa.array(tf[~ok], pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], b_, w_, terms_, tfs_], names=[*keep, "b", "w", "terms", "tfs"])
 
@@ -99,10 +112,8 @@ def unit_rows(held: DataFrame, idf: DataFrame, dims: int, sent: int) -> DataFram
         for b in batches:
             lists = b.column(len(keep))
             row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
-            cell, place = np.unique(row * dims + lists.flatten().to_numpy(), return_inverse=True)
-            x = np.bincount(place, b.column(len(keep) + 1).flatten().to_numpy(), len(cell))
-            row = cell // dims
+            row, at, x = cells(row, lists.flatten().to_numpy(), b.column(len(keep) + 1).flatten().to_numpy(), b.num_rows, dims)
             norm = np.sqrt(np.bincount(row, x * x, b.num_rows))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *lists_of(b.num_rows, row, pa.array(cell % dims), pa.array(x / norm[row]))], names=[*keep, "b", "w"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *lists_of(b.num_rows, row, pa.array(at), pa.array(x / norm[row]))], names=[*keep, "b", "w"])
 
     return part.select(*keep, "b", "w").where("size(b) > 0").mapInArrow(unit, f"{kinds}, b array<long>, w array<double>")

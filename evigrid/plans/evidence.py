@@ -110,8 +110,9 @@ _FROM = "docs golden scope figures table_text"
 def _media(spark, sf_dir, kept: DataFrame | None = None) -> DataFrame:
     """Figures (with an image, at most four) and tables of kept documents, each numbered by first appearance."""
     k = (Run(spark, sf_dir).kept() if kept is None else kept).select("qid", F.col("point_id").alias("document_id"), "rank")
+    k = stored(k)
     f = k.join(X.figures(spark, sf_dir).where("has_image"), "document_id").groupBy("qid", F.col("figure_id").cast("long").alias("id")).agg(F.min("rank").alias("rank"), F.first("caption").alias("caption"))
-    t = k.join(X.table_text(spark, sf_dir).withColumn("document_id", F.col("table_id")), "document_id")
+    t = k.join(X.table_text(spark, sf_dir, k.select(F.col("document_id").alias("table_id")).distinct()).withColumn("document_id", F.col("table_id")), "document_id")
     n = F.row_number().over(Window.partitionBy("qid").orderBy("rank", "id")).cast("long")
     of = lambda df, kind, body: df.withColumn("n", n).select(
         "qid", F.lit(kind).alias("kind"), "id", F.concat(F.lit(kind[0].upper()), F.col("n").cast("string")).alias("marker"), F.coalesce("caption", F.lit(kind.capitalize())).alias("label"), body.alias("body"), "n"

@@ -70,11 +70,16 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pipe table of the lines of each order; orders with key % 5 = 3 have short rows, with 4 no separator row."""
+def table_text(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """A pipe table of the lines of each order; orders with key % 5 = 3 have short rows, with 4 no separator row.
+
+    of: (table_id), distinct; only the lines of these tables are gathered.
+    """
     k = F.col("l_orderkey")
     row = F.concat(F.lit("| part "), F.col("l_partkey").cast("string"), F.when(k % 5 != 3, F.concat(F.lit(" | "), F.col("l_linenumber").cast("string"))).otherwise(F.lit("")), F.lit(" |"))
-    rows = table(spark, sf_dir, "lineitem").groupBy(k.cast("long").alias("table_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), row.alias("r")))).alias("x"))
+    lines = table(spark, sf_dir, "lineitem")
+    lines = lines if of is None else lines.join(of, k.cast("long") == of["table_id"], "left_semi")
+    rows = lines.groupBy(k.cast("long").alias("table_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), row.alias("r")))).alias("x"))
     head = F.concat(F.lit("| name | key |\n"), F.when(F.col("table_id") % 5 != 4, F.lit("| --- | ---: |\n")).otherwise(F.lit("")))
     return rows.select("table_id", F.when(F.col("table_id") % 2 == 0, "caption").alias("caption"), F.concat(head, F.array_join(F.transform("x", lambda e: e["r"]), "\n")).alias("markdown"))
 

@@ -198,3 +198,15 @@ def test_cells_are_summed_in_order():
     got = cells(row, bucket, x, 3000, 64)
     assert all((a == b).all() for a, b in zip(got, (cell // 64, cell % 64, np.bincount(place, x))))
     assert [len(c) for c in cells(row[:0], bucket[:0], x[:0], 0, 64)] == [0, 0, 0]
+
+
+def test_only_lines_of_asked_tables_are_gathered(spark, sf):
+    """Tables of evidence are made from their own lines, not picked from those of all orders."""
+    from evigrid.sources import fixtures as X
+
+    whole = X.table_text(spark, sf)
+    of = whole.where("table_id % 50 = 3").select("table_id").distinct()
+    asked = X.table_text(spark, sf, of)
+    want = sorted(map(tuple, whole.where("table_id % 50 = 3").collect()), key=lambda r: r[0])
+    assert want and sorted(map(tuple, asked.collect()), key=lambda r: r[0]) == want
+    assert X.table_text(spark, sf, of.limit(0)).isEmpty()

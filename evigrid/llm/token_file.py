@@ -26,6 +26,7 @@ import json
 import sys
 import zlib
 from array import array
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ from evigrid.llm.chunks import PieceTable, buffered, values
 from evigrid.session import ship
 
 BLOCK_BYTES = 4 << 20
+#: Pre-tokens without a blank before them that a worker holds.
+PARTS = 200_000
 #: Documented bound of the dictionary's training sample: documents, and characters in each.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 1024, 4096, 64 << 10
 BLOCKS = (
@@ -51,7 +54,8 @@ def encoder(path: str):
     """(texts -> little-endian id bytes of each, kind of id): the tokenizers library, one per worker.
 
     The library's model encodes each distinct piece once for as long as it is held;
-    a piece of letters alone, or with one sign behind them, is one pre-token or two.
+    a piece of letters alone, or with one sign behind them, is one pre-token or two,
+    and a word is encoded once however signs and line ends stand about it.
     Pieces with characters beyond Latin letters or with a special token, and texts
     that cannot be cut, go through the library's whole encoder.
     """
@@ -69,15 +73,27 @@ def encoder(path: str):
     t.no_padding()
     kind = np.dtype("<u2" if t.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
     special = tuple(x.content for x in t.get_added_tokens_decoder().values())
-    stands, tokenize, code = {b: c for c, b in printable_bytes().items()}, t.model.tokenize, "H" if kind.itemsize == 2 else "I"
+    stands, tokenize, id_of, code = {b: c for c, b in printable_bytes().items()}, t.model.tokenize, attrgetter("id"), "H" if kind.itemsize == 2 else "I"
 
     def word(w: str) -> bytes:
-        ids = array(code, [x.id for x in tokenize(w.encode().decode("latin-1").translate(stands))])
+        ids = array(code, map(id_of, tokenize((w if w.isascii() else w.encode().decode("latin-1")).translate(stands))))
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()
 
     signs = {c: word(c) for c in ".,;:!?"}
+    parts: dict[str, bytes] = {}
+
+    def part(w: str) -> bytes:
+        """A pre-token inside a piece: words behind a blank are those of the table, others are held apart."""
+        if w[0] == " " and w[1:].isalpha():
+            return table[w[1:]]
+        value = parts.get(w)
+        if value is None:
+            if len(parts) >= PARTS:
+                parts.clear()
+            value = parts[w] = word(w)
+        return value
 
     def encode(text: str) -> bytes:
         if text.isascii() or max(text) < "\u0250":
@@ -85,9 +101,9 @@ def encoder(path: str):
             if body.isalpha():
                 return word(text)
             if body[:-1].isalpha() and body[-1] in signs:
-                return word(text[:-1]) + signs[body[-1]]
+                return part(text[:-1]) + signs[body[-1]]
             if not any(s in text for s in special):
-                return b"".join(map(word, WORDS.findall(text)))
+                return b"".join(map(part, WORDS.findall(text)))
         return np.array(t.encode(text, add_special_tokens=False).ids, kind).tobytes()
 
     table = PieceTable(encode, special, 500_000)

@@ -69,3 +69,34 @@ def test_token_file_without_rows(spark, odd, tokenizer):
     path = f"{shared_dir(spark)}/f"
     token_file.write(odd.limit(0), path, tokenizer)
     assert token_file.read_digests(spark, path).count() == 0
+
+
+def test_a_word_is_encoded_once(tokenizer, monkeypatch):
+    """Signs and line ends about a word do not send it through the model again, and the ids are those of the library."""
+    import tokenizers
+
+    library, asked = Tokenizer.from_file(tokenizer), []
+
+    class Model:
+        def tokenize(self, w):
+            asked.append(w)
+            return library.model.tokenize(w)
+
+    class Counting:
+        model = Model()
+
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+    class Source:
+        from_file = staticmethod(lambda path: Counting())
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Source)
+    monkeypatch.setattr(token_file, "_loaded", {})
+    monkeypatch.setattr(token_file.gc, "freeze", lambda: None)
+    every, kind = token_file.encoder(tokenizer)
+    asked.clear()
+    texts = ["on haheth on haheth, so haheth. so haheth$$$ it haheth.\nThe end haheth.\nThe", "é haheth, émile? émile.\nThe <|endoftext|> haheth,", "haheth, haheth"]
+    got = [np.frombuffer(x, kind).tolist() for x in every(texts)]
+    assert got == [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert asked.count("\u0120haheth") == 1

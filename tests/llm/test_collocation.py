@@ -67,3 +67,13 @@ def test_double_array(keys, text):
     ends[[10, 32]] = True
     got = collections.Counter(d.matches(np.frombuffer(text, np.uint8), np.arange(len(text)), ends).tolist())
     assert got == collections.Counter(i for i, k in enumerate(keys) for p in range(len(text) - len(k)) if text.startswith(k, p) and text[p + len(k)] in b"\n ")
+
+
+def test_candidates_of_many_buffers_are_distinct(spark, monkeypatch):
+    """Candidates of equal phrases in several buffers meet packed, each once, with no exchange of phrases behind it."""
+    monkeypatch.setattr(collocation, "TOGETHER", 64)
+    texts = spark.createDataFrame([(f"a b c d{i % 3}. a b\nA b é", ["en", "de"][i % 2]) for i in range(40)], "text string, lang string").repartition(4)
+    rows = [tuple(r) for r in collocation._emitted(texts, {}, spark.sparkContext.broadcast({})).collect()]
+    tails = ["a b", "b c", "a b c", "b é", "a b é", *(x for i in range(3) for x in (f"c d{i}", f"b c d{i}"))]
+    assert len(rows) == len(set(rows))
+    assert {(k, p.lower()) for k, p in rows} == {(k, p) for k in ("en", "de") for p in tails}

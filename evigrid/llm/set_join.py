@@ -4,7 +4,8 @@ Sets are distinct ``WORDS``-word shingles as 64-bit hashes; two documents link w
 ``100 * common >= SHARE * union``.  Equal sets are one class, named by its least document id.
 
 1. Order: shingles of often hit hash buckets come last, others by hash.  Alike sets share one of the
-   first ``n - ceil(SHARE * n / 100) + 1`` shingles of each in any one order, the prefix.
+   first ``n - ceil(SHARE * n / 100) + 1`` shingles of each in any one order, the prefix.  All shingles are
+   told apart so: texts that have much in common, but not enough, then meet in few cells.
 2. Groups: classes with the same two least hashes (of the shingles and of a second permutation) are
    similar more often than not; a group has at most ``GROUP`` classes and ``GROUP_SHINGLES`` shingles.
 3. The token-group matrix: (shingle, group) cells of the prefixes of a group's classes, with their sizes and
@@ -38,11 +39,10 @@ from evigrid.session import ship, stored
 
 WORDS, SHARE = 4, 85
 GROUP, GROUP_SHINGLES = 64, 1 << 20
-#: Hits from which a bucket's shingles come last in the order.
+#: Least buckets a key where a bitmap picks texts: one in so many others passes by chance, and each is read to a whole set.
+SPARSE = 64
+#: Hits from which a bucket's shingles come last in the order, beside what the buckets are hit anyway once the space is full.
 OFTEN = 12
-#: Shingles with a hash under this share of the hash space are told apart by their hits; the prefix seldom needs others.
-LOW = 0.35
-_LOW = np.uint64(int(LOW * (1 << 64)))
 
 
 def _sets(batches, words: int):
@@ -51,14 +51,20 @@ def _sets(batches, words: int):
         yield [k for b in held for k in b.column(0).to_pylist()], [shingles(t.as_py(), words) for b in held for t in b.column(1)]
 
 
-def _often(texts: DataFrame, words: int, bits: int) -> np.ndarray:
+def hits_of_often(keys: float, bits: int) -> int:
+    """Hits that tell a bucket of often hit shingles from one that many rare ones share (a bound of the order alone: no link depends on it)."""
+    load = keys / (1 << bits)
+    return int(min(OFTEN + load + 6 * np.sqrt(load), 127)) if load > 1 else OFTEN
+
+
+def _often(texts: DataFrame, words: int, bits: int, least: int) -> np.ndarray:
     def run(batches):
-        gathered = Gathered({0: bits}, OFTEN)
+        gathered = Gathered({0: bits}, least)
         for _, sets in _sets(batches, words):
-            yield from gathered.put(0, mix(np.concatenate([s[: np.searchsorted(s, _LOW)] for s in sets])))
+            yield from gathered.put(0, mix(np.concatenate(sets)))
         yield from gathered.rest()
 
-    return frequent(texts.mapInArrow(run, ROWS), {0: bits}, OFTEN)[0]
+    return frequent(texts.mapInArrow(run, ROWS), {0: bits}, least)[0]
 
 
 def prefix_size(n: int, share: int) -> int:
@@ -67,9 +73,8 @@ def prefix_size(n: int, share: int) -> int:
 
 def _ordered(s: np.ndarray, often: np.ndarray, bits: int) -> np.ndarray:
     """The shingles of a set, sorted by hash, in the order of the join."""
-    low = s[: np.searchsorted(s, _LOW)]
-    late = passes(often, mix(low), bits)
-    return np.concatenate([low[~late], s[len(low) :], low[late]])
+    late = passes(often, mix(s), bits)
+    return np.concatenate([s[~late], s[late]])
 
 
 SIGNED = "key long, n long, d1 long, d2 long, home long, prefix array<long>"
@@ -86,9 +91,9 @@ def _longs(x) -> pa.Array:
 
 def signatures(texts: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     """key, n shingles, digest halves, hash of the two least shingles, prefix."""
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = bits_for(size / 6 * LOW)
-    often = texts.sparkSession.sparkContext.broadcast(_often(texts, words, bits))
+    keys = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
+    bits = bits_for(keys)
+    often = texts.sparkSession.sparkContext.broadcast(_often(texts, words, bits, hits_of_often(keys, bits)))
     names = [x.split()[0] for x in SIGNED.split(", ")]
 
     def run(batches):
@@ -108,9 +113,9 @@ def signatures(texts: DataFrame, words: int = WORDS, share: int = SHARE) -> Data
     return texts.mapInArrow(run, SIGNED)
 
 
-def _marked(keys: DataFrame, n: int, least: int) -> tuple[object, int]:
-    """(broadcast bits, width) of the hash buckets that ``least`` of n keys (one column of longs, or arrays of them) hit."""
-    bits = bits_for(2 * n)
+def _marked(keys: DataFrame, n: int, least: int, room: int = 2) -> tuple[object, int]:
+    """(broadcast bits, width) of the hash buckets that ``least`` of n keys (one column of longs, or arrays of them) hit; ``room`` buckets a key at least."""
+    bits = bits_for(room * n)
 
     def run(batches):
         gathered = Gathered({0: bits}, least)
@@ -126,7 +131,7 @@ def _marked(keys: DataFrame, n: int, least: int) -> tuple[object, int]:
 class _Full:
     """Full sets (node, shingles) of asked classes; a text is fetched once, whatever step asks for it.
 
-    Texts are picked by a bitmap of hashed keys, so none is shuffled; the few others that it lets through do no harm.
+    Texts are picked by a bitmap of hashed keys, so none is shuffled; the few others that it lets through are left out again.
     """
 
     def __init__(self, texts: DataFrame, classes: DataFrame, words: int, repeated: bool):
@@ -138,8 +143,12 @@ class _Full:
         new = stored(self.reps.join(nodes if self.sets is None else nodes.join(self.sets.select("node"), "node", "left_anti"), "node", "left_semi"))
         n = new.count()
         if n or self.sets is None:
-            made = stored(self._made(*_marked(new.select("key"), n, 1)))
-            self.sets = made if self.sets is None else self.sets.unionByName(made.join(self.sets.select("node"), "node", "left_anti"))
+            made, few = self._made(*_marked(new.select("key"), n, 1, SPARSE)), n <= CLASSES_SENT
+            if few or self.sets is not None:
+                made = made.join(F.broadcast(new) if few else new, ["node", "key"], "left_semi")
+            made = made.select("node", "shingles")
+            made = stored(made.groupBy("node").agg(F.first("shingles").alias("shingles")) if self.repeated else made)
+            self.sets = made if self.sets is None else self.sets.unionByName(made)
         return self.sets
 
     def _made(self, wanted, bits: int) -> DataFrame:
@@ -150,12 +159,12 @@ class _Full:
                 keys = b.column(0).to_numpy(zero_copy_only=False)
                 keep = np.flatnonzero(passes(wanted.value, mix(keys.astype(np.int64).view(np.uint64)), bits)) if len(keys) else []
                 if len(keep):
-                    sets = [s for s in (shingles(t.as_py(), words) for t in b.column(1).take(pa.array(keep))) if len(s)]
-                    n, d1, d2 = zip(*map(_digest, sets)) if sets else ((), (), ())
-                    yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), _longs(d1), _longs(d2), pa.array([np.sort(s.view(np.int64)) for s in sets], pa.list_(pa.int64()))], names=["n", "d1", "d2", "shingles"])
+                    sets = [shingles(t.as_py(), words) for t in b.column(1).take(pa.array(keep))]
+                    n, d1, d2 = zip(*map(_digest, sets))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), pa.array(n, pa.int64()), _longs(d1), _longs(d2), pa.array([np.sort(s.view(np.int64)) for s in sets], pa.list_(pa.int64()))], names=["key", "n", "d1", "d2", "shingles"])
 
-        made = self.texts.where("key is not null").mapInArrow(run, "n long, d1 long, d2 long, shingles array<long>").select(_node(), "shingles")
-        return made.groupBy("node").agg(F.first("shingles").alias("shingles")) if self.repeated else made
+        made = self.texts.where("key is not null").mapInArrow(run, "key long, n long, d1 long, d2 long, shingles array<long>")
+        return made.where("n > 0").select(_node(), "key", "shingles")
 
 
 def _node():

@@ -63,3 +63,32 @@ def test_set_join_of_documents(real):
     rows = [(r.doc_id, r.text) for r in real.collect()]
     assert sorted((str(r.key), r.n_shingles, str(r.component_id)) for r in set_join.groups(real).collect()) == brute(rows)
     assert set_join.groups(real.limit(0)).count() == 0
+
+
+def test_near_copies_below_the_share_do_not_meet(spark, monkeypatch):
+    rng, asked, links = random.Random(7), [], set_join.Matrix.links
+    base, rows = [f"b{i}" for i in range(200)], []
+    for i in range(80):
+        w = list(base)
+        for k in rng.sample(range(200), 12):
+            w[k] = f"n{rng.randint(0, 10**9)}"
+        rows.append((i + 1, " ".join(w)))
+
+    def counted(self, pairs, labels, inside):
+        asked.append(pairs.count())
+        return links(self, pairs, labels, inside)
+
+    monkeypatch.setattr(set_join.Matrix, "links", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((str(r.key), r.n_shingles, str(r.component_id)) for r in set_join.groups(docs).collect()) == brute(rows)
+    assert sum(asked) < 2 * len(rows)  # and not with their square
+
+
+def test_full_sets_of_asked_classes_alone(spark):
+    rows = [(i, f"a b c {i // 2} d e f") for i in range(6000)]
+    texts = spark.createDataFrame(rows, "key long, text string")
+    signed = set_join.signatures(texts).where("n > 0")
+    classes = set_join.stored(signed.groupBy("d1", "d2", "n").agg(set_join.F.min("key").alias("rep")).withColumn("node", set_join._node()))
+    full, half = set_join._Full(texts, classes, set_join.WORDS, False), set_join.F.pmod("rep", set_join.F.lit(4)) == 0
+    assert full.of(classes.where(half).select("node")).count() == 1500
+    assert full.of(classes.select("node")).groupBy("node").count().where("count = 1").count() == 3000

@@ -29,7 +29,7 @@ class PieceTable(dict):
     """
 
     def __init__(self, encode, special: tuple[str, ...], bound: int):
-        self.encode, self.bound, self.old = encode, bound, {}
+        self.encode, self.bound, self.old, self.marks = encode, bound, {}, tuple(s.encode() for s in special)
         self.special = tuple(s for s in special if s.strip() != s or len(s.split()) != 1)
 
     def __missing__(self, piece: str):
@@ -102,10 +102,44 @@ def _all_equal(data: np.ndarray, start: np.ndarray, end: np.ndarray, like: np.nd
     return True
 
 
-def values(texts: list[str | None], table: PieceTable) -> list[bytes]:
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[33:127] = True
+_SIGN[48:58], _SIGN[_LETTER] = False, False
+
+
+def inner_cuts(data: np.ndarray) -> np.ndarray:
+    """Places inside pieces where one pre-token ends for certain: behind a letter before a sign, and around a line end that
+    stands alone between a letter or sign and a letter (all of them ASCII)."""
+    letter, sign = _LETTER[data], _SIGN[data]
+    at = np.flatnonzero(letter[:-1] & sign[1:]) + 1
+    line = np.flatnonzero(data == 10)
+    line = line[(line > 0) & (line < len(data) - 1)]
+    line = line[(letter | sign)[line - 1] & letter[line + 1]]
+    return np.sort(np.concatenate([at, line, line + 1]))
+
+
+def _gathered(found: list[bytes], inverse: np.ndarray, stop: np.ndarray, step: int = 1 << 17) -> list[bytes]:
+    """The values at inverse[: stop[0]], inverse[stop[0] : stop[1]], ... each joined, some pieces at a time."""
+    size = np.fromiter(map(len, found), np.int64, len(found))
+    unit = next(n for n in (4, 2, 1) if not (size % n).any())
+    data, size = np.frombuffer(b"".join(found), np.dtype(f"u{unit}")), size // unit
+    begin, parts = np.cumsum(size) - size, []
+    for lo in range(0, len(inverse), step):
+        own = inverse[lo : lo + step]
+        n = size[own]
+        behind = np.cumsum(n)
+        parts.append(data[np.repeat(begin[own] - behind + n, n) + np.arange(int(behind[-1]))])
+    whole, cut = np.concatenate(parts), [0, *np.cumsum(size[inverse])[stop - 1].tolist()]
+    return [whole[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+
+
+def values(texts: list[str | None], table: PieceTable, inner: bool = False) -> list[bytes]:
     """The value of each text, where a table's values are bytes; equal pieces of all these texts are looked up once.
 
     Pieces are told apart by a hash and then compared byte by byte, so the result never depends on the hash.
+    With ``inner`` words are cut from signs and line ends too, unless a special token stands in these texts.
     """
     out: list = [b""] * len(texts)
     cut = []
@@ -121,8 +155,12 @@ def values(texts: list[str | None], table: PieceTable) -> list[bytes]:
     blanks = np.flatnonzero(data == 32)
     start, end = np.concatenate([[0], blanks + 1]), np.concatenate([blanks, [len(data)]])
     stop = np.cumsum([texts[i].count(" ") + 1 for i in cut])
+    cuts = inner_cuts(data) if inner and not any(s in joined for s in table.marks) else np.empty(0, np.int64)
+    stop = stop + np.searchsorted(cuts, end[stop - 1])
+    start, end = np.sort(np.concatenate([start, cuts])), np.sort(np.concatenate([end, cuts]))
     first = np.zeros(len(start), bool)
     first[np.concatenate([[0], stop[:-1]])] = True  # has no blank before it
+    first[np.searchsorted(start, cuts)] = True
     h = _piece_hashes(data, start, end)
     h[first] ^= np.uint64(_BASE)
     _, like, inverse = np.unique(h, return_index=True, return_inverse=True)
@@ -132,8 +170,6 @@ def values(texts: list[str | None], table: PieceTable) -> list[bytes]:
         return out
     pieces = [joined[s:e].decode() for s, e in zip(start[like].tolist(), end[like].tolist())]
     found = [(table.encode(p) if p else b"") if f else table[p] for p, f in zip(pieces, first[like].tolist())]
-    lo = 0
-    for i, hi in zip(cut, stop.tolist()):
-        out[i] = b"".join(map(found.__getitem__, inverse[lo:hi].tolist()))
-        lo = hi
+    for i, value in zip(cut, _gathered(found, inverse, stop)):
+        out[i] = value
     return out

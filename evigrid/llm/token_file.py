@@ -108,7 +108,7 @@ def encoder(path: str):
 
     table = PieceTable(encode, special, 500_000)
     gc.freeze()  # what is loaded here stays, so the collector need not walk it again
-    _loaded[path] = (lambda texts: values(texts, table), kind)
+    _loaded[path] = (lambda texts: values(texts, table, True), kind)
     return _loaded[path]
 
 

@@ -100,3 +100,23 @@ def test_a_word_is_encoded_once(tokenizer, monkeypatch):
     got = [np.frombuffer(x, kind).tolist() for x in every(texts)]
     assert got == [library.encode(x, add_special_tokens=False).ids for x in texts]
     assert asked.count("\u0120haheth") == 1
+
+
+def test_words_are_cut_from_signs_and_line_ends(tokenizer):
+    t, every = Tokenizer.from_file(tokenizer), token_file.encoder(tokenizer)
+    rng = random.Random(9)
+    parts = [*".,;:!?'\"*#$%&<>|_-", "a", "The", "it's", "'ll", "n't", "\n", "\n\n", "\r\n", " ", " ", " ", "\t", "1", "é", "ß", "日", "\xa0", "\x7f", "\x00"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    texts += [x + "<|endoftext|>," for x in texts[:20]]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    for lo in range(0, len(texts), 500):
+        assert [np.frombuffer(x, every[1]).tolist() for x in every[0](texts[lo : lo + 500])] == want[lo : lo + 500]
+
+
+def test_a_word_is_looked_up_once_whatever_signs_stand_about_it():
+    seen = []
+    table = chunks.PieceTable(lambda x: seen.append(x) or x.encode(), ("<|endoftext|>",), 1000)
+    words, signs = [f"w{chr(97 + i)}" for i in range(20)], ["", ".", ",", "***", "$$$", ".\nThe"]
+    texts = [" ".join(w + s for w in words for s in signs)] * 2
+    assert chunks.values(texts, table, True) == [x.encode() for x in texts]
+    assert len(seen) < len(words) + len(signs) + 5

@@ -68,6 +68,21 @@ def cells(row: np.ndarray, bucket: np.ndarray, x: np.ndarray, rows: int, dims: i
     return tuple(map(np.concatenate, zip(*parts))) if parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
 
 
+def least_sent(idf: DataFrame, sent: int) -> int:
+    """The least frequency that keeps the terms of that one and more within ``sent``; 0 where all terms are.
+
+    Frequencies past 2^16 count as one.
+    """
+    sizes = {r["k"]: r["n"] for r in idf.groupBy(F.least("df", F.lit(1 << 16)).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    least, total = 1 << 62, 0
+    for k in sorted(sizes, reverse=True):
+        total += sizes[k]
+        if total > sent:
+            return least
+        least = k
+    return 0
+
+
 def unit_rows(held: DataFrame, idf: DataFrame, dims: int, sent: int) -> DataFrame:
     """Bags to vectors of unit length: their other columns, buckets b and weights w; bags without a term have none.
 
@@ -77,15 +92,8 @@ def unit_rows(held: DataFrame, idf: DataFrame, dims: int, sent: int) -> DataFram
     keep = [c for c in held.columns if c not in ("dl", "terms", "tfs")]
     kinds = ", ".join(f"{c} {held.schema[c].dataType.simpleString()}" for c in keep)
     spark = ship(held.sparkSession)
-    # frequencies past 2^16 count as one: the least frequency that keeps the terms within ``sent``
-    sizes = {r["k"]: r["n"] for r in idf.groupBy(F.least("df", F.lit(1 << 16)).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    least, total = 1 << 62, 0
-    for k in sorted(sizes, reverse=True):
-        total += sizes[k]
-        if total > sent:
-            break
-        least = k
-    known = idf.where(F.col("df") >= least).select("term", "idf", "bucket").toArrow() if total > sent else idf.select("term", "idf", "bucket").toArrow()
+    least = least_sent(idf, sent)
+    known = idf.where(F.col("df") >= least).select("term", "idf", "bucket").toArrow()
     table = spark.sparkContext.broadcast((known.column("term").to_pylist(), known.column("idf").to_numpy(), known.column("bucket").to_numpy()))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +109,7 @@ def unit_rows(held: DataFrame, idf: DataFrame, dims: int, sent: int) -> DataFram
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], b_, w_, terms_, tfs_], names=[*keep, "b", "w", "terms", "tfs"])
 
     part = held.select(*keep, "terms", "tfs").mapInArrow(sums, f"{kinds}, b array<long>, w array<double>, terms array<string>, tfs array<int>")
-    if total > sent:
+    if least > 0:
         part = stored(part)
         rare = part.select("point_id", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("point_id", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
         rare = rare.join(idf.where(F.col("df") < least).select("term", "idf", "bucket"), "term").groupBy("point_id").agg(F.collect_list(F.struct("bucket", (F.col("tf") * F.col("idf")).alias("x"))).alias("r"))

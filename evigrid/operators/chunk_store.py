@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evigrid import params as P
-from evigrid.operators.pruning import posting_blocks
-from evigrid.operators.retrieval import Index, postings
-from evigrid.operators.store import SegmentStore
-from evigrid.session import stored
+from evigrid.operators.bags import postings_of
+from evigrid.operators.retrieval import Index
+from evigrid.operators.store import SegmentStore, sent
 
 
 class ChunkStore(SegmentStore):
     """Chunks (point_id, document_id, project_id, content, is_quarantined and others) with what searches read.
 
-    A segment holds its chunks, their posting blocks, and signed changes of document frequencies, counts and
+    A segment holds its chunks, their bags of terms, and signed changes of document frequencies, counts and
     lengths: those of the chunks that it adds less those of the chunks that it replaces.
     """
 
@@ -24,34 +25,33 @@ class ChunkStore(SegmentStore):
     def put(self, points: DataFrame, documents: DataFrame | None = None) -> None:
         """Index ``points``; of ``documents`` (their own without it) all earlier chunks go.
 
-        A document of ``documents`` without chunks in ``points`` is gone from the index.
+        A document of ``documents`` without chunks in ``points`` is gone from the index.  Chunks are written once
+        and read back for their bags, and frequencies are counted from the bags, of which nothing else is dealt out.
         """
-        segments = self._state()[1]
-        points = stored(points)  # read four times below
-        new = stored(postings(points))
-        n = points.count()
-        change = new.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        length = new.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("length")).select(F.lit(n).cast("long").alias("n"), "length")
-        if segments:
-            old = self.live().join((documents if documents is not None else points).select("document_id").distinct(), "document_id", "left_semi")
-            gone = stored(postings(old.select("point_id", "content")))
-            change = change.unionByName(gone.groupBy("term").agg((-F.count(F.lit(1))).alias("df")))
-            less = gone.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("length")).select(F.lit(-old.count()).cast("long").alias("n"), (-F.col("length")).alias("length"))
-            length = length.unionByName(less)
-        blocks = posting_blocks(new, n, segment=self.next_id(segments))
-        self.replace(points, documents, blocks=blocks, terms=change.groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"), stats=length)
+        read = self.spark.read.parquet
+
+        def more(folder: str) -> Iterator[tuple[str, DataFrame]]:
+            yield "bags", Index.bags_of(read(f"{folder}/rows"))
+            signed = read(f"{folder}/bags").select("dl", "terms", F.lit(1).alias("sign"))
+            old = self.live("bags")  # this segment is not in the manifest yet
+            if old is not None:
+                keys = read(f"{folder}/keys")
+                gone = old.alias("r").join(sent(keys).alias("l"), F.col("l.document_id").eqNullSafe(F.col("r.document_id")), "left_semi")
+                signed = signed.unionByName(gone.select("dl", "terms", F.lit(-1).alias("sign")))
+            each = signed.select(F.explode("terms").alias("term"), "sign")  # a bag names a term once
+            yield "terms", each.groupBy("term").agg(F.sum("sign").alias("df")).where("df <> 0")
+            total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+            yield "stats", signed.agg(total("sign").alias("n"), total(F.col("dl") * F.col("sign")).alias("length"))
+
+        self.replace(points, documents, more=more)
 
     def index(self, embed=None, dims: int = P.EMBEDDING_DIMS) -> Index:
-        """The live chunks as an index: frequencies and counts are summed, blocks read as they are."""
+        """The live chunks as an index: frequencies and counts are summed, bags read as they are."""
         segments = self._state()[1]
-        points = self.live()
+        points, held = self.live().drop("segment"), self.live("bags").drop("segment")
         stats = self.parts("stats", segments).agg(F.sum("n").alias("n"), F.sum("length").alias("length")).first()
-        blocks = self.parts("blocks", segments).drop("segment")
-        each = blocks.select("term", F.shiftright("slot", 32).alias("segment"), F.explode("rows").alias("p")).select("segment", "term", F.col("p.point").alias("point_id"), "p.tf", "p.dl")
-        found = each.join(points.select("point_id", "segment"), ["point_id", "segment"], "left_semi") if len(segments) > 1 else each
         df = self.parts("terms", segments).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
         out = Index.__new__(Index)
-        out._open(points.drop("segment"), found.drop("segment"), stats["n"], embed, dims, df, blocks)
+        out._open(points, postings_of(held), stats["n"], embed, dims, df, held)
         out._mean = float(stats["length"] / max(stats["n"], 1) or 1.0)
-        out.live = points.where("not is_quarantined").select("point_id", "project_id", "document_id", "segment")
         return out

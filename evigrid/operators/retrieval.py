@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evigrid import params as P
 from evigrid.functions.text import terms
-from evigrid.operators.bags import bags, postings_of, unit_rows
+from evigrid.operators.bags import bags, least_sent, postings_of, unit_rows
 from evigrid.operators.pruning import posting_blocks
 from evigrid.operators.vectors import sparse_vector_topk, weighted_topk
 from evigrid.session import stored
@@ -49,28 +49,40 @@ class Index:
     """
 
     def __init__(self, points: DataFrame, embed: Callable[[DataFrame, str, str], DataFrame] | None = None, dims: int = P.EMBEDDING_DIMS):
-        held = stored(self._bags_of(points))
+        held = stored(self.bags_of(points))
         df = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a bag names a term once
-        self._open(points, postings_of(held), held.count(), embed, dims, df=df, held=held)
+        self._open(points, postings_of(held), held.count(), embed, dims, df, held)
 
     @staticmethod
-    def _bags_of(points: DataFrame) -> DataFrame:
+    def bags_of(points: DataFrame) -> DataFrame:
         return bags(points, "content", *(c for c in ("point_id", "project_id", "is_quarantined", "document_id") if c in points.columns))
 
-    def _open(self, points: DataFrame, found: DataFrame, n: int, embed, dims: int, df: DataFrame | None = None, blocks: DataFrame | None = None, held: DataFrame | None = None) -> None:
+    def _open(self, points: DataFrame, found: DataFrame, n: int, embed, dims: int, df: DataFrame, held: DataFrame) -> None:
         self.points, self.dims, self.embed, self.postings, self.n, self._bags = points, dims, embed or self._hashed, found, n, held
-        df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df")) if df is None else df
         k = F.col("df")
         self.idf = stored(df.select("term", "df", F.log(1 + (F.lit(float(n)) - k + 0.5) / (k + 0.5)).alias("idf"), _bucket()))
         self.sent = self.idf.count() <= TERMS_SENT
         self.live = points.where("not is_quarantined").select("point_id", "project_id", *(["document_id"] if "document_id" in points.columns else []))
-        self._vectors, self._blocks, self._mean = None, blocks, None
+        self._vectors, self._blocks, self._mean = None, None, None
 
     def terms(self, *columns: str) -> DataFrame:
         """Term statistics, sent to all tasks where they are few."""
         rows = self.idf.select("term", *columns)
         return F.broadcast(rows) if self.sent else rows
 
+    def with_terms(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """Rows (term, ...) with their term's statistics.
+
+        The most frequent terms go to all tasks; only rows of the rarer ones, which are few, are dealt out by term.
+        """
+        least = least_sent(self.idf, TERMS_SENT)
+        known = F.broadcast(self.idf.where(F.col("df") >= least).select("term", *columns))
+        out = rows.join(known, "term")
+        if least > 0:
+            rare = rows.join(known.select("term"), "term", "left_anti")
+            out = out.unionByName(rare.join(self.idf.where(F.col("df") < least).select("term", *columns), "term"))
+        return out
+
     def _hashed(self, texts: DataFrame, key: str, text: str) -> DataFrame:
         found = self.postings if key == "point_id" else postings(texts, key, text)
         return _unit_vectors(found.join(self.terms("idf", "bucket"), "term"), key)
@@ -92,9 +104,7 @@ class Index:
         return self.postings.select("point_id", "term", "tf", self.saturated(F.col("tf"), F.col("dl")).alias("weight"))
 
     def bags(self) -> DataFrame:
-        """One row a point (see ``evigrid.operators.bags``); written once."""
-        if self._bags is None:
-            self._bags = stored(self._bags_of(self.points))
+        """One row a point (see ``evigrid.operators.bags``)."""
         return self._bags
 
     def searchable(self) -> DataFrame:

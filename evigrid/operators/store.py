@@ -9,10 +9,18 @@ replaces its key.  One writer at a time.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 MANIFEST = "version long, segments array<struct<id:long,folder:string>>, epochs array<long>"
+#: As many changed keys go to all tasks, so that wide rows stay where they are; with more of them both sides are dealt by key.
+KEYS_SENT = 1_000_000
+
+
+def sent(keys: DataFrame) -> DataFrame:
+    """Stored keys, sent to all tasks where they are few."""
+    return F.broadcast(keys) if keys.count() <= KEYS_SENT else keys
 
 
 class SegmentStore:
@@ -35,20 +43,21 @@ class SegmentStore:
     def _commit(self, version: int, segments: list, epochs: list) -> None:
         self.spark.createDataFrame([(version, segments, epochs)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
-    def replace(self, rows: DataFrame, keys: DataFrame | None = None, epoch: int | None = None, **more: DataFrame) -> bool:
+    def replace(self, rows: DataFrame, keys: DataFrame | None = None, epoch: int | None = None, more: Callable[[str], Iterable[tuple[str, DataFrame]]] | None = None) -> bool:
         """Rows of ``keys`` (the keys of the new rows without them) give way to ``rows``; False if the epoch is known.
 
-        ``more`` are further tables of the segment.
+        ``more`` gives further tables of the segment in turn, as (name, table), from the folder that its rows, keys and
+        earlier tables are written to.
         """
         version, segments, epochs = self._state()
         if epoch is not None and epoch in epochs:
             return False
         folder = f"{self.path}/segment-{uuid.uuid4().hex}"
         rows.write.parquet(f"{folder}/rows")
-        for name, table in more.items():
-            table.write.parquet(f"{folder}/{name}")
         written = self.spark.read.schema(rows.schema).parquet(f"{folder}/rows")
         (keys if keys is not None else written).select(self.key).distinct().write.parquet(f"{folder}/keys")
+        for name, table in more(folder) if more else ():
+            table.write.parquet(f"{folder}/{name}")
         self._commit(version + 1, [*segments, (self.next_id(segments), folder)], epochs if epoch is None else [*epochs, epoch])
         return True
 
@@ -64,15 +73,17 @@ class SegmentStore:
             out = part if out is None else out.unionByName(part)
         return out
 
-    def live(self) -> DataFrame | None:
-        """Live rows with their segment."""
+    def live(self, name: str = "rows") -> DataFrame | None:
+        """Live rows of the segments' tables of that name, which hold the key, with their segment.
+
+        The first segment's keys are not read, and rows of the newest one meet nothing.
+        """
         segments = self._state()[1]
-        rows = self.parts("rows", segments)
         if len(segments) < 2:
-            return rows
-        last = self.parts("keys", segments).groupBy(self.key).agg(F.max("segment").alias("segment"))
-        null_safe = F.col(f"l.{self.key}").eqNullSafe(F.col(f"r.{self.key}")) & (F.col("l.segment") == F.col("r.segment"))
-        return rows.alias("r").join(last.alias("l"), null_safe, "left_semi")
+            return self.parts(name, segments)
+        last = self.parts("keys", segments[1:]).groupBy(self.key).agg(F.max("segment").alias("segment"))
+        later = F.col(f"l.{self.key}").eqNullSafe(F.col(f"r.{self.key}")) & (F.col("l.segment") > F.col("r.segment"))
+        return self.parts(name, segments[:-1]).alias("r").join(sent(last).alias("l"), later, "left_anti").unionByName(self.parts(name, segments[-1:]))
 
     def read(self) -> DataFrame:
         """Live rows."""

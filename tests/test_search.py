@@ -1,6 +1,7 @@
 """Stored indexes: re-ingest by document, exact search by bounds, lists of documents, segment stores, caches."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evigrid import params as P
 from evigrid.functions.fuzzy import partial_ratio, plain
-from evigrid.operators import pruning, retrieval as R
+from evigrid.operators import pruning, retrieval as R, store as spark_store
 from evigrid.operators.chunk_store import ChunkStore
 from evigrid.operators.neighbours import ProjectionIndex, recall
 from evigrid.operators.store import SegmentStore, upsert_sink
@@ -210,3 +211,53 @@ def test_only_lines_of_asked_tables_are_gathered(spark, sf):
     want = sorted(map(tuple, whole.where("table_id % 50 = 3").collect()), key=lambda r: r[0])
     assert want and sorted(map(tuple, asked.collect()), key=lambda r: r[0]) == want
     assert X.table_text(spark, sf, of.limit(0)).isEmpty()
+
+
+def shuffled(spark):
+    """Bytes that all exchanges so far wrote."""
+    time.sleep(0.5)  # the session's own figures follow its tasks a little later
+    return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+
+def test_put_deals_out_frequencies_alone(spark):
+    """Neither texts nor postings go through an exchange when points are indexed or put again, and chunks are written once."""
+    points = spark.createDataFrame([(i, i, "p0", " ".join(f"w{(i * 7 + k * k) % 90}" for k in range(120)), False, False) for i in range(3000)], POINT).repartition(4)
+    store = ChunkStore(spark, f"{shared_dir(spark)}/i")
+    path = f"{shared_dir(spark)}/p"
+    points.write.parquet(path)
+    points = spark.read.parquet(path)
+    before = shuffled(spark)
+    store.put(points)
+    store.put(store.read().where("document_id % 10 = 3"))
+    assert store.live().count() == 3000 and store.index().n == 3000
+    assert shuffled(spark) - before < 150_000  # each of the bags alone is larger
+
+
+def test_wide_rows_stay_where_they_are(spark, monkeypatch):
+    """Rows of earlier segments meet the later segments' keys without an exchange of their own where keys are few; otherwise the rows are the same."""
+    store = SegmentStore(spark, f"{shared_dir(spark)}/s", "k")
+    frame = lambda *r: spark.createDataFrame(list(r), "k long, v string")
+    store.replace(frame((1, "a"), (2, "b"), (3, "c"), (None, "n")))
+    store.replace(frame((2, "x"), (2, "y")))
+    store.replace(frame((3, "z")), frame((3, ""), (None, "")))
+    want = [(1, "a", 0), (2, "x", 1), (2, "y", 1), (3, "z", 2)]
+    monkeypatch.setattr(spark_store, "KEYS_SENT", 0)
+    assert sorted(map(tuple, store.live().collect())) == want
+    monkeypatch.undo()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, store.live().collect())) == want
+        assert "SortMergeJoin" not in store.live()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_rows_with_their_terms(spark, monkeypatch):
+    """Few sent terms and the rest dealt by term: the same rows as by one join."""
+    index = R.build_index(spark.createDataFrame(texts(200), POINT))
+    want = sorted(map(tuple, index.postings.select("point_id", "term").join(index.idf.select("term", "df"), "term").collect()))
+    for sent in (10**6, 40, 0):
+        monkeypatch.setattr(R, "TERMS_SENT", sent)
+        got = index.with_terms(index.postings.select("point_id", "term"), "df")
+        assert sorted(map(tuple, got.select("term", "point_id", "df").collect())) == want

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evigrid import params as P, streaming as S
 from evigrid.plans import query
 from evigrid.plans.eventlog import _GEN, gen_events
-from evigrid.session import shared_dir
+from evigrid.session import shared_dir, stored
 from evigrid.sources import fixtures as X
 from evigrid.sources.fixtures import with_sql
 from evigrid.streaming import stateful
@@ -57,7 +57,7 @@ def stream_dedup_upload(spark, sf_dir):
 
 def _in_order(spark, rows, form, parts=4):
     """Rows in files by ranges of time, read one file a trigger in that order; the last one's rows end a day after all others."""
-    base = shared_dir(spark)
+    base, rows = shared_dir(spark), stored(rows)  # read five times below
     cuts = rows.select(F.expr("percentile_approx(unix_seconds(cast(ts as timestamp)), array(0.25, 0.5, 0.75))")).first()[0] or []
     at = F.unix_seconds(F.col("ts").cast("timestamp"))
     for lo, hi in zip([None, *cuts], [*cuts, None]):
